@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,7 +123,7 @@ class Words:
 
 def blocks(batch: pa.RecordBatch, text: str, most: int = BLOCK_BYTES):
     """Slices of a batch whose texts together hold `most` bytes at most (or one text)."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     total = np.concatenate([[0], np.cumsum(size)])
     lo = 0
     while lo < batch.num_rows:
