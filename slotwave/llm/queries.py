@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, simhash, warc
+from . import bpe, ctw, mixing, quality, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages")).drop("payload", "path", "start")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_bpe": op5_bpe, "op7_sharding": op7_sharding, "op8_warc": op8_warc}
+QUERIES = {"op1_simhash": op1_simhash, "op2_ctw": op2_ctw, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_bpe": op5_bpe, "op7_sharding": op7_sharding, "op8_warc": op8_warc}
 
 ORACLE_SQL = {
     "op8_warc": """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 
@@ -136,3 +137,49 @@ def blocks(batch: pa.RecordBatch, text: str, most: int = BLOCK_BYTES):
 def per_text(counts_at: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     """How often (or with what weight) each of n texts is named."""
     return np.bincount(counts_at, weights=weights, minlength=n).astype(np.int64)
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def pack(values: np.ndarray, rising: bool = False) -> bytes:
+    """Unsigned integers as compressed byte planes; rising values as their differences."""
+    x = values.astype(np.uint64)
+    if rising and len(x):
+        x = np.diff(x, prepend=np.uint64(0))
+    planes = x.view(np.uint8).reshape(-1, 8).T
+    used = 8 - int(np.argmax(np.append(planes.any(axis=1)[::-1], True)))
+    body = np.ascontiguousarray(planes[:used]).tobytes()
+    return struct.pack("<QB", len(x), used) + (_ZSTD.compress(body, asbytes=True) if body else b"")
+
+
+def unpack(data: bytes, rising: bool = False) -> np.ndarray:
+    n, used = struct.unpack_from("<QB", data)
+    x = np.zeros((n, 8), np.uint8)
+    if n and used:
+        body = _ZSTD.decompress(data[9:], n * used, asbytes=True)
+        x[:, :used] = np.frombuffer(body, np.uint8).reshape(used, n).T
+    x = x.view(np.uint64).ravel()
+    return np.cumsum(x, dtype=np.uint64) if rising else x
+
+
+def bucketed(docs: DataFrame, id_col: str, text_col: str, least: int = 1 << 22, most: int = 1 << 24) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, bucket), the number of buckets, and the bytes of all texts.
+
+    A bucket holds about `least` to `most` bytes of text; equal ids share a bucket.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = int(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    n = max(1, -(-size // most), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // least))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n, size
+
+
+def text_blocks(texts: pa.ChunkedArray, most: int = BLOCK_BYTES):
+    """(rows, texts) of consecutive blocks of a column."""
+    flat = pa.concat_arrays([c.cast(pa.large_binary()) for c in texts.chunks]) if texts.num_chunks else pa.array([], pa.large_binary())
+    total = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(flat), 0), dtype=np.int64))])
+    lo = 0
+    while lo < len(flat):
+        hi = min(len(flat), max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1))
+        yield slice(lo, hi), flat.slice(lo, hi - lo)
+        lo = hi
