@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, mixing, quality, sharding, simhash, warc
+from . import bpe, ctw, mixing, quality, sharding, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages")).drop("payload", "path", "start")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_ctw": op2_ctw, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_bpe": op5_bpe, "op7_sharding": op7_sharding, "op8_warc": op8_warc}
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_ctw": op2_ctw, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_bpe": op5_bpe, "op7_sharding": op7_sharding, "op8_warc": op8_warc, "op9_substrings": op9_substrings}
 
 ORACLE_SQL = {
     "op8_warc": """
