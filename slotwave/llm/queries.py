@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, mixing, quality, sharding, simhash, substrings, vectors, warc
+from . import bpe, ctw, langid, mixing, quality, sharding, simhash, substrings, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,11 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_ctw": op2_ctw, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_bpe": op5_bpe, "op6_vectors": op6_vectors, "op7_sharding": op7_sharding, "op8_warc": op8_warc, "op9_substrings": op9_substrings}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_ctw": op2_ctw, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_bpe": op5_bpe, "op6_vectors": op6_vectors, "op7_sharding": op7_sharding, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_langid": op10_langid}
 
 ORACLE_SQL = {
     "op8_warc": """
