@@ -114,19 +114,68 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     have no words and fail; a null host is a host of its own; rows with equal ids are one
     document for the line verdict but keep their own counts. An empty table gives no rows.
     """
+    facts, lost = _judge(docs, id_col, text_col, host_col, max_docs)
+    removed = lost.groupBy("doc_id").agg(F.sum("words").alias("n_line_words_removed"))
+    return _verdicts(facts, removed, min_left, min_words, max_repeat)
+
+
+def _judge(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Facts of each document, and its lines above the limit: doc_id, line, words."""
     facts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), source_key(host_col).alias("host")).mapInArrow(_facts, _FACTS)
     facts = stored(facts, "quality-facts")
     # a row for each line of a document; exact copies of a host are counted once
     lines = facts.where("size(lines) > 0").select("doc_id", "host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("doc_id", "host", "content", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     holders = lines.groupBy("host", "line", "content").agg(F.min("doc_id").alias("doc_id"))
     often = holders.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).where(F.col("n_docs") > max_docs).select("host", "line", "first")
-    lost = lines.join(often, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id").agg(F.sum("words").alias("n_line_words_removed"))
+    lost = lines.join(often, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "line", "words")
+    return facts, lost
+
+
+def _verdicts(facts: DataFrame, removed: DataFrame, min_left: float, min_words: int, max_repeat: float) -> DataFrame:
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))
-    counts = facts.drop("lines", "line_words", "content", "host")
-    removed = F.least(F.coalesce("n_line_words_removed", F.lit(0)), F.col("n_words"))
+    gone = F.least(F.coalesce("n_line_words_removed", F.lit(0)), F.col("n_words"))
     return (
-        counts.join(lost, "doc_id", "left")
-        .withColumn("n_line_words_removed", removed)
+        facts.drop("lines", "line_words", "content", "host")
+        .join(removed, "doc_id", "left")
+        .withColumn("n_line_words_removed", gone)
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words_removed") >= F.lit(min_left) * F.col("n_words")))
     )
+
+
+def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text without the lines whose normalised words have one of the hashes in `gone`."""
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    lower[48:58] = 48
+    for batch in batches:
+        for part in blocks(batch, "text"):
+            texts, gone = part["text"].to_pylist(), part["gone"].to_pylist()
+            at = [i for i, g in enumerate(gone) if g and texts[i]]
+            for i in at:
+                lines = texts[i].split("\n")
+                w = Words(pa.array(lines, pa.string()))
+                w.data = lower[w.data]
+                line, _, _, normal = _lines(w, w.hashes())
+                bad = set(line[np.isin(normal.view(np.int64), gone[i])].tolist())
+                texts[i] = "\n".join(x for k, x in enumerate(lines) if k not in bad)
+            columns = [pa.array(texts, pa.string()) if name == "text" else part[name] for name in part.schema.names if name != "gone"]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in part.schema.names if n != "gone"])
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 50, min_left: float = 0.3, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+    """The documents that quality() keeps, without the lines it removes; the input's columns.
+
+    Rows with equal ids share a verdict (one rejected row rejects them) and rows without an id
+    go, as their verdict cannot be told from others.
+    """
+    facts, lost = _judge(docs, id_col, text_col, host_col, max_docs)
+    lost = stored(lost, "quality-lines")
+    removed = lost.groupBy("doc_id").agg(F.sum("words").alias("n_line_words_removed"))
+    verdicts = _verdicts(facts, removed, min_left, min_words, max_repeat)
+    rejected = stored(verdicts.where("not kept and doc_id is not null").select("doc_id").distinct(), "quality-rejected")
+    gone = stored(lost.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "quality-gone")
+    inner = docs.where(F.col(id_col).isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    left = inner.join(rejected, "doc_id", "left_anti").join(gone, "doc_id", "left").select("row", "text", "gone")
+    out = left.mapInArrow(_without_lines, f"row {inner.schema['row'].dataType.simpleString()}, text string")
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])

@@ -163,12 +163,13 @@ def unpack(data: bytes, rising: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if rising else x
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str, least: int = 1 << 22, most: int = 1 << 24) -> tuple[DataFrame, int, int]:
+def bucketed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, least: int = 1 << 22, most: int = 1 << 24) -> tuple[DataFrame, int, int]:
     """(doc_id, text, bucket), the number of buckets, and the bytes of all texts.
 
-    A bucket holds about `least` to `most` bytes of text; equal ids share a bucket.
+    With carry, the other columns of the input stand in a struct, rest. A bucket holds about `least` to `most` bytes of text; equal ids share a bucket.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rest = [F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest)
     size = int(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     n = max(1, -(-size // most), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // least))
     return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n, size

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
-from math import comb
+from math import acos, ceil, comb, floor, pi
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +78,7 @@ def block_masks(m: int, k: int) -> list[int]:
     return [sum(one[i] for i in chosen) for chosen in combinations(range(m), m - k)]
 
 
-def _linker(k: int, n_check: int):
+def _linker(k: int, n_check: int, most: int):
     """Links inside groups of rows (group, side, rep, fp0, ...) that arrive sorted by group."""
 
     def close(t: pa.Table) -> pa.RecordBatch:
@@ -105,7 +105,7 @@ def _linker(k: int, n_check: int):
             if len(a):
                 ok = np.bitwise_count(fps[0][a] ^ fps[0][b]) <= k
                 if n_check > 1:
-                    ok &= sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in fps) <= k * n_check
+                    ok &= sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in fps) <= most
                 label = join_labels(n, a[ok], b[ok], label)
             step += 1
         far = label != np.arange(n)
@@ -132,10 +132,10 @@ def _linker(k: int, n_check: int):
     return run
 
 
-def links(classes: DataFrame, k: int, group_rows: int = 4096) -> DataFrame:
+def links(classes: DataFrame, k: int, group_rows: int = 4096, most: int | None = None) -> DataFrame:
     """Spanning links a-b between classes (rep, fp0, ...) whose fp0 differ in at most k bits.
 
-    With further fingerprints fp1, ... the mean distance over all of them is held to k as well.
+    With further fingerprints fp1, ... the distance over all of them is at most `most` (k for each).
     """
     fps = [c for c in classes.columns if c.startswith("fp")]
     n = classes.count()
@@ -150,12 +150,16 @@ def links(classes: DataFrame, k: int, group_rows: int = 4096) -> DataFrame:
     cut = keyed.where("parts > 1").withColumn("own", own).select("key", "own", "rep", *fps, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cut = cut.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "rep", *fps)
     # rows of a part meet each other in the group (own, own), rows of two parts in theirs
-    return alone.unionByName(cut).repartition("grp").sortWithinPartitions("grp").mapInArrow(_linker(k, len(fps)), "a long, b long")
+    return alone.unionByName(cut).repartition("grp").sortWithinPartitions("grp").mapInArrow(_linker(k, len(fps), k * len(fps) if most is None else most), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, seeds: tuple[int, ...] = (42,), similarity: float | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
+    Links need max_bits or fewer differing bits. With `similarity` instead, they need that
+    Jaccard similarity of shingles as the fingerprints estimate it: the angle between two sets
+    of similarity s has cosine 2s / (1 + s), and each bit differs with probability angle / pi.
+
     component_id is the smallest doc_id reachable over links, the document included. Null and
     empty texts have fingerprint zero and link like any other. Rows with equal ids count as one
     document; rows with a null id belong to the component of their fingerprint and never name
@@ -165,7 +169,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = [c for c in found.columns if c != "doc_id"]
     classes = stored(found.groupBy(*fps).agg(F.min("doc_id").alias("rep")), "simhash-classes")
     known = classes.where("rep is not null")
-    edges = links(known, max_bits).unionByName(found.select(F.col("doc_id").alias("a"), *fps).join(known.withColumnRenamed("rep", "b"), fps).where("a <> b").select("a", "b").join(_repeated_ids(found), F.col("a") == F.col("doc_id"), "left_semi"))
+    most = None
+    if similarity is not None:
+        differ = acos(2 * similarity / (1 + similarity)) / pi
+        max_bits, most = ceil(BITS * differ), floor(BITS * differ * len(seeds))
+    edges = links(known, max_bits, most=most).unionByName(found.select(F.col("doc_id").alias("a"), *fps).join(known.withColumnRenamed("rep", "b"), fps).where("a <> b").select("a", "b").join(_repeated_ids(found), F.col("a") == F.col("doc_id"), "left_semi"))
     parts = stored(connected_components(edges), "simhash-components")
     labels = classes.join(parts, classes["rep"] == parts["node"], "left").select(*fps, F.coalesce("component", "rep").alias("component_id"))
     labels = stored(labels, "simhash-labels")

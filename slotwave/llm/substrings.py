@@ -122,8 +122,6 @@ def _suspects(width: int, bits: int, parts: int):
     """First occurrences in a bucket of the windows whose estimate is above one, packed by slice of the hash."""
 
     def run(t: pa.Table, said: pa.Table) -> pa.Table:
-        if not len(t):
-            return _table([], ("slice", "bucket", "h0", "h1", "ids"))
         t = _sorted_by_id(t)
         h0, h1, row = _hashes(t, width)
         answer = dict(zip(said["slice"].to_pylist(), said["said"].to_pylist(), strict=True))
@@ -163,10 +161,8 @@ def _decide(t: pa.Table) -> pa.Table:
     return _table(out, ("bucket", "h0", "h1"))
 
 
-def _remove(width: int, digest: bool):
+def _remove(width: int, digest: bool, layout: bool):
     def run(t: pa.Table, late: pa.Table) -> pa.Table:
-        if not len(t):
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names=[x.split()[0] for x in OUT.split(", ")])
         t = _sorted_by_id(t)
         g0, g1 = (np.concatenate([unpack(x, k == "h0") for x in late[k].to_pylist()] or [np.zeros(0, U)]) for k in ("h0", "h1"))
         h0, h1, _ = _hashes(t, width)
@@ -185,31 +181,36 @@ def _remove(width: int, digest: bool):
             cut.append(np.bincount(w.text[gone_words], minlength=w.n))
             for i in range(w.n):
                 a, z = w.first[i], w.first[i + 1]
-                raw = w.data[w.offsets[i] : w.offsets[i + 1]]
-                words = raw.tobytes().split()
+                text = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes()
+                words = text.split()
                 if cut[-1][i]:
                     words = [x for x, g in zip(words, gone_words[a:z].tolist(), strict=True) if not g]
-                text = b" ".join(words)
+                if cut[-1][i] or not layout:
+                    text = b" ".join(words)
                 kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
-        return pa.table([t["doc_id"], pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(cut), pa.int64()), pa.array(kept, pa.string())], names=[x.split()[0] for x in OUT.split(", ")])
+        columns = {"doc_id": t["doc_id"], "n_words": pa.array(np.concatenate(counts), pa.int64()), "n_removed": pa.array(np.concatenate(cut), pa.int64()), "kept": pa.array(kept, pa.string())}
+        if "rest" in t.column_names:
+            columns["rest"] = t["rest"]
+        return pa.table(columns)
 
     return run
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, digest: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, digest: bool = False, carry: bool = False, layout: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
     A word goes if a window that covers it occurs earlier: in a document of smaller id, or
     earlier in the same document. Windows are judged on the input. With digest, kept is the
-    sha256 of the words left. Null and empty texts have no words; texts shorter than a window
+    sha256 of the words left; with layout, texts that lose nothing keep their white space; with
+    carry, the struct `rest` holds the other columns. Null and empty texts have no words; texts shorter than a window
     lose none. Rows with equal ids stand in order of their texts, so of fully equal rows one
     keeps its words; null ids come last. An empty table gives no rows.
     """
-    rows, parts, size = bucketed(docs, id_col, text_col)
+    rows, parts, size = bucketed(docs, id_col, text_col, carry)
     bits = max(16, int(4 * size / 6).bit_length())  # some four cells a word
     by = rows.groupBy("bucket")
     sketches = by.applyInArrow(_sketch(width, bits, parts), "slice int, bucket int, cells binary, many binary")
     said = sketches.groupBy("slice").applyInArrow(_merge, "slice int, bucket int, said binary")
     windows = by.cogroup(said.groupBy("bucket")).applyInArrow(_suspects(width, bits, parts), "slice int, bucket int, h0 binary, h1 binary, ids binary")
     late = windows.groupBy("slice").applyInArrow(_decide, "bucket int, h0 binary, h1 binary")
-    return by.cogroup(late.groupBy("bucket")).applyInArrow(_remove(width, digest), OUT)
+    return by.cogroup(late.groupBy("bucket")).applyInArrow(_remove(width, digest, layout), OUT + (f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""))
