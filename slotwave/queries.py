@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_core, queries_demand
+from .plans import queries_compare, queries_core, queries_demand, queries_study
 from .plans.registry import ORACLE_SQL, QUERIES
 
 flagship = queries_core.flagship
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "queries_core", "queries_demand"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "queries_compare", "queries_core", "queries_demand", "queries_study"]
