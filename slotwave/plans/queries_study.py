@@ -185,15 +185,16 @@ def e8_padding(spark, sf_dir):
 
 @query()
 def e4_parameter_grid(spark, sf_dir):
-    """alpha x beta on cached features; the configuration within 1 % of the best NDCG that has the most stable top 10."""
+    """alpha x beta on cached features (methods are named by ten times each); the configuration within 1 % of the best NDCG that has the most stable top 10."""
     feats = V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w")).select("window_id", "item_id", "truth", "mu_l", "r", "w_e")
     pairs = [(a, b) for a in (0.0, 0.5, 1.0, 2.0) for b in (0.0, 0.5, 1.0, 2.0)]
-    wide = feats.select("window_id", "item_id", "truth", *[V.index(a, b).alias(f"{a:g}_{b:g}") for a, b in pairs])
-    summary = R.summarize(R.protocol(R.to_long(wide, [f"{a:g}_{b:g}" for a, b in pairs], ["window_id", "item_id", "truth"]), (10,)), ("ndcg_10", "rsi_10"))
+    names = [f"{10 * a:g}_{10 * b:g}" for a, b in pairs]
+    wide = feats.select("window_id", "item_id", "truth", *[V.index(a, b).alias(n) for n, (a, b) in zip(names, pairs, strict=True)])
+    summary = R.summarize(R.protocol(R.to_long(wide, names, ["window_id", "item_id", "truth"]), (10,)), ("ndcg_10", "rsi_10"))
     return P.rounded(select_config(summary))
 
 
-def select_config(summary, tolerance: float = 0.01, default: str = "1_1"):
+def select_config(summary, tolerance: float = 0.01, default: str = "10_10"):
     """Flags the feasible configurations and the one chosen: most stable, then best, then nearest to the default (4 digits)."""
     from pyspark.sql import Window
 
