@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks
+from .shared import blocks, release
 
 #: Pre-tokens remembered in a worker; beyond that the memory is emptied, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -122,6 +122,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         codec = _codec(name, shared.value, pattern)
         for batch in batches:
             for part in blocks(batch, "text"):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, bucketed, mix64, pack, stored, text_blocks, unpack
+from .shared import Words, bucketed, mix64, pack, release, stored, text_blocks, unpack
 
 TOP = 2
 U = np.uint64
@@ -215,6 +215,7 @@ def _ask(depth: int, parts: int, folds: int, fold: int):
     """Distinct keys of a bucket, packed by part."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         bucket, out = t["bucket"][0].as_py(), []
         for kind, (keys, counts) in _tally(t["text"], _train_rows(t, folds, fold), depth).items():
             part = _part(kind, keys, parts)
@@ -275,6 +276,7 @@ def _answer(depth: int, shared):
 
 def _score(depth: int, n: int, v: int, folds: int, fold: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         table = {}
         for kind in (0, 1):
             rows = [(unpack(k, True), unpack(x)) for k, x, q in zip(answers["keys"].to_pylist(), answers["found"].to_pylist(), answers["kind"].to_pylist(), strict=True) if q == kind]

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import Words, blocks, mix64, per_text, source_key, stored
+from .shared import Words, blocks, mix64, per_text, release, source_key, stored
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -69,6 +70,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lower[65:91] += 32
     lower[48:58] = 48
     for batch in batches:
+        release()
         for part in blocks(batch, "text"):
             w = Words(part["text"])
             inside = ~w.space
@@ -175,7 +177,9 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     verdicts = _verdicts(facts, removed, min_left, min_words, max_repeat)
     rejected = stored(verdicts.where("not kept and doc_id is not null").select("doc_id").distinct(), "quality-rejected")
     gone = stored(lost.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "quality-gone")
-    inner = docs.where(F.col(id_col).isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    inner = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     left = inner.join(rejected, "doc_id", "left_anti").join(gone, "doc_id", "left").select("row", "text", "gone")
-    out = left.mapInArrow(_without_lines, f"row {inner.schema['row'].dataType.simpleString()}, text string")
+    # only documents that lose lines go through Python
+    cut = left.where("gone is not null").mapInArrow(_without_lines, StructType([inner.schema["row"], StructField("text", StringType())]))
+    out = left.where("gone is null").select("row", "text").unionByName(cut)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of bytes other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy block holds at most, unless a single text is longer.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -139,6 +140,15 @@ def per_text(counts_at: np.ndarray, n: int, weights: np.ndarray | None = None) -
     return np.bincount(counts_at, weights=weights, minlength=n).astype(np.int64)
 
 
+def release() -> None:
+    """Gives freed memory of a Python worker back to the system, since workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_labels
-from .shared import blocks, stored
+from .shared import blocks, release, stored
 
 BITS = 64
 #: Reference fingerprints: the same for every run.
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             for part in blocks(batch, "text"):
                 words = [(t or b"").lower().split() for t in part["text"].cast(pa.binary()).to_pylist()]
                 found = [pa.array(np.array([fingerprint(w, width, s) for w in words], np.uint64).view(np.int64)) for s in seeds]

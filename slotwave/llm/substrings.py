@@ -20,12 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import Words, bucketed, mix64, pack, text_blocks, unpack
+from .shared import Words, bucketed, mix64, pack, release, text_blocks, unpack
 
 U = np.uint64
 ROWS = 2
+#: Text of a bucket, whose windows one task holds as arrays (some 25 times as large).
+BUCKET_BYTES = 1 << 23
 OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -76,9 +78,9 @@ def _hashes(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h0, h1, row
 
 
-def _cells(h0: np.ndarray, h1: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Cell of each window in each row of the sketch."""
-    return [mix64(h0 + U(r) * h1) >> U(64 - bits) for r in range(ROWS)]
+def _cells(h0: np.ndarray, h1: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Cell of each window, one row of the sketch after the other."""
+    return (mix64(h0 + U(r) * h1) >> U(64 - bits) for r in range(ROWS))
 
 
 def _slices(cells: np.ndarray, bits: int, parts: int) -> np.ndarray:
@@ -89,6 +91,7 @@ def _slices(cells: np.ndarray, bits: int, parts: int) -> np.ndarray:
 
 def _sketch(width: int, bits: int, parts: int):
     def run(t: pa.Table) -> pa.Table:
+        release()
         h0, h1, _ = _hashes(t, width)
         bucket, out = t["bucket"][0].as_py(), []
         for r, cells in enumerate(_cells(h0, h1, bits)):
@@ -122,6 +125,7 @@ def _suspects(width: int, bits: int, parts: int):
     """First occurrences in a bucket of the windows whose estimate is above one, packed by slice of the hash."""
 
     def run(t: pa.Table, said: pa.Table) -> pa.Table:
+        release()
         t = _sorted_by_id(t)
         h0, h1, row = _hashes(t, width)
         answer = dict(zip(said["slice"].to_pylist(), said["said"].to_pylist(), strict=True))
@@ -133,6 +137,7 @@ def _suspects(width: int, bits: int, parts: int):
             for p in np.flatnonzero(np.diff(cuts)):
                 flags[cuts[p] : cuts[p + 1]] = np.unpackbits(np.frombuffer(answer[r * parts + int(p)], np.uint8), count=cuts[p + 1] - cuts[p])
             doubtful &= flags[at]
+            del u, at, cells
         at = np.flatnonzero(doubtful)
         order, again = _grouped(h0[at], h1[at])
         at = at[order[~again]]  # sorted by h0
@@ -163,6 +168,7 @@ def _decide(t: pa.Table) -> pa.Table:
 
 def _remove(width: int, digest: bool, layout: bool):
     def run(t: pa.Table, late: pa.Table) -> pa.Table:
+        release()
         t = _sorted_by_id(t)
         g0, g1 = (np.concatenate([unpack(x, k == "h0") for x in late[k].to_pylist()] or [np.zeros(0, U)]) for k in ("h0", "h1"))
         h0, h1, _ = _hashes(t, width)
@@ -206,11 +212,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lose none. Rows with equal ids stand in order of their texts, so of fully equal rows one
     keeps its words; null ids come last. An empty table gives no rows.
     """
-    rows, parts, size = bucketed(docs, id_col, text_col, carry)
+    rows, parts, size = bucketed(docs, id_col, text_col, carry, most=BUCKET_BYTES)
     bits = max(16, int(4 * size / 6).bit_length())  # some four cells a word
     by = rows.groupBy("bucket")
     sketches = by.applyInArrow(_sketch(width, bits, parts), "slice int, bucket int, cells binary, many binary")
     said = sketches.groupBy("slice").applyInArrow(_merge, "slice int, bucket int, said binary")
     windows = by.cogroup(said.groupBy("bucket")).applyInArrow(_suspects(width, bits, parts), "slice int, bucket int, h0 binary, h1 binary, ids binary")
     late = windows.groupBy("slice").applyInArrow(_decide, "bucket int, h0 binary, h1 binary")
-    return by.cogroup(late.groupBy("bucket")).applyInArrow(_remove(width, digest, layout), OUT + (f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""))
+    schema = StructType.fromDDL(OUT)
+    if carry:
+        schema = schema.add(rows.schema["rest"])
+    return by.cogroup(late.groupBy("bucket")).applyInArrow(_remove(width, digest, layout), schema)
