@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, bucketed, mix64, pack, release, stored, text_blocks, unpack
+from .shared import Words, bucketed, mix64, pack, stored, text_blocks, tidy, unpack
 
 TOP = 2
 U = np.uint64
@@ -215,7 +215,6 @@ def _ask(depth: int, parts: int, folds: int, fold: int):
     """Distinct keys of a bucket, packed by part."""
 
     def run(t: pa.Table) -> pa.Table:
-        release()
         bucket, out = t["bucket"][0].as_py(), []
         for kind, (keys, counts) in _tally(t["text"], _train_rows(t, folds, fold), depth).items():
             part = _part(kind, keys, parts)
@@ -226,7 +225,7 @@ def _ask(depth: int, parts: int, folds: int, fold: int):
                 out.append((int(p), bucket, kind, pack(keys[mine], True), pack(counts[mine])))
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "bucket", "kind", "keys", "counts"])
 
-    return run
+    return tidy(run)
 
 
 def _train_rows(t: pa.Table, folds: int, fold: int) -> np.ndarray:
@@ -257,7 +256,7 @@ def _tops(depth: int):
         extra = [int(tokens.sum()), int((tokens > 0).sum()), 0.0]
         return pa.table([pa.array(np.append(nodes.astype(np.int64), -1)), *(pa.array(np.append(s, e).astype(k)) for s, e, k in zip(sums, extra, (np.int64, np.int64, np.float64), strict=True))], names=["node", "n0", "n1", "below"])
 
-    return run
+    return tidy(run)
 
 
 def _answer(depth: int, shared):
@@ -271,12 +270,11 @@ def _answer(depth: int, shared):
         out = [pack(values[k][np.searchsorted(got[k][0], unpack(x, True))]) for k, x in zip(kinds, keys, strict=True)]
         return pa.table([t["bucket"], t["kind"], t["keys"], pa.array(out, pa.binary())], names=["bucket", "kind", "keys", "found"])
 
-    return run
+    return tidy(run)
 
 
 def _score(depth: int, n: int, v: int, folds: int, fold: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
-        release()
         table = {}
         for kind in (0, 1):
             rows = [(unpack(k, True), unpack(x)) for k, x, q in zip(answers["keys"].to_pylist(), answers["found"].to_pylist(), answers["kind"].to_pylist(), strict=True) if q == kind]
@@ -298,7 +296,7 @@ def _score(depth: int, n: int, v: int, folds: int, fold: int):
         whole = lambda x: pa.array(x.astype(np.int64))
         return pa.table([t["doc_id"], pa.array(held), whole(facts[0]), whole(facts[1]), whole(np.full(len(t), n)), pa.array(facts[2]), pa.array(facts[3])], names=[x.split()[0] for x in _SCORES.split(", ")])
 
-    return run
+    return tidy(run, 2)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, folds: int = 5, fold: int = 1) -> DataFrame:

@@ -163,6 +163,7 @@ def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 texts[i] = "\n".join(x for k, x in enumerate(lines) if k not in bad)
             columns = [pa.array(texts, pa.string()) if name == "text" else part[name] for name in part.schema.names if name != "gone"]
             yield pa.RecordBatch.from_arrays(columns, names=[n for n in part.schema.names if n != "gone"])
+        release()
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 50, min_left: float = 0.3, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
@@ -175,11 +176,11 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     lost = stored(lost, "quality-lines")
     removed = lost.groupBy("doc_id").agg(F.sum("words").alias("n_line_words_removed"))
     verdicts = _verdicts(facts, removed, min_left, min_words, max_repeat)
-    rejected = stored(verdicts.where("not kept and doc_id is not null").select("doc_id").distinct(), "quality-rejected")
-    gone = stored(lost.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "quality-gone")
+    rejected = verdicts.where("not kept and doc_id is not null").select("doc_id", F.lit(True).alias("rejected")).distinct()
+    gone = lost.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    marks = stored(rejected.join(gone, "doc_id", "full_outer"), "quality-marks")
     inner = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    left = inner.join(rejected, "doc_id", "left_anti").join(gone, "doc_id", "left").select("row", "text", "gone")
-    # only documents that lose lines go through Python
-    cut = left.where("gone is not null").mapInArrow(_without_lines, StructType([inner.schema["row"], StructField("text", StringType())]))
-    out = left.where("gone is null").select("row", "text").unionByName(cut)
+    # one exchange of the texts at every size of the corpus
+    left = inner.join(marks.hint("merge"), "doc_id", "left").where("rejected is null").select("row", "text", "gone")
+    out = left.mapInArrow(_without_lines, StructType([inner.schema["row"], StructField("text", StringType())]))
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])

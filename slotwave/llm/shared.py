@@ -149,6 +149,24 @@ def release() -> None:
         pass
 
 
+def tidy(f, sides: int = 1):
+    """A group function that gives its memory back when it ends."""
+
+    def one(t):
+        try:
+            return f(t)
+        finally:
+            release()
+
+    def two(t, other):
+        try:
+            return f(t, other)
+        finally:
+            release()
+
+    return one if sides == 1 else two
+
+
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 

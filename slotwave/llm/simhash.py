@@ -54,11 +54,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            release()
             for part in blocks(batch, "text"):
                 words = [(t or b"").lower().split() for t in part["text"].cast(pa.binary()).to_pylist()]
                 found = [pa.array(np.array([fingerprint(w, width, s) for w in words], np.uint64).view(np.int64)) for s in seeds]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *found], names=["doc_id", *names])
+            release()
 
     names = [f"fp{i}" for i in range(len(seeds))]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))

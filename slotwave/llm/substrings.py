@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .shared import Words, bucketed, mix64, pack, release, text_blocks, unpack
+from .shared import Words, bucketed, mix64, pack, text_blocks, tidy, unpack
 
 U = np.uint64
 ROWS = 2
@@ -91,7 +91,6 @@ def _slices(cells: np.ndarray, bits: int, parts: int) -> np.ndarray:
 
 def _sketch(width: int, bits: int, parts: int):
     def run(t: pa.Table) -> pa.Table:
-        release()
         h0, h1, _ = _hashes(t, width)
         bucket, out = t["bucket"][0].as_py(), []
         for r, cells in enumerate(_cells(h0, h1, bits)):
@@ -102,7 +101,7 @@ def _sketch(width: int, bits: int, parts: int):
                 out.append((r * parts + int(p), bucket, pack(cells[mine], True), np.packbits(n[mine] > 1).tobytes()))
         return _table(out, ("slice", "bucket", "cells", "many"))
 
-    return run
+    return tidy(run)
 
 
 def _table(rows: list[tuple], names: tuple[str, ...]) -> pa.Table:
@@ -125,7 +124,6 @@ def _suspects(width: int, bits: int, parts: int):
     """First occurrences in a bucket of the windows whose estimate is above one, packed by slice of the hash."""
 
     def run(t: pa.Table, said: pa.Table) -> pa.Table:
-        release()
         t = _sorted_by_id(t)
         h0, h1, row = _hashes(t, width)
         answer = dict(zip(said["slice"].to_pylist(), said["said"].to_pylist(), strict=True))
@@ -150,7 +148,7 @@ def _suspects(width: int, bits: int, parts: int):
             out.append((int(p), bucket, pack(h0[mine], True), pack(h1[mine]), pack(ids[row[mine]].view(U) ^ U(1 << 63))))
         return _table(out, ("slice", "bucket", "h0", "h1", "ids"))
 
-    return run
+    return tidy(run, 2)
 
 
 def _decide(t: pa.Table) -> pa.Table:
@@ -168,7 +166,6 @@ def _decide(t: pa.Table) -> pa.Table:
 
 def _remove(width: int, digest: bool, layout: bool):
     def run(t: pa.Table, late: pa.Table) -> pa.Table:
-        release()
         t = _sorted_by_id(t)
         g0, g1 = (np.concatenate([unpack(x, k == "h0") for x in late[k].to_pylist()] or [np.zeros(0, U)]) for k in ("h0", "h1"))
         h0, h1, _ = _hashes(t, width)
@@ -199,7 +196,7 @@ def _remove(width: int, digest: bool, layout: bool):
             columns["rest"] = t["rest"]
         return pa.table(columns)
 
-    return run
+    return tidy(run, 2)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, digest: bool = False, carry: bool = False, layout: bool = False) -> DataFrame:
