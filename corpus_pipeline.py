@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id. Shingles of five words, similarity 0.8.
 
-    Similarity is judged on two independent fingerprints, 128 bits in all. Rows with equal ids
-    stay or go together; rows without an id stay.
+    Each link is verified by the exact Jaccard similarity of the two texts' sets of shingles.
+    Rows with equal ids stay or go together; rows without an id stay.
     """
     found = simhash.near_duplicates(docs, width=5, seeds=(42, 43), similarity=0.8)
     gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")

@@ -10,13 +10,17 @@ therefore those that agree on some set of bit blocks: with m blocks and at most
 bits, m - k blocks agree, so grouping by every choice of m - k blocks loses no pair. m is
 chosen from the number of classes such that groups stay small. Groups above `group_rows` are
 cut into parts, and each pair of parts is a group of its own.
+
+With a similarity in place of a bit limit, fingerprints decide nothing: bands of min-hashes name
+the candidates, the pivot tables with a loose bit limit discard strangers, and each pair left is
+verified by the exact Jaccard similarity of the two shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
-from math import acos, ceil, comb, floor, pi
+from math import acos, ceil, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_labels
-from .shared import blocks, release, stored
+from .shared import Words, blocks, mix64, release, stored
 
 BITS = 64
+#: Min-hash bands and values in each: a pair of Jaccard similarity 0.8 shares no band once in 2,800.
+BANDS, ROWS = 20, 5
+#: Standard deviations that the bit limit of candidates lies above the expected distance.
+LOOSE = 4.5
 #: Reference fingerprints: the same for every run.
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 42) for i in range(24)], np.uint64)
 
@@ -64,6 +72,66 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
+_VALUES = np.random.default_rng(20240611).integers(0, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct shingles of each text, by text; a text of fewer words is one shingle."""
+    words = Words(texts, lower=True)
+    hashes = words.hashes()
+    at, found = words.windows(width, hashes=hashes)
+    short = np.flatnonzero((words.counts > 0) & (words.counts < width))
+    whole = [xxhash.xxh64_intdigest(hashes[words.first[i] : words.first[i] + words.counts[i]].tobytes(), 42) for i in short]
+    text = np.concatenate([words.text[at], short])
+    found = np.concatenate([found, np.array(whole, np.uint64)])
+    order = np.lexsort((found, text))
+    text, found = text[order], found[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (found[1:] != found[:-1])
+    return text[new], found[new]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, n_fps: int) -> DataFrame:
+    """doc_id, a 128-bit name of the shingle set (set0, set1), its size, fingerprints of the set and its min-hash bands."""
+
+    def sketch(part: pa.RecordBatch) -> pa.RecordBatch:
+        n = part.num_rows
+        text, found = shingle_hashes(part["text"], width)
+        size = np.bincount(text, minlength=n)
+        full = np.flatnonzero(size)
+        starts = np.concatenate([[0], np.cumsum(size[full])[:-1]]).astype(np.int64)
+
+        def of_texts(ufunc, x: np.ndarray, dtype=None) -> np.ndarray:
+            out = np.zeros((n, *x.shape[1:]), dtype or x.dtype)
+            if len(full):
+                out[full] = ufunc.reduceat(x, starts, axis=0, dtype=dtype)
+            return out
+
+        sets = [of_texts(np.add, mix64(found ^ np.uint64(c))) for c in _VALUES[0, :2]]
+        fps = []
+        for c in _VALUES[0, 2 : 2 + n_fps]:
+            bits = np.unpackbits(mix64(found ^ c).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = of_texts(np.add, bits, np.int64)
+            fps.append(np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
+        bands = np.zeros((n, BANDS), np.uint64)
+        for i in range(BANDS * ROWS):
+            least = of_texts(np.minimum, (found ^ _VALUES[1, i]) * _VALUES[2, i])
+            bands[:, i // ROWS] = mix64(bands[:, i // ROWS] + least + np.uint64(i))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+        longs = [pa.array(x.view(np.int64)) for x in (*sets, *fps)]
+        return pa.RecordBatch.from_arrays([part["doc_id"], *longs, pa.array(size.astype(np.int64)), lists], names=["doc_id", *names, "size", "bands"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                yield sketch(part)
+            release()
+
+    names = ["set0", "set1", *[f"fp{i}" for i in range(n_fps)]]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", size long, bands array<long>")
+
+
 def choose_blocks(n: int, k: int) -> int:
     """Number of bit blocks for n fingerprints: the fewest keys whose groups hold few strangers."""
     def cost(m: int) -> float:
@@ -79,13 +147,19 @@ def block_masks(m: int, k: int) -> list[int]:
     return [sum(one[i] for i in chosen) for chosen in combinations(range(m), m - k)]
 
 
-def _linker(k: int, n_check: int, most: int):
-    """Links inside groups of rows (group, side, rep, fp0, ...) that arrive sorted by group."""
+def _linker(k: int, n_check: int, most: int, similarity: float | None = None, every: bool = False):
+    """Links inside groups of rows (group, side, rep, fp0, ...) that arrive sorted by group.
+
+    With a similarity, pairs (group, a, b) to be verified: those that would span the group if all
+    were links, or `every` pair of two components. Sizes of sets bound the similarity of a pair.
+    """
 
     def close(t: pa.Table) -> pa.RecordBatch:
         group, side, rep = (t[c].to_numpy() for c in ("grp", "side", "rep"))
         fps = [t[f"fp{i}"].to_numpy().view(np.uint64) for i in range(n_check)]
         n = len(group)
+        size, tied = (None, None) if similarity is None else (t["size"].to_numpy(), t["component"].to_numpy())
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
         table = np.bitwise_count(fps[0][:, None] ^ PIVOTS[None, :]).astype(np.int8)
         new = np.ones(n, bool)
         new[1:] = group[1:] != group[:-1]
@@ -98,6 +172,9 @@ def _linker(k: int, n_check: int, most: int):
             a, b = left, left + step
             ok = (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] < 0))
             a, b = a[ok], b[ok]
+            if similarity is not None:
+                ok = (tied[a] != tied[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
+                a, b = a[ok], b[ok]
             for p in range(table.shape[1]):  # largest coordinate difference
                 if not len(a):
                     break
@@ -107,8 +184,14 @@ def _linker(k: int, n_check: int, most: int):
                 ok = np.bitwise_count(fps[0][a] ^ fps[0][b]) <= k
                 if n_check > 1:
                     ok &= sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in fps) <= most
-                label = join_labels(n, a[ok], b[ok], label)
+                if similarity is not None:
+                    pairs.append((a[ok], b[ok]))
+                if not every:
+                    label = join_labels(n, a[ok], b[ok], label)
             step += 1
+        if similarity is not None:
+            a, b = (np.concatenate([np.zeros(0, int), *[p[i] for p in pairs]]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (group[a], np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]))], names=["grp", "a", "b"])
         far = label != np.arange(n)
         return pa.RecordBatch.from_arrays([pa.array(rep[far]), pa.array(rep[label[far]])], names=["a", "b"])
 
@@ -141,46 +224,110 @@ def links(classes: DataFrame, k: int, group_rows: int = 4096, most: int | None =
     fps = [c for c in classes.columns if c.startswith("fp")]
     n = classes.count()
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp0").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m))) for i, m in enumerate(block_masks(choose_blocks(n, k), k))])
-    keyed = classes.select("rep", *fps, F.explode(keys).alias("key"))
+    grouped = _grouped(classes.select("rep", *fps, F.explode(keys).alias("key")), group_rows)
+    return grouped.repartition("grp").sortWithinPartitions("grp").mapInArrow(_linker(k, len(fps), k * len(fps) if most is None else most), "a long, b long")
+
+
+def _grouped(keyed: DataFrame, group_rows: int) -> DataFrame:
+    """Rows (key, rep, ...) of keys that occur again, as (grp, side, rep, ...)."""
+    rest = [c for c in keyed.columns if c != "key"]
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = stored(sizes.withColumn("parts", F.ceil(F.col("n") / group_rows).cast("int")).select("key", "parts"), "simhash-keys")
     keyed = keyed.join(parts, "key")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     # parts = 1: one group, no sides; otherwise a group for each pair of parts that holds this one
-    alone = keyed.where("parts = 1").select(F.col("key").alias("grp"), F.lit(-1).alias("side"), "rep", *fps)
-    cut = keyed.where("parts > 1").withColumn("own", own).select("key", "own", "rep", *fps, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cut = cut.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "rep", *fps)
+    alone = keyed.where("parts = 1").select(F.col("key").alias("grp"), F.lit(-1).alias("side"), *rest)
+    cut = keyed.where("parts > 1").withColumn("own", own).select("key", "own", *rest, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cut = cut.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), *rest)
     # rows of a part meet each other in the group (own, own), rows of two parts in theirs
-    return alone.unionByName(cut).repartition("grp").sortWithinPartitions("grp").mapInArrow(_linker(k, len(fps), k * len(fps) if most is None else most), "a long, b long")
+    return alone.unionByName(cut)
+
+
+def _jaccard(width: int, similarity: float):
+    """Whether two texts (a, b, x, y) have the similarity, by their sets of shingles."""
+
+    def shingles(text: bytes | None) -> set:
+        words = (text or b"").lower().split()
+        return set(zip(*[words[i:] for i in range(width)], strict=False)) if len(words) >= width else {tuple(words)} if words else set()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(*[batch[c].cast(pa.binary()).to_pylist() for c in ("x", "y")], strict=True):
+                x, y = shingles(x), shingles(y)
+                both = len(x & y)
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            release()
+
+    return run
+
+
+def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(a, b, ok) of distinct pairs of ids. Of rows with equal ids, any may make the link."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+    texts = stored(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h"), "simhash-texts")
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return stored(both.mapInArrow(_jaccard(width, similarity), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok")), "simhash-verified")
+
+
+def similar(docs: DataFrame, known: DataFrame, ties: DataFrame, id_col: str, text_col: str, width: int, similarity: float, group_rows: int = 4096) -> DataFrame:
+    """Links a-b between classes (rep, fp0, ..., size, bands) of at least this Jaccard similarity.
+
+    First the pairs that would span each group are verified. A pair that was passed over since
+    its ends seemed tied by others is verified in a second round, if one of those failed.
+    """
+    fps = [c for c in known.columns if c.startswith("fp")]
+    differ = acos(2 * similarity / (1 + similarity)) / pi
+    k, most = (ceil(n * differ + LOOSE * sqrt(n * differ * (1 - differ))) for n in (BITS, BITS * len(fps)))
+    keyed = known.where("size > 0").select("rep", *fps, "size", F.posexplode("bands").alias("band", "hash")).withColumn("key", F.xxhash64("band", "hash")).drop("band", "hash")
+    grouped = stored(_grouped(keyed, group_rows), "simhash-groups")
+
+    def candidates(rows: DataFrame, every: bool) -> DataFrame:
+        link = _linker(k, len(fps), most, similarity, every)
+        return stored(rows.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(link, "grp long, a long, b long"), "simhash-pairs")
+
+    first = candidates(grouped.withColumn("component", F.col("rep")), False)
+    tested = verified(docs, first.select("a", "b").distinct(), id_col, text_col, width, similarity)
+    failed = tested.where("not ok")
+    if not failed.take(1):
+        return tested.select("a", "b")
+    links = tested.where("ok").select("a", "b")
+    again = first.join(failed, ["a", "b"], "left_semi").select("grp").distinct()
+    parts = stored(connected_components(links.unionByName(ties)), "simhash-components")
+    rows = grouped.join(again, "grp", "left_semi").join(parts, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    rest = candidates(rows, True).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    return links.unionByName(verified(docs, rest, id_col, text_col, width, similarity).where("ok").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, seeds: tuple[int, ...] = (42,), similarity: float | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
-    Links need max_bits or fewer differing bits. With `similarity` instead, they need that
-    Jaccard similarity of shingles as the fingerprints estimate it: the angle between two sets
-    of similarity s has cosine 2s / (1 + s), and each bit differs with probability angle / pi.
+    Links need max_bits or fewer differing bits. With `similarity` instead, they need that exact
+    Jaccard similarity of the sets of shingles, and the fingerprint is that of the set.
+    Fingerprints only discard candidates: the angle between two sets of similarity s has cosine
+    2s / (1 + s) at least, and each bit differs with probability angle / pi.
 
     component_id is the smallest doc_id reachable over links, the document included. Null and
     empty texts have fingerprint zero and link like any other. Rows with equal ids count as one
     document; rows with a null id belong to the component of their fingerprint and never name
     one (a component without any id is null). An empty table gives no rows.
     """
-    found = stored(fingerprints(docs, id_col, text_col, width, seeds), "simhash-fp")
-    fps = [c for c in found.columns if c != "doc_id"]
-    classes = stored(found.groupBy(*fps).agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    exact = similarity is not None
+    found = stored(sketches(docs, id_col, text_col, width, len(seeds)) if exact else fingerprints(docs, id_col, text_col, width, seeds), "simhash-fp")
+    fps = ["set0", "set1"] if exact else [c for c in found.columns if c != "doc_id"]
+    kept = [F.first(c).alias(c) for c in found.columns if exact and c not in ("doc_id", *fps)]
+    classes = stored(found.groupBy(*fps).agg(F.min("doc_id").alias("rep"), *kept), "simhash-classes")
     known = classes.where("rep is not null")
-    most = None
-    if similarity is not None:
-        differ = acos(2 * similarity / (1 + similarity)) / pi
-        max_bits, most = ceil(BITS * differ), floor(BITS * differ * len(seeds))
-    edges = links(known, max_bits, most=most).unionByName(found.select(F.col("doc_id").alias("a"), *fps).join(known.withColumnRenamed("rep", "b"), fps).where("a <> b").select("a", "b").join(_repeated_ids(found), F.col("a") == F.col("doc_id"), "left_semi"))
+    ties = found.select(F.col("doc_id").alias("a"), *fps).join(known.select(F.col("rep").alias("b"), *fps), fps).where("a <> b").select("a", "b").join(_repeated_ids(found, fps[0]), F.col("a") == F.col("doc_id"), "left_semi")
+    edges = (similar(docs, known, ties, id_col, text_col, width, similarity) if exact else links(known, max_bits)).unionByName(ties)
     parts = stored(connected_components(edges), "simhash-components")
     labels = classes.join(parts, classes["rep"] == parts["node"], "left").select(*fps, F.coalesce("component", "rep").alias("component_id"))
     labels = stored(labels, "simhash-labels")
     return found.join(labels, fps).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _repeated_ids(found: DataFrame) -> DataFrame:
+def _repeated_ids(found: DataFrame, name: str) -> DataFrame:
     """Ids that stand on rows with different fingerprints: these tie their classes together."""
-    return found.groupBy("doc_id").agg(F.min("fp0").alias("x"), F.max("fp0").alias("y")).where("x <> y and doc_id is not null").select("doc_id")
+    return found.groupBy("doc_id").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y and doc_id is not null").select("doc_id")

@@ -109,6 +109,26 @@ def test_simhash_similarity(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_simhash_exact_similarity(spark):
+    """Pairs of Jaccard similarity 0.7 to 0.95 and a chain, against brute force."""
+    rng = random.Random(6)
+    texts = []
+    for edits in (1, 2, 3, 4, 5, 6) * 12:
+        base = [f"w{rng.randrange(10**7)}" for _ in range(200)]
+        near = base.copy()
+        for i in range(edits):
+            near[10 + 30 * i] = "Changed%d" % i
+        texts += [base, near]
+    for i in range(12):  # each three words further from the first
+        texts.append([*(f"x{j}" for j in range(3 * i)), *(f"y{j}" for j in range(3 * i, 150))])
+    texts += [["one", "two"], ["ONE", "two"], ["one", "three"], [], []]
+    sets = [set(zip(*[[w.lower() for w in t][i:] for i in range(5)], strict=False)) if len(t) > 4 else {tuple(w.lower() for w in t)} for t in texts]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = simhash.near_duplicates(df, width=5, seeds=(42, 43), similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == union_find(alike)
+
+
 def test_ctw_counts_and_base(spark):
     docs = corpus(spark)
     rows, counts, total = docs.collect(), collections.Counter(), 0
