@@ -97,7 +97,7 @@ def step_counts(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
 
 def threshold_interval(demand: DataFrame, n: int) -> DataFrame:
     """One row: the totals between which a threshold keeps exactly n items (least, most inclusive)."""
-    totals = demand.groupBy("item_id").agg(F.sum("count").alias("total"))
+    totals = demand.groupBy("item_id").agg(F.sum("count").alias("total")).orderBy(F.desc("total")).limit(n + 1)
     w = Window.orderBy(F.desc("total"))
     rows = totals.withColumn("nth", F.row_number().over(w)).withColumn("next", F.lead("total").over(w))
     return rows.where(F.col("nth") == n).select((F.coalesce("next", F.lit(-1)) + 1).alias("least"), F.col("total").alias("most"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 #: Slot lengths by name, in seconds; weeks start on Monday.
 SLOTS = {"5min": 300, "15min": 900, "30min": 1800, "1h": 3600, "6h": 21600, "1D": 86400, "1W": 604800}
 #: The Unix epoch was a Thursday; its Monday lies three days before.
@@ -114,10 +116,8 @@ def year_profile(demand: DataFrame) -> DataFrame:
 
 def systematic_sample(items: DataFrame, n_days: int, max_cells: int, order: str = "item_id") -> DataFrame:
     """Every k-th item in order, with the smallest k such that the kept items fill at most max_cells item-days."""
-    total = items.agg(F.count("*").alias("n"))
-    k = F.ceil(F.col("n") / F.lit(max(1, max_cells // n_days))).cast("int")
-    numbered = items.withColumn("nth", F.row_number().over(Window.orderBy(order)) - 1).crossJoin(F.broadcast(total)).withColumn("k", k)
-    return numbered.where(F.col("nth") % F.col("k") == 0).drop("n", "nth")
+    k = F.ceil(F.col("n_all") / F.lit(max(1, max_cells // n_days))).cast("int")
+    return numbered(items, order).withColumn("k", k).where(F.col("nth") % F.col("k") == 0).drop("n_all", "nth")
 
 
 def value_violations(df: DataFrame, value: str) -> DataFrame:

@@ -17,6 +17,22 @@ def rank_key(score: str = "score") -> Column:
     return F.when(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf")), F.lit(float("-inf"))).otherwise(s)
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with nth, the place in ascending order from 0 (ties at random), and n_all, the number of rows.
+
+    Rows are dealt into ranges of the order; only the counts of the ranges meet in one task.
+    """
+    from ..llm.shared import stored
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # stored, since a second run could draw other bounds
+    dealt = stored(rows.withColumn("_tie", F.rand(42)).repartitionByRange(parts, order, "_tie").withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.partitionBy().orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("n_all"))
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order, "_tie")) - 1)
+    return inside.join(F.broadcast(before), "_part").withColumn("nth", F.col("_before") + F.col("_in")).drop("_part", "_tie", "_in", "_before")
+
+
 def to_long(wide: DataFrame, methods: list[str], keep: list[str]) -> DataFrame:
     """One column per method -> rows (keep..., method, score)."""
     return wide.select(*keep, *methods).unpivot(keep, methods, "method", "score")

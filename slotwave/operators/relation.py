@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import average_rank
+from .ranking import average_rank, numbered
 
 
 def within_window(rows: DataFrame, names: list[str], target: str, control: str | None = None) -> DataFrame:
@@ -36,7 +36,10 @@ def quantiles(rows: DataFrame, names: list[str], at: tuple[float, ...] = (0.05,
 
 def eta_squared(rows: DataFrame, feature: str, target: str, bins: int = 50) -> DataFrame:
     """Share of the target's variance between equal-count bins of the feature."""
-    binned = rows.select(F.col(target).alias("t"), F.ntile(bins).over(Window.partitionBy().orderBy(feature)).alias("bin"))
+    # as ntile: the first `over` bins hold one row more
+    nth, least, over = F.col("nth"), F.floor(F.col("n_all") / bins), F.col("n_all") % bins
+    place = F.when(nth < over * (least + 1), F.floor(nth / (least + 1))).otherwise(over + F.floor((nth - over * (least + 1)) / F.greatest(least, F.lit(1))))
+    binned = numbered(rows.select(F.col(target).alias("t"), F.col(feature).alias("f")), "f").select("t", place.alias("bin"))
     per = binned.groupBy("bin").agg(F.count("*").alias("n"), F.sum("t").alias("s"), F.sum(F.col("t") * F.col("t")).alias("ss"))
     n, s, ss = F.sum("n"), F.sum("s"), F.sum("ss")
     return per.agg(((F.sum(F.col("s") * F.col("s") / F.col("n")) - s * s / n) / F.nullif(ss - s * s / n, F.lit(0.0))).alias("eta_squared"))

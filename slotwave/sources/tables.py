@@ -67,9 +67,9 @@ def parse_series_lines(lines: DataFrame, first_day: str, n_days: int) -> DataFra
 
 def page_dictionary(pages: DataFrame, order: str = "page") -> DataFrame:
     """item_id (place in order, from 0) and page."""
-    from pyspark.sql import Window
+    from ..operators.ranking import numbered
 
-    return pages.select("page").distinct().select((F.row_number().over(Window.orderBy(order)) - 1).cast("string").alias("item_id"), "page")
+    return numbered(pages.select("page").distinct(), order).select(F.col("nth").cast("string").alias("item_id"), "page")
 
 
 def read_many(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFrame:
