@@ -53,6 +53,15 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation of two columns over the rows that hold both; null where either does not vary.
+
+    Made of moments: the built-in aggregate divides by zero there before any guard around it.
+    """
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def ndcg(k: int) -> Column:
     at = lambda rank: F.sum(F.when(F.col(rank) <= k, (F.pow(F.lit(2.0), F.log10(1 + F.col("truth"))) - 1) / F.log2(F.lit(1.0) + F.col(rank))))
     return F.coalesce(at("rank") / F.nullif(at("truth_rank"), F.lit(0.0)), F.lit(0.0))
@@ -75,7 +84,7 @@ def window_metrics(ranked: DataFrame, ks: tuple[int, ...] = KS, by: list[str] =
         *[coverage(k).alias(f"coverage_{k}") for k in ks],
         *[F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.col("item_id")))).alias(f"top_{k}") for k in ks],
         F.avg(F.abs(F.col("score") - F.col("truth"))).alias("mae"),
-        F.when(~flat, F.corr("r_score", "r_truth")).alias("spearman_rho"),
+        F.when(~flat, pearson("r_score", "r_truth")).alias("spearman_rho"),
         F.coalesce(F.bool_or(F.col("tied") & (F.col("rank") <= 21)), F.lit(False)).alias("ties_top21"),
         F.sum((F.col("key") == float("-inf")).cast("int")).alias("n_nonfinite"),
     )

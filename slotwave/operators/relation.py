@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import average_rank, numbered
+from .ranking import average_rank, numbered, pearson
 
 
 def within_window(rows: DataFrame, names: list[str], target: str, control: str | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def within_window(rows: DataFrame, names: list[str], target: str, control: str |
 
     def corr(a: str, b: str) -> Column:
         flat = (F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12)
-        return F.when(~few & ~flat, F.corr(a, b))
+        return F.when(~few & ~flat, pearson(a, b))
 
     columns = [F.count("*").alias("n")]
     for c in names:
@@ -62,5 +62,5 @@ def mutual_information(rows: DataFrame, a: str, b: str, cells: int = 20) -> Data
 
 def collinearity(rows: DataFrame, names: tuple[str, str]) -> DataFrame:
     """Correlation of two features and the variance inflation 1 / (1 - r^2) that it means."""
-    r = F.corr(*names)
+    r = pearson(*names)
     return rows.agg(r.alias("r"), (1 / F.nullif(1 - r * r, F.lit(0.0))).alias("vif"), F.avg((F.col(names[0]) > 0.5).cast("double")).alias("share_above_half"))

@@ -26,9 +26,9 @@ def _scored(spark, sf_dir, *names: str, horizon: int = 1):
     return P.weekly(spark, sf_dir).scored(_PICK(*names), horizon).withColumn("score", F.round("score", 9))
 
 
-def _frames(spark, sf_dir, window: int = 64, min_obs: int = 32):
+def _frames(spark, sf_dir, window: int = 64, min_obs: int = 32, horizon: int = 1):
     study = P.weekly(spark, sf_dir)
-    rows = study.windows({"w": window}).where(G.eligible("w", min_obs, P.MIN_TOTAL)).select("window_id", "item_id", "truth", "observed_w", "x_w")
+    rows = study.windows({"w": window}, horizon).where(G.eligible("w", min_obs, P.MIN_TOTAL)).select("window_id", "item_id", "truth", "observed_w", "x_w")
     return study, G.valid_windows(rows, study.dense, ["window_id"])
 
 
@@ -208,7 +208,7 @@ def select_config(summary, tolerance: float = 0.01, default: str = "10_10"):
 
 @query()
 def f10_forecast_indices(spark, sf_dir):
-    feats = V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w"))
+    feats = V.wavelet_features(_frames(spark, sf_dir, horizon=8)[1].drop("observed_w"))
     fore = V.coefficient_forecasts(feats, horizon=8)
     wide = fore.select("window_id", "item_id", "truth", *P.named(V.forecast_scores()), V.index().alias("WSPI"))
     return P.rounded(R.summarize(R.protocol(R.to_long(wide, [*V.forecast_scores(), "WSPI"], ["window_id", "item_id", "truth"]))))

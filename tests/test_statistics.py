@@ -4,9 +4,12 @@ import itertools
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from slotwave.operators import decisions as D
+from slotwave.operators import events as E
 from slotwave.operators import ranking as R
+from slotwave.operators import relation as L
 from slotwave.operators import statistics as T
 
 
@@ -60,6 +63,19 @@ def test_stable_rank_with_ties_and_nan(spark):
     assert [int(r.item_id) for r in got] == [1, 2, 4, 0, 3, 5]
 
 
+def test_correlation_of_what_does_not_vary(spark):
+    """All scores tied, all scores non-finite, all truths tied: no correlation, and no error."""
+    rows = [(w, "m", str(i), s(i), t(i)) for w, s, t in ((1, lambda i: 2.0, float), (2, lambda i: float("nan"), float), (3, float, lambda i: 1.0), (4, float, float), (5, lambda i: -float(i), float)) for i in range(12)]
+    scores = spark.createDataFrame(rows, "window_id int, method string, item_id string, score double, truth double")
+    got = {r.window_id: r.spearman_rho for r in R.protocol(scores).collect()}
+    assert got[1] is None and got[2] is None and got[3] is None and math.isclose(got[4], 1.0) and math.isclose(got[5], -1.0)
+    feats = L.within_window(scores.withColumn("z", F.lit(0.5)), ["score", "z"], "truth", "z").orderBy("window_id").collect()
+    assert [r.spearman_z for r in feats] == [None] * 5 and feats[0].spearman_score is None and math.isclose(feats[3].pearson_score, 1.0)
+    flat = spark.createDataFrame([(k, "m", 0.5) for k in range(5)], "window_id int, method string, rsi_10 double")
+    seen = spark.createDataFrame([(k, 0.5, k / 10) for k in range(5)], "window_id int, truth_rsi double, seen_rsi double")
+    assert E.stability(flat, seen).first()["corr"] is None
+
+
 def test_planted_difference(spark):
     rng = np.random.default_rng(5)
     rows = []
