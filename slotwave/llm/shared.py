@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see; a temporary one where none is configured."""
+    """Folder that the driver and all executors see (spark.checkpoint.dir); a temporary one only where all run on this machine."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("slotwave.tmp.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="slotwave-")
         spark.conf.set("slotwave.tmp.dir", path)
     return path.rstrip("/")
@@ -44,28 +47,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RNG = np.random.default_rng(20240607)
-#: One random 64-bit value a byte, for each of two independent hashes.
-_BYTE_VALUES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = (0x9E3779B97F4A7C13, 0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept for later calls."""
-    got = _POWERS.get(which)
-    if got is None or len(got[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        base = _BASES[which]
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        got = _POWERS[which] = (out[0], out[1])
-    return got
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -73,6 +54,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_JOIN = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
+#: Low bytes of eight that belong to a word of so many bytes.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_CHUNKED = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range: its length, then eight bytes after the other, each mixed in."""
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    h = mix64((sizes.astype(np.uint64) + np.uint64(1)) * np.uint64(_SEEDS[which]))
+    h = mix64(h ^ (eight[starts] & _MASKS[np.minimum(sizes, 8)]))
+    left = np.flatnonzero((sizes > 8) & (sizes <= _CHUNKED))
+    for at in range(8, _CHUNKED, 8):
+        if not len(left):
+            break
+        h[left] = mix64(h[left] * np.uint64(_JOIN[which]) + (eight[starts[left] + at] & _MASKS[np.minimum(sizes[left] - at, 8)]))
+        left = left[sizes[left] > at + 8]
+    for i in np.flatnonzero(sizes > _CHUNKED):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), _SEEDS[which])
+    return h
+
+
 class Words:
     """Words of a block of texts as flat arrays: byte ranges, text index, hashes."""
 
@@ -102,25 +109,29 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         """A 64-bit hash of each word."""
-        return self.range_hash(self.starts, self.ends, which)
-
-    def range_hash(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-        up, down = _powers(which, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[which][self.data] * up[: len(self.data)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return word_hashes(self.data, self.starts, self.ends, which)
 
     def windows(self, width: int, which: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first word, hash) of each run of `width` words inside one text."""
-        h = self.hashes(which) if hashes is None else hashes
-        n = len(h) - width + 1
+        """(index of the first word, hash) of each run of `width` words inside one text.
+
+        Hashes of 2, 4, 8, ... words are made of two halves each, and a run of the powers in its width.
+        """
+        run = self.hashes(which) if hashes is None else hashes
+        n = len(run) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        up, down = _powers(which, len(h) + 1)
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * up[: len(h)], out=sums[1:])
+        join = lambda a, b: mix64(a * np.uint64(_JOIN[which]) + b)
+        found, done, size = None, 0, 1
+        while True:
+            if width & size:
+                found = run if found is None else join(found[: len(run) - done], run[done:])
+                done += size
+            if done == width:
+                break
+            run = join(run[:-size], run[size:])
+            size *= 2
         at = np.flatnonzero(self.text[:n] == self.text[width - 1 :])
-        return at, mix64((sums[at + width] - sums[at]) * down[at])
+        return at, found[at]
 
 
 def blocks(batch: pa.RecordBatch, text: str, most: int = BLOCK_BYTES):
@@ -194,13 +205,15 @@ def unpack(data: bytes, rising: bool = False) -> np.ndarray:
 def bucketed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, least: int = 1 << 22, most: int = 1 << 24) -> tuple[DataFrame, int, int]:
     """(doc_id, text, bucket), the number of buckets, and the bytes of all texts.
 
-    With carry, the other columns of the input stand in a struct, rest. A bucket holds about `least` to `most` bytes of text; equal ids share a bucket.
+    With carry, the other columns of the input stand in a struct, rest. A bucket holds about
+    `least` to `most` bytes of text. It is drawn by id and text, so rows without an id, or many
+    texts of one id, spread over the buckets.
     """
     rest = [F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest)
     size = int(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     n = max(1, -(-size // most), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // least))
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n, size
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n, size
 
 
 def text_blocks(texts: pa.ChunkedArray, most: int = BLOCK_BYTES):
