@@ -38,29 +38,32 @@ def draw(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def _drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """The input's columns as a struct, row, and the added ones."""
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("own"), n_words(text_col).alias("mix_size"))
+    targets = source_targets(sized.groupBy(F.col("own").alias("source")).agg(F.sum("mix_size").alias("source_size")), weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    whole = F.floor("rate")
+    drawn = sized.join(targets, sized["own"].eqNullSafe(targets["source"])).withColumn("rate", rate)
+    copies = (whole + (draw("id", seed) < F.col("rate") - whole).cast("long")).cast("long")
+    return drawn.select("row", "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies"))
+
+
+def with_copies(docs: DataFrame, **options) -> DataFrame:
     """docs plus mix_size, mix_source_size, mix_target and mix_copies.
 
     Null or empty texts have size 0; a source of size 0 has target 0 and emits nothing. A null
-    source is a source of its own. Rows with equal ids draw the same number. Columns of the
-    input named like the added ones are replaced; an empty table gives no rows.
+    source is a source of its own. Rows with equal ids draw the same number, as do rows without
+    an id. Of the input's columns only those of the four added names are replaced, any other
+    name is kept as it is; an empty table gives no rows. Options are those of _drawn.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    sized = docs.withColumn("mix_size", n_words(text_col))
-    targets = source_targets(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("mix_size").alias("source_size")), weights, share, most)
-    targets = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    whole = F.floor("mix_rate")
-    return (
-        sized.join(targets, sized[source_col].eqNullSafe(targets["mix_source"]))
-        .withColumn("mix_rate", rate)
-        .withColumn("mix_copies", (whole + (draw(id_col, seed) < F.col("mix_rate") - whole).cast("long")).cast("long"))
-        .drop("mix_source", "mix_rate")
-    )
+    return _drawn(docs, **options).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the input's columns, each row as often as the mix takes it."""
-    out = with_copies(docs, **options).where("mix_copies > 0")
-    kept = [c for c in docs.columns if c in out.columns and not c.startswith("mix_")]
-    return out.select(*kept, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_nth")).drop("mix_nth")
+    """The mixed corpus: the input's columns, whatever their names, each row as often as the mix takes it."""
+    out = _drawn(docs, **options).where("mix_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("nth"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
