@@ -44,6 +44,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; they are scaled by their largest component first, so nothing overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _bounds(dims: int, block_dims: int) -> list[int]:
     n = max(1, dims // block_dims)
     return [dims * i // n for i in range(n + 1)]
@@ -59,31 +65,30 @@ def _cells(block_dims: int, least: float):
                 rows = np.flatnonzero(lengths == dims)
                 part = batch.take(pa.array(rows))
                 x = _matrix(part["embedding"])
-                x = (x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)) @ rotation(int(dims))
+                x = _unit(x) @ rotation(int(dims))
                 edges = _bounds(int(dims), block_dims)
                 for b, lo in enumerate(edges[:-1]):
                     radius = np.sqrt((2 - 2 * least) * (edges[b + 1] - lo) / dims + SLACK)
                     cell = np.floor(x[:, lo] / radius).astype(np.int32)
                     n = len(rows)
-                    yield pa.RecordBatch.from_arrays([part["h0"], part["dims"], pa.array(np.full(n, b, np.int32)), pa.array(cell)], names=["h0", "dims", "block", "cell"])
+                    yield pa.RecordBatch.from_arrays([part["cid"], part["dims"], pa.array(np.full(n, b, np.int32)), pa.array(cell)], names=["cid", "dims", "block", "cell"])
 
     return run
 
 
 def _join(block_dims: int, least: float):
-    """Links in one pair of chunks: rows (a, b) for spanning links between ids, (h0, null, n) for a class's number of links."""
+    """Links in one pair of chunks: rows (a, b) for spanning links between classes, (a, null, n) for a class's number of links."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("rep", "ascending"), ("h0", "ascending")]).combine_chunks()
+        t = t.sort_by("cid").combine_chunks()
         dims, block = t["dims"][0].as_py(), t["block"][0].as_py()
-        x = _matrix(t["embedding"].chunk(0) if t["embedding"].num_chunks else t["embedding"])
-        norm = np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1) * np.abs(x).max(1)
-        y = (x / norm[:, None]) @ rotation(dims)
+        x = _unit(_matrix(t["embedding"].chunk(0) if t["embedding"].num_chunks else t["embedding"]))
+        y = x @ rotation(dims)
         edges = _bounds(dims, block_dims)
         budgets = [(2 - 2 * least) * (hi - lo) / dims + SLACK for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
         own = y[:, edges[block] : edges[block + 1]].astype(np.float32)
         square = (own * own).sum(1)
-        side, rep, many = (t[c].to_numpy() for c in ("side", "rep", "many"))
+        side, rep, many = (t[c].to_numpy() for c in ("side", "cid", "many"))
         within = side.min() == side.max()  # a chunk with itself
         left, right = (np.arange(len(rep)),) * 2 if within else (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max()))
         label, links = np.arange(len(rep)), np.zeros(len(rep), np.int64)
@@ -103,12 +108,12 @@ def _join(block_dims: int, least: float):
                     for e in range(block):  # found there already
                         ok &= np.add.reduce(d[:, edges[e] : edges[e + 1]], 1) > budgets[e]
                     u, v = u[ok], v[ok]
-                    ok = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v]) >= least
+                    ok = np.einsum("ij,ij->i", x[u], x[v]) >= least
                     u, v = u[ok], v[ok]
                     links += np.bincount(u, many[v], len(rep)).astype(np.int64) + np.bincount(v, many[u], len(rep)).astype(np.int64)
                     label = join_labels(len(rep), u, v, label)
         far, hit = label != np.arange(len(rep)), links > 0
-        a = np.concatenate([rep[far], t["h0"].to_numpy()[hit]])
+        a = np.concatenate([rep[far], rep[hit]])
         b = pa.array(np.concatenate([rep[label[far]], np.zeros(hit.sum(), rep.dtype)]), mask=np.arange(len(a)) >= far.sum())
         return pa.table([pa.array(a), b, pa.array(np.concatenate([np.zeros(far.sum(), np.int64), links[hit]]))], names=["a", "b", "n"])
 
@@ -121,26 +126,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors that are null, empty or zero, or hold null or non-finite components, link with
     nothing and are components of their own. Vectors of different lengths never link. Equal
     vectors link with each other; rows with equal ids count as rows in n_links and share a
-    component. A row with a null id is counted as a link of others but names no component (its
-    own is null when it stands alone, and kept is then false). An empty table gives no rows.
+    component. A row with a null id is counted as a link of others and joins them, but names no
+    component (one without any id is null, and kept is then false). An empty table gives no
+    rows; further columns of the input, whatever their names, are ignored.
     """
     x = F.col("embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     good = F.coalesce((F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
-    # 0.0 and -0.0 are one component here; equal vectors are told by two 64-bit hashes, and the first names their class
+    # 0.0 and -0.0 are one component here; equal vectors are told by two 64-bit hashes
     plain = F.transform(x, lambda v: v + F.lit(0.0))
     rows = stored(rows.select("vec_id", F.when(good, plain).alias("embedding")).withColumn("h0", F.when(x.isNotNull(), F.xxhash64("embedding"))).withColumn("h1", F.when(x.isNotNull(), F.xxhash64(F.lit(1), F.reverse("embedding")))), "vector-rows")
-    classes = rows.where("h0 is not null").groupBy("h0", "h1").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("embedding").alias("embedding"))
-    classes = stored(classes.where("rep is not null").withColumn("dims", F.size("embedding")), "vector-classes")
-    cells = stored(classes.select("h0", "embedding", "dims").mapInArrow(_cells(block_dims, least), "h0 long, dims int, block int, cell int"), "vector-cells")
+    known = rows.where("h0 is not null")
+    # a class has a number of its own, whether or not any of its rows has an id
+    classes = known.groupBy("h0", "h1").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("embedding").alias("embedding"))
+    classes = stored(classes.withColumn("dims", F.size("embedding")).withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    cells = stored(classes.select("cid", "embedding", "dims").mapInArrow(_cells(block_dims, least), "cid long, dims int, block int, cell int"), "vector-cells")
     sizes = cells.groupBy("dims", "block", "cell").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
     after = sizes.select("dims", "block", (F.col("cell") - 1).alias("cell"), F.col("chunks").alias("next"))
     before = sizes.select("dims", "block", (F.col("cell") + 1).alias("cell"), F.col("chunks").alias("previous"))
     key = ["dims", "block", "cell"]
     plan = sizes.join(after, key, "left").join(before, key, "left").fillna(0, ["next", "previous"])
     plan = stored(plan, "vector-chunks")  # a row for each cell
-    own = F.pmod(F.xxhash64("h0"), F.col("chunks")).cast("int").alias("own")
-    placed = cells.join(plan, key).select("h0", *key, own, "chunks", "next", "previous")
+    own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("own")
+    placed = cells.join(plan, key).select("cid", *key, own, "chunks", "next", "previous")
     each = lambda n: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda o: o)
     # partners: chunks of the same cell, of the next one, and of the previous one (whose groups are named by that cell)
     groups = F.concat(
@@ -148,23 +156,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         F.transform(each(F.col("next")), lambda o: F.struct(F.col("cell").alias("cell"), F.lit(True).alias("across"), F.col("own").alias("i"), o.alias("j"), F.lit(0).alias("side"))),
         F.transform(each(F.col("previous")), lambda o: F.struct((F.col("cell") - 1).alias("cell"), F.lit(True).alias("across"), o.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))),
     )
-    sent = placed.withColumn("g", F.explode(groups)).select("h0", "dims", "block", F.col("g.cell").alias("cell"), F.col("g.across").alias("across"), F.col("g.i").alias("i"), F.col("g.j").alias("j"), F.col("g.side").alias("side"))
-    sent = sent.join(classes.select("h0", "rep", "many", "embedding"), "h0")
+    sent = placed.withColumn("g", F.explode(groups)).select("cid", "dims", "block", F.col("g.cell").alias("cell"), F.col("g.across").alias("across"), F.col("g.i").alias("i"), F.col("g.j").alias("j"), F.col("g.side").alias("side"))
+    sent = sent.join(classes.select("cid", "many", "embedding"), "cid")
     found = stored(sent.groupBy("dims", "block", "cell", "across", "i", "j").applyInArrow(_join(block_dims, least), "a long, b long, n long"), "vector-links")
-    counted = found.where("b is null").groupBy(F.col("a").alias("h0")).agg(F.sum("n").alias("others"))
-    same_id = rows.where("h0 is not null and vec_id is not null").select("vec_id", "h0", "h1").join(classes_named(rows), ["h0", "h1"]).where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")).join(_repeated_ids(rows), F.col("a") == F.col("vec_id"), "left_semi")
-    parts = connected_components(found.where("b is not null").select("a", "b").unionByName(same_id))
-    labels = classes_named(rows).join(counted, "h0", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    labels = stored(labels.select("h0", "h1", (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-labels")
+    counted = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
+    parts = connected_components(found.where("b is not null").select("a", "b").unionByName(_same_id(known, classes)))
+    named = classes.select("h0", "h1", "cid", "rep", "many").join(counted, "cid", "left").join(parts, F.col("cid") == F.col("node"), "left")
+    named = stored(named.select("h0", "h1", "rep", (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component")), "vector-components")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labels = stored(named.join(smallest, "component").select("h0", "h1", "n_links", "component_id"), "vector-labels")
     out = rows.select("vec_id", "h0", "h1").join(labels, ["h0", "h1"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def classes_named(rows: DataFrame) -> DataFrame:
-    """Classes of equal vectors: hashes, smallest id, number of rows."""
-    return rows.where("h0 is not null").groupBy("h0", "h1").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
-
-
-def _repeated_ids(rows: DataFrame) -> DataFrame:
-    """Ids that stand on rows with different vectors."""
-    return rows.groupBy("vec_id").agg(F.min("h0").alias("x"), F.max("h0").alias("y")).where("x <> y and vec_id is not null").select("vec_id")
+def _same_id(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Ties between the classes that rows of one id stand in."""
+    several = known.where("vec_id is not null").groupBy("vec_id").agg(F.min("h0").alias("x"), F.max("h0").alias("y")).where("x <> y").select("vec_id")
+    stand = known.join(several, "vec_id", "left_semi").join(classes.select("h0", "h1", "cid"), ["h0", "h1"]).select("vec_id", "cid").distinct()
+    return stand.join(stand.groupBy("vec_id").agg(F.min("cid").alias("b")), "vec_id").select(F.col("cid").alias("a"), "b")
