@@ -4,7 +4,8 @@ A window is `width` consecutive words of one document. Each bucket of documents
 windows: every row of the sketch is a list of the cells that its windows fall into, each with
 a count of one or more. Slices of cells are merged over all buckets, which gives the count-min
 sketch of the corpus; a window whose smallest merged count is one cannot repeat, so only the
-others are grouped exactly, by 128 bits of hash. Estimates are never too small: no repeated
+others are grouped exactly, by 128 bits of hash (of each word, and of the order of the words;
+two different windows among 10**14 share them with probability below 10**-10). Estimates are never too small: no repeated
 window is lost, whatever the width of the sketch.
 
 Sketches and windows travel packed, one row for each bucket and slice, and each bucket gets
@@ -153,6 +154,7 @@ def _suspects(width: int, bits: int, parts: int):
 
 def _decide(t: pa.Table) -> pa.Table:
     """Exact groups of a slice: each bucket hears which of its windows start in an earlier document elsewhere."""
+    t = t.sort_by("bucket")  # texts of one id in different buckets stand in order of these
     parts = [tuple(unpack(x, rising) for x, rising in zip(xs, (True, False, False), strict=True)) for xs in zip(t["h0"].to_pylist(), t["h1"].to_pylist(), t["ids"].to_pylist(), strict=True)]
     h0, h1, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
     by_id = np.argsort(ids, kind="stable")
@@ -199,17 +201,21 @@ def _remove(width: int, digest: bool, layout: bool):
     return tidy(run, 2)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, digest: bool = False, carry: bool = False, layout: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, digest: bool = False, carry: bool = False, layout: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
     A word goes if a window that covers it occurs earlier: in a document of smaller id, or
     earlier in the same document. Windows are judged on the input. With digest, kept is the
     sha256 of the words left; with layout, texts that lose nothing keep their white space; with
     carry, the struct `rest` holds the other columns. Null and empty texts have no words; texts shorter than a window
-    lose none. Rows with equal ids stand in order of their texts, so of fully equal rows one
-    keeps its words; null ids come last. An empty table gives no rows.
+    lose none. Rows with equal ids stand in a fixed order of their texts (by bucket, then by
+    text), so of fully equal rows one keeps its words; null ids come last. An empty table gives no
+    rows; further columns of the input may have any names.
+
+    A task holds one bucket of bucket_bytes of text. Exchanges have one row for each pair of
+    bucket and slice, so for very large corpora give as large buckets as executors hold.
     """
-    rows, parts, size = bucketed(docs, id_col, text_col, carry, most=BUCKET_BYTES)
+    rows, parts, size = bucketed(docs, id_col, text_col, carry, most=bucket_bytes)
     bits = max(16, int(4 * size / 6).bit_length())  # some four cells a word
     by = rows.groupBy("bucket")
     sketches = by.applyInArrow(_sketch(width, bits, parts), "slice int, bucket int, cells binary, many binary")
