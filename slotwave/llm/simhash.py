@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import connected_components, join_labels
 from .shared import Words, blocks, mix64, release, stored
@@ -132,6 +133,19 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, n_fps: int
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", size long, bands array<long>")
 
 
+def with_coordinates(classes: DataFrame) -> DataFrame:
+    """classes with pivots: the Hamming distance of fp0 to each reference fingerprint, one byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch["fp0"].to_numpy(zero_copy_only=False).view(np.uint64)
+            table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.uint8)
+            rows = pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer((np.arange(len(fp) + 1) * len(PIVOTS)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(table))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, "pivots"])
+
+    return classes.mapInArrow(run, StructType([*classes.schema.fields, StructField("pivots", BinaryType())]))
+
+
 def choose_blocks(n: int, k: int) -> int:
     """Number of bit blocks for n fingerprints: the fewest keys whose groups hold few strangers."""
     def cost(m: int) -> float:
@@ -160,7 +174,7 @@ def _linker(k: int, n_check: int, most: int, similarity: float | None = None, ev
         n = len(group)
         size, tied = (None, None) if similarity is None else (t["size"].to_numpy(), t["component"].to_numpy())
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        table = np.bitwise_count(fps[0][:, None] ^ PIVOTS[None, :]).astype(np.int8)
+        table = np.frombuffer(b"".join(t["pivots"].to_pylist()), np.uint8).reshape(n, len(PIVOTS)).astype(np.int8)
         new = np.ones(n, bool)
         new[1:] = group[1:] != group[:-1]
         ends = np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new) - 1] if n else np.zeros(0, int)  # end of each row's group
@@ -217,14 +231,14 @@ def _linker(k: int, n_check: int, most: int, similarity: float | None = None, ev
 
 
 def links(classes: DataFrame, k: int, group_rows: int = 4096, most: int | None = None) -> DataFrame:
-    """Spanning links a-b between classes (rep, fp0, ...) whose fp0 differ in at most k bits.
+    """Spanning links a-b between classes (rep, fp0, ..., pivots) whose fp0 differ in at most k bits.
 
     With further fingerprints fp1, ... the distance over all of them is at most `most` (k for each).
     """
     fps = [c for c in classes.columns if c.startswith("fp")]
     n = classes.count()
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp0").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m))) for i, m in enumerate(block_masks(choose_blocks(n, k), k))])
-    grouped = _grouped(classes.select("rep", *fps, F.explode(keys).alias("key")), group_rows)
+    grouped = _grouped(classes.select("rep", *fps, "pivots", F.explode(keys).alias("key")), group_rows)
     return grouped.repartition("grp").sortWithinPartitions("grp").mapInArrow(_linker(k, len(fps), k * len(fps) if most is None else most), "a long, b long")
 
 
@@ -281,7 +295,7 @@ def similar(docs: DataFrame, known: DataFrame, ties: DataFrame, id_col: str, tex
     fps = [c for c in known.columns if c.startswith("fp")]
     differ = acos(2 * similarity / (1 + similarity)) / pi
     k, most = (ceil(n * differ + LOOSE * sqrt(n * differ * (1 - differ))) for n in (BITS, BITS * len(fps)))
-    keyed = known.where("size > 0").select("rep", *fps, "size", F.posexplode("bands").alias("band", "hash")).withColumn("key", F.xxhash64("band", "hash")).drop("band", "hash")
+    keyed = known.where("size > 0").select("rep", *fps, "pivots", "size", F.posexplode("bands").alias("band", "hash")).withColumn("key", F.xxhash64("band", "hash")).drop("band", "hash")
     grouped = stored(_grouped(keyed, group_rows), "simhash-groups")
 
     def candidates(rows: DataFrame, every: bool) -> DataFrame:
@@ -312,13 +326,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest doc_id reachable over links, the document included. Null and
     empty texts have fingerprint zero and link like any other. Rows with equal ids count as one
     document; rows with a null id belong to the component of their fingerprint and never name
-    one (a component without any id is null). An empty table gives no rows.
+    one (a component without any id is null). An empty table gives no rows; further columns of
+    the input, whatever their names, are ignored.
     """
     exact = similarity is not None
     found = stored(sketches(docs, id_col, text_col, width, len(seeds)) if exact else fingerprints(docs, id_col, text_col, width, seeds), "simhash-fp")
     fps = ["set0", "set1"] if exact else [c for c in found.columns if c != "doc_id"]
     kept = [F.first(c).alias(c) for c in found.columns if exact and c not in ("doc_id", *fps)]
-    classes = stored(found.groupBy(*fps).agg(F.min("doc_id").alias("rep"), *kept), "simhash-classes")
+    classes = stored(with_coordinates(found.groupBy(*fps).agg(F.min("doc_id").alias("rep"), *kept)), "simhash-classes")
     known = classes.where("rep is not null")
     ties = found.select(F.col("doc_id").alias("a"), *fps).join(known.select(F.col("rep").alias("b"), *fps), fps).where("a <> b").select("a", "b").join(_repeated_ids(found, fps[0]), F.col("a") == F.col("doc_id"), "left_semi")
     edges = (similar(docs, known, ties, id_col, text_col, width, similarity) if exact else links(known, max_bits)).unionByName(ties)
