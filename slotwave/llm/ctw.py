@@ -207,7 +207,7 @@ def _is_train(ids: np.ndarray, folds: int, fold: int) -> np.ndarray:
     return np.array([zlib.crc32(str(int(i)).encode()) % folds != fold for i in ids], bool)
 
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 _ASKED = "part int, bucket int, kind int, keys binary, counts binary"
 
 
@@ -284,29 +284,31 @@ def _score(depth: int, n: int, v: int, folds: int, fold: int):
         grams, chance = table[0][0], table[0][1].astype(np.uint32).view(np.float32).astype(np.float64)
         words, count = table[1][0], table[1][1].astype(np.float64)
         size = n + 0.5 * (v + 1)
-        facts = np.zeros((4, len(t)))
+        facts = np.zeros((5, len(t)))
         for rows, w, s in _blocks(t["text"], depth):
             c = count[np.searchsorted(words, np.append(w.hashes(), END))]
             c, end = c[:-1], c[-1]
             facts[0, rows] = w.counts + 1
             facts[1, rows] = np.bincount(w.text[c > 0], minlength=w.n) + (end > 0)
             facts[2, rows] = np.bincount(w.text, np.log10((c + 0.5) / size), w.n) + np.log10((end + 0.5) / size)
+            facts[4, rows] = s.lengths
             facts[3, rows] = np.bincount(s.text, chance[np.searchsorted(grams, s.grams())], w.n)
         held = ~_train_rows(t, folds, fold)
         whole = lambda x: pa.array(x.astype(np.int64))
-        return pa.table([t["doc_id"], pa.array(held), whole(facts[0]), whole(facts[1]), whole(np.full(len(t), n)), pa.array(facts[2]), pa.array(facts[3])], names=[x.split()[0] for x in _SCORES.split(", ")])
+        return pa.table([t["doc_id"], pa.array(held), whole(facts[0]), whole(facts[1]), whole(np.full(len(t), n)), pa.array(facts[2]), pa.array(facts[3]), whole(facts[4]), pa.array(-facts[3] * np.log2(10) / np.maximum(facts[4], 1))], names=[x.split()[0] for x in _SCORES.split(", ")])
 
     return tidy(run, 2)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, folds: int = 5, fold: int = 1) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Training texts are those whose crc32(id as text) mod folds is not fold. score is the log10
-    probability of the normalised text; base_score that of a unigram model of its tokens. Null
+    probability of the normalised text, which has n_bytes bytes and takes bits_per_byte bits of
+    code for each; base_score that of a unigram model of its tokens. Null
     and empty texts have one token, the end. A row with a null id is scored and held out. Equal
     rows score alike and each counts in training. An empty table gives no rows. Tokens are told
-    apart by 64-bit hashes.
+    apart by 64-bit hashes. Further columns of the input, whatever their names, are ignored.
     """
     rows, n_buckets, _ = bucketed(docs, id_col, text_col)
     asked = stored(rows.groupBy("bucket").applyInArrow(_ask(depth, n_buckets, folds, fold), _ASKED), "ctw-asked")
