@@ -251,30 +251,34 @@ def _gradient(tokens: np.ndarray, kind: np.ndarray, gold: np.ndarray, log_emit:
     return grad_word, grad_move
 
 
-def training_sample(docs: DataFrame, per_label: int, folds: int, fold: int) -> tuple[list[bytes], list[str]]:
-    """About per_label labelled texts of each language, chosen by a hash of the id."""
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != fold))
+def training_sample(docs: DataFrame, per_label: int, folds: int, fold: int, longest: int) -> tuple[list[bytes], list[str]]:
+    """About per_label labelled texts of at most `longest` bytes of each language, chosen by a hash of the id and the text."""
+    train = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= longest) & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != fold))
     counts = train.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return [], []
     chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_label / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = train.where(draw < F.element_at(chance, F.col("lang"))).select("text", "lang").collect()
     rows = sorted((r["text"].encode(), r["lang"]) for r in rows)
     return [t for t, _ in rows], [x for _, x in rows]
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 300, folds: int = 4, fold: int = 2) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 300, folds: int = 4, fold: int = 2, longest: int = 1 << 17) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, n_switches.
 
     Learns from rows whose crc32(id as text) mod folds is not fold and whose label is known; a
     null id is never learned from. A text that is null or has no letter is 'und' with score 0,
     as is every text when no label is known. score is the mean marginal of the predicted
     language over words with a letter, n_switches the number of changes of the most probable
-    label between such words. Equal texts get equal results; an empty table gives no rows.
+    label between such words. Equal texts get equal results; an empty table gives no rows;
+    further columns of the input, whatever their names, are ignored.
+
+    The driver holds the sample: about per_label texts of `longest` bytes at most for each
+    language. Longer texts are not learned from, but predicted like any other.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    texts, labels = training_sample(rows, per_label, folds, fold)
+    texts, labels = training_sample(rows, per_label, folds, fold, longest)
     shared = docs.sparkSession.sparkContext.broadcast(fit(texts, labels) if texts else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
