@@ -91,10 +91,11 @@ class Codec:
             self.known[p] = (np.array(ids, "<u4") - np.uint32(1)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.cut(t) for t in texts]
-        self.learn({p for ps in cut for p in ps})
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in cut]
+        """Ids of each text as little-endian unsigned 32-bit integers; equal texts are encoded once."""
+        cut = {t: self.cut(t) for t in texts}
+        self.learn({p for ps in cut.values() for p in ps})
+        ids = {t: b"".join(map(self.known.__getitem__, ps)) for t, ps in cut.items()}
+        return [ids[t] for t in texts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -115,7 +116,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
 
     With digests, ids_sha256 and decoded_sha256 stand for the two binary columns. A null text
     counts as an empty one: no tokens. Every row is encoded by itself, so equal rows give equal
-    rows, and an empty table none. The vocabulary is one file of fixed size and is broadcast.
+    rows, and an empty table none; further columns of the input, whatever their names, are
+    ignored. The vocabulary is one file of fixed size and is broadcast.
     """
     tokens = read_ranks(vocabulary)
     name = hashlib.sha256(b"\0".join(tokens) + pattern.encode()).hexdigest()
@@ -127,7 +129,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
         for batch in batches:
             for part in blocks(batch, "text"):
                 ids = codec.encode([t or "" for t in part["text"].to_pylist()])
-                back = [codec.decode(x) for x in ids]
+                decoded = {x: codec.decode(x) for x in set(ids)}
+                back = [decoded[x] for x in ids]
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if digests:
                     columns = [pa.array([hashlib.sha256(x).hexdigest() for x in xs]) for xs in (ids, back)]
