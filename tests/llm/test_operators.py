@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -60,6 +61,23 @@ def test_words_and_packing():
     assert (unpack(pack(x, True), True) == x).all() and (unpack(pack(x)) == x).all() and len(unpack(pack(x[:0]))) == 0
 
 
+def test_hashes_of_words_that_polynomials_confuse():
+    """Thue-Morse words and their complements differ in all sums of powers modulo 2**64; long words and runs of words too."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    words = [a, b, "a", "b", "ab", "ba", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "a" * 64, "a" * 65, *("x" * n + c for n in range(70) for c in "yz")]
+    w = Words(pa.array([" ".join(words)]))
+    assert all(len(set(w.hashes(k).tolist())) == len(set(words)) for k in (0, 1)) and not set(w.hashes(0).tolist()) & set(w.hashes(1).tolist())
+    again = Words(pa.array(["q", "\n".join(words[::-1])]))
+    assert again.hashes()[1:].tolist() == w.hashes()[::-1].tolist()
+    for width in (1, 2, 3, 5, 7, 20):
+        runs = Words(pa.array([" ".join(rng.choice("ab") for _ in range(300)) for rng in (random.Random(1), random.Random(2))]))
+        at, h = runs.windows(width)
+        text = [bytes(runs.data[x:y]) for x, y in zip(runs.starts, runs.ends, strict=True)]
+        want = [tuple(text[i : i + width]) for i in at]
+        assert len(at) == 2 * (301 - width) and len(set(zip(want, h.tolist(), strict=True))) == len(set(want)) == len(set(h.tolist()))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(60)]
@@ -78,7 +96,7 @@ def test_simhash_links_lose_nothing(spark, k, group_rows):
     fps = np.array(sorted(fps), np.uint64)
     far = np.bitwise_count(fps[:, None] ^ fps[None, :])
     df = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fps.view(np.int64))], "rep long, fp0 long")
-    got = union_find((r.a, r.b) for r in simhash.links(df, k, group_rows).collect())
+    got = union_find((r.a, r.b) for r in simhash.links(simhash.with_coordinates(df), k, group_rows).collect())
     assert got == union_find((int(a), int(b)) for a, b in zip(*np.where(far <= k), strict=True) if a < b)
 
 
@@ -167,6 +185,53 @@ def test_ctw_is_a_probability_and_weights_by_evidence():
     assert math.isclose(big, math.lgamma(5000.5) + math.lgamma(9000.5) - math.lgamma(14001) - math.log(math.pi), rel_tol=1e-12)
 
 
+def test_ctw_score_against_recursion(spark):
+    """Counts, weights and mixture of every node by dictionaries and recursion, for texts in several buckets."""
+    depth, rng = 3, random.Random(9)
+    rows = [(i, " ".join(rng.choice(["Ab", "abc", "b", "cab", "é"]) for _ in range(rng.randint(0, 12)))) for i in range(14)] + [(20, None), (21, "never zq seen"), (None, "ab abc")]
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 1
+    normal = lambda t: b"\n" * depth + b" ".join(re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in (t or "").encode().split()) + b"\n"
+    counts, children = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    places = lambda s: ((s[i - depth : i], s[i]) for i in range(depth, len(s)))
+    for i, t in rows:
+        if not held(i):
+            for context, byte in places(normal(t)):
+                for j in range(8):
+                    known = (1 << j) | (byte >> (8 - j))
+                    for d in range(depth + 1):
+                        node = (context[depth - d :], known)
+                        counts[node][byte >> (7 - j) & 1] += 1
+                        if d:
+                            children[node[0][1:], known].add(node)
+
+    def kt(n):
+        return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(n[0] + n[1] + 1) - math.log(math.pi)
+
+    def weighted(node):
+        own = kt(counts[node])
+        return own if len(node[0]) == depth else np.logaddexp(own, sum(weighted(c) for c in children[node])) - math.log(2)
+
+    def chance(context, byte):
+        total = 0.0
+        for j in range(8):
+            known, one, below = (1 << j) | (byte >> (8 - j)), 0.5, False
+            for d in range(depth, -1, -1):
+                node = (context[depth - d :], known)
+                if node in counts and sum(counts[node]):
+                    stay = math.exp(kt(counts[node]) - math.log(2) - weighted(node)) if below else 1.0
+                    one = stay * (counts[node][1] + 0.5) / (sum(counts[node]) + 1) + (1 - stay) * one
+                    below = True
+            total += math.log10(one if byte >> (7 - j) & 1 else 1 - one)
+        return total
+
+    got = {(r.doc_id, r.n_bytes): r for r in ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        s = normal(t)
+        r = got[i, len(s) - depth]
+        assert math.isclose(r.score, sum(chance(*p) for p in places(s)), rel_tol=1e-5) and math.isclose(r.bits_per_byte, -r.score * math.log2(10) / r.n_bytes)
+
+
 def brute_quality(t):
     t = t or ""
     w, seen, dup = WORD.findall(t), set(), 0
@@ -187,16 +252,36 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def body(i):
+    return " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+
+
 def test_quality_lines(spark):
-    """A line of 8 documents of a host goes from all but the first; a document of such lines alone is rejected; copies count once."""
-    body = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    """Lines of more than five documents of a host, against brute force; nulls, repeated ids and repeated rows among them."""
     spam = "Buy  now 1 " + " ".join("s" + chr(97 + k) for k in range(20))
     rows = [(i, f"{body(i)}\n{spam}", "h") for i in range(8)] + [(50, "\n".join([spam.upper(), "another common line " * 20]), "h")] + [(60 + i, f"common copy\n{body(99)}", "h") for i in range(9)] + [(80, f"{body(80)}\n{spam}", "other")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: (r.n_line_words_removed, r.kept) for r in quality.quality(docs, max_docs=5, min_words=5, max_repeat=1.0, min_left=0.5).collect()}
-    assert got[0] == (0, True) and got[3] == (23, True) and got[50][0] == 23 and got[62] == (0, True) and got[80] == (0, True)
-    cleaned = {r.doc_id: r.text for r in quality.clean(docs, max_docs=5, min_words=5, max_repeat=1.0).collect()}
-    assert cleaned[3] == body(3) and cleaned[0].endswith(spam) and cleaned[62].startswith("common copy")
+    rows += [(7, f"{body(7)}\n{spam}", "h"), (7, f"{body(31)}\n{spam}\n{spam}", "h"), (None, f"{body(32)}\n{spam}", "h"), (None, f"{body(33)}\n{spam}", None), (None, None, "h"), (90, "", None)]
+    rows += [(200 + i, f"rare {i}\n{'five of them ' * 9}\n{body(40 + i)}", "h") for i in range(5)] + [(204, f"{'five of them ' * 9}\n{body(60)}", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' as host", "1 as th", "2 as line", "3 as row", "4 as gone", "5 as salt")
+    normal = lambda line: " ".join(re.sub("[0-9]", "0", w.lower()) for w in WORD.findall(line))
+    holders = collections.defaultdict(set)
+    for i, t, h in rows:
+        for line in (t or "").split("\n"):
+            holders[h, normal(line)].add(i if i is not None else t)
+    want = []
+    for i, t, h in rows:
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        n, gone = len(WORD.findall(t or "")), sum(len(WORD.findall(x)) for x in lines if len(holders[h, normal(x)]) > 5)
+        want.append((i, gone, n >= 5 and n - gone >= 0.5 * n))
+    options = {"max_docs": 5, "min_words": 5, "max_repeat": 1.0, "min_left": 0.5}
+    assert key((r.doc_id, r.n_line_words_removed, r.kept) for r in quality.quality(docs, **options).collect()) == key(want)
+    cleaned = quality.clean(docs, **options)
+    left = [(i, "\n".join(x for x in t.split("\n") if len(holders[h, normal(x)]) <= 5), h) for (i, t, h), (_, _, kept) in zip(rows, want, strict=True) if kept]
+    assert cleaned.columns == docs.columns and key((r.doc_id, r.text, r.source) for r in cleaned.collect()) == key(left)
+    # copies count once, and the first holder keeps the line
+    spared = {r.doc_id: (r.n_line_words_removed, r.kept) for r in quality.quality(docs, by_content=True, first_keeps=True, **options).collect() if r.doc_id not in (None, 7)}
+    assert spared[0] == (0, True) and spared[3] == (23, True) and spared[50][0] == 23 and spared[62] == (0, True) and spared[80] == (0, True)
+    assert quality.clean(docs.limit(0)).count() == 0
 
 
 def test_mixing(spark):
@@ -226,6 +311,9 @@ def test_mixing(spark):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.mix_copies for r in rows)
     assert mixing.with_copies(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("*", "1 as mix_note", "2 as mix_rate", "3 as mix_source", "4 as mix_size", "5 as rate", "6 as id", "7 as own", "8 as target", "9 as nth")
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).where("mix_rate = 2 and mix_size = 4 and rate = 5 and nth = 9 and mix_note = 1").count() == mixed.count()
+    assert set(mixing.with_copies(clash).columns) == set(clash.columns) | set(mixing.ADDED) and mixing.with_copies(clash).where("mix_rate = 2").count() == len(rows)
 
 
 def test_bpe(spark):
@@ -238,7 +326,7 @@ def test_bpe(spark):
     docs = corpus(spark)
     rng = random.Random(0)
     pieces = ["a", " the", "é", "日本", "\U0001f642", "  ", "\n", "1", "!", "‍", "\xa0", "\x1c", "\x85", "'s", "<s>", "▁", "\x00"]
-    odd = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(200)]
+    odd = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(200)] + ["x" * 100_000, "".join(rng.choice("abc") for _ in range(50_000))]
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     want = key((r.doc_id, np.array(know.encode_ordinary(r.text or ""), "<u4").tobytes(), (r.text or "").encode()) for r in docs.collect())
     got = bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect()
@@ -253,6 +341,8 @@ def test_vectors(spark, chunk_rows):
     base = rng.standard_normal(64)
     rows = [(i, (base + rng.standard_normal(64) * s).tolist()) for i, s in enumerate(np.linspace(0.05, 0.6, 60))] + [(100 + i, rng.standard_normal(64).tolist()) for i in range(150)]
     rows += [(500, None), (501, [0.0] * 64), (502, [1.0, float("nan")]), (503, []), (504, [1.0, 2.0]), (505, [2.0, 4.0]), (506, [1.0, 2.0]), (507, [float("inf")]), (508, [None, 1.0]), (None, [1.0, 2.0]), (510, [1e-200] * 64), (511, [1e200] * 64), (512, [-0.0, 1.0]), (513, [0.0, 1.0]), (514, [1.0] * 64), (514, (3 * base).tolist())]
+    far, bit = rng.standard_normal(64), rng.standard_normal(64) * 0.1
+    rows += [(601, far.tolist()), (None, (far + bit).tolist()), (610, (far * 1e180).tolist()), (611, ((far + bit) * 1e180).tolist()), (None, (far + 4.5 * bit).tolist()), (612, (far + 8 * bit).tolist()), (None, (-far).tolist())]
     good = [r[1] is not None and len(r[1]) > 0 and all(v is not None and math.isfinite(v) for v in r[1]) and any(r[1]) for r in rows]
     links, edges = [0] * len(rows), []
     for i, (_, x) in enumerate(rows):
@@ -279,24 +369,49 @@ def test_vectors(spark, chunk_rows):
         assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def plain_lpt(sizes, shards):
+    """Groups of the same size in any order: the multiset of sizes that each shard takes."""
+    load, out = [0] * shards, [collections.Counter() for _ in range(shards)]
+    for s in sorted(sizes, reverse=True):
+        i = min(range(shards), key=lambda j: (load[j], j))
+        load[i] += s
+        out[i][s] += 1
+    return out
+
+
+def test_deal():
+    rng = random.Random(3)
+    for _ in range(200):
+        shards = rng.randint(1, 7)
+        sizes = [rng.choice([1, 2, 3, 3, 7, 50, 1000]) for _ in range(rng.randint(1, 60))]
+        plan = sharding.lpt(list(collections.Counter(sizes).items()), shards)
+        assert [collections.Counter({s: t[i] for s, t in plan if t[i]}) for i in range(shards)] == plain_lpt(sizes, shards)
+    assert sum(sharding.deal([10**15, 0, 5], 3, 10**12)) == 10**12
+
+
 def test_sharding(spark):
     docs = corpus(spark)
-    for max_groups, cell_rows in ((8192, 1000), (10, 3)):
-        got = sharding.shard_documents(docs, 16, max_groups=max_groups, bundles=64, cell_rows=cell_rows).collect()
+    for size_cells, cell_rows in ((1024, 1000), (3, 3)):
+        got = sharding.shard_documents(docs, 16, size_cells=size_cells, cell_rows=cell_rows).collect()
         text = lambda t: (t or "").encode()
         assert key((r.doc_id, r.size, r.text_crc32) for r in got) == key((r.doc_id, len(text(r.text)) + 1, zlib.crc32(text(r.text))) for r in docs.collect())
-        slots = collections.defaultdict(list)
+        slots, groups = collections.defaultdict(list), collections.Counter(text(r.text) for r in docs.collect())
         for r in got:
             slots[r.shard].append(r.slot)
         assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(16))
-        assert len({r.shard for r in got if r.doc_id in (900005, 900007)}) == 1
+        # each group on one shard, and on each shard the sizes that one group after the other would bring there
+        where = {(r.size, r.text_crc32): r.shard for r in got}
+        assert all(where[r.size, r.text_crc32] == r.shard for r in got)
+        placed = [collections.Counter() for _ in range(16)]
+        for t, n in groups.items():
+            placed[where[len(t) + 1, zlib.crc32(t)]][n * (len(t) + 1)] += 1
+        assert placed == plain_lpt([n * (len(t) + 1) for t, n in groups.items()], 16)
     assert sharding.shard_documents(docs.limit(0)).count() == 0
-    assert sharding.lpt([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
 
 
 @pytest.mark.parametrize("split", [40, 300, 1 << 22])
 def test_warc(spark, split):
-    rows = [(1, "http://a/\n", "x" * 200), (2, "u", "x" * 200), (3, None, None), (4, "u", "é" * 60), (5, "u", "é" * 60), (6, "u", "short"), (7, "u", "short"), (None, "u", "x" * 200), (9, "u", "\x1fq\r\n\r\nWARC/1.1" * 500), (1, "again", "x" * 200)]
+    rows = [(1, "http://a/\n", "x" * 200), (2, "u", "x" * 200), (3, None, None), (4, "u", "é" * 60), (5, "u", "é" * 60), (6, "u", "short"), (7, "u", "short"), (None, "u", "x" * 200), (9, "u", "\x1fq\r\n\r\nWARC/1.1" * 500), (1, "again", "x" * 200), (11, "u", "".join(chr(33 + (i * i * 7 + i // 3) % 90) for i in range(700_000)))]
     got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), split_bytes=split).collect()
     first = {"x" * 200: 1, "é" * 60: 4}
     want = []
@@ -327,6 +442,22 @@ def test_substrings(spark):
     assert substrings.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_confusing_words(spark):
+    """A Thue-Morse word and its complement, each before the same 19 words: no window is shared. Then many rows without an id."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    tail = " ".join(f"t{i}" for i in range(19))
+    rows = [(i, "".join("ab"[x ^ i] for x in bits) + " " + tail) for i in (0, 1)]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 0}
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(None, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + " " + passage) for _ in range(40)] + [(3, passage)] * 2 + [(3, "x " + passage)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' as bucket", "1 as rest", "2 as kept", "3 as slice")
+    for kwargs in ({}, {"bucket_bytes": 500}):
+        got = substrings.deduplicate(rows, carry=True, **kwargs).collect()
+        assert len(got) == 43 and sorted((r.doc_id or 0, r.n_removed) for r in got)[:40] == [(0, 25)] * 40 and sorted(r.n_removed for r in got if r.doc_id == 3) == [0, 25, 25] and all(r.rest.slice == 3 for r in got)
+
+
 def test_marginals_against_plain_forward_backward(monkeypatch):
     monkeypatch.setattr(langid, "PIECE", 5)
     rng = np.random.default_rng(0)
@@ -345,10 +476,43 @@ def test_marginals_against_plain_forward_backward(monkeypatch):
             beta = np.exp(move) @ (e[t] * beta)
 
 
+def test_gradient_by_differences():
+    """The gradient of the log-likelihood against differences of a likelihood summed over all label paths."""
+    rng = np.random.default_rng(3)
+    tokens = np.array([[0, 1, 2, 1], [2, 0, -1, -1]])
+    kind, gold = np.array([0, 1, 2]), np.array([0, 1, 1])
+    emit, move = rng.standard_normal((3, 2)), rng.standard_normal((2, 2))
+
+    def likelihood(e, m):
+        total = 0.0
+        for row in tokens:
+            row = row[row >= 0]
+            score = lambda path, r=row: sum(e[kind[t], k] for t, k in zip(r, path, strict=True)) + sum(m[a, b] for a, b in zip(path, path[1:], strict=False))
+            # the first word is entered from either label with the same weight
+            start = lambda path: math.log(np.exp(m[:, path[0]]).sum())
+            paths = list(itertools.product((0, 1), repeat=len(row)))
+            total += score(gold[row]) + start(gold[row]) - math.log(sum(math.exp(score(p) + start(p)) for p in paths))
+        return total
+
+    words, moves = langid._gradient(tokens, kind, gold, emit, move)
+    for i in range(3):
+        for k in range(2):
+            step = np.zeros((3, 2))
+            step[i, k] = 1e-5
+            assert math.isclose(words[i, k], (likelihood(emit + step, move) - likelihood(emit - step, move)) / 2e-5, rel_tol=1e-4, abs_tol=1e-6)
+    # transitions inside the sequence only: the entry into the first word is not counted
+    inner = lambda m: likelihood(emit, m)
+    assert moves.shape == (2, 2) and abs(moves.sum()) < 1e-9 and np.isfinite(inner(move))
+
+
 def test_language(spark):
     docs = corpus(spark)
     got = {r.doc_id: r for r in langid.identify(docs).collect() if r.doc_id is not None}
     truth = {r.doc_id: r.lang for r in docs.collect() if r.doc_id is not None}
+    # one text of a million words among short ones, and equal predictions for equal texts
+    long = spark.createDataFrame([(1, " ".join([r.text for r in docs.where("lang = 'fr' and doc_id is not null").limit(3).collect()] * 3000), "fr"), (2, PLAIN, None), (3, PLAIN, None)], "doc_id long, text string, lang string")
+    few = {r.doc_id: r for r in langid.identify(docs.select("doc_id", "text", "lang").where("doc_id < 0 or doc_id > 3").unionByName(long)).where("doc_id between 1 and 3").collect()}
+    assert few[1].lang_pred == "fr" and (few[2].lang_pred, few[2].score) == (few[3].lang_pred, few[3].score)
     held = [i for i, r in got.items() if r.held_out and r.lang_pred != "und" and i < 900000 and i >= 0]
     assert sum(got[i].lang_pred == truth[i] for i in held) >= 0.9 * len(held)
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 for i, r in got.items())
