@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that run() writes and reads back
 for the next one. All but the last return the columns of documents. Null and empty texts fail
-the quality rules; rows without an id go there too, since later stages decide by id.
+the quality rules. Rows without an id stay as they are where a stage decides by id.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ from slotwave.llm.shared import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and lines that too many documents of a source hold."""
-    return quality.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Rejected documents go, and lines that too many documents of a source hold.
+
+    Copies count once and the first holder keeps a line, so that a group of copies, which the
+    next stage thins out, does not lose all its members here. Rows without an id are judged too.
+    """
+    return quality.clean(docs, by_content=True, first_keeps=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
