@@ -119,6 +119,16 @@ def valid_windows(rows: DataFrame, dense: DataFrame, keys: list[str]) -> DataFra
     return rows.join(live, "window_id", "left_semi").join(enough, keys, "left_semi")
 
 
+def first_window(rows: DataFrame, first: int) -> DataFrame:
+    """Rows of the windows from `first` on."""
+    return rows.where(F.col("window_id") >= first)
+
+
+def strided(rows: DataFrame, step: int) -> DataFrame:
+    """Rows of every step-th window."""
+    return rows.where(F.col("window_id") % step == 0)
+
+
 def common_windows(protocol: DataFrame) -> DataFrame:
     """Rows of the windows that every method has."""
     methods = protocol.select("method").distinct().agg(F.count("*").alias("m"))

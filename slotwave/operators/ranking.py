@@ -22,7 +22,7 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
 
     Rows are dealt into ranges of the order; only the counts of the ranges meet in one task.
     """
-    from ..llm.shared import stored
+    from ..sources.tables import stored
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # stored, since a second run could draw other bounds
@@ -35,7 +35,8 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
 
 def to_long(wide: DataFrame, methods: list[str], keep: list[str]) -> DataFrame:
     """One column per method -> rows (keep..., method, score)."""
-    return wide.select(*keep, *methods).unpivot(keep, methods, "method", "score")
+    quoted = [F.col(f"`{m}`") for m in methods]
+    return wide.select(*keep, *quoted).unpivot(keep, quoted, "method", "score")
 
 
 def rank_items(scores: DataFrame, by: list[str] = BY) -> DataFrame:

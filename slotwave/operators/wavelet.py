@@ -25,6 +25,25 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows, flat[starts[rows][:, None] + np.arange(n)]
 
 
+def _numbers(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    """A column from (rows, values) parts; rows in no part are null."""
+    out, missing = np.zeros(n), np.ones(n, bool)
+    for rows, values in parts:
+        out[rows], missing[rows] = values, False
+    return pa.array(out, pa.float64(), mask=missing)
+
+
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    sizes, missing = np.zeros(n, np.int32), np.ones(n, bool)
+    for rows, values in parts:
+        sizes[rows], missing[rows] = values.shape[1], False
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    flat = np.zeros(starts[-1])
+    for rows, values in parts:
+        flat[starts[rows][:, None] + np.arange(values.shape[1])] = values
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(flat), mask=pa.array(missing))
+
+
 def _batchwise(df: DataFrame, x: str, out: str, work) -> DataFrame:
     """Columns of `out` from arrays of equal windows; work maps a matrix to named arrays. x is dropped."""
     keep = [c for c in df.columns if c != x]
@@ -33,13 +52,12 @@ def _batchwise(df: DataFrame, x: str, out: str, work) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, list] = {n: [None] * batch.num_rows for n in names}
+            found: dict[str, list] = {n: [] for n in names}
             for rows, m in _by_length(batch.column(x)):
-                for name, values in work(m).items():
-                    if name in found:
-                        for i, v in zip(rows, values.tolist(), strict=True):
-                            found[name][i] = v
-            new = [pa.array(found[n], pa.list_(pa.float64()) if kinds[n].startswith("array") else pa.float64()) for n in names]
+                made = work(m)
+                for name in names:
+                    found[name].append((rows, made[name]))
+            new = [(_lists if kinds[n].startswith("array") else _numbers)(found[n], batch.num_rows) for n in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], names=[*keep, *names])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != x)
@@ -52,17 +70,36 @@ def wavelet_features(frames: DataFrame, x: str = "x_w", level: int = 3, transfor
     return _batchwise(frames, x, FEATURES, lambda m: W.features(W.pad_left(m, size, pad), level, transform, how))
 
 
-def index(alpha: float = 1.0, beta: float = 1.0, use_r: bool = True, use_w: bool = True) -> Column:
-    """mu_L exp(alpha R - beta W_E)."""
+#: Features that feature_sets gives for each setting.
+SET = ("mu_l", "r", "w_e", "af")
+
+
+def feature_sets(frames: DataFrame, settings: dict[str, dict], x: str = "x_w", target: int = 64) -> DataFrame:
+    """frames with <name>_mu_l, <name>_r, <name>_w_e and <name>_af for each setting (level, transform, how, pad), all from one pass over the windows."""
+    full = {name: {"level": 3, "transform": "dtcwt", "how": "symmetric", "pad": "reflect"} | o for name, o in settings.items()}
+
+    def work(m: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        for name, o in full.items():
+            made = W.features(W.pad_left(m, max(target, 2 ** (o["level"] + 1)), o["pad"]), o["level"], o["transform"], o["how"])
+            out |= {f"{name}_{k}": made[k] for k in SET}
+        return out
+
+    return _batchwise(frames, x, ", ".join(f"{name}_{k} double" for name in settings for k in SET), work)
+
+
+def index(alpha: float = 1.0, beta: float = 1.0, use_r: bool = True, use_w: bool = True, of: str = "") -> Column:
+    """mu_L exp(alpha R - beta W_E), of plain features or of a setting's (`of`)."""
+    p = f"{of}_" if of else ""
     power = F.lit(0.0)
-    power = power + alpha * F.col("r") if use_r else power
-    power = power - beta * F.col("w_e") if use_w else power
-    return F.col("mu_l") * F.exp(power)
+    power = power + alpha * F.col(f"{p}r") if use_r else power
+    power = power - beta * F.col(f"{p}w_e") if use_w else power
+    return F.col(f"{p}mu_l") * F.exp(power)
 
 
-def fusions() -> dict[str, Column]:
-    mu, r, w = F.col("mu_l"), F.col("r"), F.col("w_e")
-    return {"full": index(), "trend": mu, "R": index(use_w=False), "WE": index(use_r=False), "linear": mu * (1 + r - w), "product": mu * r * (1 - w), "additive": mu + r - w}
+def fusions(of: str = "") -> dict[str, Column]:
+    mu, r, w = (F.col(f"{of}_{c}" if of else c) for c in ("mu_l", "r", "w_e"))
+    return {"full": index(of=of), "trend": mu, "R": index(use_w=False, of=of), "WE": index(use_r=False, of=of), "linear": mu * (1 + r - w), "product": mu * r * (1 - w), "additive": mu + r - w}
 
 
 def slope_index(alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0, clip: float | None = 3.0) -> Column:
@@ -83,36 +120,60 @@ def structural_gate(gamma: float = 0.3) -> Column:
     return F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("r") * (1 - F.col("w_e")))), F.lit(gamma))
 
 
+#: Settings of the sensitivity study: clamps, gate exponents and trust factors.
+CLAMPS, GAMMAS, TRUSTS, KAPPAS = (2.0, 4.0, 8.0), (0.1, 0.3, 0.5), (0.8, 1.0), (1.0, 1.5, 2.0, 3.0)
+
+
+def _name(text: str, value: float) -> str:
+    return f"{text}{value:g}".replace(".", "_")
+
+
 def coefficient_forecasts(features: DataFrame, horizon: int = 1, level: int = 3, clamps: tuple[float, ...] = (4.0,), kappas: tuple[float, ...] = (1.0,)) -> DataFrame:
-    """features (with low) plus the extended means of each forecaster, the backtest gate and skill factors; low is dropped."""
+    """features (with low) plus the extended means of each forecaster, the backtest gate and skill factors; low is dropped.
+
+    mu_<forecaster>_c<clamp> is clamped at the last coefficient, mu_<forecaster>_free is not, and
+    mu_mean_level is clamped at mu_L.
+    """
     m = W.ahead(horizon, level)
-    columns = {f"mu_{k.lower()}_c{c:g}": (k, c) for k in W.FORECASTS for c in clamps} | {"mu_yw_free": ("YW", None)}
+    columns = {_name(f"mu_{k.lower()}_c", c): (k, c) for k in ("NLMS", "YW", "TS", "LEVEL") for c in clamps} | {"mu_yw_free": ("YW", None), "mu_mean_free": ("MEAN", None)}
 
     def work(a: np.ndarray) -> dict[str, np.ndarray]:
         out = {name: W.extended_mean(a, m, how, c) for name, (how, c) in columns.items()}
+        out["mu_mean_level"] = W.extended_mean(a, m, "MEAN", 4.0, W.recency_mean(a))
         out["gate"] = W.backtest_gate(a, m)
-        return out | {f"skill_{k:g}".replace(".", "_"): W.skill(a, m, k) for k in kappas}
+        return out | {_name("skill_", k): W.skill(a, m, k) for k in kappas}
 
-    names = [*columns, "gate", *[f"skill_{k:g}".replace(".", "_") for k in kappas]]
-    return _batchwise(features, "low", ", ".join(f"{n.replace('.', '_')} double" for n in names), lambda a: {k.replace(".", "_"): v for k, v in work(a).items()})
+    names = [*columns, "mu_mean_level", "gate", *[_name("skill_", k) for k in kappas]]
+    return _batchwise(features, "low", ", ".join(f"{n} double" for n in names), work)
 
 
 def forecast_index(mu_hat: str, share: Column | float = 1.0, alpha: float = 1.0, beta: float = 1.0) -> Column:
-    """mu_L^(1-s) mu_hat^s exp(alpha R - beta W_E); zero where mu_L vanishes."""
+    """mu_L^(1-s) mu_hat^s exp(alpha R - beta W_E); zero where mu_L vanishes, and mu_L in place of a mu_hat that does."""
     s = share if isinstance(share, Column) else F.lit(float(share))
-    level = F.pow("mu_l", 1 - s) * F.pow(F.col(mu_hat), s)
+    hat = F.when((F.col(mu_hat) > 1e-12) & ~F.isnan(mu_hat), F.col(mu_hat)).otherwise(F.col("mu_l"))
+    level = F.col("mu_l") * F.pow(hat / F.greatest(F.col("mu_l"), F.lit(1e-12)), s)
     return F.when(F.col("mu_l") <= 1e-12, 0.0).otherwise(level * F.exp(alpha * F.col("r") - beta * F.col("w_e")))
 
 
 def forecast_scores(gamma: float = 0.3) -> dict[str, Column]:
-    """The forecast indices over coefficient_forecasts(clamps=(4,), kappas=(1, ...))."""
+    """The forecast indices over coefficient_forecasts()."""
     return {
-        "WSPI-F": forecast_index("mu_nlms_c4"), "WSPI-FYW": forecast_index("mu_yw_free"), "WSPI-F2": forecast_index("mu_yw_c4", structural_gate(gamma)),
-        "WSPI-FT": forecast_index("mu_ts_c4"), "WSPI-FG": forecast_index("mu_yw_c4", F.col("gate")), "WSPI-S": forecast_index("mu_yw_c4", F.col("skill_1")),
-        "WSPI-M": forecast_index("mu_mean_c4"), "WSPI-H": forecast_index("mu_level_c4"), "WSPI-HL": F.when(F.col("mu_l") <= 1e-12, 0.0).otherwise(F.col("mu_level_c4")),
+        "WSPI-F": forecast_index("mu_nlms_c4"), "WSPI-FYW": F.col("mu_yw_free") * F.exp(F.col("r") - F.col("w_e")), "WSPI-F2": forecast_index("mu_yw_c4", structural_gate(gamma)),
+        "WSPI-FT": forecast_index("mu_ts_c4"), "WSPI-FG": forecast_index("mu_yw_c4", F.col("gate")), "WSPI-S": forecast_index("mu_level_c4"),
+        "WSPI-M": F.col("mu_mean_free") * F.exp(F.col("r") - F.col("w_e")), "WSPI-H": forecast_index("mu_mean_level"), "WSPI-HL": forecast_index("mu_mean_level", alpha=0.0, beta=0.0),
     }
 
 
+def skilled_scores(kappas: tuple[float, ...] = KAPPAS, gamma: float = 0.3) -> dict[str, Column]:
+    """The index whose share is the structural gate times the skill factor, for each kappa (over coefficient_forecasts(kappas=...))."""
+    return {f"WSPI-FS{k:g}": forecast_index("mu_yw_c4", structural_gate(gamma) * F.col(_name("skill_", k))) for k in kappas}
+
+
+def sensitivity_scores(clamps: tuple[float, ...] = CLAMPS, gammas: tuple[float, ...] = GAMMAS, trusts: tuple[float, ...] = TRUSTS) -> dict[str, Column]:
+    """The gated index for every clamp, gate exponent and trust factor (over coefficient_forecasts(clamps=...))."""
+    return {f"WSPI-F2_c{c:g}_g{g:g}_p{p:g}": forecast_index(_name("mu_yw_c", c), p * structural_gate(g)) for c in clamps for g in gammas for p in trusts}
+
+
 def shift_energies(frames: DataFrame, x: str = "x_w", level: int = 3, transform: str = "dtcwt", shifts: int = 9) -> DataFrame:
     """Variation of band energies, R and W_E over circular shifts 0 to shifts - 1 of each window (population forms)."""
 
@@ -136,10 +197,12 @@ def boundary_weights(n: int = 64, level: int = 3, transform: str = "dtcwt") -> l
 
 
 def nlms_convergence(features: DataFrame) -> DataFrame:
-    """Per place t: median and 90 % quantile of the one-step NLMS error over mu_L."""
+    """Per method and place t: median and 90 % quantile (by sketch) of the one-step error over mu_L, of NLMS and of AR(2)."""
 
     def work(a: np.ndarray) -> dict[str, np.ndarray]:
-        return {"errors": W.nlms_errors(a) / np.maximum(W.recency_mean(a), 1e-12)[:, None]}
+        level = np.maximum(W.recency_mean(a), 1e-12)[:, None]
+        return {"NLMS": W.nlms_errors(a) / level, "YW": W.yule_walker_errors(a) / level}
 
-    rows = _batchwise(features.select("low"), "low", "errors array<double>", work)
-    return rows.select(F.posexplode("errors").alias("t", "e")).groupBy((F.col("t") + 3).alias("t")).agg(F.percentile_approx("e", 0.5, 10000).alias("median"), F.percentile_approx("e", 0.9, 10000).alias("q90"), F.count("*").alias("n"))
+    rows = _batchwise(features.select("low"), "low", "NLMS array<double>, YW array<double>", work)
+    both = rows.select(F.explode(F.create_map(F.lit("NLMS"), "NLMS", F.lit("YW"), "YW")).alias("method", "errors"))
+    return both.select("method", F.posexplode("errors").alias("t", "e")).groupBy("method", (F.col("t") + 3).alias("t")).agg(F.percentile_approx("e", 0.5, 10000).alias("median"), F.percentile_approx("e", 0.9, 10000).alias("q90"), F.count("*").alias("n"))

@@ -91,5 +91,12 @@ def forecast_baselines(horizon: int) -> list[S.Scorer]:
     ]
 
 
+def held(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the folder that all executors share, and read from there."""
+    from ..sources.tables import stored
+
+    return stored(df, name)
+
+
 def named(columns: dict[str, Column]) -> list[Column]:
     return [c.alias(k) for k, c in columns.items()]

@@ -12,6 +12,7 @@ from ..operators import relation as L2
 from ..operators import wavelet as V
 from . import checks_sql as Q
 from . import popularity as P
+from . import wave_sql as WS
 from .registry import query, with_
 
 _NAMES = tuple(s.name for s in S.BASELINES)
@@ -129,113 +130,286 @@ def g19_time_split(spark, sf_dir):
     return G.time_split(_scored(spark, sf_dir, "AF"))
 
 
-# Sweeps
+# Transforms and sweeps
+
+_KEEP = ["window_id", "item_id", "truth"]
+_WINDOWS = (Q.DEMAND, Q.frames(64, 32))
+
+
+def _bare(spark, sf_dir, horizon: int = 1):
+    """Windows of 64 slots of the items with 32 observed ones."""
+    return _frames(spark, sf_dir, horizon=horizon)[1].drop("observed_w")
+
+
+def _long(wide, columns: dict):
+    """Rows (window_id, item_id, truth, method, score) of score columns; scores are compared at nine digits."""
+    return R.to_long(wide.select(*_KEEP, *P.named(columns)), list(columns), _KEEP).withColumn("score", F.round("score", 9))
+
+
+def _summary(scores, ks=R.KS, metrics=R.METRICS):
+    return P.rounded(R.summarize(R.protocol(scores, ks), metrics))
 
 
 @query()
 def e2_window_sweep(spark, sf_dir):
-    return P.rounded(R.summarize(P.sweep(P.weekly(spark, sf_dir), (7, 16, 32), P.baselines_at)))
+    """Twelve methods over 7 to 128 slots, wavelet methods from 16 on; windows from 32 on that all of them have."""
+    study = P.weekly(spark, sf_dir)
+    lengths = (7, 16, 32, 64, 128)
+    parts = [study.scored([S.Scorer(f"{s.name}@{n}", n, s.min_obs, s.expr) for n in lengths for s in P.baselines_at(n)])]
+    for n in lengths[1:]:
+        rows = study.windows({"w": n}).where(G.eligible("w", min(32, n // 2), P.MIN_TOTAL)).select(*_KEEP, "x_w")
+        sets = V.feature_sets(G.valid_windows(rows, study.dense, ["window_id"]), {"dt": {}, "dw": {"transform": "dwt"}}, target=n)
+        parts.append(_long(sets, {f"WSPI@{n}": V.index(of="dt"), f"DTCWT+AF@{n}": F.col("dt_af"), f"DWT+AF@{n}": F.col("dw_af")}))
+    return P.rounded(R.summarize(G.common_windows(G.first_window(R.protocol(G.union_all(parts)), 32))))
 
 
-@query()
+_NINE = ["sc AS (SELECT window_id, item_id, truth, method, round(score, 9) AS score FROM (" + Q.long(Q.SCORES, "f7") + ") UNION ALL " + WS.scores({"WSPI": WS.index(), "DTCWT+AF": "af"}, "fe_dt") + " UNION ALL " + WS.scores({"DWT+AF": "af"}, "fe_dw") + ")"]
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3, name="f7"), Q.frames(64, 32), WS.padded(), WS.features(tag="dt"), WS.features(transform="dwt", tag="dw"), *_NINE, WS.protocol()) + WS.summary())
 def e1_main_evaluation(spark, sf_dir):
     """Nine methods: six baselines over 7 slots, three transform scorers over 64."""
-    study, rows = _frames(spark, sf_dir)
-    dt = V.wavelet_features(rows.drop("observed_w")).select("window_id", "item_id", "truth", V.index().alias("WSPI"), F.col("af").alias("DTCWT+AF"))
-    dw = V.wavelet_features(rows.drop("observed_w"), transform="dwt").select("window_id", "item_id", "truth", F.col("af").alias("DWT+AF"))
-    keep = ["window_id", "item_id", "truth"]
-    scores = G.union_all([study.scored(list(S.BASELINES)), R.to_long(dt, ["WSPI", "DTCWT+AF"], keep), R.to_long(dw, ["DWT+AF"], keep)])
-    return P.rounded(R.summarize(R.protocol(scores)))
+    sets = V.feature_sets(_bare(spark, sf_dir), {"dt": {}, "dw": {"transform": "dwt"}})
+    return _summary(G.union_all([_scored(spark, sf_dir, *_NAMES), _long(sets, {"WSPI": V.index(of="dt"), "DTCWT+AF": F.col("dt_af"), "DWT+AF": F.col("dw_af")})]))
 
 
-@query()
+_TERM = lambda p: f"(CASE WHEN {p} > 0 THEN -({p}) * log2({p}) ELSE 0 END)"
+
+
+@query(with_(*_WINDOWS, WS.padded(), WS.features()) + "SELECT window_id, item_id, " + ", ".join(f"{Q.r6(x)} AS {n}" for n, x in {"mu_l": "mu_l", "r": "r", "w_e": "w_e", "d": "d", "e_tot": "e_tot", "wspi": WS.index(), "residual": f"w_e * 2 - ({_TERM('r')} + {_TERM('(1 - r)')} + (1 - r) * h_q)"}.items()) + " FROM fe_f")
 def w7_wavelet_features(spark, sf_dir):
-    rows = _frames(spark, sf_dir)[1]
-    out = V.wavelet_features(rows.drop("observed_w"))
+    out = V.wavelet_features(_bare(spark, sf_dir))
     return P.rounded(out.select("window_id", "item_id", "mu_l", "r", "w_e", "d", "e_tot", V.index().alias("wspi"), V.entropy_residual().alias("residual")))
 
 
-@query()
+@query(with_(*_WINDOWS, WS.padded(), WS.features(transform="dwt")) + "SELECT window_id, item_id, " + ", ".join(f"{Q.r6(c)} AS {c}" for c in ("mu_l", "r", "w_e", "d", "e_tot", "af")) + " FROM fe_f")
+def w2_decimated_features(spark, sf_dir):
+    out = V.wavelet_features(_bare(spark, sf_dir), transform="dwt")
+    return P.rounded(out.select("window_id", "item_id", "mu_l", "r", "w_e", "d", "e_tot", "af"))
+
+
+_SLOPED = "mu_l * exp(least(3, greatest(-3, slope + r - w_e)))"
+
+
+@query(with_(*_WINDOWS, WS.padded(), WS.features(), f"sc AS ({WS.scores(WS.FUSIONS | {'slope_index': _SLOPED}, 'fe_f')})", WS.protocol()) + WS.summary())
 def w10_fusions(spark, sf_dir):
-    rows = V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w"))
-    wide = rows.select("window_id", "item_id", "truth", *P.named(V.fusions()), V.slope_index().alias("slope_index"))
-    return P.rounded(R.summarize(R.protocol(R.to_long(wide, [*V.fusions(), "slope_index"], ["window_id", "item_id", "truth"]))))
+    return _summary(_long(V.wavelet_features(_bare(spark, sf_dir)), V.fusions() | {"slope_index": V.slope_index()}))
 
 
-@query()
-def w13_shift_variation(spark, sf_dir):
+_BOTH = {"dtcwt": "dt", "dwt": "dw"}
+_VARIANTS = {f"{k} {t}": (k, tag) for t, tag in _BOTH.items() for k in ("full", "trend", "R", "WE")} | {f"{k} dtcwt": (k, "dt") for k in ("linear", "product", "additive")} | {"linear dwt": ("linear", "dw")}
+
+
+@query(with_(*_WINDOWS, WS.padded(), WS.features(tag="dt"), WS.features(transform="dwt", tag="dw"), "sc AS (" + " UNION ALL ".join(WS.scores({n: WS.FUSIONS[k]}, f"fe_{tag}") for n, (k, tag) in _VARIANTS.items()) + ")", WS.protocol((10,))) + WS.summary(("ndcg_10", "coverage_10", "rsi_10", "mae", "spearman_rho")))
+def e7_ablation(spark, sf_dir):
+    """Twelve variants: structure terms on and off over both transforms, and other fusions."""
+    sets = V.feature_sets(_bare(spark, sf_dir), {"dt": {}, "dw": {"transform": "dwt"}})
+    return _summary(_long(sets, {n: V.fusions(tag)[k] for n, (k, tag) in _VARIANTS.items()}), (10,), ("ndcg_10", "coverage_10", "rsi_10", "mae", "spearman_rho"))
+
+
+_CV = ("cv_0", "cv_1", "cv_2", "cv_3", "sd_r", "sd_w")
+
+
+def _shifted(tag: str, transform: str, how: str) -> str:
+    """sv_<tag>: per window the variation of energies over nine circular shifts."""
+    return f"""{WS.features(3, transform, how, tag, "rolled")},
+sv_{tag} AS (SELECT window_id, item_id // 16 AS item_id, {", ".join(f"coalesce(stddev_pop(e{b}) / nullif(avg(e{b}), 0), 0) AS cv_{b}" for b in range(4))}, stddev_pop(r) AS sd_r, stddev_pop(w_e) AS sd_w FROM fe_{tag} GROUP BY 1, 2)"""
+
+
+_ROLLED = "fulls AS (SELECT window_id, CAST(item_id AS BIGINT) AS item_id, max(truth) AS truth, list(v ORDER BY i DESC) AS x FROM fr_x WHERE n = 64 GROUP BY 1, 2), rolled AS (SELECT window_id, item_id * 16 + s AS item_id, truth, list_concat(x[65 - s:64], x[1:64 - s]) AS x FROM fulls, (SELECT unnest(range(0, 9)) AS s))"
+
+
+def _shifts(spark, sf_dir):
     rows = _frames(spark, sf_dir)[1].where("size(x_w) = 64").select("window_id", "item_id", "x_w")
-    both = G.union_all([V.shift_energies(rows, transform=t).withColumn("transform", F.lit(t)) for t in ("dtcwt", "dwt")])
-    return P.rounded(both.groupBy("transform").agg(*[F.avg(c).alias(c) for c in ("cv_0", "cv_1", "cv_2", "cv_3", "sd_r", "sd_w")]))
+    return {t: V.shift_energies(rows, transform=t) for t in _BOTH}
 
 
-@query()
+@query(with_(*_WINDOWS, _ROLLED, _shifted("dt", "dtcwt", "periodic"), _shifted("dw", "dwt", "periodization")) + " UNION ALL ".join(f"SELECT '{t}' AS transform, {', '.join(f'{Q.r6(f'avg({c})')} AS {c}' for c in _CV)} FROM sv_{tag}" for t, tag in _BOTH.items()))
+def w13_shift_variation(spark, sf_dir):
+    both = G.union_all([d.withColumn("transform", F.lit(t)) for t, d in _shifts(spark, sf_dir).items()])
+    return P.rounded(both.groupBy("transform").agg(*[F.avg(c).alias(c) for c in _CV]))
+
+
+_HIGHER = ", ".join(f"CAST(sum(CASE WHEN round(a.{c}, 9) > round(b.{c}, 9) THEN 1 ELSE 0 END) AS BIGINT) AS higher_{c}, {Q.r6(f'avg(a.{c})')} AS dual_{c}, {Q.r6(f'avg(b.{c})')} AS decimated_{c}" for c in _CV)
+
+
+@query(with_(*_WINDOWS, _ROLLED, _shifted("dt", "dtcwt", "periodic"), _shifted("dw", "dwt", "periodization")) + f"SELECT window_id, count(*) AS num_items, {_HIGHER} FROM sv_dt a JOIN sv_dw b USING (window_id, item_id) GROUP BY window_id")
+def e10_shift_windows(spark, sf_dir):
+    """Per window: mean variation under shifts of both transforms, and items for which that of the dual tree is higher."""
+    dual, decimated = (_shifts(spark, sf_dir)[t].select("window_id", "item_id", *[F.col(c).alias(f"{n}_{c}") for c in _CV]) for t, n in (("dtcwt", "dual"), ("dwt", "decimated")))
+    both = dual.join(decimated, ["window_id", "item_id"])
+    columns = [x for c in _CV for x in (F.sum((F.round(f"dual_{c}", 9) > F.round(f"decimated_{c}", 9)).cast("long")).alias(f"higher_{c}"), F.avg(f"dual_{c}").alias(f"dual_{c}"), F.avg(f"decimated_{c}").alias(f"decimated_{c}"))]
+    return P.rounded(both.groupBy("window_id").agg(F.count("*").alias("num_items"), *columns))
+
+
+_LEVELS = (2, 3, 4, 5)
+
+
+@query(with_(*_WINDOWS, WS.padded(), *[WS.features(j, tag=f"j{j}") for j in _LEVELS], "sc AS (" + " UNION ALL ".join(WS.scores({f"WSPI J={j}": WS.index()}, f"fe_j{j}") for j in _LEVELS) + ")", WS.protocol()) + WS.summary())
 def e3_level_sweep(spark, sf_dir):
-    rows = _frames(spark, sf_dir)[1].drop("observed_w")
-    parts = [V.wavelet_features(rows, level=j).select("window_id", "item_id", "truth", F.lit(f"WSPI J={j}").alias("method"), V.index().alias("score")) for j in (2, 3, 4, 5)]
-    return P.rounded(R.summarize(R.protocol(G.union_all(parts))))
+    sets = V.feature_sets(_bare(spark, sf_dir), {f"j{j}": {"level": j} for j in _LEVELS})
+    return _summary(_long(sets, {f"WSPI J={j}": V.index(of=f"j{j}") for j in _LEVELS}))
 
 
-@query()
+_PADDINGS = {"rs": ("reflect", "symmetric"), "ee": ("edge", "edge"), "zz": ("zero", "zero"), "sp": ("symmetric", "periodic")}
+
+
+@query(with_(*_WINDOWS, *[WS.padded(how=p).replace("xs AS", f"xs_{k} AS").replace("FROM xs)", f"FROM xs_{k})").replace("px AS", f"px_{k} AS") + ",\n" + WS.features(how=h, tag=k, source=f"px_{k}") for k, (p, h) in _PADDINGS.items()], "sc AS (" + " UNION ALL ".join(WS.scores({f"{p}/{h}": WS.index()}, f"fe_{k}") for k, (p, h) in _PADDINGS.items()) + ")", WS.protocol()) + WS.summary())
 def e8_padding(spark, sf_dir):
-    rows = _frames(spark, sf_dir)[1].drop("observed_w")
-    parts = [V.wavelet_features(rows, how=h, pad=p).select("window_id", "item_id", "truth", F.lit(f"{p}/{h}").alias("method"), V.index().alias("score")) for p, h in (("reflect", "symmetric"), ("edge", "edge"), ("zero", "zero"), ("symmetric", "periodic"))]
-    return P.rounded(R.summarize(R.protocol(G.union_all(parts))))
+    """Ways to fill short windows and to continue windows at their ends."""
+    sets = V.feature_sets(_bare(spark, sf_dir), {k: {"pad": p, "how": h} for k, (p, h) in _PADDINGS.items()})
+    return _summary(_long(sets, {f"{p}/{h}": V.index(of=k) for k, (p, h) in _PADDINGS.items()}))
 
 
-@query()
+@query(with_(*_WINDOWS, WS.padded(), WS.features(), f"sc AS ({WS.scores({'WSPI': WS.index()}, 'fe_f')})", WS.protocol((10,)), "fl AS (SELECT window_id, avg(CASE WHEN n < 64 THEN 1.0 ELSE 0.0 END) AS padded FROM fr GROUP BY 1), pf AS (SELECT pr.*, padded > 0 AS padded FROM pr JOIN fl USING (window_id))") + " UNION ALL ".join(f"SELECT '{part}' AS part, count(*) AS n_windows, {Q.r6('avg(ndcg_10)')} AS ndcg_10, {Q.r6('avg(rsi_10)')} AS rsi_10, {Q.r6('avg(CASE WHEN padded THEN 1.0 ELSE 0.0 END)')} AS padded_share FROM pf WHERE {rule}" for part, rule in (("all", "true"), ("padded", "padded"), ("whole", "NOT padded"))))
+def e8_padded_share(spark, sf_dir):
+    """Metrics of all windows, of the padded ones and of those of full length."""
+    rows = _bare(spark, sf_dir)
+    flags = rows.groupBy("window_id").agg(F.max((F.size("x_w") < 64).cast("int")).alias("padded"))
+    pr = R.protocol(_long(V.wavelet_features(rows), {"WSPI": V.index()}), (10,)).join(flags, "window_id")
+    parts = [pr.where(rule).agg(F.lit(part).alias("part"), F.count("*").alias("n_windows"), F.avg("ndcg_10").alias("ndcg_10"), F.avg("rsi_10").alias("rsi_10"), F.avg(F.col("padded").cast("double")).alias("padded_share")) for part, rule in (("all", "true"), ("padded", "padded = 1"), ("whole", "padded = 0"))]
+    return P.rounded(G.union_all(parts))
+
+
+#: Exponents of the grid study.
+GRID = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
+_PAIRS = {f"{100 * a:g}_{100 * b:g}": (a, b) for a in GRID for b in GRID}
+_GRID_SQL = (*_WINDOWS, WS.padded(), WS.features(), f"fx AS (SELECT window_id, item_id, truth, mu_l, r, w_e FROM fe_f), sc AS ({WS.scores({n: WS.index(a, b) for n, (a, b) in _PAIRS.items()}, 'fx')})", WS.protocol((10,)), "wi AS (SELECT window_id, row_number() OVER (ORDER BY window_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT window_id FROM pr)), ps AS (SELECT pr.*, CASE WHEN k <= floor(0.3 * n) THEN 'tune' ELSE 'test' END AS part FROM pr JOIN wi USING (window_id))")
+_GRID_SUM = "gs AS (SELECT method, part, count(*) AS n_windows, avg(ndcg_10) AS ndcg_10, avg(rsi_10) AS rsi_10 FROM (SELECT method, part, ndcg_10, rsi_10 FROM ps UNION ALL SELECT method, 'all', ndcg_10, rsi_10 FROM ps) GROUP BY 1, 2)"
+
+
+def _grid(spark, sf_dir):
+    """Metric rows of every pair of exponents (named by a hundred times each), with the part of the windows."""
+    feats = V.wavelet_features(_bare(spark, sf_dir)).select(*_KEEP, "mu_l", "r", "w_e")
+    rows = R.protocol(_long(feats, {n: V.index(a, b) for n, (a, b) in _PAIRS.items()}), (10,)).select("window_id", "method", "ndcg_10", "rsi_10")
+    return rows.join(G.time_split(rows), "window_id")
+
+
+@query(with_(*_GRID_SQL, _GRID_SUM) + f"SELECT method, part, n_windows, {Q.r6('ndcg_10')} AS ndcg_10, {Q.r6('rsi_10')} AS rsi_10 FROM gs")
+def e6_grid_summary(spark, sf_dir):
+    """Means of every configuration over all windows, the first 30 % of them and the rest."""
+    return P.rounded(grid_summary(_grid(spark, sf_dir)))
+
+
+_SELECTED = """tn AS (SELECT method, ndcg_10, rsi_10, abs(CAST(split_part(method, '_', 1) AS DOUBLE) - 100) + abs(CAST(split_part(method, '_', 2) AS DOUBLE) - 100) AS away, ndcg_10 >= 0.99::DOUBLE * max(ndcg_10) OVER () AS feasible FROM gs WHERE part = 'tune')"""
+
+
+@query(with_(*_GRID_SQL, _GRID_SUM, _SELECTED) + f"SELECT method, {Q.r6('tn.ndcg_10')} AS tune_ndcg_10, {Q.r6('tn.rsi_10')} AS tune_rsi_10, {Q.r6('te.ndcg_10')} AS test_ndcg_10, {Q.r6('te.rsi_10')} AS test_rsi_10, feasible, row_number() OVER (ORDER BY feasible DESC, round(tn.rsi_10, 4) DESC, round(tn.ndcg_10, 4) DESC, away, method) = 1 AS selected FROM tn JOIN (SELECT * FROM gs WHERE part = 'test') te USING (method)")
 def e4_parameter_grid(spark, sf_dir):
-    """alpha x beta on cached features (methods are named by ten times each); the configuration within 1 % of the best NDCG that has the most stable top 10."""
-    feats = V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w")).select("window_id", "item_id", "truth", "mu_l", "r", "w_e")
-    pairs = [(a, b) for a in (0.0, 0.5, 1.0, 2.0) for b in (0.0, 0.5, 1.0, 2.0)]
-    names = [f"{10 * a:g}_{10 * b:g}" for a, b in pairs]
-    wide = feats.select("window_id", "item_id", "truth", *[V.index(a, b).alias(n) for n, (a, b) in zip(names, pairs, strict=True)])
-    summary = R.summarize(R.protocol(R.to_long(wide, names, ["window_id", "item_id", "truth"]), (10,)), ("ndcg_10", "rsi_10"))
-    return P.rounded(select_config(summary))
+    """The 7 x 7 grid; of the configurations within 1 % of the best NDCG of the tuning windows the one with the most stable top 10, and what it gives on the test windows."""
+    return P.rounded(select_config(grid_summary(_grid(spark, sf_dir))))
 
 
-def select_config(summary, tolerance: float = 0.01, default: str = "10_10"):
-    """Flags the feasible configurations and the one chosen: most stable, then best, then nearest to the default (4 digits)."""
+@query(with_(*_GRID_SQL, _GRID_SUM, _SELECTED) + f", se AS (SELECT method, row_number() OVER (ORDER BY feasible DESC, round(rsi_10, 4) DESC, round(ndcg_10, 4) DESC, away, method) AS k FROM tn WHERE CAST(split_part(method, '_', 1) AS DOUBLE) + CAST(split_part(method, '_', 2) AS DOUBLE) = 200) SELECT method, {Q.r6('CAST(split_part(method, chr(95), 1) AS DOUBLE) / 200')} AS share, {Q.r6('gs.ndcg_10')} AS ndcg_10, {Q.r6('gs.rsi_10')} AS rsi_10, k = 1 AS selected FROM se JOIN gs USING (method) WHERE gs.part = 'test'")
+def e6_equal_sum(spark, sf_dir):
+    """The configurations whose exponents sum to two, with alpha's share, chosen among themselves."""
+    rows = _grid(spark, sf_dir)
+    a, b = (F.element_at(F.split("method", "_"), i).cast("double") for i in (1, 2))
+    out = select_config(grid_summary(rows).where(a + b == 200))
+    return P.rounded(out.select("method", (a / 200).alias("share"), F.col("test_ndcg_10").alias("ndcg_10"), F.col("test_rsi_10").alias("rsi_10"), "selected"))
+
+
+def grid_summary(rows):
+    """Per configuration and part (tune, test, all): windows and means."""
+    both = rows.unionByName(rows.withColumn("part", F.lit("all")))
+    return both.groupBy("method", "part").agg(F.count("*").alias("n_windows"), F.avg("ndcg_10").alias("ndcg_10"), F.avg("rsi_10").alias("rsi_10"))
+
+
+def select_config(summary, tolerance: float = 0.01, default: tuple[float, float] = (100.0, 100.0)):
+    """Flags the feasible configurations by the tuning windows and the one chosen: most stable, then best, then nearest to the default (4 digits)."""
     from pyspark.sql import Window
 
     everything = Window.partitionBy()
     a, b = (F.element_at(F.split("method", "_"), i).cast("double") for i in (1, 2))
-    da, db = (float(v) for v in default.split("_"))
-    rows = summary.withColumn("feasible", F.col("ndcg_10_mean") >= (1 - tolerance) * F.max("ndcg_10_mean").over(everything)).withColumn("away", F.abs(a - da) + F.abs(b - db))
-    order = everything.orderBy(F.desc("feasible"), F.desc(F.round("rsi_10_mean", 4)), F.desc(F.round("ndcg_10_mean", 4)), "away", "method")
-    return rows.select("method", "ndcg_10_mean", "rsi_10_mean", "feasible", (F.row_number().over(order) == 1).alias("selected"))
+    means = lambda part: summary.where(F.col("part") == part).select("method", *[F.col(m).alias(f"{part}_{m}") for m in ("ndcg_10", "rsi_10")])
+    rows = means("tune").join(means("test"), "method").withColumn("feasible", F.col("tune_ndcg_10") >= (1 - tolerance) * F.max("tune_ndcg_10").over(everything)).withColumn("away", F.abs(a - default[0]) + F.abs(b - default[1]))
+    order = everything.orderBy(F.desc("feasible"), F.desc(F.round("tune_rsi_10", 4)), F.desc(F.round("tune_ndcg_10", 4)), "away", "method")
+    return rows.withColumn("selected", F.row_number().over(order) == 1).drop("away")
 
 
-@query()
+# Forecasts of coefficients
+
+_AHEAD = lambda h, clamps=(4.0,): (Q.DEMAND, Q.frames(64, 32, horizon=h), WS.padded(), WS.features(), WS.forecasts(h, clamps))
+
+
+@query(with_(*_AHEAD(8), f"sc AS ({WS.scores(WS.FORECAST_SCORES | {'WSPI': WS.index()}, 'fo')})", WS.protocol()) + WS.summary())
 def f10_forecast_indices(spark, sf_dir):
-    feats = V.wavelet_features(_frames(spark, sf_dir, horizon=8)[1].drop("observed_w"))
-    fore = V.coefficient_forecasts(feats, horizon=8)
-    wide = fore.select("window_id", "item_id", "truth", *P.named(V.forecast_scores()), V.index().alias("WSPI"))
-    return P.rounded(R.summarize(R.protocol(R.to_long(wide, [*V.forecast_scores(), "WSPI"], ["window_id", "item_id", "truth"]))))
+    """Forecast indices for the eight slots to come, judged by their sum."""
+    fore = V.coefficient_forecasts(V.wavelet_features(_bare(spark, sf_dir, 8)), horizon=8)
+    return _summary(_long(fore, V.forecast_scores() | {"WSPI": V.index()}))
+
+
+_FIVE = ("ndcg_10", "coverage_10", "rsi_10", "mae", "spearman_rho")
+
+
+@query(with_(*_AHEAD(8, V.CLAMPS), f"sc AS ({WS.scores(WS.SKILLED | WS.SENSITIVE, 'fo')})", WS.protocol((10,))) + WS.summary(_FIVE))
+def f11_forecast_settings(spark, sf_dir):
+    """Four skill factors, and every clamp, gate exponent and trust factor, for eight slots to come."""
+    fore = V.coefficient_forecasts(V.wavelet_features(_bare(spark, sf_dir, 8)), horizon=8, clamps=V.CLAMPS, kappas=V.KAPPAS)
+    return _summary(_long(fore, V.skilled_scores() | V.sensitivity_scores()), (10,), _FIVE)
+
+
+_VALUES = ", ".join(f"{Q.r6(c)} AS {c}" for c in ("mu_nlms_c4", "mu_yw_c4", "mu_ts_c4", "mu_level_c4", "mu_yw_free", "mu_mean_free", "mu_mean_level"))
+
+
+@query(with_(*_AHEAD(8)) + f"SELECT window_id, item_id, {_VALUES}, {Q.r6(WS.GATE)} AS gate, {Q.r6(WS.skill(1))} AS skill_1 FROM fo")
+def f1_coefficient_forecasts(spark, sf_dir):
+    """Extended means of every forecaster, backtest gate and skill factor of each window."""
+    fore = V.coefficient_forecasts(V.wavelet_features(_bare(spark, sf_dir, 8)), horizon=8)
+    return P.rounded(fore.select("window_id", "item_id", *[c for c in fore.columns if c.startswith("mu_") and c != "mu_l"], "gate", "skill_1"))
+
+
+#: Value forecasters of the prediction runs, by horizon, over the windows of 64 slots.
+def _value_methods(h: int) -> dict:
+    x = F.col("x_w")
+    out = {"Persistence": S.persistence(x, h), "Holt": S.holt(x, h), "ARYW": S.ar2(x, h), "MA64": S.moving_average(x, 64, h)}
+    return out | {f"SMA{n}": S.moving_average(x, n, h) for n in (8, 16, 32, 64)} | {f"EWMA{n}": S.ewma_equivalent(x, n, h) for n in (8, 16, 32, 64)}
+
+
+def _prediction(spark, sf_dir, h: int):
+    rows = _bare(spark, sf_dir, h)
+    values = _value_methods(h)
+    fore = V.coefficient_forecasts(V.wavelet_features(rows.select(*_KEEP, *P.named(values), "x_w")), horizon=h, kappas=V.KAPPAS)
+    return _long(fore, V.forecast_scores() | V.skilled_scores() | {"WSPI": V.index()} | {n: F.col(n) for n in values})
 
 
 @query()
+def e19_prediction_runs(spark, sf_dir):
+    """Every forecaster at horizons of 1, 8 and 24 slots: coefficient forecasts, levels, controls and value forecasters."""
+    parts = [_prediction(spark, sf_dir, h).withColumn("method", F.concat(F.lit(f"{h}:"), "method")) for h in (1, 8, 24)]
+    out = R.summarize(R.protocol(G.union_all(parts), (10,)), _FIVE)
+    return P.rounded(out.withColumn("horizon", F.split_part("method", F.lit(":"), F.lit(1)).cast("int")).withColumn("method", F.split_part("method", F.lit(":"), F.lit(2))))
+
+
+_RATIO = "round(score / nullif(base, 0), 9)"
+
+
+@query(with_(*_AHEAD(1), f"sc AS ({WS.scores(WS.FORECAST_SCORES, 'fo')}), rt AS (SELECT method, score, round({WS.index()}, 9) AS base FROM sc JOIN fe_f USING (window_id, item_id))") + f"SELECT method, {Q.r6(f'min({_RATIO})')} AS least, {Q.r6(f'max({_RATIO})')} AS most, CAST(count(CASE WHEN {_RATIO} < 0.25 THEN 1 END) AS BIGINT) AS n_below, CAST(count(CASE WHEN {_RATIO} > 4 THEN 1 END) AS BIGINT) AS n_above, CAST(count(CASE WHEN base = 0 THEN 1 END) AS BIGINT) AS n_zero_base, CAST(0 AS BIGINT) AS n_nonfinite FROM rt GROUP BY method")
 def f13_score_bounds(spark, sf_dir):
     """Ratio of each forecast index to the plain one."""
-    fore = V.coefficient_forecasts(V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w")))
-    long = R.to_long(fore.select("window_id", "item_id", V.index().alias("base"), *P.named(V.forecast_scores())), list(V.forecast_scores()), ["window_id", "item_id", "base"])
-    ratio = F.col("score") / F.nullif(F.col("base"), F.lit(0.0))
-    return P.rounded(long.groupBy("method").agg(F.min(ratio).alias("least"), F.max(ratio).alias("most"), F.sum((ratio < 0.25).cast("int")).alias("n_below"), F.sum((ratio > 4).cast("int")).alias("n_above"), F.sum((F.col("base") == 0).cast("int")).alias("n_zero_base"), F.sum(F.isnan("score").cast("int")).alias("n_nonfinite")))
+    fore = V.coefficient_forecasts(V.wavelet_features(_bare(spark, sf_dir)))
+    long = R.to_long(fore.select("window_id", "item_id", F.round(V.index(), 9).alias("base"), *P.named(V.forecast_scores())), list(V.forecast_scores()), ["window_id", "item_id", "base"])
+    ratio = F.round(F.round("score", 9) / F.nullif(F.col("base"), F.lit(0.0)), 9)
+    count = lambda rule: F.coalesce(F.sum(rule.cast("int")), F.lit(0))
+    return P.rounded(long.groupBy("method").agg(F.min(ratio).alias("least"), F.max(ratio).alias("most"), count(ratio < 0.25).alias("n_below"), count(ratio > 4).alias("n_above"), count(F.col("base") == 0).alias("n_zero_base"), count(F.isnan("score")).alias("n_nonfinite")))
 
 
-@query()
+@query(with_(*_AHEAD(1)) + f"SELECT window_id, {Q.r6(f'median({WS.structural()})')} AS median_structural, {Q.r6(f'avg({WS.structural()})')} AS mean_structural, {Q.r6(f'median({WS.GATE})')} AS median_backtest, {Q.r6(f'avg(CASE WHEN round({WS.GATE}, 9) > 0 THEN 1.0 ELSE 0.0 END)')} AS share_open FROM fo GROUP BY window_id")
 def f14_gate_profile(spark, sf_dir):
-    fore = V.coefficient_forecasts(V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w"))).withColumn("s_gate", V.structural_gate())
-    per = fore.groupBy("window_id").agg(F.percentile("s_gate", F.lit(0.5)).alias("median_structural"), F.avg("s_gate").alias("mean_structural"), F.percentile("gate", F.lit(0.5)).alias("median_backtest"), F.avg((F.col("gate") > 0).cast("double")).alias("share_open"))
+    fore = V.coefficient_forecasts(V.wavelet_features(_bare(spark, sf_dir))).withColumn("s_gate", V.structural_gate())
+    per = fore.groupBy("window_id").agg(F.percentile("s_gate", F.lit(0.5)).alias("median_structural"), F.avg("s_gate").alias("mean_structural"), F.percentile("gate", F.lit(0.5)).alias("median_backtest"), F.avg((F.round("gate", 9) > 0).cast("double")).alias("share_open"))
     return P.rounded(per)
 
 
-@query()
+_BINS = f"gb AS (SELECT least(floor(round({WS.structural()}, 9) * 10000), 9999) AS bin, count(*) AS n FROM fe_f GROUP BY 1), gr AS (SELECT *, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM gb)"
+
+
+@query(with_(*_WINDOWS, WS.padded(), WS.features(), _BINS) + f"SELECT q, {Q.r6('(bin + (q * total - (upto - n)) / n) / 10000')} AS value FROM gr, (SELECT unnest([0.1, 0.5, 0.9]::DOUBLE[]) AS q) WHERE upto >= q * total AND upto - n < q * total")
 def f15_gate_quantiles(spark, sf_dir):
     """Quantiles from 10,000 bins, linear inside the bin."""
     from pyspark.sql import Window
 
-    fore = V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w")).select(F.least(F.floor(V.structural_gate() * 10000), F.lit(9999)).alias("bin"))
+    fore = V.wavelet_features(_bare(spark, sf_dir)).select(F.least(F.floor(F.round(V.structural_gate(), 9) * 10000), F.lit(9999)).alias("bin"))
     bins = fore.groupBy("bin").agg(F.count("*").alias("n"))
     run = bins.withColumn("upto", F.sum("n").over(Window.partitionBy().orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
     q = run.crossJoin(F.broadcast(spark.createDataFrame([(0.1,), (0.5,), (0.9,)], "q double"))).where((F.col("upto") >= F.col("q") * F.col("all")) & (F.col("upto") - F.col("n") < F.col("q") * F.col("all")))
@@ -244,36 +418,70 @@ def f15_gate_quantiles(spark, sf_dir):
 
 @query()
 def f16_nlms_convergence(spark, sf_dir):
-    return P.rounded(V.nlms_convergence(V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w"))))
+    return P.rounded(V.nlms_convergence(V.wavelet_features(_bare(spark, sf_dir))))
 
 
-@query()
+# Relations of features
+
+_MIN_SD = lambda c: f"stddev_pop({c}) >= 1e-12"
+_CORR = lambda a, b: f"CASE WHEN count(*) >= 10 AND {_MIN_SD(a)} AND {_MIN_SD(b)} THEN corr({a}, {b}) END"
+_RANKS_SQL = "rl AS (SELECT *, " + ", ".join(f"rank() OVER (PARTITION BY window_id ORDER BY {c}) + (count(*) OVER (PARTITION BY window_id, {c}) - 1) / 2.0 AS r_{c}" for c in ("r", "w_e", "truth", "mu_l")) + " FROM rd)"
+_REL = "rs AS (SELECT window_id, count(*) AS n, " + ", ".join(f"{_CORR(a, b)} AS {n}" for n, a, b in (("s_r", "r_r", "r_truth"), ("p_r", "r", "truth"), ("s_w", "r_w_e", "r_truth"), ("p_w", "w_e", "truth"), ("rm", "r_r", "r_mu_l"), ("wm", "r_w_e", "r_mu_l"), ("tm", "r_truth", "r_mu_l"))) + " FROM rl GROUP BY 1)"
+_DIGITS = "rd AS (SELECT window_id, item_id, truth, round(r, 9) AS r, round(w_e, 9) AS w_e, round(mu_l, 9) AS mu_l FROM fe_f)"
+
+
+def _nine(rows):
+    """Features at nine digits, so that equal windows tie wherever they are worked out."""
+    return rows.select(*_KEEP, *[F.round(c, 9).alias(c) for c in ("r", "w_e", "mu_l")])
+
+
+@query(with_(*_WINDOWS, WS.padded(), WS.features(), _DIGITS, _RANKS_SQL, _REL) + "SELECT window_id, n, " + ", ".join(f"{Q.r6(x)} AS {n}" for n, x in {"spearman_r": "s_r", "pearson_r": "p_r", "partial_r": "(s_r - rm * tm) / nullif(sqrt((1 - rm * rm) * (1 - tm * tm)), 0)", "spearman_w_e": "s_w", "pearson_w_e": "p_w", "partial_w_e": "(s_w - wm * tm) / nullif(sqrt((1 - wm * wm) * (1 - tm * tm)), 0)"}.items()) + " FROM rs")
 def e11_feature_relation(spark, sf_dir):
-    rows = V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w"))
-    return P.rounded(L2.within_window(rows, ["r", "w_e"], "truth", "mu_l"))
+    return P.rounded(L2.within_window(_nine(V.wavelet_features(_bare(spark, sf_dir))), ["r", "w_e"], "truth", "mu_l"))
+
+
+_CELLS = lambda n: f"sp AS (SELECT min(r) AS r0, max(r) AS r1, min(w_e) AS w0, max(w_e) AS w1 FROM rd), ce AS (SELECT CAST(least(floor((r - r0) / (r1 - r0 + 1e-12) * {n}), {n - 1}) AS INTEGER) AS i, CAST(least(floor((w_e - w0) / (w1 - w0 + 1e-12) * {n}), {n - 1}) AS INTEGER) AS j, count(*) AS n FROM rd, sp GROUP BY 1, 2)"
+
+
+@query(with_(*_WINDOWS, WS.padded(), WS.features(), _DIGITS, _CELLS(20), "cj AS (SELECT *, sum(n) OVER (PARTITION BY i) AS ni, sum(n) OVER (PARTITION BY j) AS nj, sum(n) OVER () AS total FROM ce), mi AS (SELECT sum(n / total * ln(n * total / (ni * nj))) AS m FROM (SELECT n::DOUBLE AS n, ni::DOUBLE AS ni, nj::DOUBLE AS nj, total::DOUBLE AS total FROM cj))") + f"SELECT {Q.r6('(SELECT m FROM mi)')} AS mutual_information, {Q.r6('corr(r, w_e)')} AS r, {Q.r6('1 / (1 - corr(r, w_e) * corr(r, w_e))')} AS vif, {Q.r6('avg(CASE WHEN r > 0.5 THEN 1.0 ELSE 0.0 END)')} AS share_above_half FROM rd")
+def e12_dependence(spark, sf_dir):
+    """Mutual information, correlation and variance inflation of two features over all windows."""
+    rows = _nine(V.wavelet_features(_bare(spark, sf_dir)))
+    return P.rounded(L2.mutual_information(rows, "r", "w_e").crossJoin(L2.collinearity(rows, ("r", "w_e"))))
+
+
+@query(with_(*_WINDOWS, WS.padded(), WS.features(), _DIGITS) + " UNION ALL ".join(f"SELECT '{c}' AS name, " + ", ".join(f"{Q.r6(f'quantile_cont({c}, {q})')} AS q{round(100 * q):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM rd" for c in ("r", "w_e", "mu_l")))
+def e12_quantiles(spark, sf_dir):
+    return P.rounded(L2.quantiles(_nine(V.wavelet_features(_bare(spark, sf_dir))), ["r", "w_e", "mu_l"]))
 
 
 @query()
 def e12_pooled_relation(spark, sf_dir):
-    rows = V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w")).select("r", "w_e", "truth").persist()
-    one = L2.eta_squared(rows, "r", "truth").crossJoin(L2.mutual_information(rows, "r", "w_e")).crossJoin(L2.collinearity(rows, ("r", "w_e")))
-    return P.rounded(one)
+    """Share of the truth's variance between bins of equal size; ties of the feature fall into either bin."""
+    return P.rounded(L2.eta_squared(_nine(V.wavelet_features(_bare(spark, sf_dir))), "r", "truth"))
 
 
-@query()
+@query(with_(*_WINDOWS, WS.padded(), WS.features(), _DIGITS, _CELLS(100)) + "SELECT i, j, n FROM ce")
 def e13_density(spark, sf_dir):
-    rows = V.wavelet_features(_frames(spark, sf_dir)[1].drop("observed_w"))
-    return L2.density(rows, "r", "w_e")
+    return L2.density(_nine(V.wavelet_features(_bare(spark, sf_dir))), "r", "w_e")
 
 
 # Learned ranker
 
+#: Boosting rounds and step of the registered ranker.
+ROUNDS, RATE = 60, 0.1
+
 
 @query()
 def f19_learned_ranker(spark, sf_dir):
+    """Trees on plain window features (GBM) and on these with the transform's (GBM+W), both fitted before the first test window."""
     _, rows = _frames(spark, sf_dir)
-    feats = rows.select("window_id", "item_id", "truth", *P.named(L.window_features(F.col("x_w")))).persist()
-    first_test = feats.agg(F.percentile("window_id", F.lit(0.3))).first()[0]
-    model = L.fit(L.training_rows(feats, int(first_test)), list(L.window_features(F.col("x_w"))), rounds=5)
-    scored = L.score(model, feats.where(F.col("window_id") >= int(first_test))).select("window_id", "item_id", "truth", F.lit("GBM").alias("method"), "score")
-    return P.rounded(R.summarize(R.protocol(scored)))
+    plain = rows.select(*_KEEP, *P.named(L.window_features(F.col("x_w"))), "x_w")
+    feats = P.held(V.wavelet_features(plain).drop("low", "energies"), "ranker")
+    first_test = int(feats.agg(F.percentile("window_id", F.lit(0.3))).first()[0])
+    names = list(L.window_features(F.col("x_w")))
+    parts = []
+    for method, columns in (("GBM", names), ("GBM+W", [*names, "mu_l", "r", "w_e"])):
+        model = L.fit(L.training_rows(feats, first_test), columns, rounds=ROUNDS, rate=RATE)
+        parts.append(L.score(model, feats.where(F.col("window_id") >= first_test)).select(*_KEEP, F.lit(method).alias("method"), "score"))
+    return P.rounded(R.summarize(R.protocol(G.union_all(parts))))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,24 @@ TRIP = ("tpep_pickup_datetime", "PULocationID")
 TRIP_FEATURES = ("fare_amount", "trip_distance", "passenger_count", "total_amount")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see (spark.checkpoint.dir); a temporary one only where all run on this machine."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("slotwave.shared.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="slotwave-")
+        spark.conf.set("slotwave.shared.dir", path)
+    return path.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back; it survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RATINGS).option("header", True).csv(path)
 
