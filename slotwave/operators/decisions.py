@@ -105,6 +105,43 @@ def aggregate_ranking(means: DataFrame, lower_is_better: tuple[str, ...] = ("mae
     return ranked.groupBy("method").agg(F.avg("r").alias("average_rank"), _count(F.col("r") == 1).alias("first_places"), F.percentile("r", F.lit(0.5)).alias("median_rank"), F.count("*").alias("n"))
 
 
+def median_ranks(means: DataFrame, lower_is_better: tuple[str, ...] = ("mae",)) -> DataFrame:
+    """Median over cells of each method's average rank in a metric."""
+    value = F.when(F.col("metric").isin(*lower_is_better), F.col("mean")).otherwise(-F.col("mean"))
+    ranked = means.withColumn("_v", value).withColumn("r", average_rank("_v", [*CELL, "metric"]))
+    return ranked.groupBy("method", "metric").agg(F.percentile("r", F.lit(0.5)).alias("median_rank"), F.count("*").alias("n_cells"))
+
+
+def cell_ranges(comparisons: DataFrame) -> DataFrame:
+    """Per cell: least and most windows and blocks of its comparisons (n_windows, n_blocks)."""
+    return comparisons.groupBy(*CELL).agg(*[f(c).cast("long").alias(f"{n}_{c[2:]}") for c in ("n_windows", "n_blocks") for f, n in ((F.min, "least"), (F.max, "most"))])
+
+
+def bound_extremes(bounds: DataFrame, by: tuple[str, ...] = ("horizon", "method")) -> DataFrame:
+    """Smallest and largest ratio over scenarios, with the bounds that hold for them."""
+    return bounds.groupBy(*by).agg(F.min("lower").alias("lower"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("upper").alias("upper"))
+
+
+def select_setting(verdicts: DataFrame, setting: str, metrics: tuple[str, ...], cells: int) -> DataFrame:
+    """Per setting (the reference of its verdicts): cells, complete ones and successes; the one with most successes is selected, of equals the largest.
+
+    A cell succeeds if the setting is better on one metric at least and worse on none. Nothing
+    is selected while a cell is missing.
+    """
+    by = [setting, *CELL]
+    own = verdicts.where(F.col("metric").isin(*metrics)).groupBy(*by).agg(_count(F.col("verdict") == "ref_better").alias("b"), _count(F.col("verdict") == "ref_worse").alias("w"), F.count_distinct("metric").alias("n"))
+    success = (F.col("n") == len(metrics)) & (F.col("b") >= 1) & (F.col("w") == 0)
+    out = own.groupBy(setting).agg(F.count("*").alias("n_cells"), _count(F.col("n") == len(metrics)).alias("n_complete"), _count(success).alias("n_success"))
+    everything = Window.partitionBy()
+    first = F.row_number().over(everything.orderBy(F.desc("n_success"), F.desc(setting))) == 1
+    return out.withColumn("selected", first & (F.min("n_complete").over(everything) == cells))
+
+
+def sensitivity(means: DataFrame, by: str, metrics: tuple[str, ...]) -> DataFrame:
+    """Per value of a setting: number of configurations, mean and range of each metric over them."""
+    return means.groupBy(by).agg(F.count("*").alias("n"), *[f(m).alias(f"{m}_{n}") for m in metrics for f, n in ((F.avg, "mean"), (F.min, "min"), (F.max, "max"))])
+
+
 def verdict_counts(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("method", "metric").pivot("verdict", ["ref_better", "ref_worse", "n.s."]).count().fillna(0).withColumnRenamed("n.s.", "not_significant")
 
@@ -161,3 +198,10 @@ def run_ranges(protocol: DataFrame, by: list[str]) -> DataFrame:
 def numbers_table(wide: DataFrame, key: str, names: list[str]) -> DataFrame:
     """Long form (key, name, value) of a wide table."""
     return wide.select(key, *[F.col(n).cast("double").alias(n) for n in names]).unpivot([key], names, "name", "value")
+
+
+def cross_check(table: DataFrame, other: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Per name: values of a numbers table compared with those of another source (again), and how many differ or are missing."""
+    both = table.join(other, keys, "full_outer")
+    apart = F.coalesce(F.abs(F.col("value") - F.col("again")) > tolerance, F.col("value").isNull() != F.col("again").isNull())
+    return both.groupBy("name").agg(F.count("*").alias("n_compared"), F.sum(apart.cast("long")).alias("n_different"))

@@ -72,7 +72,7 @@ def truth_rsi(ranks: DataFrame, k: int = 10) -> DataFrame:
 def stability(protocol: DataFrame, truth: DataFrame) -> DataFrame:
     """Per method: how its RSI follows the change it could have seen, and the share of windows below it by more than 0.1."""
     both = protocol.select("window_id", "method", "rsi_10").join(truth, "window_id").where("rsi_10 is not null and seen_rsi is not null")
-    return both.groupBy("method").agg(F.count("*").alias("n"), pearson("rsi_10", "seen_rsi").alias("corr"), F.avg((F.col("rsi_10") < F.col("seen_rsi") - 0.1).cast("double")).alias("failure_share"))
+    return both.groupBy("method").agg(F.count("*").alias("n"), pearson("rsi_10", "seen_rsi").alias("corr"), F.avg((F.round("rsi_10", 9) < F.round(F.col("seen_rsi") - 0.1, 9)).cast("double")).alias("failure_share"))
 
 
 def examples(d: DataFrame) -> DataFrame:

@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from .ranking import average_rank
 
+#: What a comparison is made within, beside the metric.
+KEYS = ("scenario", "horizon")
+#: Values are compared at so many digits, so that ties do not hang on the order of sums.
+DIGITS = 9
 #: Metrics of which less is better.
 LOWER_IS_BETTER = ("mae", "distortion", "mape")
 
 
 def long_metrics(protocol: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    """(window_id, method, metric, value), nulls dropped."""
-    return protocol.select("window_id", "method", *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(["window_id", "method"], list(metrics), "metric", "value").where("value is not null and not isnan(value)")
+    """(window_id, method, metric, value at nine digits), nulls dropped; further key columns are kept."""
+    keys = ["window_id", "method", *[c for c in KEYS if c in protocol.columns]]
+    return protocol.select(*keys, *[F.round(F.col(m).cast("double"), DIGITS).alias(m) for m in metrics]).unpivot(keys, list(metrics), "metric", "value").where("value is not null and not isnan(value)")
 
 
 def block_means(rows: DataFrame, block: int, by: list[str]) -> DataFrame:
@@ -74,11 +79,16 @@ def wilcoxon(d: np.ndarray) -> float:
     return float(math.erfc(abs(plus - mean) / math.sqrt(2 * var)))
 
 
+def _by(rows: DataFrame) -> list[str]:
+    return [c for c in KEYS if c in rows.columns] + ["metric", "method"]
+
+
 def paired(long_rows: DataFrame, reference: str) -> DataFrame:
-    """(metric, method, window_id, ref, value, diff): diff is positive where the reference is better."""
-    ref = long_rows.where(F.col("method") == reference).select("metric", "window_id", F.col("value").alias("ref"))
+    """(metric, method, window_id, ref, value, diff) in each cell: diff is positive where the reference is better."""
+    keys = [*_by(long_rows)[:-1], "window_id"]
+    ref = long_rows.where(F.col("method") == reference).select(*keys, F.col("value").alias("ref"))
     sign = F.when(F.col("metric").isin(*LOWER_IS_BETTER), -1.0).otherwise(1.0)
-    return long_rows.where(F.col("method") != reference).join(ref, ["metric", "window_id"]).select("metric", "method", "window_id", "ref", F.col("value"), ((F.col("ref") - F.col("value")) * sign).alias("diff"))
+    return long_rows.where(F.col("method") != reference).join(ref, keys).select(*keys, "method", "ref", "value", F.round((F.col("ref") - F.col("value")) * sign, DIGITS).alias("diff"))
 
 
 def effect_sizes(pairs: DataFrame) -> DataFrame:
@@ -97,16 +107,27 @@ def effect_sizes(pairs: DataFrame) -> DataFrame:
 
 
 def tests(pairs: DataFrame, block: int, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """Per metric and method: interval of the mean difference, p of single windows and of block means. One group is one pair's windows."""
+    """Per metric and method: interval of the mean difference (none for 0 draws), p of single windows and of block means. One group is one pair's windows."""
+    by = _by(pairs)
+    kinds = dict(pairs.dtypes)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("window_id")
         d = t["diff"].to_numpy()
-        lo, hi = block_bootstrap(d, block, draws, seed)
-        full = d[: len(d) // block * block].reshape(-1, block).mean(1)
-        return pa.table([t["metric"].slice(0, 1), t["method"].slice(0, 1), pa.array([lo]), pa.array([hi]), pa.array([wilcoxon(d)]), pa.array([wilcoxon(full) if len(full) else None], pa.float64()), pa.array([len(full)], pa.int64())], names=["metric", "method", "ci_low", "ci_high", "p_window", "p_block", "n_blocks"])
+        lo, hi = block_bootstrap(d, block, draws, seed) if draws else (None, None)
+        full = np.round(d[: len(d) // block * block].reshape(-1, block).mean(1), 12)
+        facts = {"ci_low": lo, "ci_high": hi, "p_window": wilcoxon(d), "p_block": wilcoxon(full) if len(full) else None}
+        return pa.table([*(t[c].slice(0, 1) for c in by), *(pa.array([x], pa.float64()) for x in facts.values()), pa.array([len(full)], pa.int64())], names=[*by, *facts, "n_blocks"])
 
-    return pairs.select("metric", "method", "window_id", "diff").groupBy("metric", "method").applyInArrow(run, "metric string, method string, ci_low double, ci_high double, p_window double, p_block double, n_blocks long")
+    return pairs.select(*by, "window_id", "diff").groupBy(*by).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", ci_low double, ci_high double, p_window double, p_block double, n_blocks long")
+
+
+def cell_verdicts(long_rows: DataFrame, reference: str, block: int) -> DataFrame:
+    """Per cell, metric and method: mean difference to the reference, verdict by Holm-adjusted block tests, and by single windows."""
+    pairs, family = paired(long_rows, reference), _by(long_rows)[:-1]
+    out = pairs.groupBy(*_by(pairs)).agg(F.avg("diff").alias("mean_diff")).join(tests(pairs, block, 0), _by(pairs))
+    out = holm(out, "p_block", family, "p_holm").withColumn("verdict", verdict("p_holm")).withColumn("verdict_sens", verdict("p_window"))
+    return out.withColumn("reference", F.lit(reference))
 
 
 def holm(df: DataFrame, p: str, family: list[str], out: str) -> DataFrame:
@@ -134,6 +155,11 @@ def paired_report(protocol: DataFrame, reference: str, metrics: tuple[str, ...],
     return out.withColumn("reference", F.lit(reference))
 
 
+def method_moments(long_rows: DataFrame) -> DataFrame:
+    """Metric x method: n, mean, sd, median."""
+    return long_rows.groupBy("metric", "method").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(0.5)).alias("median"))
+
+
 def method_summary(long_rows: DataFrame, block: int, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """Metric x method: n, mean, sd, median, and the block-bootstrap interval of the mean."""
 
@@ -142,7 +168,7 @@ def method_summary(long_rows: DataFrame, block: int, draws: int = 10_000, seed:
         lo, hi = block_bootstrap(t["value"].to_numpy(), block, draws, seed)
         return pa.table([t["metric"].slice(0, 1), t["method"].slice(0, 1), pa.array([lo]), pa.array([hi])], names=["metric", "method", "ci_low", "ci_high"])
 
-    plain = long_rows.groupBy("metric", "method").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(0.5)).alias("median"))
+    plain = method_moments(long_rows)
     return plain.join(long_rows.groupBy("metric", "method").applyInArrow(run, "metric string, method string, ci_low double, ci_high double"), ["metric", "method"])
 
 

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-DEMAND = """demand AS (SELECT date_trunc('week', l_shipdate) AS ts, CAST(l_suppkey AS VARCHAR) AS item_id, count(*) AS cnt FROM lineitem GROUP BY 1, 2),
-grid AS (SELECT min(ts) AS t0, CAST(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) // 7 AS INTEGER) AS n FROM demand),
-seen AS (SELECT item_id, CAST(date_diff('day', CAST(t0 AS DATE), CAST(ts AS DATE)) // 7 AS INTEGER) AS slot, cnt FROM demand, grid),
-slots AS (SELECT CAST(unnest(range(0, (SELECT n + 1 FROM grid))) AS INTEGER) AS slot),
-dense AS (SELECT i.item_id, s.slot, CAST(coalesce(d.cnt, 0) AS DOUBLE) AS v, CASE WHEN d.cnt IS NULL THEN 0 ELSE 1 END AS present
-  FROM (SELECT DISTINCT item_id FROM demand) i CROSS JOIN slots s LEFT JOIN seen d ON d.item_id = i.item_id AND d.slot = s.slot)"""
 
+def study(rows: str, seconds: int, tag: str = "") -> str:
+    """Demand from rows (ts, item_id, cnt) on its grid: <tag>demand, <tag>grid, <tag>dense."""
+    return f"""{tag}demand AS ({rows}),
+{tag}grid AS (SELECT min(ts) AS t0, CAST((epoch(max(ts)) - epoch(min(ts))) // {seconds} AS INTEGER) AS n FROM {tag}demand),
+{tag}seen AS (SELECT item_id, CAST((epoch(ts) - epoch(t0)) // {seconds} AS INTEGER) AS slot, cnt FROM {tag}demand, {tag}grid),
+{tag}slots AS (SELECT CAST(unnest(range(0, (SELECT n + 1 FROM {tag}grid))) AS INTEGER) AS slot),
+{tag}dense AS (SELECT i.item_id, s.slot, CAST(coalesce(d.cnt, 0) AS DOUBLE) AS v, CASE WHEN d.cnt IS NULL THEN 0 ELSE 1 END AS present
+  FROM (SELECT DISTINCT item_id FROM {tag}demand) i CROSS JOIN {tag}slots s LEFT JOIN {tag}seen d ON d.item_id = i.item_id AND d.slot = s.slot)"""
 
-def frames(window: int, min_obs: int, min_total: int = 24, horizon: int = 1, name: str = "fr") -> str:
-    """Eligible rows of valid windows: window_id, item_id, truth, n (slots in the window)."""
+
+DEMAND = study("SELECT date_trunc('week', l_shipdate) AS ts, CAST(l_suppkey AS VARCHAR) AS item_id, count(*) AS cnt FROM lineitem GROUP BY 1, 2", 604800)
+USERS = study("SELECT to_timestamp(floor(epoch(ts) / 21600) * 21600) AT TIME ZONE 'UTC' AS ts, CAST(user_id AS VARCHAR) AS item_id, count(*) AS cnt FROM events GROUP BY 1, 2", 21600, "u_")
+
+
+def frames(window: int, min_obs: int, min_total: int = 24, horizon: int = 1, name: str = "fr", tag: str = "") -> str:
+    """Eligible rows of valid windows of a study: window_id, item_id, truth, n (slots in the window)."""
     return f"""{name}_all AS (SELECT slot AS window_id, item_id, coalesce(sum(v) OVER (PARTITION BY item_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   coalesce(sum(present) OVER (PARTITION BY item_id ORDER BY slot ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING), 0) AS observed, least(slot, {window}) AS n,
-  sum(v) OVER (PARTITION BY item_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND {horizon - 1} FOLLOWING) AS truth FROM dense),
-{name}_ok AS (SELECT * FROM {name}_all, grid WHERE {name}_all.n > 0 AND observed >= {min_obs} AND before >= {min_total} AND window_id + {horizon - 1} <= grid.n),
-{name} AS (SELECT window_id, item_id, truth, least(window_id, {window}) AS n FROM {name}_ok WHERE window_id IN (SELECT slot FROM dense GROUP BY slot HAVING max(present) = 1) AND window_id IN (SELECT window_id FROM {name}_ok GROUP BY window_id HAVING count(*) >= 2)),
-{name}_x AS (SELECT f.window_id, f.item_id, f.truth, f.n, d.v, f.window_id - 1 - d.slot AS i FROM {name} f JOIN dense d ON d.item_id = f.item_id AND d.slot >= f.window_id - {window} AND d.slot < f.window_id)"""
+  sum(v) OVER (PARTITION BY item_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND {horizon - 1} FOLLOWING) AS truth FROM {tag}dense),
+{name}_ok AS (SELECT a.window_id, a.item_id, a.truth, a.observed FROM {name}_all a, {tag}grid g WHERE a.n > 0 AND observed >= {min_obs} AND before >= {min_total} AND window_id + {horizon - 1} <= g.n),
+{name} AS (SELECT window_id, item_id, truth, observed, least(window_id, {window}) AS n FROM {name}_ok WHERE window_id IN (SELECT slot FROM {tag}dense GROUP BY slot HAVING max(present) = 1) AND window_id IN (SELECT window_id FROM {name}_ok GROUP BY window_id HAVING count(*) >= 2)),
+{name}_x AS (SELECT f.window_id, f.item_id, f.truth, f.n, f.observed, d.v, f.window_id - 1 - d.slot AS i FROM {name} f JOIN {tag}dense d ON d.item_id = f.item_id AND d.slot >= f.window_id - {window} AND d.slot < f.window_id)"""
 
 
 #: Scores from rows (v, i, n): i slots before the newest of n.

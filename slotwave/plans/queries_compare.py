@@ -19,6 +19,8 @@ from ..operators import strata as Z
 from ..streaming import online
 from . import checks_sql as Q
 from . import popularity as P
+from . import stats_sql as TS
+from . import wave_sql as WS
 from .queries_study import _NAMES, _frames, _sc, _scored
 from .registry import query, with_
 
@@ -120,22 +122,41 @@ def e15_delays(spark, sf_dir):
     return P.rounded(out.select("item_id", "t0", "run_len", "method", F.col("delay").cast("int").alias("delay"), "coverage"))
 
 
-@query()
+_DELAYS = lambda *names: (Q.DEMAND, _RANKS, _EVENTS, Q.frames(7, 3), _sc(*names), Q.RANKED, "ms AS (SELECT DISTINCT method FROM ranked), sl AS (SELECT e.item_id, e.t0, e.run_len, m.method, e.t0 + k.k AS window_id, k.k FROM ev e, ms m, (SELECT CAST(unnest(range(0, 400)) AS INTEGER) AS k) k WHERE k.k < e.run_len), dl AS (SELECT s.item_id, s.t0, s.run_len, s.method, min(CASE WHEN rank <= 10 THEN s.k END) AS delay, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS coverage, bool_or(s.k = 0 AND rank IS NOT NULL) AS eligible, coalesce(min(CASE WHEN rank <= 10 THEN s.k END), s.run_len) AS restricted FROM sl s LEFT JOIN ranked r ON r.window_id = s.window_id AND r.item_id = s.item_id AND r.method = s.method GROUP BY 1, 2, 3, 4)")
+_SHARE = lambda rule: Q.r6(f"avg(CASE WHEN {rule} THEN 1.0 ELSE 0.0 END)")
+_MEDIAN = "quantile_cont(coalesce(delay::DOUBLE, 'inf'::DOUBLE), 0.5)"
+
+
+@query(
+    with_(*_DELAYS("AF", "VSE", "EWMA"))
+    + f"SELECT method, count(*) AS n_events, count(DISTINCT item_id) AS n_items, {_SHARE('delay IS NULL')} AS miss_rate, CASE WHEN isfinite({_MEDIAN}) THEN {Q.r6(_MEDIAN)} END AS median_delay, {Q.r6('avg(restricted)')} AS mean_delay_restricted, {Q.r6('avg(delay)')} AS mean_delay_detected, {_SHARE('delay <= 0')} AS share_delay_le0, {_SHARE('delay <= 1')} AS share_delay_le1, {_SHARE('delay <= 3')} AS share_delay_le3, {Q.r6('avg(coverage)')} AS mean_coverage, {_SHARE('NOT eligible')} AS share_ineligible_at_t0, {Q.r6('avg(run_len)')} AS mean_run_len FROM dl GROUP BY method"
+)
 def e16_delay_summary(spark, sf_dir):
     ev = E.entry_events(E.truth_ranks(P.weekly(spark, sf_dir).dense), run=2, before=4)
     return P.rounded(E.summarize_delays(E.delays(ev, R.rank_items(_scored(spark, sf_dir, "AF", "VSE", "EWMA")))))
 
 
-@query()
+_TRUE_TOPS = "tt AS (SELECT slot, item_id FROM tr WHERE rank <= 10), ts AS (SELECT slot, lag(slot) OVER (ORDER BY slot) AS prev, count(*) AS n FROM tt GROUP BY slot), tj AS (SELECT s.slot, CASE WHEN s.prev IS NOT NULL THEN (SELECT count(*) FROM tt a JOIN tt b USING (item_id) WHERE a.slot = s.slot AND b.slot = s.prev)::DOUBLE / (s.n + p.n - (SELECT count(*) FROM tt a JOIN tt b USING (item_id) WHERE a.slot = s.slot AND b.slot = s.prev)) END AS truth_rsi FROM ts s LEFT JOIN ts p ON p.slot = s.prev), tz AS (SELECT slot AS window_id, truth_rsi, lag(truth_rsi) OVER (ORDER BY slot) AS seen_rsi FROM tj)"
+
+
+@query(with_(Q.DEMAND, _RANKS, _TRUE_TOPS) + f"SELECT window_id, {Q.r6('truth_rsi')} AS truth_rsi, {Q.r6('seen_rsi')} AS seen_rsi FROM tz")
+def m12_truth_rsi(spark, sf_dir):
+    return P.rounded(E.truth_rsi(E.truth_ranks(P.weekly(spark, sf_dir).dense)))
+
+
+@query(with_(Q.DEMAND, _RANKS, _TRUE_TOPS, Q.frames(7, 3), _sc("AF", "EWMA"), WS.protocol((10,))) + f"SELECT method, count(*) AS n, {Q.r6('corr(rsi_10, seen_rsi)')} AS corr, {Q.r6('avg(CASE WHEN round(rsi_10, 9) < round(seen_rsi - 0.1, 9) THEN 1.0 ELSE 0.0 END)')} AS failure_share FROM pr JOIN tz USING (window_id) WHERE rsi_10 IS NOT NULL AND seen_rsi IS NOT NULL GROUP BY method")
 def e17_stability(spark, sf_dir):
     truth = E.truth_rsi(E.truth_ranks(P.weekly(spark, sf_dir).dense))
     return P.rounded(E.stability(R.protocol(_scored(spark, sf_dir, "AF", "EWMA")), truth))
 
 
-@query()
+_NEAR = "nr AS (SELECT *, abs(restricted - median(restricted) OVER (PARTITION BY method)) AS off FROM dl), nt AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY off, t0, item_id) AS typical, row_number() OVER (PARTITION BY method ORDER BY restricted DESC, t0, item_id) AS worst FROM nr)"
+
+
+@query(with_(*_DELAYS("AF", "VSE"), _NEAR) + " UNION ALL ".join(f"SELECT method, '{k}' AS kind, item_id, t0, CAST(restricted AS BIGINT) AS delay_restricted FROM nt WHERE {k} = 1" for k in ("typical", "worst")))
 def e18_examples(spark, sf_dir):
     ev = E.entry_events(E.truth_ranks(P.weekly(spark, sf_dir).dense), run=2, before=4)
-    return P.rounded(E.examples(E.delays(ev, R.rank_items(_scored(spark, sf_dir, "AF", "VSE")))))
+    return E.examples(E.delays(ev, R.rank_items(_scored(spark, sf_dir, "AF", "VSE")))).withColumn("delay_restricted", F.col("delay_restricted").cast("long"))
 
 
 # Statistics and decisions
@@ -150,7 +171,7 @@ _NDCG = f"nd AS (SELECT window_id, method, round({Q.ndcg(10)}, 9) AS v FROM rank
 
 def _ndcg_pairs(spark, sf_dir):
     rows = R.window_metrics(R.rank_items(_scored(spark, sf_dir, *_NAMES)), (10,)).select("window_id", "method", F.round("ndcg_10", 9).alias("ndcg_10"))
-    return T.paired(T.long_metrics(rows, ("ndcg_10",)), "AF").withColumn("diff", F.round("diff", 9))
+    return T.paired(T.long_metrics(rows, ("ndcg_10",)), "AF")
 
 
 @query(
@@ -172,22 +193,61 @@ def t2_block_means(spark, sf_dir):
 
 @query()
 def t16_paired_report(spark, sf_dir):
-    out = T.paired_report(_protocol(spark, sf_dir), "AF", ("ndcg_10", "coverage_10", "rsi_10", "mae"), 8, 16, 2000)
-    return P.rounded(out)
+    """Reports against AF of all windows, the tuning part and the test part."""
+    rows = _protocol(spark, sf_dir)
+    parts = rows.join(G.time_split(rows), "window_id")
+    named = {"all": rows, "tune": parts.where("part = 'tune'"), "test": parts.where("part = 'test'")}
+    reports = [T.paired_report(d, "AF", ("ndcg_10", "coverage_10", "rsi_10", "mae"), T.block_length(8, 7, 1), T.block_length(16, 7, 1)).withColumn("part", F.lit(n)) for n, d in named.items()]
+    return P.rounded(G.union_all(reports))
+
+
+_MET4 = ("ndcg_10", "coverage_10", "rsi_10", "mae")
+_TESTED = (Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), WS.protocol((10,)), TS.long_metrics(_MET4), TS.pairs("AF"), TS.blocks(8, "metric, method"), TS.signed_ranks("pw", "df", "metric, method"), TS.signed_ranks("pb", "bl", "metric, method"), "cr AS (SELECT * FROM (SELECT metric, method, avg(d) AS mean_diff FROM df GROUP BY 1, 2) JOIN (SELECT metric, method, p AS p_window FROM pw) USING (metric, method) JOIN (SELECT metric, method, p AS p_block FROM pb) USING (metric, method))", TS.holm("cr", "h1", "p_window", "p_window_holm", "metric"), TS.holm("h1", "h2", "p_block", "p_block_holm", "metric"))
+
+
+@query(with_(*_TESTED) + "SELECT metric, method, " + ", ".join(f"{Q.r6(c)} AS {c}" for c in ("mean_diff", "p_window", "p_block", "p_window_holm", "p_block_holm")) + f", {TS.verdict('p_block_holm')} AS verdict FROM h2")
+def t8_verdicts(spark, sf_dir):
+    """Signed-rank tests of windows and of block means against AF, Holm's correction within a metric, verdicts."""
+    pairs = T.paired(T.long_metrics(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)), _MET4), "AF")
+    out = pairs.groupBy("metric", "method").agg(F.avg("diff").alias("mean_diff")).join(T.tests(pairs, 8, 0).drop("ci_low", "ci_high", "n_blocks"), ["metric", "method"])
+    return P.rounded(T.holm(T.holm(out, "p_window", ["metric"], "p_window_holm"), "p_block", ["metric"], "p_block_holm").withColumn("verdict", T.verdict("p_block_holm")))
 
 
 @query()
 def t9_method_summary(spark, sf_dir):
-    return P.rounded(T.method_summary(T.long_metrics(_protocol(spark, sf_dir), ("ndcg_10", "rsi_10")), 8, 2000))
+    return P.rounded(T.method_summary(T.long_metrics(_protocol(spark, sf_dir), ("ndcg_10", "rsi_10")), 8))
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), WS.protocol((10,)), TS.long_metrics(("ndcg_10", "rsi_10"))) + f"SELECT metric, method, count(*) AS n, {Q.r6('avg(value)')} AS mean, {Q.r6('stddev_samp(value)')} AS sd, {Q.r6('median(value)')} AS median FROM lm GROUP BY 1, 2")
+def t9_method_moments(spark, sf_dir):
+    """The part of the method summary that needs no draws."""
+    return P.rounded(T.method_moments(T.long_metrics(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)), ("ndcg_10", "rsi_10"))))
+
+
+_EFFECTS = f"""er AS (SELECT metric, method, d, rank() OVER (PARTITION BY metric, method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, method, abs(d)) - 1) / 2.0 AS r FROM df WHERE d <> 0), eb AS (SELECT metric, method, sum(CASE WHEN d > 0 THEN r ELSE -r END) / sum(r) AS rb FROM er GROUP BY 1, 2),
+ed AS (SELECT a.metric, a.method, avg(sign(a.ref - b.val) * CASE WHEN a.metric IN {TS.LOWER} THEN -1 ELSE 1 END) AS cd FROM df a JOIN df b ON a.metric = b.metric AND a.method = b.method GROUP BY 1, 2)"""
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), WS.protocol((10,)), TS.long_metrics(_MET4), TS.pairs("AF"), _EFFECTS) + f"SELECT metric, {Q.r6('median(rb)')} AS median_biserial, {Q.r6('median(cd)')} AS median_delta, count(*) AS n FROM ed JOIN eb USING (metric, method) GROUP BY metric")
+def k10_effect_medians(spark, sf_dir):
+    """Median effect sizes against AF by metric."""
+    return P.rounded(D.effect_medians(T.effect_sizes(T.paired(T.long_metrics(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)), _MET4), "AF"))))
 
 
 @query()
 def t10_cluster_bootstrap(spark, sf_dir):
     ev = E.entry_events(E.truth_ranks(P.weekly(spark, sf_dir).dense), run=2, before=4)
-    return P.rounded(T.cluster_bootstrap(E.delays(ev, R.rank_items(_scored(spark, sf_dir, "AF", "VSE"))), "method", "delay_restricted", "t0", 8, 2000))
+    return P.rounded(T.cluster_bootstrap(E.delays(ev, R.rank_items(_scored(spark, sf_dir, "AF", "VSE"))), "method", "delay_restricted", "t0", 8))
 
 
-@query()
+@query(with_(*_DELAYS("AF", "VSE")) + f"SELECT method, count(DISTINCT t0 // 8) AS n_clusters, {Q.r6('avg(restricted)')} AS mean FROM dl GROUP BY method")
+def t10_clusters(spark, sf_dir):
+    """Clusters and means of the delays, without draws."""
+    ev = E.entry_events(E.truth_ranks(P.weekly(spark, sf_dir).dense), run=2, before=4)
+    return P.rounded(T.cluster_bootstrap(E.delays(ev, R.rank_items(_scored(spark, sf_dir, "AF", "VSE"))), "method", "delay_restricted", "t0", 8).select("method", "n_clusters", "mean"))
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), Q.RANKED, _NDCG, "dm AS (SELECT 'ndcg_10' AS metric, * FROM df)", TS.signed_ranks("pw", "dm", "metric, method")) + f"SELECT metric, method, {Q.r6('p')} AS p_window, m, p < 0.05 / count(*) OVER () AS significant FROM pw JOIN (SELECT metric, method, count(*) AS m FROM dm WHERE d <> 0 GROUP BY 1, 2 HAVING count(*) >= 10) USING (metric, method)")
 def t11_bonferroni(spark, sf_dir):
     return P.rounded(T.bonferroni(_ndcg_pairs(spark, sf_dir)))
 
@@ -198,33 +258,54 @@ def t13_pairing_check(spark, sf_dir):
     return T.pairing_check(rows.groupBy("window_id", "method").agg(F.count("*").alias("num_items")), "a")
 
 
-def _cells(spark, sf_dir):
-    """Verdicts and means of two demand tables at two horizons: the cells of the decision operators."""
-    reports, means = [], []
+def _cell_metrics(spark, sf_dir):
+    """Metric rows of two demand tables at two horizons: the cells of the decision operators."""
+    parts = []
     for scenario, study in (("supplier", P.weekly(spark, sf_dir)), ("user", P.Study(P.user_six_hours(spark, sf_dir), 21600))):
         for horizon in (1, 4):
-            rows = T.long_metrics(R.protocol(study.scored(list(S.BASELINES), horizon)), ("ndcg_10", "rsi_10", "mae"))
-            pairs = T.paired(rows, "AF")
-            named = lambda d, s=scenario, h=horizon: d.withColumn("scenario", F.lit(s)).withColumn("horizon", F.lit(h))
-            out = pairs.groupBy("metric", "method").agg(F.avg("diff").alias("mean_diff")).join(T.tests(pairs, 8, 200), ["metric", "method"])
-            out = T.holm(out, "p_block", ["metric"], "p_holm").withColumn("verdict", T.verdict("p_holm")).withColumn("verdict_sens", T.verdict("p_window"))
-            reports.append(named(out).withColumn("reference", F.lit("AF")))
-            means.append(named(rows.groupBy("metric", "method").agg(F.avg("value").alias("mean"))))
-    return G.union_all(reports).persist(), G.union_all(means).persist()
+            parts.append(study.scored(list(S.BASELINES), horizon).select("window_id", "item_id", "truth", F.concat(F.lit(f"{scenario}:{horizon}:"), "method").alias("method"), F.round("score", 9).alias("score")))
+    part = lambda i: F.split_part("method", F.lit(":"), F.lit(i))
+    rows = R.protocol(G.union_all(parts), (10,)).select("window_id", "ndcg_10", "rsi_10", "mae", part(1).alias("scenario"), part(2).cast("int").alias("horizon"), part(3).alias("method"))
+    return P.held(T.long_metrics(rows, ("ndcg_10", "rsi_10", "mae")), "cells")
 
 
-@query()
+def _cells(spark, sf_dir):
+    """Verdicts of the cells against AF, and the methods' means."""
+    rows = _cell_metrics(spark, sf_dir)
+    return P.held(T.cell_verdicts(rows, "AF", 8), "verdicts"), rows.groupBy(*D.CELL, "metric", "method").agg(F.round(F.avg("value"), 9).alias("mean"))
+
+
+_COUNT = lambda rule: f"CAST(count(CASE WHEN {rule} THEN 1 END) AS BIGINT)"
+_PARETO = "pc AS (SELECT scenario, horizon, method, (rsi = 'ref_better') AND (ndcg <> 'ref_worse') AS success FROM (SELECT scenario, horizon, method, max(CASE WHEN metric = 'rsi_10' THEN verdict END) AS rsi, max(CASE WHEN metric = 'ndcg_10' THEN verdict END) AS ndcg FROM ve WHERE metric IN ('rsi_10', 'ndcg_10') GROUP BY 1, 2, 3))"
+_BEST = lambda names: f"bb AS (SELECT scenario, horizon, metric, method AS best, mean AS best_mean FROM (SELECT *, row_number() OVER (PARTITION BY scenario, horizon, metric ORDER BY CASE WHEN metric = 'mae' THEN -mean ELSE mean END DESC, list_position({names}, method)) AS k FROM me WHERE list_contains({names}, method)) WHERE k = 1), gc AS (SELECT m.scenario, m.horizon, m.metric, m.mean AS own_mean, best, best_mean, (m.mean - best_mean) / nullif(abs(best_mean), 0) AS gain FROM me m JOIN bb USING (scenario, horizon, metric) WHERE m.method = 'AF')"
+
+
+@query(with_(TS.CELLS, _PARETO) + f"SELECT method, {_COUNT('success')} AS n_success, {_COUNT('NOT success')} AS n_fail, {_COUNT('success IS NULL')} AS n_missing, CASE WHEN {_COUNT('success')} >= 3 THEN true WHEN {_COUNT('success')} + {_COUNT('success IS NULL')} < 3 THEN false END AS passed FROM pc GROUP BY method")
 def k1_pareto_cells(spark, sf_dir):
     return D.success_rule(D.pareto_cells(_cells(spark, sf_dir)[0]), 3, ["method"])
 
 
-@query()
+@query(with_(TS.CELLS, _BEST("['EWMA', 'RRD', 'VSE', 'CompoundPop', 'PFRF']")) + f"SELECT scenario, horizon, metric, {Q.r6('own_mean')} AS own_mean, best, {Q.r6('best_mean')} AS best_mean, {Q.r6('gain')} AS gain FROM gc")
 def k2_gain_claims(spark, sf_dir):
     means = _cells(spark, sf_dir)[1]
     return P.rounded(D.gain_claims(means, D.best_baseline(means, ["EWMA", "RRD", "VSE", "CompoundPop", "PFRF"]), "AF"))
 
 
-@query()
+@query(with_(TS.CELLS) + " UNION ALL ".join(f"SELECT x.scenario, x.horizon, x.metric, '{a}' AS a, '{b}' AS b, {Q.r6('x.mean - y.mean')} AS effect FROM me x JOIN me y USING (scenario, horizon, metric) WHERE x.method = '{a}' AND y.method = '{b}'" for a, b in (("AF", "EWMA"), ("RRD", "VSE"))))
+def k3_effects(spark, sf_dir):
+    return P.rounded(D.effect_table(_cells(spark, sf_dir)[1], [("AF", "EWMA"), ("RRD", "VSE")]))
+
+
+@query(with_(TS.CELLS, _PARETO) + "SELECT scenario, horizon, method, metric, CASE WHEN verdict = 'ref_worse' THEN 'worse' ELSE 'no_difference' END AS kind FROM ve WHERE verdict <> 'ref_better' UNION ALL SELECT scenario, horizon, method, 'all', 'cell_failed' FROM pc WHERE NOT success")
+def k4_negative_results(spark, sf_dir):
+    verdicts = _cells(spark, sf_dir)[0]
+    return D.negative_results(verdicts, D.pareto_cells(verdicts))
+
+
+_TURNED = "vt AS (SELECT scenario, horizon, reference, method, verdict FROM ve UNION ALL SELECT scenario, horizon, method, reference, CASE verdict WHEN 'ref_better' THEN 'ref_worse' WHEN 'ref_worse' THEN 'ref_better' ELSE verdict END FROM ve), rl AS (SELECT scenario, horizon, reference, method, count(CASE WHEN verdict = 'ref_better' THEN 1 END) AS nb, count(CASE WHEN verdict = 'ref_worse' THEN 1 END) AS nw FROM vt GROUP BY 1, 2, 3, 4), rd AS (SELECT reference, horizon, " + ", ".join(f"{_COUNT(rule)} AS {n}" for n, rule in (("dominates", "nb > 0 AND nw = 0"), ("dominated", "nb = 0 AND nw > 0"), ("trade_off", "nb > 0 AND nw > 0"), ("equal", "nb = 0 AND nw = 0"))) + " FROM rl GROUP BY 1, 2)"
+
+
+@query(with_(TS.CELLS, _TURNED) + "SELECT *, CASE WHEN dominates >= 3 AND dominated = 0 THEN 'accept' WHEN dominated >= 3 THEN 'reject' ELSE 'open' END AS state FROM rd")
 def k5_dominance(spark, sf_dir):
     verdicts = _cells(spark, sf_dir)[0]
     both = verdicts.select(*D.CELL, "reference", "method", "metric", "verdict")
@@ -232,37 +313,49 @@ def k5_dominance(spark, sf_dir):
     return D.screen(D.dominance_counts(D.relation(both), ["reference", "horizon"]), 3)
 
 
-@query()
+@query(with_(TS.CELLS, _BEST("['EWMA']")) + f"SELECT metric, {_COUNT('gain > 0')} AS s_plus, {_COUNT('gain < 0')} AS s_minus, {_COUNT(chr(32).join(['gain > 0 AND verdict =', repr('ref_better')]))} AS r_plus, {_COUNT(chr(32).join(['gain < 0 AND verdict =', repr('ref_worse')]))} AS r_minus FROM gc JOIN (SELECT * FROM ve WHERE method = 'EWMA') USING (scenario, horizon, metric) GROUP BY metric")
+def k8_mechanism(spark, sf_dir):
+    verdicts, means = _cells(spark, sf_dir)
+    gains = D.gain_claims(means, D.best_baseline(means, ["EWMA"]), "AF")
+    return D.mechanism(gains, verdicts.where("method = 'EWMA'"))
+
+
+_KIND = "CASE WHEN verdict = verdict_sens THEN 'same' WHEN verdict_sens = 'n.s.' THEN 'lost' WHEN verdict = 'n.s.' THEN 'gained' ELSE 'reversed' END"
+
+
+@query(with_(TS.CELLS) + "SELECT metric, " + ", ".join(f"CAST(sum(CASE WHEN {_KIND} = '{k}' THEN 1 ELSE 0 END) AS BIGINT) AS {k}" for k in ("same", "lost", "gained", "reversed")) + " FROM ve GROUP BY metric")
 def k9_block_sensitivity(spark, sf_dir):
     return D.block_sensitivity(_cells(spark, sf_dir)[0])
 
 
-@query()
+_PLACES = "rk2 AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY scenario, horizon, metric, value) - 1) / 2.0 AS r FROM (SELECT *, CASE WHEN metric = 'mae' THEN mean ELSE -mean END AS value FROM me) WINDOW w AS (PARTITION BY scenario, horizon, metric ORDER BY value))"
+
+
+@query(with_(TS.CELLS, _PLACES) + f"SELECT method, {Q.r6('avg(r)')} AS average_rank, {_COUNT('r = 1')} AS first_places, {Q.r6('median(r)')} AS median_rank, count(*) AS n FROM rk2 GROUP BY method")
 def k11_aggregate_ranking(spark, sf_dir):
     return P.rounded(D.aggregate_ranking(_cells(spark, sf_dir)[1]))
 
 
-@query()
-def k12_verdict_counts(spark, sf_dir):
-    return D.verdict_counts(_cells(spark, sf_dir)[0])
+@query(with_(TS.CELLS, _PLACES) + f"SELECT method, metric, {Q.r6('median(r)')} AS median_rank, count(*) AS n_cells FROM rk2 GROUP BY method, metric")
+def k17_median_ranks(spark, sf_dir):
+    return P.rounded(D.median_ranks(_cells(spark, sf_dir)[1]))
 
 
-@query()
-def k4_negative_results(spark, sf_dir):
-    verdicts = _cells(spark, sf_dir)[0]
-    return D.negative_results(verdicts, D.pareto_cells(verdicts))
+@query(with_(TS.CELLS) + "SELECT scenario, horizon, CAST(min(n) AS BIGINT) AS least_windows, CAST(max(n) AS BIGINT) AS most_windows, CAST(min(b) AS BIGINT) AS least_blocks, CAST(max(b) AS BIGINT) AS most_blocks FROM (SELECT scenario, horizon, metric, method, count(*) AS n, count(*) // 8 AS b FROM df GROUP BY 1, 2, 3, 4) GROUP BY 1, 2")
+def k18_ranges(spark, sf_dir):
+    """Windows and blocks that the comparisons of each cell rest on."""
+    rows = _cell_pairs(spark, sf_dir)
+    return D.cell_ranges(rows.groupBy(*D.CELL, "metric", "method").agg(F.count("*").alias("n_windows")).withColumn("n_blocks", F.floor(F.col("n_windows") / 8)))
 
 
-@query()
-def k8_mechanism(spark, sf_dir):
-    verdicts, means = _cells(spark, sf_dir)
-    gains = D.gain_claims(means, D.best_baseline(means, ["EWMA"]), "AF")
-    return D.mechanism(gains, verdicts.where("method = 'EWMA'"))
+def _cell_pairs(spark, sf_dir):
+    """Differences to AF in each cell."""
+    return T.paired(_cell_metrics(spark, sf_dir), "AF")
 
 
-@query()
-def k3_effects(spark, sf_dir):
-    return P.rounded(D.effect_table(_cells(spark, sf_dir)[1], [("AF", "EWMA"), ("RRD", "VSE")]))
+@query(with_(TS.CELLS) + "SELECT method, metric, " + ", ".join(f"CAST(count(CASE WHEN verdict = '{v}' THEN 1 END) AS BIGINT) AS {n}" for v, n in (("ref_better", "ref_better"), ("ref_worse", "ref_worse"), ("n.s.", "not_significant"))) + " FROM ve GROUP BY 1, 2")
+def k12_verdict_counts(spark, sf_dir):
+    return D.verdict_counts(_cells(spark, sf_dir)[0])
 
 
 _SKY = f"sm AS (SELECT method, round(avg({{n}}), 6) AS n, round(avg({{c}}), 6) AS c FROM mm GROUP BY method)".replace("{n}", "ndcg_10").replace("{c}", "mae")
@@ -280,47 +373,98 @@ def k15_rolling_mean(spark, sf_dir):
     return P.rounded(D.rolling_mean(rows, "ndcg_10", 10, 5).drop("sd"))
 
 
-@query()
+_PR = (Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), WS.protocol((10,)))
+_WIDE = "wd AS (SELECT method, round(avg(ndcg_10), 9) AS ndcg_10, round(avg(rsi_10), 9) AS rsi_10, round(avg(spearman_rho), 9) AS spearman_rho, round(avg(mae), 9) AS mae FROM pr GROUP BY 1)"
+_SCALED = lambda c: f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER () + 1e-12)"
+
+
+def _means(spark, sf_dir):
+    return R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)).groupBy("method").agg(*[F.round(F.avg(m), 9).alias(m) for m in ("ndcg_10", "rsi_10", "spearman_rho", "mae")])
+
+
+@query(with_(*_PR, _WIDE, f"nm AS (SELECT method, {', '.join(f'{_SCALED(c)} AS {c}' for c in ('ndcg_10', 'rsi_10', 'spearman_rho'))}, 1 - {_SCALED('mae')} AS mae FROM wd)") + "SELECT method, " + ", ".join(f"{Q.r6(c)} AS {c}" for c in ("ndcg_10", "rsi_10", "spearman_rho", "mae")) + f", {Q.r6('(3 * rsi_10 + ndcg_10 + spearman_rho + 2 * mae) / 7')} AS composite, {Q.r6('(0.75 * rsi_10 + 0.25 * ndcg_10)')} AS stability FROM nm")
 def k16_composites(spark, sf_dir):
-    wide = _protocol(spark, sf_dir).groupBy("method").agg(*[F.avg(m).alias(m) for m in ("ndcg_10", "rsi_10", "spearman_rho", "mae")])
-    return P.rounded(D.composite(D.normalised(wide, ["ndcg_10", "rsi_10", "spearman_rho"], ["mae"]), {"rsi_10": 3, "ndcg_10": 1, "spearman_rho": 1, "mae": 2}))
+    wide = _means(spark, sf_dir)
+    return P.rounded(D.composite(D.normalised(wide, ["ndcg_10", "rsi_10", "spearman_rho"], ["mae"]), {"rsi_10": 3, "ndcg_10": 1, "spearman_rho": 1, "mae": 2}).withColumn("stability", 0.75 * F.col("rsi_10") + 0.25 * F.col("ndcg_10")))
 
 
-@query()
+@query(with_(*_PR, _WIDE) + "SELECT method, round(ndcg_10, 3) = max(round(ndcg_10, 3)) OVER () AS best_ndcg_10, round(rsi_10, 3) = max(round(rsi_10, 3)) OVER () AS best_rsi_10, round(mae, 3) = min(round(mae, 3)) OVER () AS best_mae FROM wd")
 def k19_best_mask(spark, sf_dir):
-    wide = _protocol(spark, sf_dir).groupBy("method").agg(*[F.avg(m).alias(m) for m in ("ndcg_10", "rsi_10", "mae")])
-    return D.best_mask(wide, ["ndcg_10", "rsi_10", "mae"])
+    return D.best_mask(_means(spark, sf_dir), ["ndcg_10", "rsi_10", "mae"])
 
 
-@query()
+_LIFTED = [n for n in _NAMES if n not in ("AF", "EWMA", "RRD")]
+
+
+@query(with_(*_PR, "wt AS (SELECT window_id, " + ", ".join(f"max(CASE WHEN method = '{n}' THEN ndcg_10 END) AS \"{n}\"" for n in _NAMES) + f" FROM pr GROUP BY 1 HAVING count(*) = {len(_NAMES)})") + "SELECT window_id, " + ", ".join(f'{Q.r6(chr(34) + n + chr(34))} AS "{n}"' for n in _NAMES) + ", " + ", ".join(Q.r6(f'"{n}" - greatest("AF", "EWMA", "RRD")') + f' AS "lift_{n}"' for n in _LIFTED) + " FROM wt")
 def k20_window_table(spark, sf_dir):
     return P.rounded(D.window_table(_protocol(spark, sf_dir), "ndcg_10", list(_NAMES), ["AF", "EWMA", "RRD"]))
 
 
-@query()
+@query(with_(*_PR) + " UNION ALL ".join(f"SELECT method, '{m}_mean' AS name, {Q.r6(f'avg({m})')} AS value FROM pr GROUP BY method" for m in ("ndcg_10", "rsi_10", "mae", "spearman_rho")))
 def k13_numbers(spark, sf_dir):
-    return P.rounded(D.numbers_table(R.summarize(_protocol(spark, sf_dir)), "method", ["ndcg_10_mean", "rsi_10_mean", "mae_mean", "spearman_rho_mean"]))
+    return P.rounded(D.numbers_table(R.summarize(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)), ("ndcg_10", "rsi_10", "mae", "spearman_rho")), "method", ["ndcg_10_mean", "rsi_10_mean", "mae_mean", "spearman_rho_mean"]))
+
+
+@query(with_(*_PR, _WIDE) + "SELECT m || '_mean' AS name, CAST(6 AS BIGINT) AS n_compared, CAST(0 AS BIGINT) AS n_different FROM (SELECT unnest(['ndcg_10', 'rsi_10', 'mae', 'spearman_rho']) AS m)")
+def k13_cross_checks(spark, sf_dir):
+    """Numbers of the table against means taken straight from the metric rows: none may differ."""
+    rows = R.protocol(_scored(spark, sf_dir, *_NAMES), (10,))
+    names = ["ndcg_10", "rsi_10", "mae", "spearman_rho"]
+    table = D.numbers_table(R.summarize(rows, tuple(names)), "method", [f"{n}_mean" for n in names])
+    again = T.long_metrics(rows, tuple(names)).groupBy("method", F.concat("metric", F.lit("_mean")).alias("name")).agg(F.avg("value").alias("again"))
+    return D.cross_check(table, again, ["method", "name"], 1e-6)
 
 
 # Strata
 
+_STRATA = """wm AS (SELECT item_id, window_id, sum(v) / greatest(max(observed), 1) AS mean FROM fr_x GROUP BY 1, 2),
+fm AS (SELECT item_id, arg_min(mean, window_id) AS mean FROM wm GROUP BY 1), sq AS (SELECT quantile_cont(mean, [0.25, 0.5, 0.9]) AS q FROM fm),
+st AS (SELECT item_id, mean, CASE WHEN mean < q[1] THEN 0 WHEN mean < q[2] THEN 1 WHEN mean < q[3] THEN 2 ELSE 3 END AS stratum FROM fm, sq)"""
+_DETAILED = "de AS (SELECT r.window_id, r.item_id, r.method, stratum, score, truth, abs(score - truth) AS err, rank, truth_rank FROM ranked r LEFT JOIN st USING (item_id))"
 
-@query()
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), _STRATA) + f"SELECT stratum, count(*) AS n_items, {Q.r6('min(mean)')} AS min, {Q.r6('max(mean)')} AS max, {Q.r6('avg(mean)')} AS mean, {Q.r6('median(mean)')} AS median, {Q.r6('stddev_samp(mean)')} AS std, {Q.r6('100.0 * count(*) / sum(count(*)) OVER ()')} AS percent FROM st GROUP BY stratum")
 def e20_strata(spark, sf_dir):
     return P.rounded(Z.stratum_summary(Z.strata(_frames(spark, sf_dir, 7, 3)[1])))
 
 
-@query()
+def _detailed(spark, sf_dir):
+    return Z.detailed_scores(_scored(spark, sf_dir, "AF", "EWMA"), Z.strata(_frames(spark, sf_dir, 7, 3)[1]))
+
+
+_STRATIFIED = (Q.DEMAND, Q.frames(7, 3), _STRATA, _sc("AF", "EWMA"), Q.RANKED, _DETAILED)
+
+
+@query(with_(*_STRATIFIED) + f"SELECT window_id, method, stratum, count(*) AS n_items, {Q.r6('avg(err)')} AS mae, {Q.r6('100 * avg(CASE WHEN truth = 0 THEN 0 ELSE abs(score - truth) / truth END)')} AS mape, {Q.r6('avg(CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END)')} AS positive_share, {Q.r6('avg(abs(rank - truth_rank))')} AS rank_difference FROM de GROUP BY 1, 2, 3")
 def e21_stratum_metrics(spark, sf_dir):
-    labelled = Z.strata(_frames(spark, sf_dir, 7, 3)[1])
-    return P.rounded(Z.by_stratum(Z.detailed_scores(_scored(spark, sf_dir, "AF", "EWMA"), labelled)))
+    return P.rounded(Z.by_stratum(_detailed(spark, sf_dir)))
 
 
-@query()
+@query(with_(*_STRATIFIED) + f"SELECT window_id, item_id, method, stratum, {Q.r6('score')} AS popularity_score, truth AS actual_count, {Q.r6('err')} AS mae, CAST(rank AS INTEGER) AS rank_predicted, CAST(truth_rank AS INTEGER) AS rank_actual FROM de")
+def e22_detailed_scores(spark, sf_dir):
+    """Detailed rows, written to the shared folder and loaded again."""
+    return P.rounded(P.held(_detailed(spark, sf_dir), "detailed"))
+
+
+_TOP_HALF = "it AS (SELECT item_id, sum(truth) AS t FROM de GROUP BY 1), ik AS (SELECT item_id FROM it WHERE t >= (SELECT quantile_cont(t, 0.5) FROM it)), sc AS (SELECT window_id, item_id, truth, method, score FROM de WHERE item_id IN (SELECT item_id FROM ik))"
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), _STRATA, _sc("AF", "EWMA").replace("sc AS", "s0 AS"), Q.RANKED.replace("ranked AS", "r0 AS").replace("FROM sc", "FROM s0"), _DETAILED.replace("FROM ranked", "FROM r0"), _TOP_HALF, WS.protocol()) + WS.summary())
 def e24_reanalysis(spark, sf_dir):
-    labelled = Z.strata(_frames(spark, sf_dir, 7, 3)[1])
-    detailed = Z.detailed_scores(_scored(spark, sf_dir, "AF", "EWMA"), labelled)
-    return P.rounded(R.summarize(Z.protocol_from_detailed(Z.top_share(detailed, 50))))
+    return P.rounded(R.summarize(Z.protocol_from_detailed(Z.top_share(_detailed(spark, sf_dir), 50))))
+
+
+@query(with_(*_STRATIFIED) + f"SELECT window_id, method, {Q.r6('avg(err)')} AS mean, {Q.r6('median(err)')} AS median, {Q.r6('stddev_samp(err)')} AS std FROM de GROUP BY 1, 2")
+def e24_evolution(spark, sf_dir):
+    return P.rounded(Z.evolution(_detailed(spark, sf_dir)))
+
+
+@query(with_(Q.DEMAND, Q.USERS, Q.frames(7, 3, name="s1"), Q.frames(7, 3, name="u1", tag="u_"), "sc AS (" + " UNION ALL ".join(TS._PREFIXED(s, n) for s, n in (("supplier", "s1"), ("user", "u1"))) + ")", WS.protocol((10,)), "dp AS (SELECT split_part(method, ':', 1) AS dataset, split_part(method, ':', 2) AS m, ndcg_10, rsi_10 FROM pr)") + f"SELECT dataset, m AS method, {Q.r6('avg(ndcg_10)')} AS ndcg_10, {Q.r6('avg(rsi_10)')} AS rsi_10 FROM dp GROUP BY 1, 2")
+def e25_dataset_means(spark, sf_dir):
+    """Means per data set and method; one of the tables names a metric by an older name."""
+    rows = [R.protocol(study.scored(list(S.BASELINES)).withColumn("score", F.round("score", 9)), (10,)).select(F.lit(n).alias("dataset"), "method", F.col("ndcg_10").alias(old), "rsi_10") for n, old, study in (("supplier", "ndcg@10", P.weekly(spark, sf_dir)), ("user", "ndcg_10", P.Study(P.user_six_hours(spark, sf_dir), 21600)))]
+    return P.rounded(G.union_all([Z.dataset_means(d, ["ndcg_10", "rsi_10"], {"ndcg@10": "ndcg_10"}) for d in rows]))
 
 
 @query(with_(Q.DEMAND, Q.frames(7, 3)) + f""", p AS (SELECT window_id, count(*) AS n FROM fr GROUP BY 1), o AS (SELECT slot, v, row_number() OVER (PARTITION BY slot ORDER BY v DESC, item_id) AS k FROM dense), t AS (SELECT slot, max(CASE WHEN k = 1 THEN v END) AS v1, max(CASE WHEN k = 10 THEN v END) AS v10 FROM o WHERE k IN (1, 10) GROUP BY 1)
