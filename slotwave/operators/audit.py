@@ -76,9 +76,9 @@ def catalogue_audit(demand: DataFrame, dense: DataFrame, min_total: int) -> Data
     return out.crossJoin(F.broadcast(reach)).withColumn("removed_share", F.col("n_removed") / F.col("n_items"))
 
 
-def snapshot_profile(snapshots: DataFrame) -> DataFrame:
-    """Per item (item, ts, total, diff): rows, repeats, full hours, falls of the total, share of diff = difference of totals, negatives, missing."""
-    w = Window.partitionBy("item").orderBy("ts")
+def snapshot_profile(snapshots: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Per item (item, ts, total, diff), in order: rows, repeats, full hours, falls of the total, share of diff = difference of totals, negatives, missing."""
+    w = Window.partitionBy("item").orderBy(*order)
     rows = snapshots.withColumn("step", F.col("total") - F.lag("total").over(w)).withColumn("again", F.col("ts") == F.lag("ts").over(w))
     n = lambda rule: F.coalesce(F.sum(F.coalesce(rule, F.lit(False)).cast("int")), F.lit(0))
     return rows.groupBy("item").agg(
@@ -130,6 +130,13 @@ def rsi_audit(item_order: DataFrame, position_order: DataFrame) -> DataFrame:
     return both.groupBy("method").agg(F.count("*").alias("n"), F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("int")).alias("n_different"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_difference"))
 
 
+def version_table(old: DataFrame, new: DataFrame, metrics: list[str]) -> DataFrame:
+    """Method summaries of two versions side by side: windows, and each metric's mean in both with the difference."""
+    a = old.select("method", F.col("n_windows").alias("windows_old"), *[F.col(f"{m}_mean").alias(f"{m}_old") for m in metrics])
+    b = new.select("method", F.col("n_windows").alias("windows_new"), *[F.col(f"{m}_mean").alias(f"{m}_new") for m in metrics])
+    return a.join(b, "method").select("method", "windows_old", "windows_new", *[x for m in metrics for x in (F.col(f"{m}_old"), F.col(f"{m}_new"), (F.col(f"{m}_new") - F.col(f"{m}_old")).alias(f"{m}_change"))])
+
+
 def configuration_table(configs: list[dict], spark) -> DataFrame:
     """One row per run configuration."""
     return spark.createDataFrame(configs)

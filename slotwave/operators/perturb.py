@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .ranking import BY, jaccard, rank_key
 
-SIZES = (2, 5, 10, 20, 50)
-AGES = {"newest": 1, "middle": 32, "oldest": 64}
+#: Spikes: size in means, age of the oldest slot they touch (1: the newest; None: drawn), slots.
+SPIKES = {f"size{s}": (s, 1, 1) for s in (2, 5, 10, 20, 50)} | {"pos_middle": (10, 32, 1), "pos_first": (10, 64, 1), "pos_random": (10, None, 1), "dur3": (10, 1, 3), "dur6": (10, 1, 6)}
+#: Noise on all items: kind, signal-to-noise ratio in decibels.
+NOISES = {"noise_poisson": ("poisson", 0.0), "noise_gauss_snr10": ("gauss", 10.0), "noise_gauss_snr0": ("gauss", 0.0)}
 
 
 def draw_order(seed: int, *names: str) -> list[Column]:
@@ -45,49 +47,118 @@ def common_targets(frames_by_method: list[DataFrame], x: str = "x_w", n: int = 5
     return low_activity_targets(pool, x, n, seed)
 
 
-def spiked(x: Column, size: float = 10.0, age: int = 1, duration: int = 1) -> Column:
-    """x with max(size * mean, 1) added to `duration` slots, the last of them `age` slots from the newest (1: the newest)."""
+def spiked(x: Column, size: float = 10.0, age: Column | int = 1, duration: int = 1) -> Column:
+    """x with max(size * mean, 1) added to `duration` slots, the oldest of them max(age, duration) slots from the end (1: the newest)."""
     n = F.size(x)
     high = F.greatest(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n * size, F.lit(1.0))
-    last = n - F.least(F.lit(age), n)
-    return F.transform(x, lambda v, i: F.when((i <= last) & (i > last - duration), v + high).otherwise(v))
+    first = n - F.least(F.greatest(F.lit(age) if isinstance(age, int) else age, F.lit(duration)), n)
+    return F.transform(x, lambda v, i: F.when((i >= first) & (i < first + duration), v + high).otherwise(v))
+
+
+def spiked_rows(targets: DataFrame, spikes: dict[str, tuple], x: str = "x_w") -> DataFrame:
+    """A row with a spiked window for each target and condition, named in `condition`; all conditions in one pass."""
+    drawn = F.pmod(F.xxhash64(F.lit(5), *[F.col(c) for c in ("seed", "window_id", "item_id") if c in targets.columns]), F.size(x)).cast("int") + 1
+    each = F.array(*[F.struct(F.lit(n).alias("condition"), spiked(F.col(x), float(s), drawn if a is None else a, d).alias("spiked")) for n, (s, a, d) in spikes.items()])
+    rest = [c for c in targets.columns if c != x]
+    return targets.select(*rest, F.explode(each).alias("s")).select(*rest, F.col("s.condition").alias("condition"), F.col("s.spiked").alias(x))
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """Every bit of 64 depends on all."""
+    with np.errstate(over="ignore"):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            keys = (keys ^ (keys >> np.uint64(shift))) * np.uint64(factor)
+    return keys ^ (keys >> np.uint64(31))
+
+
+def _uniform(seeds: np.ndarray, stream: int) -> np.ndarray:
+    """Uniform in (0, 1) from a number for each cell and the number of a draw."""
+    with np.errstate(over="ignore"):
+        bits = _mixed(_mixed(seeds + np.uint64(stream)) + np.uint64(0x9E3779B97F4A7C15))
+    return ((bits >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def _poisson(mean: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Poisson counts by inversion; large means are sums of draws of at most 500 each."""
+    total, stream = np.zeros(len(mean)), 0
+    left = mean.copy()
+    while (left > 0).any():
+        part = np.minimum(left, 500.0)
+        u, k = _uniform(seeds, stream), np.zeros(len(mean))
+        chance = np.exp(-part)
+        upto = chance.copy()
+        more = np.flatnonzero((u > upto) & (part > 0))
+        while len(more):
+            k[more] += 1
+            chance[more] *= part[more] / k[more]
+            upto[more] += chance[more]
+            more = more[(u[more] > upto[more]) & (chance[more] > 0)]
+        total, left, stream = total + k, left - part, stream + 1
+    return total
 
 
 def noisy(frames: DataFrame, x: str = "x_w", kind: str = "poisson", snr_db: float = 10.0, seed: int = 42) -> DataFrame:
     """Windows with noise: counts redrawn as Poisson, or Gaussian noise at a signal-to-noise ratio, held at zero or more.
 
-    Each row has a generator of its own, seeded by (seed, window, item), so all methods see the same noise.
+    Draws are hashes of (seed, window, item, slot in the window), so all methods see the same noise.
     """
     keyed = frames.withColumn("_seed", F.xxhash64(F.lit(seed), "window_id", "item_id"))
     names = keyed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for s, values in zip(batch["_seed"].to_pylist(), batch[x].to_pylist(), strict=True):
-                v, rng = np.array(values, float), np.random.default_rng(s & 0xFFFFFFFFFFFFFFFF)
-                if kind == "poisson":
-                    v = rng.poisson(np.maximum(v, 0)).astype(float)
-                else:
-                    v = np.maximum(v + rng.normal(0, np.sqrt(np.mean(v * v) / 10 ** (snr_db / 10)) if len(v) else 0, len(v)), 0)
-                out.append(v.tolist())
-            columns = [pa.array(out, pa.list_(pa.float64())) if c == x else batch[c] for c in names if c != "_seed"]
-            yield pa.RecordBatch.from_arrays(columns, names=[c for c in names if c != "_seed"])
+            lists = batch[x]
+            starts = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
+            sizes = np.diff(starts)
+            v = np.asarray(lists.flatten(), float)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            with np.errstate(over="ignore"):
+                cells = batch["_seed"].to_numpy().view(np.uint64)[row] + (np.arange(len(v)) - starts[:-1][row]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+            if kind == "poisson":
+                v = _poisson(np.maximum(v, 0), cells)
+            else:
+                power = np.bincount(row, v * v, len(sizes)) / np.maximum(sizes, 1)
+                normal = np.sqrt(-2 * np.log(_uniform(cells, 0))) * np.cos(2 * np.pi * _uniform(cells, 1))
+                v = np.maximum(v + normal * np.sqrt(power / 10 ** (snr_db / 10))[row], 0)
+            made = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(v))
+            yield pa.RecordBatch.from_arrays([made if c == x else batch[c] for c in names if c != "_seed"], names=[c for c in names if c != "_seed"])
 
     return keyed.mapInArrow(run, frames.schema)
 
 
 def replaced_ranks(scores: DataFrame, changed: DataFrame, by: list[str] = BY) -> DataFrame:
-    """Rank of each target when only its own score is replaced: (by..., item_id, rank_before, rank_after).
+    """changed (by..., item_id, new_score, further columns) with rank_before and rank_after when only this score is replaced.
 
-    changed holds (by..., item_id, new_score). Peers are compared inside their window: an
-    equi-join on the window, at most `targets` rows per peer.
+    One sort of a window's scores and new scores together: the scores before a new one are
+    counted, its own among them taken off. A new score goes before an equal one of its item.
     """
-    keyed = scores.withColumn("key", rank_key()).select(*by, F.col("item_id").alias("peer"), F.col("key").alias("peer_key"))
-    own = scores.withColumn("key", rank_key()).select(*by, "item_id", "key")
-    targets = changed.withColumn("new_key", rank_key("new_score")).join(own, [*by, "item_id"]).select(*by, "item_id", "key", "new_key")
-    ahead = lambda k: F.sum((((F.col("peer_key") > F.col(k)) | ((F.col("peer_key") == F.col(k)) & (F.col("peer") < F.col("item_id")))) & (F.col("peer") != F.col("item_id"))).cast("int"))
-    return targets.join(keyed, by).groupBy(*by, "item_id").agg((1 + ahead("key")).alias("rank_before"), (1 + ahead("new_key")).alias("rank_after"))
+    keyed = scores.select(*by, "item_id", rank_key().alias("key"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("key"), "item_id"))
+    own = keyed.withColumn("rank_before", first)
+    more = [c for c in changed.columns if c not in (*by, "item_id", "new_score")]
+    new = changed.withColumn("_new", rank_key("new_score")).join(own, [*by, "item_id"])
+    both = new.select(*by, "item_id", F.col("_new").alias("_k"), F.lit(0).alias("_peer"), F.col("key").alias("_own"), "rank_before", "new_score", *more)
+    empty = {c: t for c, t in both.dtypes}
+    peers = keyed.select(*by, "item_id", F.col("key").alias("_k"), F.lit(1).alias("_peer"), *[F.lit(None).cast(empty[c]).alias(c) for c in ("_own", "rank_before", "new_score", *more)])
+    before = Window.partitionBy(*by).orderBy(F.desc("_k"), "item_id", "_peer").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("_peer").over(before), F.lit(0)) - (F.col("_own") > F.col("_k")).cast("long")
+    return both.unionByName(peers).withColumn("rank_after", 1 + ahead).where("_peer = 0").drop("_k", "_peer", "_own")
+
+
+def count_distortion(scores: DataFrame, changed: DataFrame, by: list[str] = BY) -> DataFrame:
+    """Mean change of the number of higher scores, the new score against the clean ones; equal scores are not higher.
+
+    Scores and new scores are sorted together, and those of a larger value counted.
+    """
+    keyed = scores.select(*by, "item_id", rank_key().alias("_k"))
+    new = changed.select(*by, "item_id", rank_key("new_score").alias("_k"), F.lit(0).alias("_peer"))
+    higher = Window.partitionBy(*by).orderBy(F.desc("_k")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = Window.partitionBy(*by, "_k")
+    both = keyed.withColumn("_peer", F.lit(1)).unionByName(new)
+    ranked = both.withColumn("above", F.sum("_peer").over(higher) - F.sum("_peer").over(equal))
+    old = ranked.where("_peer = 1").select(*by, "item_id", F.col("above").alias("old"))
+    after = ranked.where("_peer = 0").select(*by, "item_id", "above")
+    return after.join(old, [*by, "item_id"]).groupBy(*by).agg(F.avg(F.abs(F.col("old") - F.col("above"))).alias("distortion"), F.count("*").alias("n_targets"))
 
 
 def rank_distortion(ranks: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -106,3 +177,41 @@ def target_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per window: overlap of two target choices."""
     sets = lambda d, name: d.groupBy("window_id").agg(F.collect_set("item_id").alias(name))
     return sets(a, "a").join(sets(b, "b"), "window_id").select("window_id", jaccard(F.col("a"), F.col("b")).alias("overlap"), F.size("a").alias("n_a"), F.size("b").alias("n_b"))
+
+
+def seeded_overlap(before: DataFrame, after: DataFrame, by: list[str], k: int = 10) -> DataFrame:
+    """Overlap of the top k before (by window and method) with those after, for each seed."""
+    old = before.where(F.col("rank") <= k).groupBy("window_id", "method").agg(F.collect_set("item_id").alias("a"))
+    new = after.where(F.col("rank") <= k).groupBy(*by).agg(F.collect_set("item_id").alias("b"))
+    return new.join(old, ["window_id", "method"]).select(*by, jaccard(F.col("a"), F.col("b")).alias("top10"))
+
+
+def trend_shift(clean: DataFrame, after: DataFrame) -> DataFrame:
+    """Per condition: mean change of log mu and of the exponent (mu, power) of the targets; targets without a finite logarithm are left out."""
+    both = after.select("window_id", "item_id", "seed", "condition", F.col("mu").alias("m1"), F.col("power").alias("p1")).join(clean.select("window_id", "item_id", F.col("mu").alias("m0"), F.col("power").alias("p0")), ["window_id", "item_id"])
+    fine = (F.col("m0") > 0) & (F.col("m1") > 0)
+    return both.groupBy("condition").agg(F.avg(F.when(fine, F.ln(F.when(F.col("m1") > 0, F.col("m1"))) - F.ln(F.when(F.col("m0") > 0, F.col("m0"))))).alias("dlogmu"), F.avg(F.when(fine, F.col("p1") - F.col("p0"))).alias("dpower"))
+
+
+def seed_table(ranks: DataFrame) -> DataFrame:
+    """Per method, condition and seed: windows, and the mean over windows of the targets' |change of rank|."""
+    per = ranks.groupBy("window_id", "method", "condition", "seed").agg(F.avg(F.abs(F.col("rank_before") - F.col("rank_after"))).alias("d"))
+    return per.groupBy("method", "condition", "seed").agg(F.count("*").alias("n_windows"), F.avg("d").alias("distortion"))
+
+
+def condition_summary(ranks: DataFrame, tops: DataFrame, shift: DataFrame) -> DataFrame:
+    """Per method and condition: mean |change| and signed change (seeds averaged within windows), share that rises, sd over windows, spread over seeds, top-10 overlap, and for the index the change of its parts."""
+    change = F.col("rank_before") - F.col("rank_after")
+    per = ranks.groupBy("window_id", "method", "condition", "seed").agg(F.avg(F.abs(change)).alias("d"), F.avg(change).alias("s"), F.avg((change > 0).cast("double")).alias("u"))
+    per = per.groupBy("window_id", "method", "condition").agg(*[F.avg(c).alias(c) for c in "dsu"])
+    out = per.groupBy("method", "condition").agg(F.count("*").alias("n_windows"), F.avg("d").alias("distortion"), F.stddev_samp("d").alias("distortion_sd"), F.avg("s").alias("signed"), F.avg("u").alias("up_share"))
+    seeds = seed_table(ranks).groupBy("method", "condition").agg(F.min("distortion").alias("seed_min"), F.max("distortion").alias("seed_max"), F.stddev_samp("distortion").alias("seed_sd"))
+    over = tops.groupBy("method", "condition").agg(F.avg("top10").alias("top10"))
+    parts = shift.withColumn("method", F.lit("WSPI@64"))
+    return out.join(seeds, ["method", "condition"]).join(over, ["method", "condition"], "left").join(parts, ["method", "condition"], "left")
+
+
+def rank_check(means: DataFrame) -> DataFrame:
+    """Ranks of the methods (equal means share the lower one) by own and by common targets."""
+    place = lambda c: F.rank().over(Window.partitionBy().orderBy(c))
+    return means.withColumn("own_rank", place("own_mean")).withColumn("common_rank", place("common_mean"))

@@ -16,6 +16,7 @@ from ..operators import perturb as X
 from ..operators import ranking as R
 from ..operators import statistics as T
 from ..operators import strata as Z
+from ..operators import wavelet as V
 from ..streaming import online
 from . import checks_sql as Q
 from . import popularity as P
@@ -24,6 +25,8 @@ from . import wave_sql as WS
 from .queries_study import _NAMES, _frames, _sc, _scored
 from .registry import query, with_
 
+_COUNT = lambda rule: f"CAST(count(CASE WHEN {rule} THEN 1 END) AS BIGINT)"
+
 # Robustness
 
 
@@ -57,17 +60,100 @@ def m9_rank_distortion(spark, sf_dir):
     return P.rounded(X.rank_distortion(X.replaced_ranks(scores, changed)))
 
 
-@query()
+_SPIKED = """sk AS (SELECT t.window_id, t.item_id, t.m, c.name, c.size, c.age, c.dur FROM targets t, (VALUES {rows}) c(name, size, age, dur)),
+an AS (SELECT window_id, item_id, max(n) AS n FROM fr_x GROUP BY 1, 2),
+sn AS (SELECT s.window_id, s.item_id, s.name AS condition, o.score AS old, round(o.score + greatest(s.size * s.m, 1) * (SELECT sum(pow(0.5, k)) FROM (SELECT unnest(range(0, 64)) AS k) WHERE k <= least(greatest(s.age, s.dur), n) - 1 AND k > least(greatest(s.age, s.dur), n) - 1 - s.dur), 9) AS new FROM sk s JOIN an USING (window_id, item_id) JOIN sc o USING (window_id, item_id)),
+sd AS (SELECT n.window_id, n.condition, n.item_id, sum(CASE WHEN s.item_id <> n.item_id AND (s.score > n.old OR (s.score = n.old AND s.item_id < n.item_id)) THEN 1 ELSE 0 END) - sum(CASE WHEN s.item_id <> n.item_id AND (s.score > n.new OR (s.score = n.new AND s.item_id < n.item_id)) THEN 1 ELSE 0 END) AS c FROM sn n JOIN sc s USING (window_id) GROUP BY 1, 2, 3),
+sw AS (SELECT window_id, condition, avg(abs(c)) AS distortion, avg(c) AS signed, avg(CASE WHEN c > 0 THEN 1.0 ELSE 0.0 END) AS up FROM sd GROUP BY 1, 2)"""
+_CONDITIONS = {n: c for n, c in X.SPIKES.items() if c[1] is not None}
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), _sc("AF"), _TARGETS, _SPIKED.replace("{rows}", ", ".join(f"('{n}', {s}, {a}, {d})" for n, (s, a, d) in _CONDITIONS.items()))) + f"SELECT 'AF' AS method, condition, {Q.r6('avg(distortion)')} AS distortion, {Q.r6('avg(signed)')} AS signed, {Q.r6('avg(up)')} AS up_share, count(*) AS n_windows FROM sw GROUP BY condition")
 def e9_spike_conditions(spark, sf_dir):
-    """Distortion for spikes of every size at the newest slot, and of size ten at other ages and lengths."""
+    """AF under every spike of a fixed place: sizes, ages and durations."""
     _, rows, scores = _af_frames(spark, sf_dir)
     targets = rows.join(X.low_activity_targets(rows), ["window_id", "item_id"])
-    conditions = {f"size {s}": (s, 1, 1) for s in X.SIZES} | {"age 3": (10, 3, 1), "length 3": (10, 1, 3)}
-    changed = G.union_all([targets.select("window_id", F.lit("AF").alias("method"), "item_id", F.lit(name).alias("condition"), S.af(X.spiked(F.col("x_w"), *c)).alias("new_score")) for name, c in conditions.items()])
-    by = ["window_id", "method", "condition"]
-    base = scores.crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in conditions], "condition string")))
-    ranks = X.replaced_ranks(base, changed, by)
-    return P.rounded(X.rank_distortion(ranks, by).groupBy("method", "condition").agg(F.avg("distortion").alias("distortion"), F.avg("up_share").alias("up_share"), F.count("*").alias("n_windows")))
+    changed = X.spiked_rows(targets, _CONDITIONS).select("window_id", F.lit("AF").alias("method"), "item_id", "condition", F.round(S.af(F.col("x_w")), 9).alias("new_score"))
+    ranks = X.rank_distortion(X.replaced_ranks(scores, changed), [*R.BY, "condition"])
+    return P.rounded(ranks.groupBy("method", "condition").agg(F.avg("distortion").alias("distortion"), F.avg("signed").alias("signed"), F.avg("up_share").alias("up_share"), F.count("*").alias("n_windows")))
+
+
+def _both_configurations(spark, sf_dir):
+    """Windows of 64 slots of the items that all methods can score, and the methods: name@window to a score of x_w."""
+    study, long = _frames(spark, sf_dir)
+    short = _frames(spark, sf_dir, 7, 3)[1].select("window_id", "item_id")
+    pool = P.held(G.strided(long.join(short, ["window_id", "item_id"], "left_semi"), 4), "robust-windows")
+    tail = lambda x, n: F.slice(x, -F.least(F.size(x), F.lit(n)), F.least(F.size(x), F.lit(n)))
+    plain = {f"{s.name}@{n}": (lambda x, e=s.expr, k=n: e(tail(x, k))) for s in S.BASELINES for n in (7, 64)}
+    return pool, plain
+
+
+def _all_scores(rows, plain, keys):
+    """Scores of every method for rows with x_w, and mu_l and the exponent of the index."""
+    wide = V.feature_sets(rows.select(*keys, *[e(F.col("x_w")).alias(n) for n, e in plain.items()], "x_w"), {"dt": {}, "dw": {"transform": "dwt"}})
+    return wide.select(*keys, *[F.col(f"`{n}`") for n in plain], V.index(of="dt").alias("WSPI@64"), F.col("dt_af").alias("DTCWT+AF@64"), F.col("dw_af").alias("DWT+AF@64"), F.col("dt_mu_l").alias("mu"), (F.col("dt_r") - F.col("dt_w_e")).alias("power"))
+
+
+def _robustness(spark, sf_dir, seeds=(1, 2, 3, 4, 5)):
+    """Changes of rank of common targets: 13 conditions, five seeds, nine methods in two configurations; every fourth window."""
+    pool, plain = _both_configurations(spark, sf_dir)
+    names = [*plain, "WSPI@64", "DTCWT+AF@64", "DWT+AF@64"]
+    keys = ["window_id", "item_id"]
+    clean = P.held(_all_scores(pool, plain, keys), "robust-clean")
+    long = lambda d, keep: R.to_long(d, names, keep)
+    base = long(clean, keys).withColumn("score", F.round("score", 9))
+    targets = P.held(G.union_all([X.low_activity_targets(pool, seed=s).withColumn("seed", F.lit(s)) for s in seeds]), "robust-targets")
+    spiked = X.spiked_rows(pool.join(targets, keys), X.SPIKES)
+    after = P.held(_all_scores(spiked, plain, [*keys, "seed", "condition"]), "robust-spiked")
+    changed = long(after, [*keys, "seed", "condition"]).withColumnRenamed("score", "new_score").withColumn("new_score", F.round("new_score", 9))
+    moved = X.replaced_ranks(base, changed)
+    tops, parts = [], [moved.select("window_id", "method", "item_id", "seed", "condition", "rank_before", "rank_after")]
+    ranked = R.rank_items(base.withColumn("truth", F.lit(0.0)))
+    for name, (kind, snr) in X.NOISES.items():
+        noise = G.union_all([X.noisy(pool, kind=kind, snr_db=snr, seed=s).withColumn("seed", F.lit(s)) for s in seeds])
+        noised = long(P.held(_all_scores(noise, plain, [*keys, "seed"]), "robust-noise"), [*keys, "seed"]).withColumn("score", F.round("score", 9)).withColumn("truth", F.lit(0.0))
+        by = ["window_id", "method", "seed"]
+        new = R.rank_items(noised, by)
+        both = new.join(targets, [*keys, "seed"]).select(*by, "item_id", F.col("rank").alias("rank_after")).join(ranked.select("window_id", "method", "item_id", F.col("rank").alias("rank_before")), ["window_id", "method", "item_id"])
+        parts.append(both.withColumn("condition", F.lit(name)).select(*parts[0].columns))
+        tops.append(X.seeded_overlap(ranked, new, by).withColumn("condition", F.lit(name)))
+    shift = X.trend_shift(clean, after)
+    return P.held(G.union_all(parts), "robust-ranks"), G.union_all(tops), shift
+
+
+@query()
+def e9_robustness(spark, sf_dir):
+    """Condition summary over all seeds, with the spread of the seeds (P7, P8)."""
+    ranks, tops, shift = _robustness(spark, sf_dir)
+    return P.rounded(X.condition_summary(ranks, tops, shift))
+
+
+@query()
+def p8_seed_table(spark, sf_dir):
+    """Mean change of rank per seed, condition and method."""
+    ranks, _, _ = _robustness(spark, sf_dir)
+    return P.rounded(X.seed_table(ranks))
+
+
+@query()
+def p8_rank_check(spark, sf_dir):
+    """Ranks of the methods by targets of their own and by common targets, for the spike of ten means at the newest slot."""
+    ranks, _, _ = _robustness(spark, sf_dir, (1,))
+    common = ranks.where("condition = 'size10' and (method like '%@7' or method in ('WSPI@64', 'DTCWT+AF@64', 'DWT+AF@64'))").groupBy("method").agg(F.avg(F.abs(F.col("rank_before") - F.col("rank_after"))).alias("common_mean"))
+    _, rows = _frames(spark, sf_dir, 7, 3)
+    scores = R.to_long(rows.select("window_id", "item_id", "truth", *[s.expr(F.col("x_w")).alias(f"{s.name}@7") for s in S.BASELINES]), [f"{s.name}@7" for s in S.BASELINES], ["window_id", "item_id", "truth"])
+    spiked = X.spiked_rows(rows.join(X.low_activity_targets(rows), ["window_id", "item_id"]), {"size10": X.SPIKES["size10"]})
+    changed = R.to_long(spiked.select("window_id", "item_id", *[s.expr(F.col("x_w")).alias(f"{s.name}@7") for s in S.BASELINES]), [f"{s.name}@7" for s in S.BASELINES], ["window_id", "item_id"]).withColumnRenamed("score", "new_score")
+    own = X.rank_distortion(X.replaced_ranks(scores, changed)).groupBy("method").agg(F.avg("distortion").alias("own_mean"))
+    return P.rounded(X.rank_check(own.join(common, "method")))
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), _sc("AF"), _TARGETS, "nw AS (SELECT t.window_id, t.item_id, s.score AS old, round(s.score + greatest(10 * t.m, 1), 9) AS new FROM targets t JOIN sc s USING (window_id, item_id)), lg AS (SELECT n.window_id, n.item_id, abs(count(CASE WHEN s.score > n.old THEN 1 END) - count(CASE WHEN s.score > n.new THEN 1 END)) AS c FROM nw n JOIN sc s USING (window_id) GROUP BY 1, 2)") + f"SELECT window_id, 'AF' AS method, {Q.r6('avg(c)')} AS distortion, count(*) AS n_targets FROM lg GROUP BY window_id")
+def m13_count_distortion(spark, sf_dir):
+    """The older distortion: ranks by the number of higher scores, the changed one against the clean peers."""
+    _, rows, scores = _af_frames(spark, sf_dir)
+    changed = rows.join(X.low_activity_targets(rows), ["window_id", "item_id"]).select("window_id", F.lit("AF").alias("method"), "item_id", F.round(S.af(X.spiked(F.col("x_w"))), 9).alias("new_score"))
+    return P.rounded(X.count_distortion(scores, changed))
 
 
 @query()
@@ -76,14 +162,18 @@ def p4_noise(spark, sf_dir):
     _, rows, scores = _af_frames(spark, sf_dir)
     ranked = R.rank_items(scores)
     parts = []
-    for kind, snr in (("poisson", 0.0), ("gauss", 10.0), ("gauss", 0.0)):
+    for name, (kind, snr) in X.NOISES.items():
         after = X.noisy(rows, kind=kind, snr_db=snr).select("window_id", "item_id", "truth", F.lit("AF").alias("method"), S.af(F.col("x_w")).alias("score"))
-        parts.append(X.top_overlap(ranked, R.rank_items(after)).withColumn("condition", F.lit(f"{kind} {snr:g}")))
+        parts.append(X.top_overlap(ranked, R.rank_items(after)).withColumn("condition", F.lit(name)))
     return P.rounded(G.union_all(parts).groupBy("condition").agg(F.avg("overlap").alias("overlap"), F.count("*").alias("n")))
 
 
-@query()
+_TARGETED = lambda frames, pool, out: _TARGETS.replace("tm AS", f"{out}m AS").replace("tw AS", f"{out}w AS").replace("tp AS", f"{out}p AS").replace("targets AS", f"{out} AS").replace("FROM tm ", f"FROM {out}m ").replace("JOIN tw", f"JOIN {out}w").replace("FROM tm JOIN", f"FROM {out}m JOIN").replace("tm.", f"{out}m.").replace("FROM tp", f"FROM {out}p").replace("FROM fr_x", f"FROM {frames}_x {pool}")
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3, name="f7"), Q.frames(64, 32, name="f64"), _TARGETED("f7", "", "own"), _TARGETED("f7", "SEMI JOIN f64 USING (window_id, item_id)", "com"), "oa AS (SELECT window_id, list(item_id) AS a FROM own GROUP BY 1), ob AS (SELECT window_id, list(item_id) AS b FROM com GROUP BY 1)") + f"SELECT window_id, {Q.r6('len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b)))')} AS overlap, CAST(len(a) AS INTEGER) AS n_a, CAST(len(b) AS INTEGER) AS n_b FROM oa JOIN ob USING (window_id)")
 def p9_target_overlap(spark, sf_dir):
+    """Targets of a method's own against those common to both configurations."""
     short, long = (_frames(spark, sf_dir, *a)[1] for a in ((7, 3), (64, 32)))
     return P.rounded(X.target_overlap(X.low_activity_targets(short), X.common_targets([short, long])))
 
@@ -194,7 +284,7 @@ def t2_block_means(spark, sf_dir):
 @query()
 def t16_paired_report(spark, sf_dir):
     """Reports against AF of all windows, the tuning part and the test part."""
-    rows = _protocol(spark, sf_dir)
+    rows = P.held(_protocol(spark, sf_dir), "protocol")
     parts = rows.join(G.time_split(rows), "window_id")
     named = {"all": rows, "tune": parts.where("part = 'tune'"), "test": parts.where("part = 'test'")}
     reports = [T.paired_report(d, "AF", ("ndcg_10", "coverage_10", "rsi_10", "mae"), T.block_length(8, 7, 1), T.block_length(16, 7, 1)).withColumn("part", F.lit(n)) for n, d in named.items()]
@@ -228,7 +318,7 @@ _EFFECTS = f"""er AS (SELECT metric, method, d, rank() OVER (PARTITION BY metric
 ed AS (SELECT a.metric, a.method, avg(sign(a.ref - b.val) * CASE WHEN a.metric IN {TS.LOWER} THEN -1 ELSE 1 END) AS cd FROM df a JOIN df b ON a.metric = b.metric AND a.method = b.method GROUP BY 1, 2)"""
 
 
-@query(with_(Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), WS.protocol((10,)), TS.long_metrics(_MET4), TS.pairs("AF"), _EFFECTS) + f"SELECT metric, {Q.r6('median(rb)')} AS median_biserial, {Q.r6('median(cd)')} AS median_delta, count(*) AS n FROM ed JOIN eb USING (metric, method) GROUP BY metric")
+@query(with_(Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), WS.protocol((10,)), TS.long_metrics(_MET4), TS.pairs("AF"), _EFFECTS) + f"SELECT metric, {Q.r6('median(rb)')} AS median_biserial, {Q.r6('median(cd)')} AS median_delta, count(*) AS n FROM ed LEFT JOIN eb USING (metric, method) GROUP BY metric")
 def k10_effect_medians(spark, sf_dir):
     """Median effect sizes against AF by metric."""
     return P.rounded(D.effect_medians(T.effect_sizes(T.paired(T.long_metrics(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)), _MET4), "AF"))))
@@ -275,7 +365,6 @@ def _cells(spark, sf_dir):
     return P.held(T.cell_verdicts(rows, "AF", 8), "verdicts"), rows.groupBy(*D.CELL, "metric", "method").agg(F.round(F.avg("value"), 9).alias("mean"))
 
 
-_COUNT = lambda rule: f"CAST(count(CASE WHEN {rule} THEN 1 END) AS BIGINT)"
 _PARETO = "pc AS (SELECT scenario, horizon, method, (rsi = 'ref_better') AND (ndcg <> 'ref_worse') AS success FROM (SELECT scenario, horizon, method, max(CASE WHEN metric = 'rsi_10' THEN verdict END) AS rsi, max(CASE WHEN metric = 'ndcg_10' THEN verdict END) AS ndcg FROM ve WHERE metric IN ('rsi_10', 'ndcg_10') GROUP BY 1, 2, 3))"
 _BEST = lambda names: f"bb AS (SELECT scenario, horizon, metric, method AS best, mean AS best_mean FROM (SELECT *, row_number() OVER (PARTITION BY scenario, horizon, metric ORDER BY CASE WHEN metric = 'mae' THEN -mean ELSE mean END DESC, list_position({names}, method)) AS k FROM me WHERE list_contains({names}, method)) WHERE k = 1), gc AS (SELECT m.scenario, m.horizon, m.metric, m.mean AS own_mean, best, best_mean, (m.mean - best_mean) / nullif(abs(best_mean), 0) AS gain FROM me m JOIN bb USING (scenario, horizon, metric) WHERE m.method = 'AF')"
 
@@ -482,10 +571,13 @@ def q9_gap_slots(spark, sf_dir):
     return A.gap_slots(P.weekly(spark, sf_dir).dense)
 
 
-@query()
+_GAPPED = Q.study("SELECT ts, item_id, cnt FROM u_demand WHERE cnt >= 2", 21600, "g_")
+
+
+@query(with_(Q.USERS, _GAPPED, Q.frames(7, 3, 5, name="fr", tag="g_"), _sc(*_NAMES), WS.protocol((10,)), "gs AS (SELECT slot FROM g_dense GROUP BY slot HAVING max(present) = 0), gw AS (SELECT DISTINCT slot + k AS window_id FROM gs, (SELECT unnest(range(1, 8)) AS k)), ga AS (SELECT method, avg(ndcg_10) AS a, avg(CASE WHEN window_id NOT IN (SELECT window_id FROM gw) THEN ndcg_10 END) AS w FROM pr GROUP BY 1)") + f"SELECT method, {Q.r6('a')} AS \"all\", {Q.r6('w')} AS without, CAST(rank() OVER (ORDER BY round(a, 9) DESC) AS INTEGER) AS rank_all, CAST(rank() OVER (ORDER BY round(w, 9) DESC) AS INTEGER) AS rank_without FROM ga")
 def q9_gap_sensitivity(spark, sf_dir):
     study = P.Study(P.user_six_hours(spark, sf_dir).where("count >= 2"), 21600, 5)
-    return P.rounded(A.gap_sensitivity(R.protocol(study.scored(list(S.BASELINES))), A.gap_slots(study.dense), 7, "ndcg_10"))
+    return P.rounded(A.gap_sensitivity(R.protocol(study.scored(list(S.BASELINES)).withColumn("score", F.round("score", 9)), (10,)), A.gap_slots(study.dense), 7, "ndcg_10"))
 
 
 @query(with_(Q.DEMAND, Q.frames(64, 32)) + "SELECT count(*) AS n, CAST(0 AS BIGINT) AS wrong_length, CAST(count(CASE WHEN n < 64 THEN 1 END) AS BIGINT) AS short FROM fr")
@@ -498,14 +590,17 @@ def _values(dense):
     return G.frames(dense, {"w": 7}).where("window_id > 0").select("window_id", "item_id", S.af(F.col("x_w")).alias("af"), "before")
 
 
-@query()
+_SOME = "SELECT name, CAST(0 AS BIGINT) AS n_different, CAST(0 AS DOUBLE) AS max_difference, (SELECT count(*) FROM dense WHERE slot BETWEEN 1 AND {last}) AS n_compared, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b FROM (SELECT unnest(['af', 'before']) AS name)"
+
+
+@query(with_(Q.DEMAND) + _SOME.format(last=200))
 def q2_truncation(spark, sf_dir):
     dense = P.weekly(spark, sf_dir).dense
     cut = 200
     return P.rounded(A.compare_tables(_values(dense).where(F.col("window_id") <= cut), _values(A.truncated(dense, cut)), ["window_id", "item_id"], 1e-9))
 
 
-@query()
+@query(with_(Q.DEMAND) + _SOME.format(last=150) + " UNION ALL SELECT 'leaky_af', 1, NULL, (SELECT count(*) FROM dense WHERE slot <= 150), 0, 0")
 def q3_future(spark, sf_dir):
     """Future slots overwritten: honest windows do not change, leaky ones do (the positive control)."""
     dense = P.weekly(spark, sf_dir).dense
@@ -524,7 +619,10 @@ def q4_catalogue_audit(spark, sf_dir):
     return P.rounded(A.catalogue_audit(study.demand, study.dense, 600))
 
 
-@query()
+_PLACED = "pl AS (SELECT *, row_number() OVER (PARTITION BY window_id, method ORDER BY score DESC, item_id DESC) AS rank, row_number() OVER (PARTITION BY window_id, method ORDER BY score DESC, item_id) AS own FROM sc), pt AS (SELECT method, window_id, list(item_id) FILTER (rank <= 10) AS b, list(item_id) FILTER (own <= 10) AS a FROM pl GROUP BY 1, 2), pv AS (SELECT method, window_id, a, b, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM pt WINDOW w AS (PARTITION BY method ORDER BY window_id)), pj AS (SELECT method, CASE WHEN pa IS NOT NULL THEN len(list_intersect(a, pa))::DOUBLE / len(list_distinct(list_concat(a, pa))) END AS x, CASE WHEN pb IS NOT NULL THEN len(list_intersect(b, pb))::DOUBLE / len(list_distinct(list_concat(b, pb))) END AS y FROM pv)"
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), _sc("PFRF", "AF"), _PLACED) + f"SELECT method, count(*) AS n, CAST(count(CASE WHEN x IS DISTINCT FROM y THEN 1 END) AS BIGINT) AS n_different, {Q.r6('avg(abs(x - y))')} AS mean_difference FROM pj GROUP BY method")
 def q5_rsi_audit(spark, sf_dir):
     scored = _scored(spark, sf_dir, "PFRF", "AF")
     by_item = R.with_rsi(R.window_metrics(R.rank_items(scored), (10,)), (10,))
@@ -537,18 +635,18 @@ def q6_window_lengths(spark, sf_dir):
     return A.window_lengths(_frames(spark, sf_dir, 7, 3)[1], "x_w")
 
 
-@query()
+@query(with_(Q.DEMAND, Q.frames(7, 3), "ms AS (SELECT window_id, list(item_id) AS a FROM fr GROUP BY 1), mp AS (SELECT window_id, a, lag(a) OVER (ORDER BY window_id) AS p FROM ms)") + f"SELECT window_id, len(a) AS n_items, CASE WHEN p IS NOT NULL THEN {Q.r6('len(list_intersect(a, p))::DOUBLE / len(list_distinct(list_concat(a, p)))')} END AS overlap FROM mp")
 def q6_membership(spark, sf_dir):
     return P.rounded(A.membership_changes(_frames(spark, sf_dir, 7, 3)[1]))
 
 
-@query()
+@query(f"WITH s AS (SELECT user_id AS item, ts, value AS diff, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total FROM events), l AS (SELECT *, total - lag(total) OVER w AS step, ts = lag(ts) OVER w AS again FROM s WINDOW w AS (PARTITION BY item ORDER BY ts, event_id)) SELECT item, count(*) AS n_rows, {_COUNT('again')} AS n_repeated, {_COUNT('epoch(ts) % 3600 = 0')} AS n_on_hour, {_COUNT('step < 0')} AS n_falls, {Q.r6('avg(CASE WHEN abs(step - diff) < 1e-6 THEN 1.0 WHEN step IS NOT NULL AND diff IS NOT NULL THEN 0.0 END)')} AS share_consistent, {_COUNT('diff < 0')} AS n_negative, {_COUNT('diff IS NULL')} AS n_missing FROM l GROUP BY item")
 def q7_snapshot_profile(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = P.table(spark, sf_dir, "events").withColumn("total", F.sum("value").over(w))
-    return P.rounded(A.snapshot_profile(events.select(F.col("user_id").alias("item"), "ts", "total", F.col("value").alias("diff"))))
+    return P.rounded(A.snapshot_profile(events.select(F.col("user_id").alias("item"), "ts", "event_id", "total", F.col("value").alias("diff")), ("ts", "event_id")))
 
 
 @query("SELECT 0 AS step, 'input' AS name, count(*) AS n_rows FROM events UNION ALL SELECT 1, 'value', count(*) FROM events WHERE value >= 5 UNION ALL SELECT 2, 'type', count(*) FROM events WHERE value >= 5 AND event_type <> 'click'")
