@@ -159,3 +159,33 @@ def all_baselines(x: Column) -> list[Column]:
 def validated(x: Column) -> Column:
     """The series, or null unless it is non-empty and all values are finite."""
     return F.when((F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), x)
+
+
+def user_scores(rows, name: str, batch, x: str = "x_w"):
+    """rows with the scores of a user's function in place of the windows, and <name>_failed.
+
+    batch maps a list of arrays to as many scores. If it raises, each window is scored alone; one
+    that still raises scores 0 and is marked. A list in place of a score counts as its mean.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kept = [c for c in rows.columns if c != x]
+
+    def score(windows: list) -> tuple[list[float], list[bool]]:
+        single = lambda v: float(np.mean(v)) if np.ndim(v) else float(v)
+        try:
+            return [single(v) for v in batch(windows)], [False] * len(windows)
+        except Exception:  # noqa: BLE001  whatever the user's code raises
+            if len(windows) == 1:
+                return [0.0], [True]
+        alone = [score([w]) for w in windows]
+        return [s[0][0] for s in alone], [s[1][0] for s in alone]
+
+    def run(batches):
+        for b in batches:
+            values, failed = score([np.asarray(w, float) for w in b[x].to_pylist()]) if b.num_rows else ([], [])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(values, pa.float64()), pa.array(failed, pa.bool_())], names=[*kept, name, f"{name}_failed"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != x)
+    return rows.mapInArrow(run, f"{schema}, `{name}` double, `{name}_failed` boolean")

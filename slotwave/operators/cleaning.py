@@ -114,6 +114,17 @@ def year_profile(demand: DataFrame) -> DataFrame:
     return demand.rollup(F.year("timestamp").alias("year")).agg(F.count("*").alias("n_rows"), F.count_distinct("item_id").alias("n_items"), F.sum("count").alias("requests"))
 
 
+def ends_with(name: str, suffix: str) -> Column:
+    """Items whose name ends in _<suffix>."""
+    return F.coalesce(F.col(name).endswith(f"_{suffix}"), F.lit(False))
+
+
+def view_rows(views: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, day, views) to demand: missing views are zero, zero rows go, items are the pages' numbers (page, item_id)."""
+    filled = views.select("page", "day", F.coalesce("views", F.lit(0)).cast("long").alias("count")).where("count > 0")
+    return filled.join(pages, "page").select(F.col("day").cast("timestamp").alias("timestamp"), "item_id", "count")
+
+
 def systematic_sample(items: DataFrame, n_days: int, max_cells: int, order: str = "item_id") -> DataFrame:
     """Every k-th item in order, with the smallest k such that the kept items fill at most max_cells item-days."""
     k = F.ceil(F.col("n_all") / F.lit(max(1, max_cells // n_days))).cast("int")

@@ -40,8 +40,9 @@ def duplicate_rows(demand: DataFrame) -> DataFrame:
 
 
 def densify(demand: DataFrame, grid: DataFrame) -> DataFrame:
-    """item_id, slot, v, present: every item in every slot, zero where there is no row."""
-    seen = with_slot(demand, grid).groupBy("item_id", "slot").agg(F.sum("count").cast("double").alias("v"))
+    """item_id, slot, v, present: every item in every slot, zero where there is no row. Two rows of one item and slot raise an error."""
+    one = F.when(F.count("*") > 1, F.raise_error(F.lit("several rows of one item and slot"))).otherwise(F.sum("count"))
+    seen = with_slot(demand, grid).groupBy("item_id", "slot").agg(one.cast("double").alias("v"))
     slots = demand.select("item_id").distinct().crossJoin(F.broadcast(grid)).select("item_id", F.explode(F.sequence(F.lit(0), F.col("n_slots"))).alias("slot"))
     return slots.join(seen, ["item_id", "slot"], "left").select("item_id", "slot", F.coalesce("v", F.lit(0.0)).alias("v"), F.col("v").isNotNull().cast("int").alias("present"))
 
@@ -55,15 +56,16 @@ def whole_file_catalogue(demand: DataFrame, min_total: int) -> DataFrame:
 def select_items(demand: DataFrame, n: int, how: str = "top", seed: int = 42) -> DataFrame:
     """n items: the largest totals, a hash-ordered draw, or a draw proportional by stratum (see strata)."""
     totals = demand.groupBy("item_id").agg(F.sum("count").alias("total"), F.avg("count").alias("mean"))
-    by = {"top": [F.desc("total"), F.col("item_id")], "random": [F.xxhash64(F.lit(seed), "item_id"), F.col("item_id")]}
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "item_id")), 1, 12), 16, 10).cast("long")
+    by = {"top": [F.desc("total"), F.col("item_id")], "random": [draw, F.col("item_id")]}
     if how in by:
         return totals.orderBy(*by[how]).limit(n).select("item_id")
     cuts = totals.agg(F.percentile("mean", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9))).alias("q"), F.count("*").alias("all"))
     labelled = totals.crossJoin(F.broadcast(cuts)).withColumn("stratum", F.when(F.col("mean") < F.col("q")[0], 0).when(F.col("mean") < F.col("q")[1], 1).when(F.col("mean") < F.col("q")[2], 2).otherwise(3))
     in_stratum = Window.partitionBy("stratum")
-    drawn = labelled.withColumn("nth", F.row_number().over(in_stratum.orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id"))).withColumn("quota", F.floor(F.count("*").over(in_stratum) * n / F.col("all")))
+    drawn = labelled.withColumn("nth", F.row_number().over(in_stratum.orderBy(draw, "item_id"))).withColumn("quota", F.floor(F.count("*").over(in_stratum) * n / F.col("all")))
     # quotas first, then fill up by hash order
-    return drawn.orderBy((F.col("nth") > F.col("quota")).cast("int"), F.xxhash64(F.lit(seed), "item_id"), "item_id").limit(n).select("item_id")
+    return drawn.orderBy((F.col("nth") > F.col("quota")).cast("int"), draw, "item_id").limit(n).select("item_id")
 
 
 def _chunked(dense: DataFrame, before: int, after: int, chunk: int) -> tuple[DataFrame, Window]:
@@ -101,6 +103,14 @@ def frames(dense: DataFrame, windows: dict[str, int], horizon: int = 1, chunk: i
     return out.where(~F.col("halo")).drop("halo", "chunk_end")
 
 
+def present_frames(dense: DataFrame, window: int, horizon: int = 1) -> DataFrame:
+    """The older windows: of the window - 1 slots before a slot only those with a row, gaps skipped. Columns as in frames, named w."""
+    w = Window.partitionBy("item_id").orderBy("slot")
+    rows = dense.withColumn("held", F.when(F.col("present") == 1, F.col("v")))
+    past = w.rowsBetween(-(window - 1), -1)
+    return rows.select(F.col("slot").alias("window_id"), "item_id", "present", F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.sum("v").over(w.rowsBetween(0, horizon - 1)).alias("truth"), F.collect_list("held").over(past).alias("x_w"), F.coalesce(F.sum("present").over(past), F.lit(0)).alias("observed_w"))
+
+
 def in_time(df: DataFrame, grid: DataFrame, horizon: int) -> DataFrame:
     """Windows whose whole future of `horizon` slots lies on the grid."""
     return df.crossJoin(F.broadcast(grid.select("n_slots"))).where(F.col("window_id") + horizon - 1 <= F.col("n_slots")).drop("n_slots")

@@ -44,6 +44,14 @@ def top_share(detailed: DataFrame, percent: float) -> DataFrame:
     return detailed.join(totals.crossJoin(F.broadcast(cut)).where("t >= cut").select("item_id"), "item_id", "left_semi")
 
 
+def chosen(detailed: DataFrame, stratum: int | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Rows of one stratum and of a range of windows."""
+    rules = [(stratum, F.col("stratum") == stratum), (first, F.col("window_id") >= first), (last, F.col("window_id") <= last)]
+    for given, rule in rules:
+        detailed = detailed if given is None else detailed.where(rule)
+    return detailed
+
+
 def protocol_from_detailed(detailed: DataFrame) -> DataFrame:
     """Metric rows recomputed from stored scores."""
     return protocol(detailed.select("window_id", "method", "item_id", F.col("popularity_score").alias("score"), F.col("actual_count").alias("truth")))

@@ -17,6 +17,7 @@ from ..operators import ranking as R
 from ..operators import statistics as T
 from ..operators import strata as Z
 from ..operators import wavelet as V
+from ..sources.tables import shared_dir
 from ..streaming import online
 from . import checks_sql as Q
 from . import popularity as P
@@ -674,24 +675,26 @@ def _stream(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
-        base = "file://" + tempfile.mkdtemp(prefix="slotwave-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-
-@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS timestamp, event_type AS item_id, count(*) AS count FROM events GROUP BY 1, 2")
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS timestamp, event_type AS item_id, count(*) AS count FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY 1, 2")
 def z1_stream_counts(spark, sf_dir):
-    """Hourly counts by a stream over the events file, in complete mode."""
+    """Hourly counts by a stream over the events file in append mode: the hours that the watermark, two hours behind the newest event, has closed."""
     counts = online.stream_slot_counts(_stream(spark, sf_dir), "ts", "event_type")
-    return online.drained(counts, f"z1_{uuid.uuid4().hex[:8]}", "complete", _folder(spark)).select(F.col("timestamp").cast("timestamp_ntz").cast("timestamp").alias("timestamp"), "item_id", "count")
+    return online.drained(counts, _folder(spark)).select(F.col("timestamp").cast("timestamp_ntz").cast("timestamp").alias("timestamp"), "item_id", "count")
 
 
-@query()
+_DECAY = "dc AS (SELECT event_type AS item_id, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS slot, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), dl AS (SELECT item_id, max(slot) AS last, min(slot) AS first FROM dc GROUP BY 1)"
+
+
+@query(with_(_DECAY) + f"SELECT item_id, max(last) AS slot, {Q.r6('sum(n * pow(0.5, last - slot))')} AS af, {Q.r6('sum(CASE WHEN slot = first THEN n ELSE 0.2 * n END * pow(0.8, last - slot))')} AS ewma FROM dc JOIN dl USING (item_id) GROUP BY item_id")
 def z2_stream_scores(spark, sf_dir):
-    """Recursive AF and EWMA of each event type after its last six-hour slot."""
-    raw = _stream(spark, sf_dir).select(C.slot_start(F.col("ts"), "6h").alias("timestamp"), F.col("event_type").alias("item_id"), F.lit(1).alias("count"))
-    scores = online.drained(online.stream_decay_scores(raw, 21600), f"z2_{uuid.uuid4().hex[:8]}", "update", _folder(spark))
+    """Recursive AF and EWMA of each event type after its last six-hour slot; events are counted by slot before the state sees them."""
+    six = C.slot_start(F.col("ts"), "6h")
+    folder = _folder(spark)
+    # the rows of each file are counted in Spark, so that the state of an item gets a row for each slot
+    events = _stream(spark, sf_dir).select(six.alias("timestamp"), F.col("event_type").alias("item_id"))
+    counts = online.counted(events, f"{folder}/counts")
+    scores = online.drained(online.stream_decay_scores(counts, 21600), f"{folder}/scores", "update")
     return P.rounded(scores.groupBy("item_id").agg(F.max("slot").alias("slot"), F.max_by("af", "slot").alias("af"), F.max_by("ewma", "slot").alias("ewma")))

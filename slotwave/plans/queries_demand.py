@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
@@ -93,12 +96,12 @@ def e27_year_profile(spark, sf_dir):
     return C.year_profile(P.supplier_weeks(spark, sf_dir))
 
 
-@query("SELECT o_orderkey, CAST(date_diff('second', o_orderdate, l_shipdate) // 604800 AS BIGINT) AS weeks, o_orderdate + INTERVAL 90 DAY AS in_three_months FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 WHERE l_shipdate >= o_orderdate")
+@query("SELECT o_orderkey, l_linenumber, CAST(date_diff('second', o_orderdate, l_shipdate) // 604800 AS BIGINT) AS weeks, o_orderdate + INTERVAL 90 DAY AS in_three_months FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate")
 def c22_slot_arithmetic(spark, sf_dir):
     orders = P.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    lines = P.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    lines = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_shipdate")
     rows = orders.join(lines, "o_orderkey").where("l_shipdate >= o_orderdate")
-    return rows.select("o_orderkey", C.slots_between(F.col("o_orderdate"), F.col("l_shipdate"), "weekly").alias("weeks"), C.add_slots(F.col("o_orderdate"), 3, "monthly").alias("in_three_months"))
+    return rows.select("o_orderkey", "l_linenumber", C.slots_between(F.col("o_orderdate"), F.col("l_shipdate"), "weekly").alias("weeks"), C.add_slots(F.col("o_orderdate"), 3, "monthly").alias("in_three_months"))
 
 
 @query("WITH w AS (SELECT event_type AS page, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT page, day, CAST(n AS DOUBLE) AS views FROM w")
@@ -112,16 +115,90 @@ def s5_series_lines(spark, sf_dir):
     return T.parse_series_lines(lines, str(span.a), (span.b - span.a).days + 1).where("views is not null")
 
 
-@query("SELECT event_type AS page, CAST(ts AS DATE) AS day, count(*) AS views FROM events WHERE ts >= (SELECT min(CAST(ts AS DATE)) FROM events) AND CAST(ts AS DATE) < (SELECT min(CAST(ts AS DATE)) FROM events) + 10 GROUP BY 1, 2")
+def _wide_days(spark, sf_dir):
+    """Views of each event type: one column for each day from the first to the last."""
+    events = P.table(spark, sf_dir, "events").select(F.col("event_type").alias("Page"), F.to_date("ts").alias("day"))
+    span = events.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    names = [(span.a + timedelta(i)).isoformat() for i in range((span.b - span.a).days + 1)]
+    return events.withColumn("day", F.col("day").cast("string")).groupBy("Page").pivot("day", names).count()
+
+
+@query("SELECT event_type AS page, CAST(ts AS DATE) AS day, count(*) AS views FROM events GROUP BY 1, 2")
 def s4_unpivot_days(spark, sf_dir):
-    """Ten days as one column each, and back to rows."""
-    events = P.table(spark, sf_dir, "events").select(F.col("event_type").alias("Page"), F.to_date("ts").cast("string").alias("day"))
-    first = events.agg(F.min(F.to_date("day"))).first()[0]
-    from datetime import timedelta
+    """All days as one column each, and back to rows."""
+    return T.unpivot_days(_wide_days(spark, sf_dir)).where("views is not null").withColumnRenamed("Page", "page")
+
+
+@query("WITH p AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events)) SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS timestamp, CAST(k AS VARCHAR) AS item_id, count(*) AS count FROM events JOIN p USING (event_type) GROUP BY 1, 2")
+def c19_view_rows(spark, sf_dir):
+    """Wide views to demand: zeros for missing cells, zero rows dropped, items by number."""
+    views = T.unpivot_days(_wide_days(spark, sf_dir)).withColumnRenamed("Page", "page")
+    return C.view_rows(views, T.page_dictionary(views))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_brand || '_' || p_type LIKE '%\\_%' ESCAPE '\\' AND suffix(p_brand || '_' || p_type, '_' || (SELECT max(p_type) FROM part))")
+def c16_suffix_items(spark, sf_dir):
+    """Parts whose compound name ends in a given type."""
+    part = P.table(spark, sf_dir, "part").withColumn("page", F.concat_ws("_", "p_brand", "p_type"))
+    last = part.agg(F.max("p_type")).first()[0]
+    return part.where(C.ends_with("page", last)).select("p_partkey", "p_name")
+
+
+def _csv(df, name: str) -> str:
+    path = f"{T.shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return path
+
+
+@query("SELECT user_id AS \"userId\", CAST(length(event_type) AS INTEGER) AS \"movieId\", count(*) AS n, CAST(sum(floor(epoch(ts))) AS BIGINT) AS seconds FROM events GROUP BY 1, 2")
+def s1_ratings_file(spark, sf_dir):
+    """Events written as a ratings file and read with the fixed schema."""
+    rows = P.table(spark, sf_dir, "events").select(F.col("user_id").alias("userId"), F.length("event_type").alias("movieId"), F.col("value").alias("rating"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"))
+    return T.read_ratings(spark, _csv(rows, "ratings")).groupBy(F.col("userId").cast("long").alias("userId"), "movieId").agg(F.count("*").alias("n"), F.sum("timestamp").alias("seconds"))
+
+
+@query(f"SELECT user_id AS \"PULocationID\", count(*) AS n, {Q.r6('avg(value)')} AS fare FROM events WHERE user_id > 0 AND value BETWEEN 0 AND 50 GROUP BY 1")
+def s2_trip_file(spark, sf_dir):
+    """Events written as trips, required and optional columns read, ids and fares filtered."""
+    path = f"{T.shared_dir(spark)}/trips-{uuid.uuid4().hex}"
+    P.table(spark, sf_dir, "events").select(F.col("ts").alias("tpep_pickup_datetime"), F.col("user_id").alias("PULocationID"), F.col("value").alias("fare_amount"), "props").write.parquet(path)
+    trips = T.read_trips(spark, path, True).where(C.valid_id(F.col("PULocationID")) & C.within({"fare_amount": (0, 50)}))
+    return P.rounded(trips.groupBy("PULocationID").agg(F.count("*").alias("n"), F.avg("fare_amount").alias("fare")))
+
 
-    names = [(first + timedelta(i)).isoformat() for i in range(10)]
-    wide = events.where(F.col("day").isin(names)).groupBy("Page").pivot("day", names).count()
-    return T.unpivot_days(wide).where("views is not null").withColumnRenamed("Page", "page")
+@query("SELECT CAST(ts AS TIMESTAMP) AS \"Time\", event_type AS \"videoId\", count(*) AS n FROM events WHERE value >= 0 AND ts >= TIMESTAMP '2018-05-01' GROUP BY 1, 2")
+def s3_snapshot_file(spark, sf_dir):
+    """Events written as snapshots and read; negative differences and early times go."""
+    rows = P.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("Time"), F.col("event_type").alias("videoId"), F.col("value").alias("viewCount_diff"))
+    found = T.read_snapshots(spark, _csv(rows, "snapshots")).where(C.non_negative("viewCount_diff") & C.in_period(F.col("Time"), "2018-05-01", "2200-01-01"))
+    return found.groupBy("Time", "videoId").agg(F.count("*").alias("n"))
+
+
+@query(with_(Q.DEMAND) + "SELECT ts AS timestamp, item_id, CAST(cnt AS BIGINT) AS count FROM demand")
+def s9_written_demand(spark, sf_dir):
+    """Demand written sorted as text and read back."""
+    path = f"{T.shared_dir(spark)}/demand-{uuid.uuid4().hex}.csv"
+    T.write_sorted(P.supplier_weeks(spark, sf_dir), path)
+    return T.read_demand(spark, path)
+
+
+@query(with_(Q.DEMAND) + "SELECT ts AS timestamp, item_id, CAST(cnt AS BIGINT) AS count FROM demand")
+def s8_stored_demand(spark, sf_dir):
+    """Demand written as Parquet and read back with text ids."""
+    path = f"{T.shared_dir(spark)}/demand-{uuid.uuid4().hex}"
+    T.write_demand(P.supplier_weeks(spark, sf_dir), path)
+    return T.read_demand(spark, path)
+
+
+@query(with_(Q.DEMAND) + "SELECT " + ", ".join(f"CAST(count(*) - count({c}) AS BIGINT) AS {n}_nulls" for c, n in (("ts", "timestamp"), ("item_id", "item_id"), ("cnt", "count"))) + " FROM demand")
+def c20_validation(spark, sf_dir):
+    return C.validate_schema(P.supplier_weeks(spark, sf_dir))
+
+
+@query("SELECT event_type AS item_id, count(*) AS n_rows FROM events WHERE value >= 10 GROUP BY 1")
+def c7_least_rating(spark, sf_dir):
+    """Rows at or above a least rating."""
+    return _ratings(spark, sf_dir).where(F.col("rating") >= 10).groupBy(F.col("movieId").alias("item_id")).agg(F.count("*").alias("n_rows"))
 
 
 @query(with_(Q.DEMAND) + "SELECT ts AS timestamp, item_id, CAST(2 * cnt AS BIGINT) AS count FROM demand")
@@ -156,11 +233,19 @@ def g6_top_items(spark, sf_dir):
     return G.select_items(P.supplier_weeks(spark, sf_dir), 15)
 
 
-@query()
+_TOTALS = "tt AS (SELECT item_id, avg(cnt) AS mean, CAST('0x' || substr(md5('42:' || item_id), 1, 12) AS BIGINT) AS h FROM demand GROUP BY 1)"
+
+
+@query(with_(Q.DEMAND, _TOTALS, "tq AS (SELECT quantile_cont(mean, [0.25, 0.5, 0.9]) AS q, count(*) AS n FROM tt), tl AS (SELECT item_id, h, n, CASE WHEN mean < q[1] THEN 0 WHEN mean < q[2] THEN 1 WHEN mean < q[3] THEN 2 ELSE 3 END AS st FROM tt, tq), td AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY h, item_id) AS nth, floor(count(*) OVER (PARTITION BY st) * 30 / n::DOUBLE) AS quota FROM tl)") + "SELECT item_id FROM td ORDER BY nth > quota, h, item_id LIMIT 30")
 def g6_stratified_items(spark, sf_dir):
     return G.select_items(P.supplier_weeks(spark, sf_dir), 30, "stratified")
 
 
+@query(with_(Q.DEMAND, _TOTALS) + "SELECT item_id FROM tt ORDER BY h, item_id LIMIT 12")
+def g6_random_items(spark, sf_dir):
+    return G.select_items(P.supplier_weeks(spark, sf_dir), 12, "random")
+
+
 @query(with_(Q.DEMAND) + "SELECT ts AS timestamp, item_id, cnt AS count FROM demand WHERE item_id IN (SELECT item_id FROM demand GROUP BY 1 HAVING sum(cnt) >= 610)")
 def g5_catalogue(spark, sf_dir):
     return G.whole_file_catalogue(P.supplier_weeks(spark, sf_dir), 610)

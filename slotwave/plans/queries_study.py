@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scorers as S
+from ..operators import audit as A
+from ..operators import decisions as D
+from ..operators import events as E
 from ..operators import grid as G
 from ..operators import learned as L
 from ..operators import ranking as R
 from ..operators import relation as L2
+from ..operators import statistics as T
 from ..operators import wavelet as V
 from . import checks_sql as Q
 from . import popularity as P
+from . import stats_sql as TS
 from . import wave_sql as WS
 from .registry import query, with_
 
@@ -64,13 +69,77 @@ def x11_ar2(spark, sf_dir):
     return P.rounded(G.valid_windows(rows, study.dense, ["window_id"]))
 
 
-@query()
+_HOLT = "list_reduce(list_transform(x[2:], lambda v: [v, 0.0]), lambda s, e: [0.3 * e[1] + 0.7 * (s[1] + s[2]), 0.1 * (0.3 * e[1] + 0.7 * (s[1] + s[2]) - s[1]) + 0.9 * s[2]], [x[1], x[2] - x[1]])"
+_MOMENTS = "hx AS (SELECT window_id, item_id, list(v ORDER BY i DESC) AS x FROM fr_x GROUP BY 1, 2), hm AS (SELECT *, list_avg(x) AS m, " + _HOLT + " AS lb FROM hx WHERE len(x) > 1), hk AS (SELECT *, list_avg(list_transform(x, lambda v: pow(v - m, 2))) AS m2, list_avg(list_transform(x, lambda v: pow(v - m, 3))) AS m3, list_avg(list_transform(x, lambda v: pow(v - m, 4))) AS m4 FROM hm)"
+
+
+@query(with_(Q.DEMAND, Q.frames(16, 8), _MOMENTS) + f"SELECT window_id, item_id, {Q.r6('list_sum(list_transform(range(1, 9), lambda k: greatest(0.0, lb[1] + k * lb[2])))')} AS holt, {Q.r6('CASE WHEN m2 > 0 THEN m + 0.5 * m3 / pow(m2, 1.5) + 0.3 * (m4 / (m2 * m2) - 3) ELSE 0 END')} AS statistical FROM hk")
 def x9_holt_statistical(spark, sf_dir):
     study = P.weekly(spark, sf_dir)
     rows = study.windows({"w": 16}).where(G.eligible("w", 8, P.MIN_TOTAL)).select("window_id", "item_id", S.holt(F.col("x_w"), 8).alias("holt"), S.statistical(F.col("x_w")).alias("statistical"))
     return P.rounded(G.valid_windows(rows, study.dense, ["window_id"]))
 
 
+def _guarded(windows):
+    """The range of each window; one of all zeros in the newest two slots raises."""
+    if any(w[-2:].sum() == 0 for w in windows):
+        raise ValueError("no recent request")
+    return [[w.max() - w.min()] * 2 for w in windows]
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3)) + "SELECT window_id, item_id, CASE WHEN sum(CASE WHEN i < 2 THEN v ELSE 0 END) = 0 THEN 0 ELSE max(v) - min(v) END AS own, sum(CASE WHEN i < 2 THEN v ELSE 0 END) = 0 AS own_failed FROM fr_x GROUP BY 1, 2")
+def x15_user_scorer(spark, sf_dir):
+    """A user's function that fails on some windows: these score zero and are marked."""
+    rows = _frames(spark, sf_dir, 7, 3)[1].select("window_id", "item_id", "x_w")
+    return S.user_scores(rows, "own", _guarded)
+
+
+_PADS = {h: WS.padded(how=h).replace("xs AS", f"xs_{h} AS").replace("FROM xs)", f"FROM xs_{h})").replace("px AS", f"px_{h} AS") for h in G.PADS}
+
+
+@query(with_(Q.DEMAND, Q.frames(64, 32), *_PADS.values()) + " UNION ALL ".join(f"SELECT '{h}' AS how, window_id, item_id, {Q.r6('list_dot_product(x, list_transform(range(1, 65), lambda k: k::DOUBLE))')} AS moment FROM px_{h}" for h in G.PADS))
+def g14_paddings(spark, sf_dir):
+    """Short windows filled up by every rule: the sum of value times place."""
+    rows = _frames(spark, sf_dir)[1]
+    moment = lambda h: F.aggregate(F.transform(G.pad_left(F.col("x_w"), 64, h), lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("how"), moment(h).alias("moment")) for h in G.PADS])).alias("p")
+    return P.rounded(rows.select("window_id", "item_id", each).select("p.how", "window_id", "item_id", "p.moment"))
+
+
+_PRESENT = """cf_all AS (SELECT slot AS window_id, item_id, coalesce(sum(v) OVER (PARTITION BY item_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(sum(present) OVER (PARTITION BY item_id ORDER BY slot ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) AS observed, v AS truth FROM dense),
+cf_ok AS (SELECT * FROM cf_all WHERE observed >= 3 AND before >= 24), cf AS (SELECT * FROM cf_ok WHERE window_id IN (SELECT slot FROM dense GROUP BY slot HAVING max(present) = 1) AND window_id IN (SELECT window_id FROM cf_ok GROUP BY 1 HAVING count(*) >= 2)),
+cx AS (SELECT c.window_id, c.item_id, c.truth, c.observed AS n, d.v, row_number() OVER (PARTITION BY c.window_id, c.item_id ORDER BY d.slot DESC) - 1 AS i FROM cf c JOIN dense d ON d.item_id = c.item_id AND d.present = 1 AND d.slot BETWEEN c.window_id - 6 AND c.window_id - 1)"""
+
+
+def _present(spark, sf_dir):
+    study = P.weekly(spark, sf_dir)
+    rows = G.in_time(G.present_frames(study.dense, 7), study.grid, 1).where(G.eligible("w", 3, P.MIN_TOTAL))
+    return G.valid_windows(rows, study.dense, ["window_id"])
+
+
+@query(with_(Q.DEMAND, _PRESENT) + f"SELECT window_id, item_id, max(truth) AS truth, max(n) AS observed_w, {Q.r6('sum(v * pow(0.5, i))')} AS af FROM cx GROUP BY 1, 2")
+def g9_present_windows(spark, sf_dir):
+    """The older windows of present rows only."""
+    return P.rounded(_present(spark, sf_dir).select("window_id", "item_id", "truth", "observed_w", S.af(F.col("x_w")).alias("af")))
+
+
+_OLD_NEW = lambda source, out: f"{out} AS (SELECT window_id, item_id, max(truth) AS truth, 'AF' AS method, round(sum(v * pow(0.5, i)), 9) AS score FROM {source} GROUP BY 1, 2)"
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), _PRESENT, _OLD_NEW("cx", "so"), _OLD_NEW("fr_x", "sn"), "sc AS (SELECT window_id, item_id, truth, 'old' AS method, score FROM so UNION ALL SELECT window_id, item_id, truth, 'new', score FROM sn)", WS.protocol((10,)), "vs AS (SELECT method, count(*) AS n, avg(ndcg_10) AS a, avg(rsi_10) AS b FROM pr GROUP BY 1)") + f"SELECT 'AF' AS method, o.n AS windows_old, v.n AS windows_new, {Q.r6('o.a')} AS ndcg_10_old, {Q.r6('v.a')} AS ndcg_10_new, {Q.r6('v.a - o.a')} AS ndcg_10_change, {Q.r6('o.b')} AS rsi_10_old, {Q.r6('v.b')} AS rsi_10_new, {Q.r6('v.b - o.b')} AS rsi_10_change FROM vs o, vs v WHERE o.method = 'old' AND v.method = 'new'")
+def q12_versions(spark, sf_dir):
+    """AF over the older windows and over the causal ones."""
+    score = lambda rows: R.summarize(R.protocol(rows.select("window_id", "item_id", "truth", F.lit("AF").alias("method"), F.round(S.af(F.col("x_w")), 9).alias("score")), (10,)), ("ndcg_10", "rsi_10"))
+    return P.rounded(A.version_table(score(_present(spark, sf_dir)), score(_frames(spark, sf_dir, 7, 3)[1]), ["ndcg_10", "rsi_10"]))
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), _sc("AF", "VSE"), Q.RANKED) + ", it AS (SELECT max(item_id) AS item FROM demand) SELECT CAST(k AS INTEGER) AS window_id, m.method, CAST(r.rank AS INTEGER) AS rank FROM (SELECT unnest(range(100, 141)) AS k) CROSS JOIN (SELECT DISTINCT method FROM ranked) m LEFT JOIN (SELECT * FROM ranked JOIN it ON item_id = item) r ON r.window_id = k AND r.method = m.method")
+def r6_rank_trace(spark, sf_dir):
+    """One item's rank in windows 100 to 140."""
+    item = P.supplier_weeks(spark, sf_dir).agg(F.max("item_id")).first()[0]
+    return E.rank_trace(R.rank_items(_scored(spark, sf_dir, "AF", "VSE")), item, 100, 140)
+
+
 _FEATS = ", ".join(f"{Q.r6(sql)} AS {name}" for name, sql in {"mean": "avg(v)", "std": "stddev_pop(v)", "min": "min(v)", "max": "max(v)", "median": "quantile_cont(v, 0.5)", "q25": "quantile_cont(v, 0.25)", "q75": "quantile_cont(v, 0.75)"}.items())
 
 
@@ -416,6 +485,42 @@ def f15_gate_quantiles(spark, sf_dir):
     return P.rounded(q.select("q", ((F.col("bin") + (F.col("q") * F.col("all") - (F.col("upto") - F.col("n"))) / F.col("n")) / 10000).alias("value")))
 
 
+_SETTING = lambda i: f"CAST(substr(split_part(method, '_', {i}), 2) AS DOUBLE)"
+
+
+@query(with_(*_AHEAD(8, V.CLAMPS), f"sc AS ({WS.scores(WS.SENSITIVE, 'fo')})", WS.protocol((10,)), f"se AS (SELECT method, {_SETTING(2)} AS clamp, {_SETTING(3)} AS gamma, {_SETTING(4)} AS trust, avg(ndcg_10) AS ndcg_10, avg(rsi_10) AS rsi_10 FROM pr GROUP BY 1)") + " UNION ALL ".join(f"SELECT '{by}' AS setting, {by} AS value, count(*) AS n, " + ", ".join(f"{Q.r6(f'{f}({m})')} AS {m}_{n}" for m in ("ndcg_10", "rsi_10") for f, n in (("avg", "mean"), ("min", "min"), ("max", "max"))) + f" FROM se GROUP BY {by}" for by in ("clamp", "gamma", "trust")))
+def t15_sensitivity(spark, sf_dir):
+    """Means and ranges of the gated index over each of its settings."""
+    fore = V.coefficient_forecasts(V.wavelet_features(_bare(spark, sf_dir, 8)), horizon=8, clamps=V.CLAMPS)
+    means = P.held(R.protocol(_long(fore, V.sensitivity_scores()), (10,)).groupBy("method").agg(F.avg("ndcg_10").alias("ndcg_10"), F.avg("rsi_10").alias("rsi_10")), "sensitivity")
+    part = lambda i: F.substring(F.split_part("method", F.lit("_"), F.lit(i)), 2, 9).cast("double")
+    named = means.select(part(2).alias("clamp"), part(3).alias("gamma"), part(4).alias("trust"), "ndcg_10", "rsi_10")
+    return P.rounded(G.union_all([D.sensitivity(named, by, ("ndcg_10", "rsi_10")).withColumnRenamed(by, "value").withColumn("setting", F.lit(by)) for by in ("clamp", "gamma", "trust")]))
+
+
+_REFS = "lm AS (SELECT method, window_id, 'ndcg_10' AS metric, round(ndcg_10, 9) AS value FROM pr UNION ALL SELECT method, window_id, 'rsi_10', round(rsi_10, 9) FROM pr WHERE rsi_10 IS NOT NULL), df AS (SELECT a.method, a.metric, a.window_id, round(a.value - b.value, 9) AS d FROM lm a JOIN lm b ON a.metric = b.metric AND a.window_id = b.window_id WHERE b.method = 'WSPI-F2' AND a.method <> 'WSPI-F2')"
+
+
+@query(with_(*_AHEAD(8), f"sc AS ({WS.scores(WS.SKILLED | {'WSPI-F2': WS.FORECAST_SCORES['WSPI-F2']}, 'fo')})", WS.protocol((10,)), _REFS, TS.blocks(8, "metric, method"), TS.signed_ranks("pb", "bl", "metric, method"), f"vd AS (SELECT metric, method, {TS.verdict('p')} AS verdict FROM (SELECT metric, method, avg(d) AS mean_diff FROM df GROUP BY 1, 2) JOIN pb USING (metric, method)), ks AS (SELECT CAST(substr(method, 8) AS DOUBLE) AS kappa, count(CASE WHEN verdict = 'ref_better' THEN 1 END) >= 1 AND count(CASE WHEN verdict = 'ref_worse' THEN 1 END) = 0 AS ok FROM vd GROUP BY 1)") + "SELECT kappa, CAST(1 AS BIGINT) AS n_cells, CAST(1 AS BIGINT) AS n_complete, CAST(CASE WHEN ok THEN 1 ELSE 0 END AS BIGINT) AS n_success, row_number() OVER (ORDER BY ok DESC, kappa DESC) = 1 AS selected FROM ks")
+def t14_kappa_selection(spark, sf_dir):
+    """The skill factor that does best against the gated index at eight slots, of equals the largest."""
+    fore = V.coefficient_forecasts(V.wavelet_features(_bare(spark, sf_dir, 8)), horizon=8, kappas=V.KAPPAS)
+    rows = P.held(T.long_metrics(R.protocol(_long(fore, V.skilled_scores() | {"WSPI-F2": V.forecast_scores()["WSPI-F2"]}), (10,)), ("ndcg_10", "rsi_10")), "kappa")
+    turned = T.paired(rows, "WSPI-F2").withColumn("diff", -F.col("diff"))  # each skill factor is the reference
+    out = turned.groupBy("metric", "method").agg(F.avg("diff").alias("mean_diff")).join(T.tests(turned, 8, 0), ["metric", "method"]).withColumn("verdict", T.verdict("p_block"))
+    cells = out.select(F.substring("method", 8, 9).cast("double").alias("kappa"), F.lit("supplier").alias("scenario"), F.lit(8).alias("horizon"), "metric", "verdict")
+    return D.select_setting(cells, "kappa", ("ndcg_10", "rsi_10"), 1)
+
+
+_SUMS = {f"sum_{k}": f"ln(1 + sum(CASE WHEN i < {k} THEN v ELSE 0 END))" for k in (1, 2, 4, 8, 16, 32, 64)} | {"slope_16": "sum(CASE WHEN i < 16 THEN v * ((least(n, 16) - 1) / 2.0 - i) ELSE 0 END) / max(least(n, 16) * (least(n, 16) * least(n, 16) - 1) / 12.0)", "zero_share": "avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END)"}
+
+
+@query(with_(*_WINDOWS) + "SELECT window_id, item_id, " + ", ".join(f"{Q.r6(x)} AS {n}" for n, x in _SUMS.items()) + " FROM fr_x GROUP BY 1, 2")
+def f17_ranker_features(spark, sf_dir):
+    rows = _bare(spark, sf_dir)
+    return P.rounded(rows.select("window_id", "item_id", *P.named(L.window_features(F.col("x_w")))))
+
+
 @query()
 def f16_nlms_convergence(spark, sf_dir):
     return P.rounded(V.nlms_convergence(V.wavelet_features(_bare(spark, sf_dir))))

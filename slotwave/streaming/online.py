@@ -25,10 +25,12 @@ def stream_decay_scores(counts: DataFrame, slot_seconds: int, alpha: float = 0.2
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, af, ewma = state.get if state.exists else (None, 0.0, 0.0)
-        rows = pd.concat(list(batches))
-        slots = (rows["timestamp"].astype("datetime64[s]").astype("int64") // slot_seconds).to_numpy()
-        sums = pd.Series(rows["count"].to_numpy(float)).groupby(slots).sum()
-        for slot, n in sums.sort_index().items():
+        sums: dict[int, float] = {}  # one entry a slot, whatever the number of rows
+        for rows in batches:
+            slots = (rows["timestamp"].astype("datetime64[s]").astype("int64") // slot_seconds).to_numpy()
+            for slot, n in pd.Series(rows["count"].to_numpy(float)).groupby(slots).sum().items():
+                sums[slot] = sums.get(slot, 0.0) + n
+        for slot, n in sorted(sums.items()):
             gap = 0 if last is None else slot - last
             if last is None:
                 af, ewma, last = n, n, slot
@@ -42,8 +44,22 @@ def stream_decay_scores(counts: DataFrame, slot_seconds: int, alpha: float = 0.2
     return counts.groupBy("item_id").applyInPandasWithState(step, "item_id string, slot long, af double, ewma double", "slot long, af double, ewma double", "update", "NoTimeout")
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All results of a bounded stream as a table: what a file source holds now is processed, then the query ends."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def counted(stream: DataFrame, folder: str) -> DataFrame:
+    """A stream of (timestamp, item_id, count) from a bounded stream of (timestamp, item_id): each micro-batch is aggregated by Spark and written to a shared folder first."""
+    count = lambda batch, i: batch.groupBy("timestamp", "item_id").agg(F.count("*").alias("count")).write.mode("overwrite").parquet(f"{folder}/rows/batch={i}")
+    stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(count).start().awaitTermination()
+    return stream.sparkSession.readStream.schema("timestamp timestamp, item_id string, count long").parquet(f"{folder}/rows/batch=*")
+
+
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All results of a bounded stream as a table in a shared folder: what a file source holds now is processed, then the query ends.
+
+    In update mode each micro-batch adds its rows, so a key may have several.
+    """
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/rows").outputMode("append")
+    else:
+        writer = writer.outputMode(mode).foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={i}"))
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

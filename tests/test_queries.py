@@ -63,6 +63,6 @@ def test_decay_stream(spark, tmp_path):
     rows = [(start + timedelta(hours=h), "i", n) for h, n in ((0, 4), (1, 2), (4, 8))]
     spark.createDataFrame(rows, "timestamp timestamp, item_id string, count long").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("timestamp timestamp, item_id string, count long").parquet(f"{tmp_path}/in")
-    out = online.drained(online.stream_decay_scores(stream, 3600), "decay_test", "update", f"{tmp_path}/cp").collect()[-1]
+    out = online.drained(online.stream_decay_scores(stream, 3600), f"{tmp_path}/out", "update").collect()[-1]
     ewma = 0.2 * 8 + (0.2 * 2 + 4 * 0.8) * 0.8**3
     assert math.isclose(out.af, 8 + (2 + 4 / 2) / 8) and math.isclose(out.ewma, ewma)
