@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import connected_components, join_labels
-from .shared import Words, blocks, mix64, release, stored
+from .shared import Words, blocks, mix64, release, stored, tidy
 
 BITS = 64
 #: Min-hash bands and values in each: a pair of Jaccard similarity 0.8 shares no band once in 2,800.
 BANDS, ROWS = 20, 5
 #: Standard deviations that the bit limit of candidates lies above the expected distance.
 LOOSE = 4.5
+#: Shingles of the documents that one side of a comparison in a task holds.
+PART = 1 << 18
 #: Reference fingerprints: the same for every run.
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 42) for i in range(24)], np.uint64)
 
@@ -161,18 +163,18 @@ def block_masks(m: int, k: int) -> list[int]:
     return [sum(one[i] for i in chosen) for chosen in combinations(range(m), m - k)]
 
 
-def _linker(k: int, n_check: int, most: int, similarity: float | None = None, every: bool = False):
+def _linker(k: int, n_check: int, most: int, similarity: float | None = None):
     """Links inside groups of rows (group, side, rep, fp0, ...) that arrive sorted by group.
 
     With a similarity, pairs (group, a, b) to be verified: those that would span the group if all
-    were links, or `every` pair of two components. Sizes of sets bound the similarity of a pair.
+    were links. Sizes of sets bound the similarity of a pair.
     """
 
     def close(t: pa.Table) -> pa.RecordBatch:
         group, side, rep = (t[c].to_numpy() for c in ("grp", "side", "rep"))
         fps = [t[f"fp{i}"].to_numpy().view(np.uint64) for i in range(n_check)]
         n = len(group)
-        size, tied = (None, None) if similarity is None else (t["size"].to_numpy(), t["component"].to_numpy())
+        size = None if similarity is None else t["size"].to_numpy()
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         table = np.frombuffer(b"".join(t["pivots"].to_pylist()), np.uint8).reshape(n, len(PIVOTS)).astype(np.int8)
         new = np.ones(n, bool)
@@ -187,7 +189,7 @@ def _linker(k: int, n_check: int, most: int, similarity: float | None = None, ev
             ok = (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] < 0))
             a, b = a[ok], b[ok]
             if similarity is not None:
-                ok = (tied[a] != tied[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
+                ok = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6
                 a, b = a[ok], b[ok]
             for p in range(table.shape[1]):  # largest coordinate difference
                 if not len(a):
@@ -200,8 +202,7 @@ def _linker(k: int, n_check: int, most: int, similarity: float | None = None, ev
                     ok &= sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in fps) <= most
                 if similarity is not None:
                     pairs.append((a[ok], b[ok]))
-                if not every:
-                    label = join_labels(n, a[ok], b[ok], label)
+                label = join_labels(n, a[ok], b[ok], label)
             step += 1
         if similarity is not None:
             a, b = (np.concatenate([np.zeros(0, int), *[p[i] for p in pairs]]) for i in (0, 1))
@@ -289,30 +290,102 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, widt
 def similar(docs: DataFrame, known: DataFrame, ties: DataFrame, id_col: str, text_col: str, width: int, similarity: float, group_rows: int = 4096) -> DataFrame:
     """Links a-b between classes (rep, fp0, ..., size, bands) of at least this Jaccard similarity.
 
-    First the pairs that would span each group are verified. A pair that was passed over since
-    its ends seemed tied by others is verified in a second round, if one of those failed.
+    First the pairs that would span each group are verified on the texts. Where one fails, pairs
+    that were passed over since they seemed tied by it may still be links: the groups of such
+    failures are joined to blocks, and inside a block documents of different components are compared.
     """
     fps = [c for c in known.columns if c.startswith("fp")]
     differ = acos(2 * similarity / (1 + similarity)) / pi
     k, most = (ceil(n * differ + LOOSE * sqrt(n * differ * (1 - differ))) for n in (BITS, BITS * len(fps)))
     keyed = known.where("size > 0").select("rep", *fps, "pivots", "size", F.posexplode("bands").alias("band", "hash")).withColumn("key", F.xxhash64("band", "hash")).drop("band", "hash")
     grouped = stored(_grouped(keyed, group_rows), "simhash-groups")
-
-    def candidates(rows: DataFrame, every: bool) -> DataFrame:
-        link = _linker(k, len(fps), most, similarity, every)
-        return stored(rows.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(link, "grp long, a long, b long"), "simhash-pairs")
-
-    first = candidates(grouped.withColumn("component", F.col("rep")), False)
+    first = stored(grouped.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_linker(k, len(fps), most, similarity), "grp long, a long, b long"), "simhash-pairs")
     tested = verified(docs, first.select("a", "b").distinct(), id_col, text_col, width, similarity)
     failed = tested.where("not ok")
     if not failed.take(1):
         return tested.select("a", "b")
     links = tested.where("ok").select("a", "b")
-    again = first.join(failed, ["a", "b"], "left_semi").select("grp").distinct()
-    parts = stored(connected_components(links.unionByName(ties)), "simhash-components")
-    rows = grouped.join(again, "grp", "left_semi").join(parts, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    rest = candidates(rows, True).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    return links.unionByName(verified(docs, rest, id_col, text_col, width, similarity).where("ok").select("a", "b"))
+    again = grouped.join(first.join(failed, ["a", "b"], "left_semi").select("grp").distinct(), "grp", "left_semi").select("grp", "rep")
+    hubs = again.groupBy("grp").agg(F.min("rep").alias("hub"))
+    blocks_ = connected_components(again.join(hubs, "grp").select(F.col("rep").alias("a"), F.col("hub").alias("b"))).toDF("rep", "block")
+    parts = connected_components(links.unionByName(ties)).toDF("rep", "component")
+    members = blocks_.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = stored(members.join(known.select("rep", *fps, "pivots", "size"), "rep"), "simhash-members")
+    return links.unionByName(_passed_over(docs, members, id_col, text_col, width, similarity, k, most))
+
+
+def _passed_over(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int, similarity: float, k: int, most: int) -> DataFrame:
+    """Spanning links between documents of one block and different components (rows block, rep, component, fp0, ..., pivots, size).
+
+    The component with most shingles of a block never meets itself, so a block of one large
+    component and a few other documents costs no more than it holds. Sets of shingle hashes are
+    compared inside tasks; no pair leaves one but spanning links.
+    """
+    fps = [c for c in members.columns if c.startswith("fp")]
+    sizes = members.groupBy("block", "component").agg(F.sum("size").alias("n"))
+    plan = sizes.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("components")).where("components > 1")
+    few, many = (F.ceil(c / PART).cast("int") for c in (F.col("all") - F.col("most"), F.col("most")))
+    plan = stored(plan.select("block", "main", few.alias("few"), many.alias("many")), "simhash-plan")
+    rows = members.join(plan, "block")
+    main = F.col("component") == F.col("main")
+    own = F.when(main, F.col("few") + F.pmod(F.xxhash64("rep"), F.col("many")).cast("int")).otherwise(F.pmod(F.xxhash64("rep"), F.col("few")).cast("int"))
+    # parts of the other components come first and meet every part, those of the main one only these
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
+    rows = rows.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "component", *fps, "pivots")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(members.join(plan, "block", "left_semi").select("rep").distinct(), "rep", "left_semi")
+    sets = stored(texts.mapInArrow(_shingle_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep", "shingles"]), "simhash-sets")
+    return stored(rows.join(sets, "rep").groupBy("block", "i", "j").applyInArrow(_compare(similarity, k, most, len(fps)), "a long, b long"), "simhash-late")
+
+
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                text, found = shingle_hashes(part["text"], width)
+                cuts = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part["rep"], pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.view(np.int64)))], names=["rep", "shingles"])
+            release()
+
+    return run
+
+
+def _compare(similarity: float, k: int, most: int, n_check: int):
+    """Links between the documents of two parts, or of one with itself, that join two components."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("side", "ascending"), ("rep", "ascending")]).combine_chunks()
+        n, rep, side = len(t), t["rep"].to_numpy(), t["side"].to_numpy()
+        table = np.frombuffer(b"".join(t["pivots"].to_pylist()), np.uint8).reshape(n, len(PIVOTS)).astype(np.int8)
+        fps = [t[f"fp{i}"].to_numpy().view(np.uint64) for i in range(n_check)]
+        lists = t["shingles"].chunk(0) if n else pa.array([], pa.list_(pa.int64()))
+        sizes = np.diff(np.asarray(lists.offsets))
+        words, ids = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        label, own = np.unique(t["component"].to_numpy(), return_inverse=True)[1], bool(n) and side[0] == side[-1]
+        marked, links = np.zeros(len(words), np.uint8), []
+        left = np.arange(n) if own else np.flatnonzero(side == side[0])
+        for a in left.tolist():
+            b = np.arange(a + 1, n) if own else np.arange(len(left), n)
+            b = b[(label[b] != label[a]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-6)]
+            b = b[np.abs(table[b] - table[a]).max(1, initial=0) <= k] if len(b) else b  # largest coordinate difference
+            b = b[np.bitwise_count(fps[0][b] ^ fps[0][a]) <= k]
+            if n_check > 1:
+                b = b[sum(np.bitwise_count(f[b] ^ f[a]).astype(np.int64) for f in fps) <= most]
+            if not len(b):
+                continue
+            mine = ids[starts[a] : starts[a + 1]]
+            marked[mine] = 1
+            total = sizes[b]
+            at = np.repeat(starts[b] - np.concatenate([[0], np.cumsum(total)[:-1]]), total) + np.arange(total.sum())
+            both = np.add.reduceat(marked[ids[at]], np.concatenate([[0], np.cumsum(total)[:-1]]), dtype=np.int64)
+            marked[mine] = 0
+            for x in b[both >= similarity * (sizes[a] + total - both) - 1e-9].tolist():
+                if label[x] != label[a]:
+                    links.append((rep[a], rep[x]))
+                    label[label == label[x]] = label[a]
+        return pa.table([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return tidy(run)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, seeds: tuple[int, ...] = (42,), similarity: float | None = None) -> DataFrame:

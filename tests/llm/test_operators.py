@@ -127,8 +127,10 @@ def test_simhash_similarity(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
-def test_simhash_exact_similarity(spark):
-    """Pairs of Jaccard similarity 0.7 to 0.95 and a chain, against brute force."""
+@pytest.mark.parametrize("part", [simhash.PART, 400])
+def test_simhash_exact_similarity(spark, monkeypatch, part):
+    """Pairs of Jaccard similarity 0.7 to 0.95, a chain, and a crowd of near copies around the limit, against brute force."""
+    monkeypatch.setattr(simhash, "PART", part)
     rng = random.Random(6)
     texts = []
     for edits in (1, 2, 3, 4, 5, 6) * 12:
@@ -139,6 +141,11 @@ def test_simhash_exact_similarity(spark):
         texts += [base, near]
     for i in range(12):  # each three words further from the first
         texts.append([*(f"x{j}" for j in range(3 * i)), *(f"y{j}" for j in range(3 * i, 150))])
+    crowd = [f"c{i}" for i in range(120)]
+    for i in range(60):
+        texts.append([*crowd[: 60 + i % 7], *(f"n{i}_{j}" for j in range(i % 7)), *crowd[60 + i % 7 :]])
+        for at in rng.sample(range(len(texts[-1])), 1 + i % 3):
+            texts[-1][at] = f"e{i}"
     texts += [["one", "two"], ["ONE", "two"], ["one", "three"], [], []]
     sets = [set(zip(*[[w.lower() for w in t][i:] for i in range(5)], strict=False)) if len(t) > 4 else {tuple(w.lower() for w in t)} for t in texts]
     alike = [(i, j) for i in range(len(sets)) for j in range(i, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
