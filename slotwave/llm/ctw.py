@@ -12,7 +12,8 @@ is score / log10(1/2) bits.
 What the corpus yields grows with it: every bucket of documents sends each distinct string of
 depth + 1 bytes, and each distinct token, once; totals are made by key, contexts that share
 their last three bytes are worked out together, and each bucket gets back the values it asked
-for. Only nodes of at most two bytes of context are broadcast (65,793 contexts of 255 nodes at
+for. Keys travel packed, one row for each bucket and part that has any of its keys: never more
+rows than keys, however many parts there are. Only nodes of at most two bytes of context are broadcast (65,793 contexts of 255 nodes at
 most, whatever the corpus).
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, bucketed, mix64, pack, stored, text_blocks, tidy, unpack
+from .shared import Words, bucketed, mix64, pack, runs, stored, text_blocks, tidy, unpack
 
 TOP = 2
 U = np.uint64
@@ -219,10 +220,9 @@ def _ask(depth: int, parts: int, folds: int, fold: int):
         for kind, (keys, counts) in _tally(t["text"], _train_rows(t, folds, fold), depth).items():
             part = _part(kind, keys, parts)
             order = np.argsort(part, kind="stable")  # keys stay sorted within a part
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cuts)):
-                mine = order[cuts[p] : cuts[p + 1]]
-                out.append((int(p), bucket, kind, pack(keys[mine], True), pack(counts[mine])))
+            for p, a, z in runs(part[order]):
+                mine = order[a:z]
+                out.append((p, bucket, kind, pack(keys[mine], True), pack(counts[mine])))
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "bucket", "kind", "keys", "counts"])
 
     return tidy(run)

@@ -179,6 +179,8 @@ def tidy(f, sides: int = 1):
 
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
+#: Packed bytes up to which compression would cost more than it saves.
+_PLAIN = 64
 
 
 def pack(values: np.ndarray, rising: bool = False) -> bytes:
@@ -189,19 +191,25 @@ def pack(values: np.ndarray, rising: bool = False) -> bytes:
     planes = x.view(np.uint8).reshape(-1, 8).T
     used = 8 - int(np.argmax(np.append(planes.any(axis=1)[::-1], True)))
     body = np.ascontiguousarray(planes[:used]).tobytes()
-    return struct.pack("<QB", len(x), used) + (_ZSTD.compress(body, asbytes=True) if body else b"")
+    return struct.pack("<IB", len(x), used) + (_ZSTD.compress(body, asbytes=True) if len(body) > _PLAIN else body)
 
 
 def unpack(data: bytes, rising: bool = False) -> np.ndarray:
-    n, used = struct.unpack_from("<QB", data)
+    n, used = struct.unpack_from("<IB", data)
     x = np.zeros((n, 8), np.uint8)
     if n and used:
-        body = _ZSTD.decompress(data[9:], n * used, asbytes=True)
+        body = _ZSTD.decompress(data[5:], n * used, asbytes=True) if n * used > _PLAIN else data[5:]
         x[:, :used] = np.frombuffer(body, np.uint8).reshape(used, n).T
     x = x.view(np.uint64).ravel()
     return np.cumsum(x, dtype=np.uint64) if rising else x
 
 
+def runs(labels: np.ndarray):
+    """(label, first place, end) of each run of equal labels; the time depends on the labels' number only."""
+    edges = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)] if len(labels) else [0]
+    return ((int(labels[a]), a, z) for a, z in zip(edges[:-1], edges[1:], strict=True))
+
+
 def bucketed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, least: int = 1 << 22, most: int = 1 << 24) -> tuple[DataFrame, int, int]:
     """(doc_id, text, bucket), the number of buckets, and the bytes of all texts.
 

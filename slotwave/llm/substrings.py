@@ -8,8 +8,9 @@ others are grouped exactly, by 128 bits of hash (of each word, and of the order
 two different windows among 10**14 share them with probability below 10**-10). Estimates are never too small: no repeated
 window is lost, whatever the width of the sketch.
 
-Sketches and windows travel packed, one row for each bucket and slice, and each bucket gets
-back only what concerns it. Documents meet their bucket's answers by one shuffle that Spark
+Sketches and windows travel packed, one row for each bucket and slice that has any of its
+windows (never more rows than cells or windows, however many slices there are), and each bucket
+gets back only what concerns it. Documents meet their bucket's answers by one shuffle that Spark
 reuses, and a window in very many documents costs each bucket one entry.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .shared import Words, bucketed, mix64, pack, text_blocks, tidy, unpack
+from .shared import Words, bucketed, mix64, pack, runs, text_blocks, tidy, unpack
 
 U = np.uint64
 ROWS = 2
@@ -84,10 +85,10 @@ def _cells(h0: np.ndarray, h1: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     return (mix64(h0 + U(r) * h1) >> U(64 - bits) for r in range(ROWS))
 
 
-def _slices(cells: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Bounds of the slices in sorted cells."""
-    edges = [(p << bits) // parts for p in range(parts + 1)]
-    return np.append(np.searchsorted(cells, np.array(edges[:-1], U)), len(cells))
+def _slices(x: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Slice of each number of so many bits: equal ranges of the numbers' first 32 bits, in order."""
+    first = x >> U(max(bits - 32, 0))
+    return first * U(parts) >> U(min(bits, 32))
 
 
 def _sketch(width: int, bits: int, parts: int):
@@ -96,10 +97,9 @@ def _sketch(width: int, bits: int, parts: int):
         bucket, out = t["bucket"][0].as_py(), []
         for r, cells in enumerate(_cells(h0, h1, bits)):
             cells, n = np.unique(cells, return_counts=True)
-            cuts = _slices(cells, bits, parts)
-            for p in np.flatnonzero(np.diff(cuts)):
-                mine = slice(cuts[p], cuts[p + 1])
-                out.append((r * parts + int(p), bucket, pack(cells[mine], True), np.packbits(n[mine] > 1).tobytes()))
+            for p, a, z in runs(_slices(cells, bits, parts)):
+                mine = slice(a, z)
+                out.append((r * parts + p, bucket, pack(cells[mine], True), np.packbits(n[mine] > 1).tobytes()))
         return _table(out, ("slice", "bucket", "cells", "many"))
 
     return tidy(run)
@@ -131,22 +131,19 @@ def _suspects(width: int, bits: int, parts: int):
         doubtful = np.ones(len(h0), bool)
         for r, cells in enumerate(_cells(h0, h1, bits)):
             u, at = np.unique(cells, return_inverse=True)
-            cuts = _slices(u, bits, parts)
             flags = np.zeros(len(u), bool)
-            for p in np.flatnonzero(np.diff(cuts)):
-                flags[cuts[p] : cuts[p + 1]] = np.unpackbits(np.frombuffer(answer[r * parts + int(p)], np.uint8), count=cuts[p + 1] - cuts[p])
+            for p, a, z in runs(_slices(u, bits, parts)):
+                flags[a:z] = np.unpackbits(np.frombuffer(answer[r * parts + p], np.uint8), count=z - a)
             doubtful &= flags[at]
             del u, at, cells
         at = np.flatnonzero(doubtful)
         order, again = _grouped(h0[at], h1[at])
         at = at[order[~again]]  # sorted by h0
         ids, bucket, out = t["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy(), t["bucket"][0].as_py(), []
-        edges = [(p << 64) // parts for p in range(parts)]
-        cuts = np.append(np.searchsorted(h0[at], np.array(edges, U)), len(at))
-        for p in np.flatnonzero(np.diff(cuts)):
-            mine = at[cuts[p] : cuts[p + 1]]
+        for p, a, z in runs(_slices(h0[at], 64, parts)):
+            mine = at[a:z]
             # ids shifted to be unsigned, order kept
-            out.append((int(p), bucket, pack(h0[mine], True), pack(h1[mine]), pack(ids[row[mine]].view(U) ^ U(1 << 63))))
+            out.append((p, bucket, pack(h0[mine], True), pack(h1[mine]), pack(ids[row[mine]].view(U) ^ U(1 << 63))))
         return _table(out, ("slice", "bucket", "h0", "h1", "ids"))
 
     return tidy(run, 2)
@@ -212,8 +209,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text), so of fully equal rows one keeps its words; null ids come last. An empty table gives no
     rows; further columns of the input may have any names.
 
-    A task holds one bucket of bucket_bytes of text. Exchanges have one row for each pair of
-    bucket and slice, so for very large corpora give as large buckets as executors hold.
+    A task holds one bucket of bucket_bytes of text. Exchanges have at most one row for each pair
+    of bucket and slice, and at most one for each distinct window of a bucket: the first grows as
+    the square of the corpus up to some TB, the second in proportion.
     """
     rows, parts, size = bucketed(docs, id_col, text_col, carry, most=bucket_bytes)
     bits = max(16, int(4 * size / 6).bit_length())  # some four cells a word

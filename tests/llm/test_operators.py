@@ -14,7 +14,7 @@ import pytest
 import xxhash
 
 from slotwave.llm import bpe, components, ctw, langid, mixing, quality, sharding, simhash, substrings, vectors, warc
-from slotwave.llm.shared import Words, pack, unpack
+from slotwave.llm.shared import Words, pack, runs, unpack
 
 from ..conftest import SMALL
 
@@ -59,6 +59,13 @@ def test_words_and_packing():
     assert got == [x for t in texts for x in (t or "").encode().split()] and w.counts.tolist() == [3, 0, 0, 0, 2, 1]
     x = np.sort(np.random.default_rng(0).integers(0, 2**63, 999, dtype=np.uint64)) * np.uint64(2)
     assert (unpack(pack(x, True), True) == x).all() and (unpack(pack(x)) == x).all() and len(unpack(pack(x[:0]))) == 0
+    assert all((unpack(pack(x[:n], True), True) == x[:n]).all() for n in range(20))
+    assert list(runs(np.array([4, 4, 7, 2]))) == [(4, 0, 2), (7, 2, 3), (2, 3, 4)] and not list(runs(np.zeros(0, int)))
+    for bits in (16, 40, 64):  # more slices than numbers, and fewer
+        y = x >> np.uint64(64 - bits)
+        for parts in (1, 7, 4001, 10**7):
+            p = substrings._slices(y, bits, parts)
+            assert (np.diff(p.astype(np.int64)) >= 0).all() and p.max() < parts
 
 
 def test_hashes_of_words_that_polynomials_confuse():
@@ -442,8 +449,9 @@ def test_substrings(spark):
                 gone[s : s + 20] = [True] * 20
             seen.add(x)
         want.append((r.doc_id, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
-    got = substrings.deduplicate(docs, digest=True)
-    assert key((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == key(want)
+    for most in (substrings.BUCKET_BYTES, 20000):
+        got = substrings.deduplicate(docs, digest=True, bucket_bytes=most)
+        assert key((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == key(want)
     carried = substrings.deduplicate(docs, carry=True, layout=True).where("doc_id = -4").first()
     assert carried.kept == "É1 \x1f  b c !!" and carried.rest.source == "src9"
     assert substrings.deduplicate(docs.limit(0)).count() == 0
