@@ -41,15 +41,23 @@ def draw(id_col: str, seed: int) -> Column:
 ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
+def _places(docs: DataFrame) -> list[tuple[str, str]]:
+    """(name, name by place) of each column."""
+    return [(c, f"in{i}") for i, c in enumerate(docs.columns)]
+
+
 def _drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """The input's columns as a struct, row, and the added ones."""
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("own"), n_words(text_col).alias("mix_size"))
+    """The input's columns, named by place (in0, in1, ...) so that none clashes, and the added ones.
+
+    They stay columns of their own: those that a caller does not ask for are not shuffled.
+    """
+    sized = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in _places(docs)], F.col(id_col).alias("id"), F.col(source_col).alias("own"), n_words(text_col).alias("mix_size"))
     targets = source_targets(sized.groupBy(F.col("own").alias("source")).agg(F.sum("mix_size").alias("source_size")), weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate")
     drawn = sized.join(targets, sized["own"].eqNullSafe(targets["source"])).withColumn("rate", rate)
     copies = (whole + (draw("id", seed) < F.col("rate") - whole).cast("long")).cast("long")
-    return drawn.select("row", "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies"))
+    return drawn.select(*[n for _, n in _places(docs)], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies"))
 
 
 def with_copies(docs: DataFrame, **options) -> DataFrame:
@@ -60,10 +68,10 @@ def with_copies(docs: DataFrame, **options) -> DataFrame:
     an id. Of the input's columns only those of the four added names are replaced, any other
     name is kept as it is; an empty table gives no rows. Options are those of _drawn.
     """
-    return _drawn(docs, **options).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED], *ADDED)
+    return _drawn(docs, **options).select(*[F.col(n).alias(c) for c, n in _places(docs) if c not in ADDED], *ADDED)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the input's columns, whatever their names, each row as often as the mix takes it."""
-    out = _drawn(docs, **options).where("mix_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("nth"))
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    out = _drawn(docs, **options).where("mix_copies > 0").select(*[n for _, n in _places(docs)], F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("nth"))
+    return out.select(*[F.col(n).alias(c) for c, n in _places(docs)])

@@ -325,8 +325,8 @@ def test_mixing(spark):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.mix_copies for r in rows)
     assert mixing.with_copies(docs.limit(0)).count() == 0
-    clash = docs.selectExpr("*", "1 as mix_note", "2 as mix_rate", "3 as mix_source", "4 as mix_size", "5 as rate", "6 as id", "7 as own", "8 as target", "9 as nth")
-    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).where("mix_rate = 2 and mix_size = 4 and rate = 5 and nth = 9 and mix_note = 1").count() == mixed.count()
+    clash = docs.selectExpr("*", "1 as mix_note", "2 as mix_rate", "3 as mix_source", "4 as mix_size", "5 as rate", "6 as id", "7 as own", "8 as target", "9 as nth", "10 as in0")
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).where("mix_rate = 2 and mix_size = 4 and rate = 5 and nth = 9 and in0 = 10 and mix_note = 1").count() == mixed.count()
     assert set(mixing.with_copies(clash).columns) == set(clash.columns) | set(mixing.ADDED) and mixing.with_copies(clash).where("mix_rate = 2").count() == len(rows)
 
 
