@@ -23,6 +23,8 @@ from .shared import blocks, release
 
 #: Pre-tokens remembered in a worker; beyond that the memory is emptied, which changes no result.
 REMEMBERED = 100_000
+#: Bytes of text whose pre-tokens are held at once.
+BLOCK = 1 << 18
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -126,17 +128,22 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         codec = _codec(name, shared.value, pattern)
-        for batch in batches:
-            for part in blocks(batch, "text"):
-                ids = codec.encode([t or "" for t in part["text"].to_pylist()])
-                decoded = {x: codec.decode(x) for x in set(ids)}
-                back = [decoded[x] for x in ids]
-                n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                if digests:
-                    columns = [pa.array([hashlib.sha256(x).hexdigest() for x in xs]) for xs in (ids, back)]
-                else:
-                    columns = [pa.array(xs, pa.binary()) for xs in (ids, back)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], n, *columns], names=["doc_id", "n_tokens", *names])
+        try:
+            for batch in batches:
+                for part in blocks(batch, "text", BLOCK):
+                    ids = codec.encode([t or "" for t in part["text"].to_pylist()])
+                    decoded = {x: codec.decode(x) for x in set(ids)}
+                    back = [decoded[x] for x in ids]
+                    n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                    if digests:
+                        columns = [pa.array([hashlib.sha256(x).hexdigest() for x in xs]) for xs in (ids, back)]
+                    else:
+                        columns = [pa.array(xs, pa.binary()) for xs in (ids, back)]
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], n, *columns], names=["doc_id", "n_tokens", *names])
+        finally:  # workers outlive their tasks and would keep the model through the stages that follow
+            del codec
+            _CODECS.clear()
+            release()
 
     names, kind = (("ids_sha256", "decoded_sha256"), "string") if digests else (("ids", "decoded"), "binary")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
