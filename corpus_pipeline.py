@@ -35,8 +35,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in windows that occur earlier go; texts that lose nothing keep their layout, texts left without words go."""
-    out = substrings.deduplicate(docs, carry=True, layout=True).where("n_removed < n_words or n_words = 0")
+    """Words in windows that occur earlier go; texts that lose nothing keep their layout, texts left without words go.
+
+    Rows travel whole here, so buckets hold half the text that they hold by default.
+    """
+    out = substrings.deduplicate(docs, carry=True, layout=True, bucket_bytes=1 << 22).where("n_removed < n_words or n_words = 0")
     columns = {c: F.col("rest")[c] for c in docs.columns if c != "text"} | {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*[columns[c].alias(c) for c in docs.columns])
 
