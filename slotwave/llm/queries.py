@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, langid, mixing, quality, sharding, simhash, substrings, vectors, warc
+from . import bpe, ctw, fim, langid, mixing, packing, quality, search, sharding, simhash, substrings, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,24 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_ctw": op2_ctw, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_bpe": op5_bpe, "op6_vectors": op6_vectors, "op7_sharding": op7_sharding, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_langid": op10_langid}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.place(found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restore(fim.transform(_table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_ctw": op2_ctw, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_bpe": op5_bpe, "op6_vectors": op6_vectors, "op7_sharding": op7_sharding, "op8_warc": op8_warc, "op9_substrings": op9_substrings, "op10_langid": op10_langid, "op11_packing": op11_packing, "op12_fim": op12_fim, "op13_search": op13_search}
 
 ORACLE_SQL = {
     "op8_warc": """
@@ -74,5 +91,26 @@ l AS (SELECT *, ((SELECT CAST(sum(source_size) AS DOUBLE) FROM r) * 1.5::DOUBLE
 t AS (SELECT source, source_size, least(cap, (SELECT max(level) FROM l) * weight) AS target FROM l),
 x AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, CAST('0x' || substr(md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM x
+""",
+    "op12_fim": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+g AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS one, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS two, CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
+c AS (SELECT doc_id, t, n, least(one, two) AS a, greatest(one, two) AS z, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(z - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, z + 1) || '<M>' || substr(t, a + 1, z - a) ELSE '<S>' || substr(t, z + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, z - a) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+""",
+    "op13_search": r"""
+WITH dw AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+iw AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+len AS (SELECT doc_id, count(*) AS n FROM dw GROUP BY doc_id),
+tot AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM len),
+q AS (SELECT item_id, term, count(*) AS times FROM iw GROUP BY item_id, term),
+p AS (SELECT term, doc_id, count(*) AS tf FROM dw WHERE term IN (SELECT term FROM q) GROUP BY term, doc_id),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), tot),
+i AS (SELECT p.term, p.doc_id, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l))) AS x FROM p JOIN w USING (term) JOIN len USING (doc_id), tot),
+s AS (SELECT item_id, doc_id, CAST(sum(x * times) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
 """,
 }

@@ -47,6 +47,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -83,7 +85,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
 class Words:
     """Words of a block of texts as flat arrays: byte ranges, text index, hashes."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, separators: np.ndarray = _SPACE):
         texts = texts.cast(pa.large_binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
@@ -93,7 +95,7 @@ class Words:
         self.data = _LOWER[data] if lower else data
         self.offsets = ends - ends[0]
         self.n = len(texts)
-        self.space = space = _SPACE[data]
+        self.space = space = separators[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[self.offsets] = True
         first, last = ~space, ~space
