@@ -122,8 +122,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 #: What tells the rows of a corpus apart; rows that agree in it share a verdict.
 _ROW = ["doc_id", "host", "th"]
-#: Parts that the holders of one frequent line are dealt into.
-SALTS = 16
+#: A line that holds more than 1 / HOT of all lines is joined by a broadcast: there are fewer than HOT of them.
+HOT = 1000
 
 
 def _same_row(a: DataFrame, b: DataFrame):
@@ -138,9 +138,12 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs:
     lines = facts.where("size(lines) > 0").select(*_ROW, document.alias("document"), F.posexplode(F.arrays_zip("lines", "line_words")).alias("nth", "l")).select(*_ROW, "document", "nth", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     holders = lines.groupBy("host", "line", "document").agg(F.min("doc_id").alias("doc_id"))
     often = holders.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).where(F.col("n_docs") > max_docs)
-    # the holders of a line are the hot rows of this join, so they are dealt into parts
-    often = often.select("host", "line", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    lost = lines.withColumn("salt", F.pmod(F.xxhash64("th"), F.lit(SALTS)).cast("int")).join(often, ["host", "line", "salt"])
+    rows = lines.groupBy("host", "line").agg(F.count("*").alias("n_rows"))
+    often = stored(often.join(rows, ["host", "line"]), "quality-often")
+    n = facts.agg(F.coalesce(F.sum(F.size("lines").cast("long")), F.lit(0))).first()[0]
+    hot = F.col("n_rows") * HOT > n
+    named = lines.join(F.broadcast(often.where(hot)), ["host", "line"]).unionByName(lines.join(often.where(~hot), ["host", "line"]))
+    lost = named.drop("n_docs", "n_rows")
     if first_keeps:
         lost = lost.where(~F.col("doc_id").eqNullSafe(F.col("first")))
     # fully equal rows name each line once

@@ -219,7 +219,7 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, l
     `least` to `most` bytes of text. It is drawn by id and text, so rows without an id, or many
     texts of one id, spread over the buckets.
     """
-    rest = [F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")] if carry else []
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest)
     size = int(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     n = max(1, -(-size // most), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // least))

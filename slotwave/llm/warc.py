@@ -21,8 +21,8 @@ from .shared import shared_dir, stored
 
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 18
-#: Parts that the pages of one payload are dealt into.
-SALTS = 16
+#: A payload of more than 1 / HOT of all pages is joined by a broadcast: there are fewer than HOT of them.
+HOT = 1000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORDS = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary, path string, start long"
 
@@ -164,12 +164,13 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Rows for write_archives: of equal payloads of at least `least` bytes all but that of the smallest id are revisits."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    many = base.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    # pages of one payload may be many, so they are dealt into parts
-    many = stored(many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "warc-firsts")
-    base = base.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    many = base.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    many = stored(many, "warc-firsts")
+    hot = many.where(F.col("n") * HOT > pages.count())
+    rest = base.join(F.broadcast(hot.select("digest", F.col("first").alias("often"))), "digest", "left")
+    found = rest.join(many.join(hot, "digest", "left_anti").select("digest", "first"), "digest", "left").withColumn("first", F.coalesce("often", "first"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return base.join(many, ["digest", "salt"], "left").select(
+    return found.select(
         F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))).alias("record_id"), "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.concat(F.lit("urn:page:"), F.col("first").cast("string"))).alias("refers_to"), "digest", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"),
     )

@@ -330,6 +330,42 @@ def test_mixing(spark):
     assert set(mixing.with_copies(clash).columns) == set(clash.columns) | set(mixing.ADDED) and mixing.with_copies(clash).where("mix_rate = 2").count() == len(rows)
 
 
+@pytest.mark.parametrize("rows", ["null", "same", "repeated"])
+def test_mixing_without_ids(spark, monkeypatch, rows):
+    """Rows without an id, of one id, and fully equal rows are taken near their sources' targets too, the same on every run."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", 50)
+    text = "'five words that repeat here'" if rows == "repeated" else "concat('these are five words ', id)"
+    docs = spark.range(3000).repartition(7).selectExpr("cast(null as long) as doc_id" if rows == "null" else "7L as doc_id", f"{text} as text", "concat('src', id % 3) as source", "id as `n.th`")
+    got = mixing.with_copies(docs).collect()
+    again = mixing.with_copies(docs.repartition(3)).select("doc_id", "text", "source", "mix_copies")
+    assert key((r.doc_id, r.text, r.source, r.mix_copies) for r in got) == key(tuple(r) for r in again.collect())
+    for source in ("src0", "src1", "src2"):
+        mine = [r for r in got if r.source == source]
+        assert len(mine) == 1000 and abs(sum(r.mix_copies * r.mix_size for r in mine) / mine[0].mix_target - 1) < 0.08
+    assert sorted(r["n.th"] for r in got) == list(range(3000))
+    monkeypatch.setattr(mixing, "SMALL_ROWS", 0)  # by exchanges in place of broadcasts
+    assert key((r.doc_id, r.text, r.source, r.mix_copies) for r in mixing.with_copies(docs).collect()) == key((r.doc_id, r.text, r.source, r.mix_copies) for r in got)
+
+
+def test_mixing_sql(spark):
+    import duckdb
+
+    from slotwave.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    found = con.execute(ORACLE_SQL["op4_mixing"])
+    names = [x[0] for x in found.description]
+    plain = lambda rows: key(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+    assert plain(found.fetchall()) == plain(tuple(r[c] for c in names) for r in QUERIES["op4_mixing"](spark, SMALL).collect())
+    odd = "select * from documents union all select * from documents where doc_id < 5 union all select null, text, lang, source, n_chars from documents where doc_id < 9 union all select null, text, lang, source, n_chars from documents where doc_id < 4"
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs.createOrReplaceTempView("documents")
+    got = mixing.with_copies(spark.sql(odd)).selectExpr("doc_id", "mix_size as size", "mix_source_size as source_size", "mix_target as target", "mix_size * mix_copies as taken").select(names)
+    con.execute(f"create table t as {odd}; drop view documents; create view documents as select * from t")
+    assert plain(con.execute(ORACLE_SQL["op4_mixing"]).fetchall()) == plain(tuple(r) for r in got.collect())
+
+
 def test_bpe(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import tiktoken

@@ -35,6 +35,29 @@ def test_planted_cases(spark):
     assert len(ids) == mixed.count() and all(len(np.frombuffer(r.ids, "<u4")) == r.n_tokens for r in ids)
 
 
+def test_odd_rows(spark):
+    """Each stage with repeated rows, null ids, ties, long texts, nulls, and columns with dots and clashing names."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    twice, lost, long = text(120), text(130), text(150_000)
+    rows = [(i, text(100)) for i in range(6)] + [(10, twice), (10, twice), (None, lost), (None, lost), (None, text(90)), (12, text(80) + " " + "v" * 500_000), (13, long), (14, None), (None, None), (15, ""), (16, text(70)), (16, text(75))]
+    docs = spark.createDataFrame([(i, t, "en", f"src{k % 2}" if k % 5 else None, 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "'d' as `a.b`", "'x' as bucket", "2 as rep", "3 as row", "4 as th", "true as kept", "6 as rest", "7 as size", "8 as key", "9 as nth", "'y' as `key.nth`", "10 as component_id", "11 as host", "12 as id", "13 as own")
+    columns = docs.columns
+    # rows kept by each stage: of equal rows and null ids nothing goes before the substrings, where the first of equal texts keeps its words
+    want = {"quality": 15, "near_duplicates": 15, "substrings": 13}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL).cache()
+        assert docs.columns == columns, name
+        if name in want:
+            assert docs.count() == want[name], name
+        assert docs.where("`a.b` <> 'd' or `key.nth` <> 'y' or rep <> 2 or nth <> 9 or own <> 13").isEmpty(), name
+        if name != "mixing":
+            assert {r.doc_id for r in docs.collect()} == {*range(6), 10, None, 12, 13, 16} and docs.where("doc_id = 13").first().text == long
+    out = pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert len(out) == docs.count() > 5 and all(len(r.ids) == 4 * r.n_tokens for r in out)
+
+
 def test_run(spark):
     out = pipeline.run(spark, SMALL)
     assert out.count() > 50 and set(out.columns) == {"doc_id", "n_tokens", "ids", "decoded_sha256"}
