@@ -169,24 +169,20 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc
         if name not in _MODELS:
             _MODELS.clear()
             _MODELS[name] = WordTokens(shared.value)
-        words = _MODELS[name]
-        try:
-            for batch in batches:
-                for part in blocks(batch, "text", SEGMENT):
-                    texts = [(t or "").encode("utf-8", "replace") for t in part["text"].to_pylist()]
-                    if len(texts) == 1:
-                        found = [(x for s in [*_segments(texts[0])] for x in words.encode([s]))]
-                    else:
-                        found = [[x] for x in words.encode(texts)]
-                    out = []
-                    for i, ids in zip(part["doc_id"].to_pylist(), found, strict=True):
-                        out += [(i, k, k * size, len(x) // 4, x) for k, x in enumerate(cut_ids((y for ys in (ids, [_END]) for y in ys), size))]
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _OUT.split(", ")])
-        finally:  # workers outlive their tasks
-            del words
-            _MODELS.clear()
-            release()
+        words = _MODELS[name]  # kept with what it remembers for the worker's next task
+        for batch in batches:
+            for part in blocks(batch, "text", SEGMENT):
+                texts = [(t or "").encode("utf-8", "replace") for t in part["text"].to_pylist()]
+                if len(texts) == 1:
+                    found = [(x for s in _segments(texts[0]) for x in words.encode([s]))]
+                else:
+                    found = [[x] for x in words.encode(texts)]
+                out = []
+                for i, ids in zip(part["doc_id"].to_pylist(), found, strict=True):
+                    out += [(i, k, k * size, len(x) // 4, x) for k, x in enumerate(cut_ids((y for ys in (ids, [_END]) for y in ys), size))]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _OUT.split(", ")])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _OUT)
 
