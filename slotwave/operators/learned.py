@@ -1,10 +1,12 @@
-"""A learned ranker: features of windows, a leak-free training sample, gradient-boosted trees from MLlib."""
+"""A learned ranker: features of windows, a leak-free training sample, leaf-wise boosted trees."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting as B
+
 #: Rows of the training sample.
 SAMPLE = 200_000
 
@@ -28,21 +30,44 @@ def window_features(x: Column) -> dict[str, Column]:
     return out
 
 
+def first_test_window(frames: DataFrame, share: float = 0.3) -> int | None:
+    """The first window after the first floor(share n) ones."""
+    from .grid import time_split
+
+    return time_split(frames.select("window_id"), share).where("part = 'test'").agg(F.min("window_id")).first()[0]
+
+
+def sample_order(seed: int = 42) -> Column:
+    """A number below 2**48 for each row of a window and item, the same on every run."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("window_id").cast("string"), "item_id")
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def training_rows(frames: DataFrame, first_test: int, horizon: int = 1, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """Rows of windows whose truth ends before the first test window, hash-chosen; label log1p(truth)."""
-    rows = frames.where(F.col("window_id") + horizon - 1 < first_test).withColumn("label", F.log1p("truth"))
-    return rows.orderBy(F.xxhash64(F.lit(seed), "window_id", "item_id"), "window_id", "item_id").limit(sample)
+    """Rows of windows whose truth ends before the first test window, at most `sample` of them in hash order; label log1p(truth).
+
+    Numbers are spread evenly, so rows far above the share that is wanted are left out before the
+    order is made; the rest is sorted and cut exactly.
+    """
+    rows = frames.where(F.col("window_id") + horizon - 1 < first_test).withColumn("label", F.log1p("truth")).withColumn("draw", sample_order(seed))
+    n = rows.count()
+    if n <= sample:
+        return rows.drop("draw")
+    limit = min(1.0, sample / n + 8 * (sample / n / n) ** 0.5 + 8 / n)
+    some = rows.where(F.col("draw") <= F.lit(int(limit * 2**48)))
+    if some.count() < sample:
+        some = rows
+    return some.orderBy("draw", "window_id", "item_id").limit(sample).drop("draw")
 
 
-def fit(train: DataFrame, names: list[str], depth: int = 5, rounds: int = 20, rate: float = 0.1, seed: int = 42):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+def fit_rankers(train: DataFrame, feature_sets: dict[str, list[str]], settings: B.Settings = B.Settings()) -> dict[str, B.Model]:
+    """Boosted trees on log1p of the truth for each set of features, fitted on the same rows."""
+    return B.fit(train, feature_sets, "label", ["window_id", "item_id"], settings)
 
-    trees = GBTRegressor(featuresCol="features", labelCol="label", maxDepth=depth, maxIter=rounds, stepSize=rate, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), trees]).fit(train)
 
+def score(models: dict[str, B.Model], frames: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., method, score) of each model: expm1 of the prediction, at least zero."""
+    from .ranking import to_long
 
-def score(model, frames: DataFrame) -> DataFrame:
-    """frames with score: expm1 of the prediction, at least zero."""
-    return model.transform(frames).withColumn("score", F.greatest(F.expm1("prediction"), F.lit(0.0))).drop("features", "prediction")
+    out = B.predicted(frames, models)
+    return to_long(out.select(*keep, *[F.greatest(F.expm1(f"`{m}`"), F.lit(0.0)).alias(m) for m in models]), list(models), keep)

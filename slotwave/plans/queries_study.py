@@ -573,20 +573,22 @@ def e13_density(spark, sf_dir):
 
 # Learned ranker
 
-#: Boosting rounds and step of the registered ranker.
-ROUNDS, RATE = 60, 0.1
+_FIRST_TEST = "ft AS (SELECT min(window_id) AS first FROM (SELECT window_id, row_number() OVER (ORDER BY window_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT window_id FROM fr)) WHERE k > floor(0.3 * n))"
+
+
+@query(with_(*_WINDOWS, _FIRST_TEST) + f"SELECT window_id, item_id, {Q.r6('ln(1 + truth)')} AS label FROM fr, ft WHERE window_id < first ORDER BY CAST('0x' || substr(md5('42:' || window_id || ':' || item_id), 1, 12) AS BIGINT), window_id, item_id LIMIT 2000")
+def f18_training_rows(spark, sf_dir):
+    """The sample that learned rankers are fitted on, of 2000 rows here: windows whose truth ends before the first test window."""
+    rows = P.held(_bare(spark, sf_dir).select(*_KEEP), "ranker-rows")
+    return P.rounded(L.training_rows(rows, L.first_test_window(rows), sample=2000).select("window_id", "item_id", "label"))
 
 
 @query()
 def f19_learned_ranker(spark, sf_dir):
-    """Trees on plain window features (GBM) and on these with the transform's (GBM+W), both fitted before the first test window."""
-    _, rows = _frames(spark, sf_dir)
-    plain = rows.select(*_KEEP, *P.named(L.window_features(F.col("x_w"))), "x_w")
-    feats = P.held(V.wavelet_features(plain).drop("low", "energies"), "ranker")
-    first_test = int(feats.agg(F.percentile("window_id", F.lit(0.3))).first()[0])
-    names = list(L.window_features(F.col("x_w")))
-    parts = []
-    for method, columns in (("GBM", names), ("GBM+W", [*names, "mu_l", "r", "w_e"])):
-        model = L.fit(L.training_rows(feats, first_test), columns, rounds=ROUNDS, rate=RATE)
-        parts.append(L.score(model, feats.where(F.col("window_id") >= first_test)).select(*_KEEP, F.lit(method).alias("method"), "score"))
-    return P.rounded(R.summarize(R.protocol(G.union_all(parts))))
+    """300 rounds of leaf-wise trees on plain window features (GBM) and on these with the transform's (GBM+W), both fitted before the first test window."""
+    plain = _frames(spark, sf_dir)[1].select(*_KEEP, *P.named(L.window_features(F.col("x_w"))), "x_w")
+    feats = P.held(V.wavelet_features(plain).drop("low", "energies", "x_w"), "ranker")
+    first_test, names = L.first_test_window(feats), list(L.window_features(F.col("x_w")))
+    models = L.fit_rankers(L.training_rows(feats, first_test), {"GBM": names, "GBM+W": [*names, "mu_l", "r", "w_e"]})
+    scores = L.score(models, feats.where(F.col("window_id") >= first_test), _KEEP)
+    return P.rounded(R.summarize(R.protocol(scores.withColumn("score", F.round("score", 9)))))
