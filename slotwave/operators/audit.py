@@ -77,7 +77,10 @@ def catalogue_audit(demand: DataFrame, dense: DataFrame, min_total: int) -> Data
 
 
 def snapshot_profile(snapshots: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Per item (item, ts, total, diff), in order: rows, repeats, full hours, falls of the total, share of diff = difference of totals, negatives, missing."""
+    """Per item (item, ts, total, diff), in order: rows, repeats, full hours, falls of the total, share of diff = difference of totals, negatives, missing.
+
+    A full hour is one by minute and second; fractions of a second are cut.
+    """
     w = Window.partitionBy("item").orderBy(*order)
     rows = snapshots.withColumn("step", F.col("total") - F.lag("total").over(w)).withColumn("again", F.col("ts") == F.lag("ts").over(w))
     n = lambda rule: F.coalesce(F.sum(F.coalesce(rule, F.lit(False)).cast("int")), F.lit(0))

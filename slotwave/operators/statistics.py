@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+from .grid import time_split, union_all
 from .ranking import average_rank
+from .resampling import block_intervals, cluster_intervals
 
 #: What a comparison is made within, beside the metric.
-KEYS = ("scenario", "horizon")
+KEYS = ("scenario", "horizon", "part", "report")
 #: Values are compared at so many digits, so that ties do not hang on the order of sums.
 DIGITS = 9
 #: Metrics of which less is better.
@@ -31,20 +35,6 @@ def block_means(rows: DataFrame, block: int, by: list[str]) -> DataFrame:
     return rows.withColumn("block", F.floor(nth / block)).groupBy(*by, "block").agg(F.avg("value").alias("value"), F.count("*").alias("n")).where(F.col("n") == block).drop("n")
 
 
-def block_bootstrap(values: np.ndarray, block: int, draws: int = 10_000, seed: int = 42) -> tuple[float, float]:
-    """95 % percentile interval of the mean under a circular block bootstrap; sums come from running totals."""
-    n = len(values)
-    if n == 0:
-        return math.nan, math.nan
-    block = min(block, n)
-    k = -(-n // block)
-    starts = np.random.default_rng([seed, n, block]).integers(0, n, (draws, k))
-    total = np.concatenate([[0.0], np.cumsum(np.concatenate([values, values]))])
-    last = n - (k - 1) * block
-    sums = (total[starts[:, :-1] + block] - total[starts[:, :-1]]).sum(1) + total[starts[:, -1] + last] - total[starts[:, -1]]
-    return tuple(float(q) for q in np.percentile(sums / n, [2.5, 97.5]))
-
-
 def _ranks(x: np.ndarray) -> np.ndarray:
     order = np.argsort(x, kind="stable")
     _, at, n = np.unique(x[order], return_inverse=True, return_counts=True)
@@ -93,7 +83,7 @@ def paired(long_rows: DataFrame, reference: str) -> DataFrame:
 
 def effect_sizes(pairs: DataFrame) -> DataFrame:
     """Per metric and method: windows, wins, losses, ties, mean difference, matched rank-biserial, Cliff's delta."""
-    by = ["metric", "method"]
+    by = _by(pairs)
     some = pairs.where("diff <> 0").withColumn("size", F.abs("diff")).withColumn("r", average_rank("size", by))
     biserial = some.groupBy(*by).agg((F.sum(F.when(F.col("diff") > 0, F.col("r")).otherwise(-F.col("r"))) / F.sum("r")).alias("rank_biserial"))
     sign = F.when(F.col("metric").isin(*LOWER_IS_BETTER), -1.0).otherwise(1.0)
@@ -106,26 +96,25 @@ def effect_sizes(pairs: DataFrame) -> DataFrame:
     return base.join(biserial, by, "left").join(cliff, by, "left")
 
 
-def tests(pairs: DataFrame, block: int, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """Per metric and method: interval of the mean difference (none for 0 draws), p of single windows and of block means. One group is one pair's windows."""
+def tests(pairs: DataFrame, block: int) -> DataFrame:
+    """Per cell, metric and method: p of single windows and of block means, number of blocks. One group is one pair's windows."""
     by = _by(pairs)
     kinds = dict(pairs.dtypes)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("window_id")
         d = t["diff"].to_numpy()
-        lo, hi = block_bootstrap(d, block, draws, seed) if draws else (None, None)
         full = np.round(d[: len(d) // block * block].reshape(-1, block).mean(1), 12)
-        facts = {"ci_low": lo, "ci_high": hi, "p_window": wilcoxon(d), "p_block": wilcoxon(full) if len(full) else None}
+        facts = {"p_window": wilcoxon(d), "p_block": wilcoxon(full) if len(full) else None}
         return pa.table([*(t[c].slice(0, 1) for c in by), *(pa.array([x], pa.float64()) for x in facts.values()), pa.array([len(full)], pa.int64())], names=[*by, *facts, "n_blocks"])
 
-    return pairs.select(*by, "window_id", "diff").groupBy(*by).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", ci_low double, ci_high double, p_window double, p_block double, n_blocks long")
+    return pairs.select(*by, "window_id", "diff").groupBy(*by).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", p_window double, p_block double, n_blocks long")
 
 
 def cell_verdicts(long_rows: DataFrame, reference: str, block: int) -> DataFrame:
     """Per cell, metric and method: mean difference to the reference, verdict by Holm-adjusted block tests, and by single windows."""
     pairs, family = paired(long_rows, reference), _by(long_rows)[:-1]
-    out = pairs.groupBy(*_by(pairs)).agg(F.avg("diff").alias("mean_diff")).join(tests(pairs, block, 0), _by(pairs))
+    out = pairs.groupBy(*_by(pairs)).agg(F.avg("diff").alias("mean_diff")).join(tests(pairs, block), _by(pairs))
     out = holm(out, "p_block", family, "p_holm").withColumn("verdict", verdict("p_holm")).withColumn("verdict_sens", verdict("p_window"))
     return out.withColumn("reference", F.lit(reference))
 
@@ -144,15 +133,62 @@ def verdict(p: str, diff: str = "mean_diff", level: float = 0.05) -> Column:
     return F.when((F.col(p) < level) & (F.col(diff) > 0), "ref_better").when((F.col(p) < level) & (F.col(diff) < 0), "ref_worse").otherwise("n.s.")
 
 
-def paired_report(protocol: DataFrame, reference: str, metrics: tuple[str, ...], block: int, block_sens: int | None = None, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """Metric x method against a reference: effect sizes, intervals, Holm within each metric, and the verdict; also for a second block length."""
-    pairs = paired(long_metrics(protocol, metrics), reference)
-    out = effect_sizes(pairs).join(tests(pairs, block, draws, seed), ["metric", "method"])
-    out = holm(holm(out, "p_window", ["metric"], "p_window_holm"), "p_block", ["metric"], "p_block_holm").withColumn("verdict", verdict("p_block_holm"))
+@dataclass(frozen=True)
+class Report:
+    """A part report: methods (None: all others) against a reference on some parts of the windows.
+
+    p values are corrected over the methods of a metric, or over the metrics of a method where
+    `over` says so (a confirmation of one planned pair).
+    """
+
+    name: str
+    reference: str
+    methods: tuple[str, ...] | None = None
+    parts: tuple[str, ...] = ("all", "tune", "test")
+    over: str = "methods"
+
+
+def with_parts(rows: DataFrame, share: float = 0.3) -> DataFrame:
+    """rows once as part all, and once as part tune (the first windows) or test."""
+    split = time_split(rows, share)
+    return rows.join(F.broadcast(split.withColumnRenamed("part", "own")), "window_id").withColumn("part", F.explode(F.array(F.lit("all"), "own"))).drop("own")
+
+
+def report_pairs(long_rows: DataFrame, reports: list[Report]) -> DataFrame:
+    """Paired differences of every report, with its name; long_rows has a part."""
+    out = []
+    for r in reports:
+        rows = long_rows.where(F.col("part").isin(*r.parts))
+        if r.methods is not None:
+            rows = rows.where(F.col("method").isin(r.reference, *r.methods))
+        out.append(paired(rows, r.reference).withColumn("report", F.lit(r.name)).withColumn("reference", F.lit(r.reference)))
+    return union_all(out)
+
+
+def part_reports(protocol: DataFrame, reports: list[Report], metrics: tuple[str, ...], block: int, block_sens: int | None = None, draws: int = 10_000, seed: int = 42, share: float = 0.3) -> DataFrame:
+    """Report x part x metric x method: effect sizes, interval of the mean difference, corrected p values and verdicts, also for a second block length.
+
+    All reports and parts go through the same few exchanges, as keys.
+    """
+    long_rows = with_parts(long_metrics(protocol, metrics), share)
+    pairs = stored(report_pairs(long_rows, reports), "report-pairs")
+    by = _by(pairs)
+    facts = effect_sizes(pairs).join(tests(pairs, block), by).join(block_intervals(pairs, by, "diff", "window_id", block, draws, seed), by)
     if block_sens:
-        other = tests(pairs, block_sens, draws, seed).select("metric", "method", F.col("p_block").alias("p_sens"))
-        out = holm(out.join(other, ["metric", "method"]), "p_sens", ["metric"], "p_sens_holm").withColumn("verdict_sens", verdict("p_sens_holm"))
-    return out.withColumn("reference", F.lit(reference))
+        facts = facts.join(tests(pairs, block_sens).select(*by, F.col("p_block").alias("p_sens")), by)
+    over_metrics = [r.name for r in reports if r.over == "metrics"]
+    facts = facts.withColumn("_family", F.when(F.col("report").isin(over_metrics), F.col("method")).otherwise(F.col("metric")))
+    family = [*by[:-2], "_family"]
+    facts = holm(holm(facts, "p_window", family, "p_window_holm"), "p_block", family, "p_block_holm").withColumn("verdict", verdict("p_block_holm"))
+    if block_sens:
+        facts = holm(facts, "p_sens", family, "p_sens_holm").withColumn("verdict_sens", verdict("p_sens_holm"))
+    names = F.create_map(*[F.lit(x) for r in reports for x in (r.name, r.reference)])
+    return facts.drop("_family").withColumn("reference", names[F.col("report")])
+
+
+def paired_report(protocol: DataFrame, reference: str, metrics: tuple[str, ...], block: int, block_sens: int | None = None, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """Metric x method against a reference over all windows (see part_reports)."""
+    return part_reports(protocol, [Report("main", reference, parts=("all",))], metrics, block, block_sens, draws, seed).drop("report", "part")
 
 
 def method_moments(long_rows: DataFrame) -> DataFrame:
@@ -162,35 +198,21 @@ def method_moments(long_rows: DataFrame) -> DataFrame:
 
 def method_summary(long_rows: DataFrame, block: int, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """Metric x method: n, mean, sd, median, and the block-bootstrap interval of the mean."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("window_id")
-        lo, hi = block_bootstrap(t["value"].to_numpy(), block, draws, seed)
-        return pa.table([t["metric"].slice(0, 1), t["method"].slice(0, 1), pa.array([lo]), pa.array([hi])], names=["metric", "method", "ci_low", "ci_high"])
-
-    plain = method_moments(long_rows)
-    return plain.join(long_rows.groupBy("metric", "method").applyInArrow(run, "metric string, method string, ci_low double, ci_high double"), ["metric", "method"])
+    by = ["metric", "method"]
+    return method_moments(long_rows).join(block_intervals(long_rows, by, "value", "window_id", block, draws, seed), by)
 
 
 def cluster_bootstrap(rows: DataFrame, by: str, value: str, position: str, block: int, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """Interval of a mean when rows come in clusters of positions (position // block): clusters are drawn, not rows."""
-
-    def run(t: pa.Table) -> pa.Table:
-        v, c = t["v"].to_numpy(), t["c"].to_numpy()
-        _, at = np.unique(c, return_inverse=True)
-        sums, sizes = np.bincount(at, v), np.bincount(at)
-        pick = np.random.default_rng([seed, len(v), len(sums)]).integers(0, len(sums), (draws, len(sums)))
-        q = np.percentile(sums[pick].sum(1) / sizes[pick].sum(1), [2.5, 97.5])
-        return pa.table([t["g"].slice(0, 1), pa.array([len(sums)]), pa.array([float(v.mean())]), pa.array([float(q[0])]), pa.array([float(q[1])])], names=["g", "n_clusters", "mean", "ci_low", "ci_high"])
-
-    picked = rows.where(F.col(value).isNotNull()).select(F.col(by).cast("string").alias("g"), F.col(value).cast("double").alias("v"), F.floor(F.col(position) / block).cast("long").alias("c"))
-    return picked.groupBy("g").applyInArrow(run, "g string, n_clusters long, mean double, ci_low double, ci_high double").withColumnRenamed("g", by)
+    """Number of clusters, mean, and its interval when rows come in clusters of positions (position // block): clusters are drawn, not rows."""
+    picked = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"), F.floor(F.col(position) / block).cast("long").alias("c"))
+    facts = picked.groupBy(by).agg(F.count_distinct("c").alias("n_clusters"), F.avg("v").alias("mean"))
+    return facts.join(cluster_intervals(picked, [by], "v", "c", draws, seed), by)
 
 
 def bonferroni(pairs: DataFrame, least: int = 10) -> DataFrame:
     """Signed-rank tests at 0.05 over the number of tests; pairs with fewer than `least` non-zero differences are skipped."""
     enough = pairs.where("diff <> 0").groupBy("metric", "method").agg(F.count("*").alias("m")).where(F.col("m") >= least)
-    out = tests(pairs, 1, 10).select("metric", "method", "p_window").join(enough, ["metric", "method"])
+    out = tests(pairs, 1).select("metric", "method", "p_window").join(enough, ["metric", "method"])
     return out.withColumn("significant", F.col("p_window") < 0.05 / F.count("*").over(Window.partitionBy()))
 
 

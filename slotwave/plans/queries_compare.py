@@ -282,16 +282,6 @@ def t2_block_means(spark, sf_dir):
     return P.rounded(T.block_means(rows, 8, ["metric", "method"]))
 
 
-@query()
-def t16_paired_report(spark, sf_dir):
-    """Reports against AF of all windows, the tuning part and the test part."""
-    rows = P.held(_protocol(spark, sf_dir), "protocol")
-    parts = rows.join(G.time_split(rows), "window_id")
-    named = {"all": rows, "tune": parts.where("part = 'tune'"), "test": parts.where("part = 'test'")}
-    reports = [T.paired_report(d, "AF", ("ndcg_10", "coverage_10", "rsi_10", "mae"), T.block_length(8, 7, 1), T.block_length(16, 7, 1)).withColumn("part", F.lit(n)) for n, d in named.items()]
-    return P.rounded(G.union_all(reports))
-
-
 _MET4 = ("ndcg_10", "coverage_10", "rsi_10", "mae")
 _TESTED = (Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), WS.protocol((10,)), TS.long_metrics(_MET4), TS.pairs("AF"), TS.blocks(8, "metric, method"), TS.signed_ranks("pw", "df", "metric, method"), TS.signed_ranks("pb", "bl", "metric, method"), "cr AS (SELECT * FROM (SELECT metric, method, avg(d) AS mean_diff FROM df GROUP BY 1, 2) JOIN (SELECT metric, method, p AS p_window FROM pw) USING (metric, method) JOIN (SELECT metric, method, p AS p_block FROM pb) USING (metric, method))", TS.holm("cr", "h1", "p_window", "p_window_holm", "metric"), TS.holm("h1", "h2", "p_block", "p_block_holm", "metric"))
 
@@ -300,13 +290,37 @@ _TESTED = (Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), WS.protocol((10,)), TS.long_m
 def t8_verdicts(spark, sf_dir):
     """Signed-rank tests of windows and of block means against AF, Holm's correction within a metric, verdicts."""
     pairs = T.paired(T.long_metrics(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)), _MET4), "AF")
-    out = pairs.groupBy("metric", "method").agg(F.avg("diff").alias("mean_diff")).join(T.tests(pairs, 8, 0).drop("ci_low", "ci_high", "n_blocks"), ["metric", "method"])
+    out = pairs.groupBy("metric", "method").agg(F.avg("diff").alias("mean_diff")).join(T.tests(pairs, 8).drop("n_blocks"), ["metric", "method"])
     return P.rounded(T.holm(T.holm(out, "p_window", ["metric"], "p_window_holm"), "p_block", ["metric"], "p_block_holm").withColumn("verdict", T.verdict("p_block_holm")))
 
 
-@query()
+_LONG2 = (Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), WS.protocol((10,)), TS.long_metrics(("ndcg_10", "rsi_10")))
+_MOMENTS = f"SELECT metric, method, count(*) AS n, {Q.r6('avg(value)')} AS mean, {Q.r6('stddev_samp(value)')} AS sd, {Q.r6('median(value)')} AS median FROM lm GROUP BY 1, 2"
+
+
+@query(with_(*_LONG2, TS.bootstrap("ci", "lm", "metric, method", "value", 8)) + f"SELECT m.*, {Q.r6('ci_low')} AS ci_low, {Q.r6('ci_high')} AS ci_high FROM ({_MOMENTS}) m JOIN ci USING (metric, method)")
 def t9_method_summary(spark, sf_dir):
-    return P.rounded(T.method_summary(T.long_metrics(_protocol(spark, sf_dir), ("ndcg_10", "rsi_10")), 8))
+    return P.rounded(T.method_summary(P.held(T.long_metrics(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)), ("ndcg_10", "rsi_10")), "long"), 8))
+
+
+_REPORTS = [T.Report("main", "AF"), T.Report("D", "RRD", ("VSE", "PFRF"), ("tune", "test")), T.Report("E", "EWMA", ("CompoundPop", "VSE"), ("test",)), T.Report("confirmation", "AF", ("EWMA",), ("test",), "metrics")]
+_PART_BY = "part, report, metric, method"
+_PART_PAIRS = "df AS (" + " UNION ALL ".join(f"SELECT b.part, '{r.name}' AS report, '{r.reference}' AS reference, b.metric, b.method, b.window_id, a.value AS ref, b.value AS val, round((a.value - b.value) * CASE WHEN b.metric IN {TS.LOWER} THEN -1 ELSE 1 END, 9) AS d FROM lp a JOIN lp b ON a.part = b.part AND a.metric = b.metric AND a.window_id = b.window_id WHERE a.method = '{r.reference}' AND b.method <> '{r.reference}' AND b.part IN ({', '.join(repr(p) for p in r.parts)})" + (f" AND b.method IN ({', '.join(repr(m) for m in r.methods)})" if r.methods else "") for r in _REPORTS) + ")"
+_PARTS_SQL = (
+    "ts AS (SELECT window_id, CASE WHEN k <= floor(0.3 * n) THEN 'tune' ELSE 'test' END AS own FROM (SELECT window_id, row_number() OVER (ORDER BY window_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT window_id FROM lm)))",
+    "lp AS (SELECT lm.*, p.part FROM lm JOIN (SELECT window_id, 'all' AS part FROM ts UNION ALL SELECT window_id, own FROM ts) p USING (window_id))", _PART_PAIRS, TS.blocks(8, _PART_BY), TS.blocks(16, _PART_BY, "bs"),
+    TS.signed_ranks("pw", "df", _PART_BY), TS.signed_ranks("pb", "bl", _PART_BY), TS.signed_ranks("ps", "bs", _PART_BY), TS.effects(_PART_BY), TS.bootstrap("ci", "df", _PART_BY, "d", 8),
+    f"cr AS (SELECT *, CASE WHEN report = 'confirmation' THEN method ELSE metric END AS fam FROM ef JOIN ci USING ({_PART_BY}) JOIN (SELECT {_PART_BY}, p AS p_window FROM pw) USING ({_PART_BY}) JOIN (SELECT {_PART_BY}, p AS p_block FROM pb) USING ({_PART_BY}) JOIN (SELECT {_PART_BY}, p AS p_sens FROM ps) USING ({_PART_BY}) JOIN (SELECT {_PART_BY}, count(*) AS n_blocks FROM bl GROUP BY ALL) USING ({_PART_BY}) JOIN (SELECT DISTINCT report, reference FROM df) USING (report))",
+    TS.holm("cr", "h1", "p_window", "p_window_holm", "part, report, fam"), TS.holm("h1", "h2", "p_block", "p_block_holm", "part, report, fam"), TS.holm("h2", "h3", "p_sens", "p_sens_holm", "part, report, fam"),
+)
+_ROUNDED = ("mean_diff", "rank_biserial", "cliffs_delta", "p_window", "p_block", "p_sens", "ci_low", "ci_high", "p_window_holm", "p_block_holm", "p_sens_holm")
+
+
+@query(with_(*_TESTED[:5], *_PARTS_SQL) + f"SELECT {_PART_BY}, reference, n, wins, losses, ties, n_blocks, " + ", ".join(f"{Q.r6(c)} AS {c}" for c in _ROUNDED) + f", {TS.verdict('p_block_holm')} AS verdict, {TS.verdict('p_sens_holm')} AS verdict_sens FROM h3")
+def t16_paired_report(spark, sf_dir):
+    """Reports on all windows, the tuning part and the test part: all against AF, two further references, and the confirmation of one pair over its metrics."""
+    rows = P.held(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)), "protocol")
+    return P.rounded(T.part_reports(rows, _REPORTS, _MET4, T.block_length(8, 7, 1), T.block_length(16, 7, 1)))
 
 
 @query(with_(Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), WS.protocol((10,)), TS.long_metrics(("ndcg_10", "rsi_10"))) + f"SELECT metric, method, count(*) AS n, {Q.r6('avg(value)')} AS mean, {Q.r6('stddev_samp(value)')} AS sd, {Q.r6('median(value)')} AS median FROM lm GROUP BY 1, 2")
@@ -325,7 +339,7 @@ def k10_effect_medians(spark, sf_dir):
     return P.rounded(D.effect_medians(T.effect_sizes(T.paired(T.long_metrics(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)), _MET4), "AF"))))
 
 
-@query()
+@query(with_(*_DELAYS("AF", "VSE"), TS.cluster_bootstrap("cb", "dl", "method", "restricted", "t0 // 8")) + f"SELECT method, n_clusters, {Q.r6('mean')} AS mean, {Q.r6('ci_low')} AS ci_low, {Q.r6('ci_high')} AS ci_high FROM cb")
 def t10_cluster_bootstrap(spark, sf_dir):
     ev = E.entry_events(E.truth_ranks(P.weekly(spark, sf_dir).dense), run=2, before=4)
     return P.rounded(T.cluster_bootstrap(E.delays(ev, R.rank_items(_scored(spark, sf_dir, "AF", "VSE"))), "method", "delay_restricted", "t0", 8))
@@ -641,7 +655,7 @@ def q6_membership(spark, sf_dir):
     return P.rounded(A.membership_changes(_frames(spark, sf_dir, 7, 3)[1]))
 
 
-@query(f"WITH s AS (SELECT user_id AS item, ts, value AS diff, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total FROM events), l AS (SELECT *, total - lag(total) OVER w AS step, ts = lag(ts) OVER w AS again FROM s WINDOW w AS (PARTITION BY item ORDER BY ts, event_id)) SELECT item, count(*) AS n_rows, {_COUNT('again')} AS n_repeated, {_COUNT('epoch(ts) % 3600 = 0')} AS n_on_hour, {_COUNT('step < 0')} AS n_falls, {Q.r6('avg(CASE WHEN abs(step - diff) < 1e-6 THEN 1.0 WHEN step IS NOT NULL AND diff IS NOT NULL THEN 0.0 END)')} AS share_consistent, {_COUNT('diff < 0')} AS n_negative, {_COUNT('diff IS NULL')} AS n_missing FROM l GROUP BY item")
+@query(f"WITH s AS (SELECT user_id AS item, ts, value AS diff, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total FROM events), l AS (SELECT *, total - lag(total) OVER w AS step, ts = lag(ts) OVER w AS again FROM s WINDOW w AS (PARTITION BY item ORDER BY ts, event_id)) SELECT item, count(*) AS n_rows, {_COUNT('again')} AS n_repeated, {_COUNT('CAST(floor(epoch(ts)) AS BIGINT) % 3600 = 0')} AS n_on_hour, {_COUNT('step < 0')} AS n_falls, {Q.r6('avg(CASE WHEN abs(step - diff) < 1e-6 THEN 1.0 WHEN step IS NOT NULL AND diff IS NOT NULL THEN 0.0 END)')} AS share_consistent, {_COUNT('diff < 0')} AS n_negative, {_COUNT('diff IS NULL')} AS n_missing FROM l GROUP BY item")
 def q7_snapshot_profile(spark, sf_dir):
     from pyspark.sql import Window
 

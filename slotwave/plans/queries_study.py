@@ -507,7 +507,7 @@ def t14_kappa_selection(spark, sf_dir):
     fore = V.coefficient_forecasts(V.wavelet_features(_bare(spark, sf_dir, 8)), horizon=8, kappas=V.KAPPAS)
     rows = P.held(T.long_metrics(R.protocol(_long(fore, V.skilled_scores() | {"WSPI-F2": V.forecast_scores()["WSPI-F2"]}), (10,)), ("ndcg_10", "rsi_10")), "kappa")
     turned = T.paired(rows, "WSPI-F2").withColumn("diff", -F.col("diff"))  # each skill factor is the reference
-    out = turned.groupBy("metric", "method").agg(F.avg("diff").alias("mean_diff")).join(T.tests(turned, 8, 0), ["metric", "method"]).withColumn("verdict", T.verdict("p_block"))
+    out = turned.groupBy("metric", "method").agg(F.avg("diff").alias("mean_diff")).join(T.tests(turned, 8), ["metric", "method"]).withColumn("verdict", T.verdict("p_block"))
     cells = out.select(F.substring("method", 8, 9).cast("double").alias("kappa"), F.lit("supplier").alias("scenario"), F.lit(8).alias("horizon"), "metric", "verdict")
     return D.select_setting(cells, "kappa", ("ndcg_10", "rsi_10"), 1)
 

@@ -24,6 +24,37 @@ def blocks(size: int, by: str, out: str = "bl") -> str:
     return f"{out} AS (SELECT {by}, k // {size} AS block, round(avg(d), 12) AS d FROM (SELECT {by}, d, row_number() OVER (PARTITION BY {by} ORDER BY window_id) - 1 AS k FROM df) GROUP BY {by}, k // {size} HAVING count(*) = {size})"
 
 
+def bootstrap(out: str, source: str, by: str, value: str, block: int, draws: int = 10_000, seed: int = 42) -> str:
+    """out: (by, ci_low, ci_high) of the mean by circular block draws: running totals over the values taken twice, joined at both ends of each block."""
+    keys = [k.strip() for k in by.split(",")]
+    same = " AND ".join(f"a.{k} = z.{k}" for k in keys)
+    of_a = ", ".join(f"a.{k}" for k in keys)
+    return f"""{out}_v AS (SELECT {by}, {value} AS v, row_number() OVER (PARTITION BY {by} ORDER BY window_id) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {source}),
+{out}_p AS (SELECT {by}, n, i + 1 AS i, sum(v) OVER (PARTITION BY {by} ORDER BY i) AS s FROM (SELECT {by}, n, i, v FROM {out}_v UNION ALL SELECT {by}, n, i + n, v FROM {out}_v) UNION ALL SELECT DISTINCT {by}, n, 0, 0.0::DOUBLE FROM {out}_v),
+{out}_n AS (SELECT n, b, CAST(ceil(n / b::DOUBLE) AS BIGINT) AS k FROM (SELECT DISTINCT n, least({block}, n) AS b FROM {out}_v)),
+{out}_d AS (SELECT n, draw, CAST('0x' || substr(md5('{seed}:' || n || ':{block}:' || draw || ':' || j), 1, 12) AS BIGINT) % n AS s, CASE WHEN j = k - 1 THEN n - (k - 1) * b ELSE b END AS len FROM (SELECT *, unnest(range(0, k)) AS j FROM (SELECT *, unnest(range(0, {draws})) AS draw FROM {out}_n))),
+{out}_m AS (SELECT {of_a}, d.draw, sum(z.s - a.s) / max(d.n) AS m FROM {out}_d d JOIN {out}_p a ON a.n = d.n AND a.i = d.s JOIN {out}_p z ON {same} AND z.i = d.s + d.len GROUP BY {of_a}, d.draw),
+{out} AS (SELECT {by}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM {out}_m GROUP BY {by})"""
+
+
+def cluster_bootstrap(out: str, source: str, by: str, value: str, cluster: str, draws: int = 10_000, seed: int = 42) -> str:
+    """out: (by, n_clusters, mean, ci_low, ci_high), clusters drawn with replacement."""
+    return f"""{out}_c AS (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY c) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n, s, k FROM (SELECT {by}, {cluster} AS c, sum({value})::DOUBLE AS s, count(*)::DOUBLE AS k FROM {source} GROUP BY 1, 2)),
+{out}_d AS (SELECT n, draw, CAST('0x' || substr(md5('{seed}:' || n || ':' || draw || ':' || j), 1, 12) AS BIGINT) % n AS i FROM (SELECT n, draw, unnest(range(0, n)) AS j FROM (SELECT n, unnest(range(0, {draws})) AS draw FROM (SELECT DISTINCT n FROM {out}_c)))),
+{out}_m AS (SELECT {by}, draw, sum(s) / sum(k) AS m FROM {out}_d JOIN {out}_c USING (n, i) GROUP BY {by}, draw),
+{out} AS (SELECT {by}, n AS n_clusters, total / rows AS mean, ci_low, ci_high FROM (SELECT {by}, max(n) AS n, sum(s) AS total, sum(k) AS rows FROM {out}_c GROUP BY {by}) JOIN (SELECT {by}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM {out}_m GROUP BY {by}) USING ({by}))"""
+
+
+def effects(by: str) -> str:
+    """ef: (by, n, wins, losses, ties, mean_diff, rank_biserial, cliffs_delta) of df."""
+    same = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in by.split(","))
+    of_a = ", ".join(f"a.{k.strip()}" for k in by.split(","))
+    count = lambda rule: f"CAST(count(CASE WHEN {rule} THEN 1 END) AS BIGINT)"
+    return f"""er AS (SELECT {by}, d, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1) / 2.0 AS r FROM df WHERE d <> 0), eb AS (SELECT {by}, sum(CASE WHEN d > 0 THEN r ELSE -r END) / sum(r) AS rank_biserial FROM er GROUP BY {by}),
+ed AS (SELECT {of_a}, avg(sign(a.ref - b.val) * CASE WHEN a.metric IN {LOWER} THEN -1 ELSE 1 END) AS cliffs_delta FROM df a JOIN df b ON {same} GROUP BY {of_a}),
+ef AS (SELECT * FROM (SELECT {by}, count(*) AS n, {count("d > 0")} AS wins, {count("d < 0")} AS losses, {count("d = 0")} AS ties, avg(d) AS mean_diff FROM df GROUP BY {by}) LEFT JOIN eb USING ({by}) LEFT JOIN ed USING ({by}))"""
+
+
 def erfc(x: str) -> str:
     """By the series of positive terms of erf."""
     return f"(CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 6 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 150), lambda i: exp(2 * i * ln(2) + lgamma(i + 1.0) + (2 * i + 1) * ln({x}) - lgamma(2 * i + 2.0)))) END)"

@@ -1,5 +1,6 @@
 """Statistics and decisions: hand examples and brute force."""
 
+import hashlib
 import itertools
 import math
 
@@ -10,6 +11,7 @@ from slotwave.operators import decisions as D
 from slotwave.operators import events as E
 from slotwave.operators import ranking as R
 from slotwave.operators import relation as L
+from slotwave.operators import resampling as S
 from slotwave.operators import statistics as T
 
 
@@ -36,15 +38,27 @@ def test_wilcoxon_is_exact_for_small_samples():
     assert T.wilcoxon(np.zeros(5)) == 1.0
 
 
-def test_bootstrap_against_resampling():
-    x = np.random.default_rng(1).standard_normal(23)
-    n, block, draws = 23, 5, 400
-    starts = np.random.default_rng([7, n, block]).integers(0, n, (draws, 5))
-    means = []
-    for row in starts:
-        picked = np.concatenate([x[(s + np.arange(block)) % n] for s in row])[:n]
-        means.append(picked.mean())
-    assert np.allclose(T.block_bootstrap(x, block, draws, 7), np.percentile(means, [2.5, 97.5]))
+def drawn(n, *key):
+    return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:12], 16) % n
+
+
+def test_bootstrap_against_resampling(spark):
+    """Block and cluster draws, in ranges of draws, against resampling one value after the other."""
+    x = {"a": np.random.default_rng(1).standard_normal(23), "b": np.arange(4.0), "c": np.ones(1)}
+    rows = spark.createDataFrame([(g, i, float(v)) for g, xs in x.items() for i, v in enumerate(xs)], "g string, window_id int, value double")
+    draws, block = 1203, 5
+    got = {r.g: (r.ci_low, r.ci_high) for r in S.block_intervals(rows, ["g"], "value", "window_id", block, draws, 7).collect()}
+    for g, xs in x.items():
+        n, b = len(xs), min(block, len(xs))
+        means = [np.concatenate([xs[(drawn(n, 7, n, block, d, j) + np.arange(b)) % n] for j in range(-(-n // b))])[:n].mean() for d in range(draws)]
+        assert np.allclose(got[g], np.percentile(means, [2.5, 97.5]))
+    clusters = rows.withColumn("c", F.floor(F.col("window_id") / 3))
+    got = {r.g: (r.n_clusters, r.ci_low, r.ci_high) for r in T.cluster_bootstrap(clusters, "g", "value", "window_id", 3, draws, 7).collect()}
+    for g, xs in x.items():
+        parts = [xs[i : i + 3] for i in range(0, len(xs), 3)]
+        m = len(parts)
+        means = [np.concatenate([parts[drawn(m, 7, m, d, j)] for j in range(m)]).mean() for d in range(draws)]
+        assert got[g][0] == m and np.allclose(got[g][1:], np.percentile(means, [2.5, 97.5]))
 
 
 def test_kendall():
