@@ -117,11 +117,34 @@ def in_time(df: DataFrame, grid: DataFrame, horizon: int) -> DataFrame:
 
 
 def eligible(name: str, min_obs: int, min_total: int, causal: bool = True) -> Column:
-    """Row-level rule: enough observed slots in the window, and enough requests before it."""
-    rule = (F.size(f"x_{name}") > 0) & (F.col(f"observed_{name}") >= min_obs)
+    """Row-level rule: a slot before the window, enough observed slots in it, and enough requests before it. Arrays are not read."""
+    rule = (F.col("window_id") > 0) & (F.col(f"observed_{name}") >= min_obs)
     return rule & (F.col("before") >= min_total) if causal else rule
 
 
+def spans(dense: DataFrame, grid: DataFrame, lengths: tuple[int, ...], horizons: tuple[int, ...] = (1,)) -> DataFrame:
+    """Rows (window_id, item_id, before, x, observed_<length>, truth_<horizon>) of every length and horizon from one exchange of the slots.
+
+    x holds the newest max(lengths) slots, of which shorter windows are slices; a truth whose
+    future leaves the grid is null. The first slot, and slots without any row of the catalogue, are left out.
+    """
+    w = Window.partitionBy("item_id").orderBy("slot")
+    before = F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before")
+    seen = [F.coalesce(F.sum("present").over(w.rowsBetween(-n, -1)), F.lit(0)).alias(f"observed_{n}") for n in lengths]
+    ahead = [F.sum("v").over(w.rowsBetween(0, h - 1)).alias(f"t_{h}") for h in horizons]
+    rows = dense.select(F.col("slot").alias("window_id"), "item_id", before, F.collect_list("v").over(w.rowsBetween(-max(lengths), -1)).alias("x"), *seen, *ahead)
+    truths = [F.when(F.col("window_id") + h - 1 <= F.col("n_slots"), F.col(f"t_{h}")).alias(f"truth_{h}") for h in horizons]
+    live = dense.groupBy(F.col("slot").alias("window_id")).agg(F.max("present").alias("any")).where("any = 1").select("window_id")
+    kept = rows.where("window_id > 0").join(live, "window_id", "left_semi").crossJoin(F.broadcast(grid.select("n_slots")))
+    return kept.select("window_id", "item_id", "before", "x", *[f"observed_{n}" for n in lengths], *truths)
+
+
+def newest(x: str, n: int) -> Column:
+    """The last n values of an array, or all of a shorter one; x is not empty."""
+    k = F.least(F.lit(n), F.size(x))
+    return F.slice(x, -k, k)
+
+
 def valid_windows(rows: DataFrame, dense: DataFrame, keys: list[str]) -> DataFrame:
     """Semi-filter: the slot holds any row of the catalogue and at least two items are eligible."""
     live = dense.groupBy(F.col("slot").alias("window_id")).agg(F.max("present").alias("any")).where("any = 1").select("window_id")

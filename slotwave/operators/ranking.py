@@ -101,9 +101,9 @@ def with_rsi(metrics: DataFrame, ks: tuple[int, ...] = KS, method: str = "method
     return metrics.select("*", *[F.when(F.lag(f"top_{k}").over(w).isNotNull(), jaccard(F.col(f"top_{k}"), F.lag(f"top_{k}").over(w))).alias(f"rsi_{k}") for k in ks])
 
 
-def protocol(scores: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """Metric rows of every window and method, without the top-K sets."""
-    out = with_rsi(window_metrics(rank_items(scores), ks), ks)
+def protocol(scores: DataFrame, ks: tuple[int, ...] = KS, least: int = 1) -> DataFrame:
+    """Metric rows of every window and method with at least so many items, without the top-K sets."""
+    out = with_rsi(window_metrics(rank_items(scores), ks).where(F.col("num_items") >= least), ks)
     return out.drop(*[f"top_{k}" for k in ks])
 
 

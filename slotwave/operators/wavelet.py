@@ -75,13 +75,17 @@ SET = ("mu_l", "r", "w_e", "af")
 
 
 def feature_sets(frames: DataFrame, settings: dict[str, dict], x: str = "x_w", target: int = 64) -> DataFrame:
-    """frames with <name>_mu_l, <name>_r, <name>_w_e and <name>_af for each setting (level, transform, how, pad), all from one pass over the windows."""
-    full = {name: {"level": 3, "transform": "dtcwt", "how": "symmetric", "pad": "reflect"} | o for name, o in settings.items()}
+    """frames with <name>_mu_l, <name>_r, <name>_w_e and <name>_af for each setting, all from one pass over the windows.
+
+    A setting may name level, transform, how and pad, and of which newest slots (last) it is
+    made, filled up to that length.
+    """
+    full = {name: {"level": 3, "transform": "dtcwt", "how": "symmetric", "pad": "reflect", "last": target} | o for name, o in settings.items()}
 
     def work(m: np.ndarray) -> dict[str, np.ndarray]:
         out = {}
         for name, o in full.items():
-            made = W.features(W.pad_left(m, max(target, 2 ** (o["level"] + 1)), o["pad"]), o["level"], o["transform"], o["how"])
+            made = W.features(W.pad_left(m[:, -o["last"] :], max(o["last"], 2 ** (o["level"] + 1)), o["pad"]), o["level"], o["transform"], o["how"])
             out |= {f"{name}_{k}": made[k] for k in SET}
         return out
 

@@ -38,11 +38,16 @@ class Study:
     def __init__(self, demand: DataFrame, slot_seconds: int | None = None, min_total: int = MIN_TOTAL):
         self.demand, self.min_total = demand, min_total
         self.grid = G.infer_grid(demand, slot_seconds)
-        self.dense = G.densify(demand, self.grid)
+        #: Written once: every length, horizon and method starts from it.
+        self.dense = held(G.densify(demand, self.grid), "dense")
 
     def windows(self, lengths: dict[str, int], horizon: int = 1, chunk: int | None = None) -> DataFrame:
         return G.in_time(G.frames(self.dense, lengths, horizon, chunk), self.grid, horizon)
 
+    def spans(self, lengths: tuple[int, ...], horizons: tuple[int, ...] = (1,)) -> DataFrame:
+        """Windows of all lengths and horizons at once (see grid.spans), of items with enough requests before them."""
+        return G.spans(self.dense, self.grid, lengths, horizons).where(F.col("before") >= self.min_total)
+
     def scored(self, scorers: list[S.Scorer], horizon: int = 1, chunk: int | None = None, causal: bool = True) -> DataFrame:
         """Rows (window_id, item_id, truth, method, score) of the eligible items of valid windows.
 

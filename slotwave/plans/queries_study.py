@@ -219,17 +219,43 @@ def _summary(scores, ks=R.KS, metrics=R.METRICS):
     return P.rounded(R.summarize(R.protocol(scores, ks), metrics))
 
 
-@query()
+_LENGTHS = (7, 16, 32, 64, 128)
+_DIGITS9 = lambda x: f"round({x} / pow(10, floor(log10(greatest(abs({x}), 1)))), 9) * pow(10, floor(log10(greatest(abs({x}), 1))))"
+_HOLT_X = "list_reduce(list_transform(x[2:], lambda v: [v, 0.0]), lambda s, e: [0.3 * e[1] + 0.7 * (s[1] + s[2]), 0.1 * (0.3 * e[1] + 0.7 * (s[1] + s[2]) - s[1]) + 0.9 * s[2]], [x[1], x[2] - x[1]])"
+_HOLT_SUM = lambda h: f"list_sum(list_transform(range(1, {h + 1}), lambda k: greatest(0.0, lb[1] + k * lb[2])))"
+
+
+def _swept(n: int) -> str:
+    """Scores of the sweep's methods over n slots."""
+    averages = {"SMA": "sum(v) / max(n)", "EWMAeq": f"sum(CASE WHEN i = n - 1 THEN pow({n - 1} / {n + 1}.0, n - 1) ELSE 2.0 / {n + 1} * pow({n - 1} / {n + 1}.0, i) END * v)"}
+    parts = [f"SELECT window_id, item_id, truth, method || '@{n}' AS method, score FROM ({Q.long(Q.SCORES | averages, 'fr')})", f"SELECT window_id, item_id, truth, 'Holt@{n}', {_HOLT_SUM(1)} FROM (SELECT *, {_HOLT_X} AS lb FROM (SELECT window_id, item_id, max(truth) AS truth, list(v ORDER BY i DESC) AS x FROM fr_x GROUP BY 1, 2))"]
+    ctes = [Q.frames(n, 3)]
+    if n > 7:
+        ctes += [Q.frames(n, min(32, n // 2), name="fw"), WS.padded("fw", size=n), WS.features(tag="dt", slots=n), WS.features(transform="dwt", tag="dw", slots=n)]
+        parts += [f"SELECT window_id, item_id, truth, '{m}@{n}', {x} FROM {t}" for m, x, t in (("WSPI", WS.index(), "fe_dt"), ("DTCWT+AF", "af", "fe_dt"), ("DWT+AF", "af", "fe_dw"))]
+    return f"SELECT * FROM ({with_(*ctes)}{' UNION ALL '.join(parts)})"
+
+
+def _nine_digits(score):
+    """Scores at nine significant digits (of values from 1 on), since those of long windows may be large."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(F.abs(score), F.lit(1.0)))))
+    return F.round(score / scale, 9) * scale
+
+
+_COMMON = "pc AS (SELECT * FROM pr WHERE window_id >= 32), pk AS (SELECT * FROM pc WHERE window_id IN (SELECT window_id FROM pc GROUP BY 1 HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM pc)))"
+
+
+@query(with_(Q.DEMAND, f"sc AS (SELECT window_id, item_id, truth, method, {_DIGITS9('score')} AS score FROM ({' UNION ALL '.join(_swept(n) for n in _LENGTHS)}))", WS.protocol(), _COMMON) + WS.summary(source="pk"))
 def e2_window_sweep(spark, sf_dir):
-    """Twelve methods over 7 to 128 slots, wavelet methods from 16 on; windows from 32 on that all of them have."""
-    study = P.weekly(spark, sf_dir)
-    lengths = (7, 16, 32, 64, 128)
-    parts = [study.scored([S.Scorer(f"{s.name}@{n}", n, s.min_obs, s.expr) for n in lengths for s in P.baselines_at(n)])]
-    for n in lengths[1:]:
-        rows = study.windows({"w": n}).where(G.eligible("w", min(32, n // 2), P.MIN_TOTAL)).select(*_KEEP, "x_w")
-        sets = V.feature_sets(G.valid_windows(rows, study.dense, ["window_id"]), {"dt": {}, "dw": {"transform": "dwt"}}, target=n)
-        parts.append(_long(sets, {f"WSPI@{n}": V.index(of="dt"), f"DTCWT+AF@{n}": F.col("dt_af"), f"DWT+AF@{n}": F.col("dw_af")}))
-    return P.rounded(R.summarize(G.common_windows(G.first_window(R.protocol(G.union_all(parts)), 32))))
+    """Twelve methods over 7 to 128 slots, wavelet methods from 16 on; windows from 32 on that all of them have. All lengths are slices of the longest window."""
+    rows = P.weekly(spark, sf_dir).spans(_LENGTHS).where("truth_1 is not null").withColumnRenamed("truth_1", "truth")
+    seen = lambda n, least: F.col(f"observed_{n}") >= least
+    plain = {f"{s.name}@{n}": F.when(seen(n, s.min_obs), s.expr(G.newest("x", n)).cast("double")) for n in _LENGTHS for s in P.baselines_at(n)}
+    wide = rows.select(*_KEEP, *[f"observed_{n}" for n in _LENGTHS], *P.named(plain), "x")
+    sets = V.feature_sets(wide, {f"{k}{n}": {"transform": t, "last": n} for n in _LENGTHS[1:] for k, t in (("dt", "dtcwt"), ("dw", "dwt"))}, x="x")
+    made = {f"{m}@{n}": F.when(seen(n, min(32, n // 2)), x) for n in _LENGTHS[1:] for m, x in (("WSPI", V.index(of=f"dt{n}")), ("DTCWT+AF", F.col(f"dt{n}_af")), ("DWT+AF", F.col(f"dw{n}_af")))}
+    scores = R.to_long(sets.select(*_KEEP, *[F.col(f"`{c}`") for c in plain], *P.named(made)), [*plain, *made], _KEEP).where("score is not null").withColumn("score", _nine_digits(F.col("score")))
+    return P.rounded(R.summarize(G.common_windows(G.first_window(R.protocol(scores, least=2), 32))))
 
 
 _NINE = ["sc AS (SELECT window_id, item_id, truth, method, round(score, 9) AS score FROM (" + Q.long(Q.SCORES, "f7") + ") UNION ALL " + WS.scores({"WSPI": WS.index(), "DTCWT+AF": "af"}, "fe_dt") + " UNION ALL " + WS.scores({"DWT+AF": "af"}, "fe_dw") + ")"]
@@ -428,25 +454,47 @@ def f1_coefficient_forecasts(spark, sf_dir):
     return P.rounded(fore.select("window_id", "item_id", *[c for c in fore.columns if c.startswith("mu_") and c != "mu_l"], "gate", "skill_1"))
 
 
-#: Value forecasters of the prediction runs, by horizon, over the windows of 64 slots.
+_HORIZONS = (1, 8, 24)
+
+
 def _value_methods(h: int) -> dict:
-    x = F.col("x_w")
+    """Value forecasters of the prediction runs, by horizon, over the windows of 64 slots."""
+    x = F.col("x")
     out = {"Persistence": S.persistence(x, h), "Holt": S.holt(x, h), "ARYW": S.ar2(x, h), "MA64": S.moving_average(x, 64, h)}
     return out | {f"SMA{n}": S.moving_average(x, n, h) for n in (8, 16, 32, 64)} | {f"EWMA{n}": S.ewma_equivalent(x, n, h) for n in (8, 16, 32, 64)}
 
 
-def _prediction(spark, sf_dir, h: int):
-    rows = _bare(spark, sf_dir, h)
-    values = _value_methods(h)
-    fore = V.coefficient_forecasts(V.wavelet_features(rows.select(*_KEEP, *P.named(values), "x_w")), horizon=h, kappas=V.KAPPAS)
-    return _long(fore, V.forecast_scores() | V.skilled_scores() | {"WSPI": V.index()} | {n: F.col(n) for n in values})
+def _predicted(h: int) -> str:
+    """Scores of all methods of the prediction runs at a horizon."""
+    from_rows = {"Persistence": f"{h} * greatest(max(CASE WHEN i = 0 THEN v END), 0)", "MA64": f"{h} * sum(v) / max(n)"}
+    from_rows |= {f"SMA{n}": f"{h} * sum(CASE WHEN i < {n} THEN v ELSE 0 END) / least({n}, max(n))" for n in (8, 16, 32, 64)}
+    from_rows |= {f"EWMA{n}": f"{h} * sum(CASE WHEN i = n - 1 THEN pow({n - 1} / {n + 1}.0, n - 1) ELSE 2.0 / {n + 1} * pow({n - 1} / {n + 1}.0, i) END * v)" for n in (8, 16, 32, 64)}
+    steps = f"list_reduce(list_transform(range(0, {h + 1}), lambda k: [x[n] - m, x[n - 1] - m, 0.0]), lambda s, e: [p1 * s[1] + p2 * s[2], s[1], s[3] + greatest(0.0, p1 * s[1] + p2 * s[2] + m)])[3]"
+    fitted = """hx AS (SELECT window_id, item_id, max(truth) AS truth, list(v ORDER BY i DESC) AS x FROM fr_x GROUP BY 1, 2), h1 AS (SELECT *, len(x) AS n, list_avg(x) AS m FROM hx), h2 AS (SELECT *, list_transform(x, lambda v: v - m) AS dev FROM h1),
+h3 AS (SELECT *, list_dot_product(dev, dev) / n AS r0, list_dot_product(dev[1:n - 1], dev[2:n]) / n AS r1, list_dot_product(dev[1:n - 2], dev[3:n]) / n AS r2 FROM h2), h4 AS (SELECT *, (r0 + 1e-8) * (r0 + 1e-8) - r1 * r1 AS det FROM h3),
+h5 AS (SELECT *, ((r0 + 1e-8) * r1 - r1 * r2) / nullif(det, 0) AS p1, ((r0 + 1e-8) * r2 - r1 * r1) / nullif(det, 0) AS p2 FROM h4)"""
+    holt = f"SELECT window_id, item_id, truth, 'Holt' AS method, {_HOLT_SUM(h)} AS score FROM (SELECT *, {_HOLT_X} AS lb FROM hx)"
+    ar = f"SELECT window_id, item_id, truth, 'ARYW', CASE WHEN r0 <= 1e-12 OR p1 IS NULL OR abs(p1) + abs(p2) > 4 THEN {h} * greatest(m, 0) ELSE {steps} END FROM h5"
+    made = WS.scores(WS.FORECAST_SCORES | WS.SKILLED | {"WSPI": WS.index()}, "fo")
+    return f"SELECT window_id, item_id, truth, '{h}:' || method AS method, score FROM ({with_(*_AHEAD(h)[1:], fitted)}{Q.long(from_rows)} UNION ALL {holt} UNION ALL {ar} UNION ALL {made})"
 
 
-@query()
+_RUNS = "SELECT CAST(split_part(method, ':', 1) AS INTEGER) AS horizon, split_part(method, ':', 2) AS method, * EXCLUDE (method) FROM ({0})"
+
+
+@query(_RUNS.format(with_(Q.DEMAND, f"sc AS (SELECT window_id, item_id, truth, method, round(score, 9) AS score FROM ({' UNION ALL '.join(_predicted(h) for h in _HORIZONS)}))", WS.protocol((10,))) + WS.summary(_FIVE)))
 def e19_prediction_runs(spark, sf_dir):
-    """Every forecaster at horizons of 1, 8 and 24 slots: coefficient forecasts, levels, controls and value forecasters."""
-    parts = [_prediction(spark, sf_dir, h).withColumn("method", F.concat(F.lit(f"{h}:"), "method")) for h in (1, 8, 24)]
-    out = R.summarize(R.protocol(G.union_all(parts), (10,)), _FIVE)
+    """Every forecaster at horizons of 1, 8 and 24 slots, from one pass over the windows: coefficient forecasts, levels, controls and value forecasters."""
+    rows = P.weekly(spark, sf_dir).spans((64,), _HORIZONS).where("observed_64 >= 32")
+    keep = ["window_id", "item_id", *[f"truth_{h}" for h in _HORIZONS]]
+    values = {f"{n}_{h}": c for h in _HORIZONS for n, c in _value_methods(h).items()}
+    feats = P.held(V.wavelet_features(rows.select(*keep, *P.named(values), "x"), x="x").select(*keep, *values, "low", "mu_l", "r", "w_e"), "prediction")
+    parts = []
+    for h in _HORIZONS:
+        own = feats.where(F.col(f"truth_{h}").isNotNull()).select("window_id", "item_id", F.col(f"truth_{h}").alias("truth"), *[F.col(f"{n}_{h}").alias(n) for n in _value_methods(h)], "low", "mu_l", "r", "w_e")
+        fore = V.coefficient_forecasts(own, horizon=h, kappas=V.KAPPAS)
+        parts.append(_long(fore, V.forecast_scores() | V.skilled_scores() | {"WSPI": V.index()} | {n: F.col(n) for n in _value_methods(h)}).withColumn("method", F.concat(F.lit(f"{h}:"), "method")))
+    out = R.summarize(R.protocol(G.union_all(parts), (10,), least=2), _FIVE)
     return P.rounded(out.withColumn("horizon", F.split_part("method", F.lit(":"), F.lit(1)).cast("int")).withColumn("method", F.split_part("method", F.lit(":"), F.lit(2))))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 from ..functions import wavelets as W
 from . import checks_sql as Q
 
-#: Slots of a padded window.
+#: Slots of a padded window, unless said otherwise.
 N = 64
 
 
@@ -35,12 +35,12 @@ def _inside(at: str, n: str, how: str) -> str:
     }[how]
 
 
-def padded(name: str = "fr", how: str = "reflect") -> str:
-    """px: each window's values, oldest first, filled up on the left to 64."""
-    at = _inside("j - (64 - n)", "n", how)
+def padded(name: str = "fr", how: str = "reflect", size: int = N) -> str:
+    """px: each window's values, oldest first, filled up on the left to `size`."""
+    at = _inside(f"j - ({size} - n)", "n", how)
     value = f"CASE WHEN {at} < 0 THEN 0.0 ELSE x[1 + {at}] END"
     return f"""xs AS (SELECT window_id, item_id, max(truth) AS truth, max(n) AS n, list(v ORDER BY i DESC) AS x FROM {name}_x GROUP BY 1, 2),
-px AS (SELECT window_id, item_id, truth, CASE WHEN n >= 64 THEN x ELSE list_transform(range(0, 64), lambda j: {value}) END AS x FROM xs)"""
+px AS (SELECT window_id, item_id, truth, CASE WHEN n >= {size} THEN x ELSE list_transform(range(0, {size}), lambda j: {value}) END AS x FROM xs)"""
 
 
 def _filter(out: str, source: str, n: int, rows: int, taps, start: str, how: str, stride: int = 1, place: str = "t") -> str:
@@ -50,14 +50,14 @@ def _filter(out: str, source: str, n: int, rows: int, taps, start: str, how: str
 {out} AS (SELECT s.k, o.pos, sum(s.w * o.w) AS w FROM {out}_o o JOIN {source} s ON s.pos = o.src GROUP BY 1, 2)"""
 
 
-def dual_tree(level: int = 3, how: str = "symmetric", tag: str = "d") -> tuple[str, str]:
+def dual_tree(level: int = 3, how: str = "symmetric", tag: str = "d", slots: int = N) -> tuple[str, str]:
     """CTEs of the dual-tree transform and a query of its rows (band, pos, k, w); band 0 is the low-pass, others finest first."""
     qa = np.array(W.QSHIFT_LOW)
     qb = qa[::-1]
     ha = qb * np.array([1.0, -1.0] * 5)
-    ctes = [f"{tag}e AS (SELECT k, k AS pos, 1.0::DOUBLE AS w FROM (SELECT unnest(range(0, 64)) AS k))"]
-    ctes += [_filter(f"{tag}h1", f"{tag}e", N, N, W.NEAR_SYM_HIGH[::-1], "t - 3", how), _filter(f"{tag}l1", f"{tag}e", N, N, W.NEAR_SYM_LOW[::-1], "t - 2", how)]
-    bands, low, size = [(1, f"{tag}h1")], f"{tag}l1", N
+    ctes = [f"{tag}e AS (SELECT k, k AS pos, 1.0::DOUBLE AS w FROM (SELECT unnest(range(0, {slots})) AS k))"]
+    ctes += [_filter(f"{tag}h1", f"{tag}e", slots, slots, W.NEAR_SYM_HIGH[::-1], "t - 3", how), _filter(f"{tag}l1", f"{tag}e", slots, slots, W.NEAR_SYM_LOW[::-1], "t - 2", how)]
+    bands, low, size = [(1, f"{tag}h1")], f"{tag}l1", slots
     for j in range(2, level + 1):
         if size % 4:
             ctes.append(f"{low}p AS (SELECT k, pos + 1 AS pos, w FROM {low} UNION ALL SELECT k, 0, w FROM {low} WHERE pos = 0 UNION ALL SELECT k, {size} + 1, w FROM {low} WHERE pos = {size} - 1)")
@@ -78,12 +78,12 @@ def dual_tree(level: int = 3, how: str = "symmetric", tag: str = "d") -> tuple[s
     return ",\n".join(ctes), " UNION ALL ".join(f"SELECT {b} AS band, pos, k, w FROM {t}" for b, t in [(0, low), *bands])
 
 
-def daubechies(level: int = 3, how: str = "symmetric", tag: str = "w") -> tuple[str, str]:
+def daubechies(level: int = 3, how: str = "symmetric", tag: str = "w", slots: int = N) -> tuple[str, str]:
     """The same for the decimated transform."""
     low_taps = np.array(W.DB4_LOW)
     high_taps = low_taps[::-1] * np.array([-1.0, 1.0] * 4)
-    ctes = [f"{tag}e AS (SELECT k, k AS pos, 1.0::DOUBLE AS w FROM (SELECT unnest(range(0, 64)) AS k))"]
-    bands, low, size = [], f"{tag}e", N
+    ctes = [f"{tag}e AS (SELECT k, k AS pos, 1.0::DOUBLE AS w FROM (SELECT unnest(range(0, {slots})) AS k))"]
+    bands, low, size = [], f"{tag}e", slots
     for j in range(1, level + 1):
         rows = size // 2 if how == "periodization" else (size + 7) // 2
         start, mode = ("2 * t - 3", "periodic") if how == "periodization" else ("2 * t - 6", how)
@@ -93,9 +93,9 @@ def daubechies(level: int = 3, how: str = "symmetric", tag: str = "w") -> tuple[
     return ",\n".join(ctes), " UNION ALL ".join(f"SELECT {b} AS band, pos, k, w FROM {t}" for b, t in [(0, low), *bands])
 
 
-def features(level: int = 3, transform: str = "dtcwt", how: str = "symmetric", tag: str = "f", source: str = "px") -> str:
+def features(level: int = 3, transform: str = "dtcwt", how: str = "symmetric", tag: str = "f", source: str = "px", slots: int = N) -> str:
     """fe_<tag>: window_id, item_id, truth, a (low-pass magnitudes), e0 ... , mu_l, r, w_e, d, h_q, e_tot, af, slope."""
-    ctes, rows = (dual_tree if transform == "dtcwt" else daubechies)(level, how, f"{tag}_")
+    ctes, rows = (dual_tree if transform == "dtcwt" else daubechies)(level, how, f"{tag}_", slots)
     pair = "pos // 2" if transform == "dtcwt" else "pos"
     e = [f"sum(CASE WHEN band = {b} THEN c * c ELSE 0 END)" for b in range(level + 1)]
     term = lambda p: f"(CASE WHEN {p} > 0 THEN -({p}) * log2({p}) ELSE 0 END)"
@@ -105,7 +105,7 @@ def features(level: int = 3, transform: str = "dtcwt", how: str = "symmetric", t
     inner = " + ".join(term(f"e{b} / detail") for b in range(1, level + 1))
     return f"""{ctes},
 {tag}_all AS ({rows}),
-{tag}_m AS (SELECT g.band, g.pos, list(coalesce(a.w, 0) ORDER BY g.k) AS w FROM (SELECT band, pos, k FROM (SELECT DISTINCT band, pos FROM {tag}_all), (SELECT unnest(range(0, 64)) AS k)) g LEFT JOIN {tag}_all a ON a.band = g.band AND a.pos = g.pos AND a.k = g.k GROUP BY 1, 2),
+{tag}_m AS (SELECT g.band, g.pos, list(coalesce(a.w, 0) ORDER BY g.k) AS w FROM (SELECT band, pos, k FROM (SELECT DISTINCT band, pos FROM {tag}_all), (SELECT unnest(range(0, {slots})) AS k)) g LEFT JOIN {tag}_all a ON a.band = g.band AND a.pos = g.pos AND a.k = g.k GROUP BY 1, 2),
 {tag}_c AS (SELECT window_id, item_id, truth, band, pos, list_dot_product(x, w) AS c FROM {source}, {tag}_m),
 {tag}_s AS (SELECT window_id, item_id, max(truth) AS truth, list(abs(c) ORDER BY pos) FILTER (band = 0) AS a, {", ".join(f"{x} AS e{b}" for b, x in enumerate(e))} FROM {tag}_c GROUP BY 1, 2),
 {tag}_p AS (SELECT window_id, item_id, {pair} AS p, sqrt(sum(c * c)) AS mag FROM {tag}_c WHERE band = 1 GROUP BY 1, 2, 3),
