@@ -13,6 +13,11 @@ def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _newest(x: Column) -> Column:
     return F.element_at(x, -1)
 
@@ -76,7 +81,8 @@ def holt(x: Column, horizon: int = 1, alpha: float = 0.3, gamma: float = 0.1) ->
         return F.struct(level.alias("l"), (F.lit(gamma) * (level - s["l"]) + F.lit(1 - gamma) * s["b"]).alias("b"))
 
     end = F.aggregate(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), start, step, lambda s: _ahead(s, horizon))
-    return F.when(F.size(x) < 2, F.element_at(x, 1) * horizon).otherwise(F.when(F.isnan(end) | (F.abs(end) == float("inf")), _newest(x) * horizon).otherwise(end))
+    sane = _let(end, lambda e: F.when(F.isnan(e) | (F.abs(e) == float("inf")), _newest(x) * horizon).otherwise(e))
+    return F.when(F.size(x) < 2, F.element_at(x, 1) * horizon).otherwise(sane)
 
 
 def _ahead(s: Column, horizon: int) -> Column:
@@ -86,36 +92,38 @@ def _ahead(s: Column, horizon: int) -> Column:
 def ar2(x: Column, horizon: int = 1) -> Column:
     """AR(2) by Yule-Walker on the demeaned window; a rejected fit forecasts the mean, a short window its last value."""
     n = F.size(x)
-    mean = _sum(x) / n
-    d = F.transform(x, lambda v: v - mean)
 
-    def lagged(k: int) -> Column:
+    def lagged(d: Column, k: int) -> Column:
         both = F.zip_with(F.slice(d, 1, F.greatest(n - k, F.lit(0))), F.slice(d, k + 1, F.greatest(n - k, F.lit(0))), lambda a, b: a * b)
         return _sum(both) / n
 
-    # one struct step after another keeps each array expression in the plan once
     def forecast(s: Column) -> Column:
         a = s["r0"] + 1e-8
         det = a * a - s["r1"] * s["r1"]
         p1, p2 = (a * s["r1"] - s["r1"] * s["r2"]) / F.nullif(det, F.lit(0.0)), (a * s["r2"] - s["r1"] * s["r1"]) / F.nullif(det, F.lit(0.0))
         bad = (s["r0"] <= 1e-12) | p1.isNull() | F.isnan(p1) | F.isnan(p2) | (F.abs(p1) + F.abs(p2) > 4)
-        q1, q2 = F.when(bad, 0.0).otherwise(p1), F.when(bad, 0.0).otherwise(p2)
-        run = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"), F.lit(0.0).alias("t")), lambda r, _: F.struct((q1 * r["h1"] + q2 * r["h2"]).alias("h1"), r["h1"].alias("h2"), (r["t"] + F.greatest(F.lit(0.0), q1 * r["h1"] + q2 * r["h2"] + s["m"])).alias("t")))
-        return run["t"]
+        return _let(F.struct(F.when(bad, 0.0).otherwise(p1).alias("q1"), F.when(bad, 0.0).otherwise(p2).alias("q2")), lambda q: run(s, q))
 
-    state = F.struct(lagged(0).alias("r0"), lagged(1).alias("r1"), lagged(2).alias("r2"), _newest(d).alias("h1"), F.element_at(d, -2).alias("h2"), mean.alias("m"))
-    fit = F.element_at(F.transform(F.array(state), forecast), 1)
+    def run(s: Column, q: Column) -> Column:
+        ahead = lambda r: q["q1"] * r["h1"] + q["q2"] * r["h2"]
+        start = F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"), F.lit(0.0).alias("t"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, lambda r, _: F.struct(ahead(r).alias("h1"), r["h1"].alias("h2"), (r["t"] + F.greatest(F.lit(0.0), ahead(r) + s["m"])).alias("t")), lambda r: r["t"])
+
+    state = lambda d, m: F.struct(lagged(d, 0).alias("r0"), lagged(d, 1).alias("r1"), lagged(d, 2).alias("r2"), _newest(d).alias("h1"), F.element_at(d, -2).alias("h2"), m.alias("m"))
+    fit = _let(_sum(x) / n, lambda m: _let(F.transform(x, lambda v: v - m), lambda d: _let(state(d, m), forecast)))
     return F.when(n < 4, _newest(x) * horizon).otherwise(fit)
 
 
 def statistical(x: Column, alpha: float = 1.0, beta: float = 0.5, gamma: float = 0.3) -> Column:
     """alpha mean + beta skewness + gamma excess kurtosis (population forms); fewer than three values: the mean."""
     n = F.size(x)
-    mean = _sum(x) / n
-    moment = lambda k: _sum(F.transform(x, lambda v: F.pow(v - mean, F.lit(float(k))))) / n
-    m2 = moment(2)
-    value = alpha * mean + beta * (moment(3) / F.pow(m2, F.lit(1.5))) + gamma * (moment(4) / (m2 * m2) - 3.0)
-    return F.when(n < 3, mean).when(m2 > 0, value).otherwise(F.lit(0.0))
+    moment = lambda mean, k: _sum(F.transform(x, lambda v: F.pow(v - mean, F.lit(float(k))))) / n
+
+    def value(s: Column) -> Column:
+        whole = alpha * s["m"] + beta * (s["m3"] / F.pow(s["m2"], F.lit(1.5))) + gamma * (s["m4"] / (s["m2"] * s["m2"]) - 3.0)
+        return F.when(n < 3, s["m"]).when(s["m2"] > 0, whole).otherwise(F.lit(0.0))
+
+    return _let(_sum(x) / n, lambda mean: _let(F.struct(mean.alias("m"), *[moment(mean, k).alias(f"m{k}") for k in (2, 3, 4)]), value))
 
 
 def series_features(x: Column) -> dict[str, Column]:
