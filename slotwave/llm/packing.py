@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import blocks, release, stored
+from .shared import Words, blocks, per_text, ranges, release, stored, word_hashes
 from .sharding import numbered
 
 SIZE = 2048
-#: Words whose ids a worker remembers; beyond that the memory is emptied, which changes no result.
-REMEMBERED = 600_000
+#: Words and pre-tokens whose ids a worker remembers; beyond that the memory is emptied, which changes no result.
+REMEMBERED, REMEMBERED_PIECES = 2_000_000, 400_000
 #: Longer words are not remembered.
 LONG = 64
 #: Bytes of text that are cut into words at once.
@@ -42,15 +42,16 @@ _OUT = "doc_id long, piece int, start long, length long, ids binary"
 
 #: Words of such characters need no other normalisation than lower case.
 _PLAIN = re.compile("[\x21-\x7e¡-įı-ſ]+").fullmatch
-_END = np.zeros(1, "<u4").tobytes()
 
 
 class WordTokens:
     """Ids of texts by a tokenizer that drops white space and encodes each word by itself.
 
-    Each distinct word is encoded once, many in one call: words of Latin letters, digits and
+    Words are told apart by hash (64 bits in a block, 128 between blocks) and each distinct one
+    is encoded once, many in one call: words of Latin letters, digits and
     signs are cut by the tokenizer's own pattern and go through its BPE model in one text, whose
-    ids fall apart again at the ends of words; all others go through the whole tokenizer.
+    ids fall apart again at the ends of words; all others go through the whole tokenizer. Ids of
+    words lie in one array, from which those of a block of texts are gathered.
     """
 
     def __init__(self, model: str):
@@ -70,8 +71,13 @@ class WordTokens:
         vocabulary, suffix = self.whole.get_vocab(), spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
         self.codes: dict[str, bytes] = {}
+        # first hashes of known words in order, and the words' numbers; by number: second hash, where its ids end
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.other, self.ends_at, self.pool = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _cut(self, word: str) -> list[str]:
         """The tokenizer's own pre-tokens of a word, in lower case."""
@@ -81,15 +87,15 @@ class WordTokens:
             return [word[:-1].lower(), word[-1]]
         return self.cut(word.lower())
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        cuts, other = {}, []
-        for w in words:
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word."""
+        cuts, odd, found = [], [], []
+        for i, w in enumerate(words):
             s = w.decode("utf-8", "replace")
-            if _PLAIN(s):
-                cuts[w] = self._cut(s)
-            else:
-                other.append((w, s))
-        new = list({p for c in cuts.values() for p in c}.difference(self.codes))
+            cuts.append(self._cut(s) if _PLAIN(s) else ())
+            if not cuts[-1]:
+                odd.append((i, s))
+        new = list({p for c in cuts for p in c}.difference(self.codes))
         if new:
             ids = np.array(self.pieces.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
@@ -97,28 +103,48 @@ class WordTokens:
                 raise ValueError("the tokenizer does not end each word by itself")
             raw, at = ids.tobytes(), [0, *(4 * at).tolist()]
             self.codes.update(zip(new, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
-        found = {w: b"".join(map(self.codes.__getitem__, c)) for w, c in cuts.items()}
-        if other:
-            for (w, _), e in zip(other, self.whole.encode_batch_fast([s for _, s in other], add_special_tokens=False), strict=True):
-                found[w] = np.array(e.ids, "<u4").tobytes()
+        found = [b"".join(map(self.codes.__getitem__, c)) for c in cuts]
+        if odd:
+            for (i, _), e in zip(odd, self.whole.encode_batch_fast([s for _, s in odd], add_special_tokens=False), strict=True):
+                found[i] = np.array(e.ids, "<u4").tobytes()
         for p in new:
             if len(p) > LONG:
                 del self.codes[p]
         return found
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids (unsigned 32-bit, little-endian) of each text."""
-        for memory in (self.known, self.codes):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-        words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        self.known.update(self._learn(new))
-        for ws in words:
-            yield b"".join(map(self.known.__getitem__, ws))
-        for w in new:
-            if len(w) > LONG:
-                del self.known[w]
+    def _numbers(self, w: Words, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The number of each distinct word of a block; new ones are encoded and get the next numbers."""
+        other = word_hashes(w.data, w.starts[first], w.ends[first], 1)
+        at, number = np.searchsorted(self.keys, hashes), np.full(len(hashes), -1)
+        there = np.flatnonzero(at < len(self.keys))
+        there = there[self.keys[at[there]] == hashes[there]]
+        number[there] = self.number[at[there]]
+        number[there[self.other[number[there]] != other[there]]] = -1
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            data = w.data.tobytes()
+            ids = self._learn([data[a:z] for a, z in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)])
+            number[new] = len(self.other) + np.arange(len(new))
+            add = np.setdiff1d(new, there, assume_unique=True)  # a hash that two words share stays with the first
+            self.keys, self.number = np.insert(self.keys, at[add], hashes[add]), np.insert(self.number, at[add], number[add])
+            self.other = np.append(self.other, other[new])
+            self.ends_at = np.append(self.ends_at, self.ends_at[-1] + np.cumsum([len(x) // 4 for x in ids]))
+            self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), "<u4"))
+        return number
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each text has."""
+        if len(self.other) > REMEMBERED or len(self.pool) > 16 * REMEMBERED:
+            self.forget()
+        if len(self.codes) > REMEMBERED_PIECES:
+            self.codes.clear()
+        w = Words(texts)
+        if not len(w.starts):
+            return np.zeros(0, np.uint32), np.zeros(w.n, np.int64)
+        hashes, first, at = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        number = self._numbers(w, hashes, first)[at]
+        begin, end = self.ends_at[number], self.ends_at[number + 1]
+        return self.pool[ranges(begin, end)], per_text(w.text, w.n, end - begin)
 
 
 _MODELS: dict[str, WordTokens] = {}
@@ -137,17 +163,25 @@ def _segments(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def cut_ids(parts: Iterator[bytes], size: int) -> Iterator[bytes]:
-    """Pieces of `size` ids each, the last one of what is left, of a document whose ids come in parts."""
-    held = b""
-    for part in parts:
-        held += part
-        full = len(held) // (4 * size) * 4 * size
-        for a in range(0, full, 4 * size):
-            yield held[a : a + 4 * size]
-        held = held[full:]
-    if held:
-        yield held
+def _ended(words: WordTokens, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a block of texts, each with its end, and their numbers; a single long text goes through in segments."""
+    if len(texts) == 1 and texts[0].is_valid:
+        parts = [words.encode(pa.array([s], pa.large_binary()))[0] for s in _segments(texts.cast(pa.large_binary())[0].as_py())]
+        return np.concatenate([*parts, np.zeros(1, np.uint32)]), np.array([sum(map(len, parts)) + 1])
+    ids, n = words.encode(texts)
+    return np.insert(ids, np.cumsum(n), 0), n + 1
+
+
+def _pieces(batch: pa.RecordBatch, ids: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
+    """Rows of the pieces of a block of documents that hold n ids each."""
+    per = -(-n // size)
+    row = np.repeat(np.arange(len(n)), per)
+    piece = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    length = np.minimum(size, n[row] - piece * size)
+    offsets = np.append(0, 4 * np.cumsum(length)).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+    columns = [batch["doc_id"].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * size, pa.int64()), pa.array(length, pa.int64()), data]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _OUT.split(", ")])
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,16 +206,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc
         words = _MODELS[name]  # kept with what it remembers for the worker's next task
         for batch in batches:
             for part in blocks(batch, "text", SEGMENT):
-                texts = [(t or "").encode("utf-8", "replace") for t in part["text"].to_pylist()]
-                if len(texts) == 1:
-                    found = [(x for s in _segments(texts[0]) for x in words.encode([s]))]
-                else:
-                    found = [[x] for x in words.encode(texts)]
-                out = []
-                for i, ids in zip(part["doc_id"].to_pylist(), found, strict=True):
-                    out += [(i, k, k * size, len(x) // 4, x) for k, x in enumerate(cut_ids((y for ys in (ids, [_END]) for y in ys), size))]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _OUT.split(", ")])
+                yield _pieces(part, *_ended(words, part["text"]), size)
         release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _OUT)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Words, blocks, release, stored, word_hashes
+from .shared import Words, blocks, ranges, release, stored, word_hashes
 
 #: Bytes between terms: all of ASCII but digits and letters.
 SEPARATORS = np.zeros(256, bool)
@@ -110,12 +110,6 @@ def _sums(at: np.ndarray, values: np.ndarray, n: int, exact: bool) -> np.ndarray
     return out
 
 
-def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The places of all ranges, one range after the other."""
-    size = end - start
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
 class Strata:
     """The index of a run of documents in order of m: postings by term, stratum and tf."""
 
@@ -139,7 +133,7 @@ class Strata:
 
     def visit(self, terms: np.ndarray, weights: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of a query that may be among its k best; documents below `least` may be left out."""
-        cells = _ranges(self.cells[terms], self.cells[terms + 1])
+        cells = ranges(self.cells[terms], self.cells[terms + 1])
         if not len(cells):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         weight = np.repeat(weights, self.cells[terms + 1] - self.cells[terms])
@@ -154,7 +148,7 @@ class Strata:
             chosen[now[bound[now] >= least]] = True
             mine = chosen[self.stratum[cells]]
             begin, end = self.begin[cells[mine]], self.end[cells[mine]]
-            at = _ranges(begin, end)
+            at = ranges(begin, end)
             scores += _sums(self.doc[at], np.repeat(weight[mine], end - begin) * self.impact[at], self.n_docs, exact)
             done, wave = done + wave, 4 * wave
             if done < self.n and self.n_docs > k:

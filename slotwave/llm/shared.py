@@ -153,6 +153,12 @@ def per_text(counts_at: np.ndarray, n: int, weights: np.ndarray | None = None) -
     return np.bincount(counts_at, weights=weights, minlength=n).astype(np.int64)
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one range after the other."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def release() -> None:
     """Gives freed memory of a Python worker back to the system, since workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

@@ -114,14 +114,23 @@ def test_packing(spark, size):
     assert packing.pack(docs.limit(0), MODEL, size).count() == 0
 
 
-def test_packing_segments(spark, monkeypatch):
-    """Long texts are read in segments without any change of their ids."""
-    monkeypatch.setattr(packing, "SEGMENT", 50)
+def test_packing_segments(monkeypatch):
+    """Long texts are read in segments, and memories emptied or hashes shared, without any change of the ids."""
     text = "some words of a long text, and " * 20 + "x" * 300 + " end"
     words = packing.WordTokens(open(MODEL, encoding="utf-8").read())  # noqa: SIM115
-    parts = [x for s in packing._segments(text.encode()) for x in words.encode([s])]
-    assert len(parts) > 5 and b"".join(parts) == next(words.encode([text.encode()]))
-    assert [len(x) for x in packing.cut_ids(iter([b"1234" * 3, b"1234" * 5, b"1234"]), 4)] == [16, 16, 4]
+    want = words.whole.encode(text, add_special_tokens=False).ids
+    assert packing._ended(words, pa.array([text]))[0].tolist() == [*want, 0]
+    monkeypatch.setattr(packing, "SEGMENT", 50)
+    assert len(list(packing._segments(text.encode()))) > 5
+    for remembered in (10**6, 3):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        monkeypatch.setattr(packing, "REMEMBERED_PIECES", remembered)
+        ids, n = packing._ended(words, pa.array([text]))
+        assert ids.tolist() == [*want, 0] and n.tolist() == [len(ids)]
+    ids, n = packing._ended(words, pa.array(["a b", None, "", text]))
+    assert n.tolist() == [3, 1, 1, len(want) + 1] and ids.tolist() == [*words.whole.encode("a b", add_special_tokens=False).ids, 0, 0, 0, *want, 0]
+    words.other[:] = 0  # as if all first hashes were shared by other words
+    assert packing._ended(words, pa.array([text]))[0].tolist() == [*want, 0]
 
 
 def test_place(spark):
