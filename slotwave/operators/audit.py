@@ -140,6 +140,9 @@ def version_table(old: DataFrame, new: DataFrame, metrics: list[str]) -> DataFra
     return a.join(b, "method").select("method", "windows_old", "windows_new", *[x for m in metrics for x in (F.col(f"{m}_old"), F.col(f"{m}_new"), (F.col(f"{m}_new") - F.col(f"{m}_old")).alias(f"{m}_change"))])
 
 
-def configuration_table(configs: list[dict], spark) -> DataFrame:
-    """One row per run configuration."""
-    return spark.createDataFrame(configs)
+def configuration_table(configs: dict[str, dict], windows: DataFrame) -> DataFrame:
+    """Each run's settings and what it covered: windows (run, window_id, ...) counted, with the first and the last one; runs without windows are kept."""
+    spark = windows.sparkSession
+    rows = spark.createDataFrame([{"run": run} | config for run, config in configs.items()])
+    found = windows.groupBy("run").agg(F.count_distinct("window_id").alias("n_windows"), F.count("*").alias("n_rows"), F.min("window_id").alias("first_window"), F.max("window_id").alias("last_window"))
+    return rows.join(found, "run", "left").fillna(0, ["n_windows", "n_rows"])

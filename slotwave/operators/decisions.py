@@ -80,6 +80,44 @@ def screen(counts: DataFrame, least: int) -> DataFrame:
     return counts.withColumn("state", F.when((F.col("dominates") >= least) & (F.col("dominated") == 0), "accept").when(F.col("dominated") >= least, "reject").otherwise("open"))
 
 
+def screens(relations: DataFrame, candidate: str, other: str, most: int, most_losses: int, part: str = "part") -> DataFrame:
+    """Per part: how often candidate and other are dominated, how often other dominates candidate, three conditions, and whether all hold.
+
+    T1: the candidate is dominated in at most `most` comparisons; T2: in fewer than the other
+    method; T3: the other dominates it in at most most_losses of them. relations hold each pair
+    in both directions.
+    """
+    own = lambda name, rule: _count((F.col("reference") == name) & rule)
+    lost = F.col("relation") == "dominated"
+    out = relations.groupBy(part).agg(own(candidate, lost).alias("d_candidate"), own(other, lost).alias("d_other"), own(other, (F.col("method") == candidate) & (F.col("relation") == "dominates")).alias("n_lost"))
+    out = out.withColumn("t1", F.col("d_candidate") <= most).withColumn("t2", F.col("d_candidate") < F.col("d_other")).withColumn("t3", F.col("n_lost") <= most_losses)
+    return out.withColumn("passed", F.col("t1") & F.col("t2") & F.col("t3"))
+
+
+def final_state(screened: DataFrame) -> DataFrame:
+    """screened with the decision over all its parts: accepted if all pass, rejected if none does, else inconsistent."""
+    every = Window.partitionBy()
+    return screened.withColumn("final", F.when(F.min("passed").over(every), "accepted").when(~F.max("passed").over(every), "rejected").otherwise("inconsistent"))
+
+
+def mechanism_outcome(relations: DataFrame, richer: str, plain: str, cells: int, least: int) -> DataFrame:
+    """One row: in how many cells the richer method dominates the plain one or is dominated, and what follows.
+
+    adds: it dominates in at least `cells`; nothing: it does not in at least `cells`, and dominates in fewer than `least`; else mixed.
+    """
+    pair = relations.where((F.col("reference") == richer) & (F.col("method") == plain))
+    out = pair.agg(F.count("*").alias("n_cells"), *[_count(F.col("relation") == r).alias(r) for r in ("dominates", "dominated")])
+    won = F.col("dominates")
+    return out.withColumn("outcome", F.when(won >= cells, "adds").when((F.col("n_cells") - won >= cells) & (won < least), "nothing").otherwise("mixed"))
+
+
+def clamp_cost(verdicts: DataFrame, clamped: str, free: str, most: int) -> DataFrame:
+    """Per metric: cells in which the clamped method is better, not different or worse than the free one, and whether worse ones are more than `most`."""
+    pair = verdicts.where((F.col("reference") == clamped) & (F.col("method") == free))
+    counts = {"better": "ref_better", "not_different": "n.s.", "worse": "ref_worse"}
+    return pair.groupBy("metric").agg(*[_count(F.col("verdict") == v).alias(n) for n, v in counts.items()]).withColumn("lowered", F.col("worse") > most)
+
+
 def mechanism(gains: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Signs of gains against verdicts: S+ / S- gains of either sign, R+ / R- those that the verdict supports."""
     both = gains.join(verdicts.select(*CELL, "metric", "verdict"), [*CELL, "metric"])

@@ -214,6 +214,19 @@ def window_limits(level: int, transform: str = "dtcwt") -> dict[str, int]:
     return {"min": least, "recommended": 2 * least, "max": 32 * least}
 
 
+def level_for(length: Column, level: int, taps: int = 8) -> Column:
+    """The deepest level up to `level` that a window of so many slots bears for a filter of so many taps, at least 1."""
+    return F.when(length >= taps, F.greatest(F.lit(1), F.least(F.lit(level), F.floor(F.log2(length / F.lit(taps - 1.0))).cast("int")))).otherwise(F.lit(1))
+
+
+def window_sizes(rows: DataFrame, length: Column, level: int = 3) -> DataFrame:
+    """Per window length: rows, the level it bears, and whether it lies within the limits of either transform at `level`."""
+    limits = {t: window_limits(level, t) for t in ("dwt", "dtcwt")}
+    out = rows.groupBy(length.cast("int").alias("length")).agg(F.count("*").alias("n_rows"))
+    inside = [F.col("length").between(v["min"], v["max"]).alias(f"fits_{t}") for t, v in limits.items()]
+    return out.select("length", "n_rows", level_for(F.col("length"), level).cast("int").alias("level"), *inside)
+
+
 def gap_windows(gaps: DataFrame, ids: DataFrame, window: int) -> DataFrame:
     """Windows whose trailing slots hold a gap slot: each gap names the windows it touches, so this is an equi-join."""
     touched = gaps.select(F.explode(F.sequence(F.col("slot") + 1, F.col("slot") + window)).alias("window_id")).distinct()

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import wavelets as W
@@ -191,13 +191,21 @@ def shift_energies(frames: DataFrame, x: str = "x_w", level: int = 3, transform:
     return _batchwise(frames, x, ", ".join([f"cv_{b} double" for b in range(level + 1)] + ["sd_r double", "sd_w double"]), work)
 
 
-def boundary_weights(n: int = 64, level: int = 3, transform: str = "dtcwt") -> list[tuple[int, float, float]]:
-    """(coefficient, share of its weight that falls on extended samples, its weight in mu_L)."""
+def boundary_weights(spark: SparkSession, n: int = 64, level: int = 3, transform: str = "dtcwt") -> DataFrame:
+    """Per low coefficient: the share of its weight that falls on extended samples, and its share of the recency weights of mu_L."""
     whole, _ = W.matrices(transform, n, level, "symmetric")
     inner, _ = W.matrices(transform, n, level, "zero")
-    total = np.abs(whole).sum(1)
-    w = W.recency(len(whole))
-    return [(i, float(np.abs(whole[i] - inner[i]).sum() / total[i]), float(w[i] / w.sum())) for i in range(len(whole))]
+    total, w = np.abs(whole).sum(1), W.recency(len(whole))
+    rows = [(i, float(np.abs(whole[i] - inner[i]).sum() / total[i]), float(w[i] / w.sum())) for i in range(len(whole))]
+    return spark.createDataFrame(rows, "coefficient int, outside double, weight double")
+
+
+def boundary_effect(frames: DataFrame, x: str = "x_w", level: int = 3, target: int = 64) -> DataFrame:
+    """Per low coefficient, over all windows: mean of the coefficient, mean change if samples outside count as zero, and the weights of boundary_weights."""
+    low = lambda how, name: wavelet_features(frames.select("window_id", "item_id", x), x, level, "dtcwt", how, target=target).select("window_id", "item_id", F.col("low").alias(name))
+    both = low("symmetric", "a").join(low("zero", "b"), ["window_id", "item_id"]).select(F.posexplode(F.arrays_zip("a", "b")).alias("coefficient", "v"))
+    means = both.groupBy("coefficient").agg(F.avg("v.a").alias("mean"), F.avg(F.abs(F.col("v.a") - F.col("v.b"))).alias("change"))
+    return means.join(F.broadcast(boundary_weights(frames.sparkSession, target, level)), "coefficient")
 
 
 def nlms_convergence(features: DataFrame) -> DataFrame:

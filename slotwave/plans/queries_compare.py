@@ -17,6 +17,7 @@ from ..operators import ranking as R
 from ..operators import statistics as T
 from ..operators import strata as Z
 from ..operators import wavelet as V
+from ..sources import tables as SRC
 from ..sources.tables import shared_dir
 from ..streaming import online
 from . import checks_sql as Q
@@ -417,6 +418,33 @@ def k5_dominance(spark, sf_dir):
     return D.screen(D.dominance_counts(D.relation(both), ["reference", "horizon"]), 3)
 
 
+_REL = ", ".join(f"{_COUNT(f'{a} AND {b}')} AS {n}" for n, a, b in (("d_candidate", "reference = 'AF'", "nb = 0 AND nw > 0"), ("d_other", "reference = 'VSE'", "nb = 0 AND nw > 0"), ("n_lost", "reference = 'VSE' AND method = 'AF'", "nb > 0 AND nw = 0")))
+
+
+def _relations(spark, sf_dir):
+    """Verdicts of the cells in both directions, and the relations that follow."""
+    verdicts = _cells(spark, sf_dir)[0].select(*D.CELL, "reference", "method", "metric", "verdict")
+    both = verdicts.unionByName(D.turned(verdicts).select(*verdicts.columns))
+    return both, D.relation(both)
+
+
+@query(with_(TS.CELLS, _TURNED) + f", sc2 AS (SELECT CASE horizon WHEN 1 THEN 'tune' ELSE 'test' END AS part, {_REL} FROM rl GROUP BY 1), sp AS (SELECT *, d_candidate <= 3 AS t1, d_candidate < d_other AS t2, n_lost <= 1 AS t3 FROM sc2) SELECT *, t1 AND t2 AND t3 AS passed, CASE WHEN bool_and(t1 AND t2 AND t3) OVER () THEN 'accepted' WHEN NOT bool_or(t1 AND t2 AND t3) OVER () THEN 'rejected' ELSE 'inconsistent' END AS final FROM sp")
+def k7_screens(spark, sf_dir):
+    """The three screens of AF against VSE on two parts (horizons 1 and 4 here), and the final state."""
+    rows = _relations(spark, sf_dir)[1].withColumn("part", F.when(F.col("horizon") == 1, "tune").otherwise("test"))
+    return D.final_state(D.screens(rows, "AF", "VSE", 3, 1))
+
+
+@query(with_(TS.CELLS, _TURNED) + f", mo AS (SELECT count(*) AS n_cells, {_COUNT('nb > 0 AND nw = 0')} AS dominates, {_COUNT('nb = 0 AND nw > 0')} AS dominated FROM rl WHERE reference = 'AF' AND method = 'EWMA') SELECT *, CASE WHEN dominates >= 3 THEN 'adds' WHEN n_cells - dominates >= 3 AND dominates < 2 THEN 'nothing' ELSE 'mixed' END AS outcome FROM mo")
+def k7_mechanism_outcome(spark, sf_dir):
+    return D.mechanism_outcome(_relations(spark, sf_dir)[1], "AF", "EWMA", 3, 2)
+
+
+@query(with_(TS.CELLS) + f"SELECT metric, {_COUNT('verdict = ' + repr('ref_better'))} AS better, {_COUNT('verdict = ' + repr('n.s.'))} AS not_different, {_COUNT('verdict = ' + repr('ref_worse'))} AS worse, {_COUNT('verdict = ' + repr('ref_worse'))} > 1 AS lowered FROM ve WHERE method = 'RRD' GROUP BY metric")
+def k7_clamp_cost(spark, sf_dir):
+    return D.clamp_cost(_relations(spark, sf_dir)[0], "AF", "RRD", 1)
+
+
 @query(with_(TS.CELLS, _BEST("['EWMA']")) + f"SELECT metric, {_COUNT('gain > 0')} AS s_plus, {_COUNT('gain < 0')} AS s_minus, {_COUNT(chr(32).join(['gain > 0 AND verdict =', repr('ref_better')]))} AS r_plus, {_COUNT(chr(32).join(['gain < 0 AND verdict =', repr('ref_worse')]))} AS r_minus FROM gc JOIN (SELECT * FROM ve WHERE method = 'EWMA') USING (scenario, horizon, metric) GROUP BY metric")
 def k8_mechanism(spark, sf_dir):
     verdicts, means = _cells(spark, sf_dir)
@@ -578,9 +606,55 @@ def e26_profile(spark, sf_dir):
     return P.rounded(Z.profile(study.dense, rows))
 
 
+# Stored results
+
+_METRIC_ROWS = ", ".join(f"{Q.r6(c)} AS {c}" for c in ("ndcg_10", "coverage_10", "rsi_10", "mae"))
+
+
+@query(with_(*_TESTED[:4]) + f"SELECT method, window_id, num_items, {_METRIC_ROWS} FROM pr")
+def s11_stored_protocol(spark, sf_dir):
+    """Protocol rows written by method and read again."""
+    path = f"{_folder(spark)}/protocol"
+    SRC.write_protocol(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,)), path)
+    return P.rounded(SRC.read_protocol(spark, path).select("method", "window_id", "num_items", "ndcg_10", "coverage_10", "rsi_10", "mae"))
+
+
+@query(with_(*_STRATIFIED) + f"SELECT window_id, method, stratum, count(*) AS n_items, {Q.r6('avg(err)')} AS mae, {Q.r6('avg(abs(rank - truth_rank))')} AS rank_difference FROM de WHERE method = 'EWMA' GROUP BY 1, 2, 3")
+def s12_stored_results(spark, sf_dir):
+    """Detailed rows saved and loaded, the strata made of them saved and loaded for one method."""
+    folder = _folder(spark)
+    SRC.save_results(_detailed(spark, sf_dir), folder, "detailed")
+    SRC.save_results(Z.by_stratum(SRC.load_results(spark, folder, "detailed")), folder, "strata")
+    return P.rounded(SRC.load_results(spark, folder, "strata", ("EWMA",)).select("window_id", "method", "stratum", "n_items", "mae", "rank_difference"))
+
+
+@query(with_(*_PR) + "SELECT method, min(window_id) AS first, max(window_id) AS last, count(*) AS n_windows FROM pr GROUP BY method")
+def k18_run_ranges(spark, sf_dir):
+    return D.run_ranges(_protocol(spark, sf_dir), ["method"])
+
+
 # Audits
 
 
+@query("SELECT * FROM (" + with_(Q.DEMAND, Q.USERS, Q.frames(7, 3, name="a"), Q.frames(64, 32, name="b"), Q.frames(7, 3, name="c", tag="u_")) + " UNION ALL ".join(f"SELECT '{run}' AS run, CAST({w} AS BIGINT) AS \"window\", CAST({m} AS BIGINT) AS min_obs, '{d}' AS dataset, count(DISTINCT window_id) AS n_windows, count(*) AS n_rows, min(window_id) AS first_window, max(window_id) AS last_window FROM {t}" for run, w, m, d, t in (("short", 7, 3, "supplier", "a"), ("long", 64, 32, "supplier", "b"), ("user", 7, 3, "user", "c"))) + ")")
+def q13_configurations(spark, sf_dir):
+    """The settings of three runs and the windows they cover."""
+    runs = {"short": {"window": 7, "min_obs": 3, "dataset": "supplier"}, "long": {"window": 64, "min_obs": 32, "dataset": "supplier"}, "user": {"window": 7, "min_obs": 3, "dataset": "user"}}
+    studies = {"supplier": P.weekly(spark, sf_dir), "user": P.Study(P.user_six_hours(spark, sf_dir), 21600)}
+    parts = []
+    for run, c in runs.items():
+        study = studies[c["dataset"]]
+        rows = study.windows({"w": c["window"]}).where(G.eligible("w", c["min_obs"], P.MIN_TOTAL)).select("window_id", "item_id")
+        parts.append(G.valid_windows(rows, study.dense, ["window_id"]).select(F.lit(run).alias("run"), "window_id"))
+    return A.configuration_table(runs, G.union_all(parts))
+
+
+@query(with_(Q.DEMAND, Q.frames(64, 3)) + "SELECT CAST(n AS INTEGER) AS length, count(*) AS n_rows, CAST(CASE WHEN n >= 8 THEN greatest(1, least(3, floor(log2(n / 7.0)))) ELSE 1 END AS INTEGER) AS level, n BETWEEN 16 AND 512 AS fits_dwt, n BETWEEN 32 AND 1024 AS fits_dtcwt FROM fr GROUP BY n")
+def g21_window_sizes(spark, sf_dir):
+    """Lengths of the windows of a study, the level that each bears (W3), and whether a transform of three levels suits it."""
+    return G.window_sizes(_frames(spark, sf_dir, 64, 3)[1], F.size("x_w"))
+
+
 @query(with_(Q.DEMAND) + "SELECT slot FROM dense GROUP BY slot HAVING max(present) = 0")
 def q9_gap_slots(spark, sf_dir):
     return A.gap_slots(P.weekly(spark, sf_dir).dense)

@@ -212,7 +212,7 @@ def s14_first_slots(spark, sf_dir):
     return T.first_slots(P.supplier_weeks(spark, sf_dir), 20)
 
 
-@query()
+@query(with_(Q.DEMAND) + "SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(cnt || '|' || item_id || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')), 1, 12) AS HUGEINT)) AS VARCHAR) AS content FROM demand")
 def s15_fingerprint(spark, sf_dir):
     return T.fingerprint(P.supplier_weeks(spark, sf_dir))
 

@@ -283,6 +283,18 @@ def w2_decimated_features(spark, sf_dir):
     return P.rounded(out.select("window_id", "item_id", "mu_l", "r", "w_e", "d", "e_tot", "af"))
 
 
+_OUTSIDE = "fs_o AS (SELECT a.pos, sum(abs(a.w - coalesce(b.w, 0))) / sum(abs(a.w)) AS outside, any_value(pow(0.5, 15 - a.pos)) AS weight FROM (SELECT pos, k, sum(w) AS w FROM fs_all WHERE band = 0 GROUP BY 1, 2) a LEFT JOIN (SELECT pos, k, sum(w) AS w FROM fz_all WHERE band = 0 GROUP BY 1, 2) b USING (pos, k) GROUP BY a.pos)"
+
+
+@query(
+    with_(*_WINDOWS, WS.padded(), WS.features(tag="fs"), WS.features(how="zero", tag="fz"), _OUTSIDE, "be AS (SELECT window_id, item_id, unnest(range(0, 16)) AS coefficient, unnest(a) AS a, unnest(b) AS b FROM (SELECT window_id, item_id, s.a, z.a AS b FROM fe_fs s JOIN fe_fz z USING (window_id, item_id)))")
+    + f"SELECT CAST(coefficient AS INTEGER) AS coefficient, {Q.r6('avg(a)')} AS mean, {Q.r6('avg(abs(a - b))')} AS change, {Q.r6('any_value(outside)')} AS outside, {Q.r6('any_value(weight) / (SELECT sum(weight) FROM fs_o)')} AS weight FROM be JOIN fs_o ON pos = coefficient GROUP BY coefficient"
+)
+def w12_boundary_effect(spark, sf_dir):
+    """How much of each low coefficient comes from beyond the window's ends, in weights and over all windows."""
+    return P.rounded(V.boundary_effect(_bare(spark, sf_dir)))
+
+
 _SLOPED = "mu_l * exp(least(3, greatest(-3, slope + r - w_e)))"
 
 

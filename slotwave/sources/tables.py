@@ -139,6 +139,40 @@ def first_slots(demand: DataFrame, n: int) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Number of rows and an order-independent sum of row hashes."""
-    columns = [F.col(c) for c in sorted(df.columns)]
-    return df.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("content"))
+    """Number of rows and an order-independent sum of row hashes: 48 bits of the md5 of each row's values as text, columns in order of name."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in sorted(df.columns)])
+    row = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n_rows"), F.sum(row).cast("string").alias("content"))
+
+
+def read_protocol(spark: SparkSession, path: str) -> DataFrame:
+    """Protocol rows as write_protocol lays them down; columns of the folders come last."""
+    return spark.read.parquet(path)
+
+
+#: Columns that a stored result table must have.
+RESULT_TABLES = {
+    "detailed": ("window_id", "item_id", "method", "stratum", "popularity_score", "actual_count", "mae", "rank_predicted", "rank_actual"),
+    "strata": ("window_id", "method", "stratum", "n_items", "mae", "mape", "positive_share", "rank_difference"),
+    "comparison": ("metric", "method", "n", "mean_diff"),
+}
+
+
+def _result(name: str, columns: list[str]) -> None:
+    if name not in RESULT_TABLES:
+        raise ValueError(f"unknown table: {name}")
+    if missing := set(RESULT_TABLES[name]) - set(columns):
+        raise ValueError(f"{name} lacks {', '.join(sorted(missing))}")
+
+
+def save_results(df: DataFrame, folder: str, name: str) -> None:
+    """Writes a detailed, stratum or comparison table as Parquet (snappy) into a folder of results, by method where it has one."""
+    _result(name, df.columns)
+    df.write.mode("overwrite").option("compression", "snappy").partitionBy("method").parquet(f"{folder}/{name}")
+
+
+def load_results(spark: SparkSession, folder: str, name: str, methods: tuple[str, ...] | None = None) -> DataFrame:
+    """A table of save_results, of some methods only if named (other folders are not read)."""
+    df = spark.read.parquet(f"{folder}/{name}")
+    _result(name, df.columns)
+    return df if methods is None else df.where(F.col("method").isin(*methods))
