@@ -48,6 +48,37 @@ def rank_items(scores: DataFrame, by: list[str] = BY) -> DataFrame:
     )
 
 
+def places(rows: DataFrame, by: list[str], order: list[Column], out: str, ranges: int) -> DataFrame:
+    """rows with `out`, the place from 1 in its group by a complete order, where no task holds a group.
+
+    Rows are dealt into ranges of (group, order); places inside a range are moved on by the counts
+    of the group's earlier ranges, of which there are no more than groups and ranges together.
+    """
+    from ..sources.tables import stored
+
+    # stored, since a second run could draw other bounds
+    dealt = stored(rows.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id()), "places")
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n")).select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    return inside.join(counts, [*by, "_range"]).withColumn(out, (F.col("_before") + F.col("_in")).cast("int")).drop("_range", "_in", "_before")
+
+
+def rank_large(scores: DataFrame, by: list[str] = BY, ranges: int = 200) -> DataFrame:
+    """What rank_items gives, and the average ranks r_score and r_truth, for windows of any number of items."""
+    rows = scores.withColumn("key", rank_key())
+    rows = places(rows, by, [F.desc("key"), F.col("item_id")], "rank", ranges)
+    rows = places(rows, by, [F.desc("truth"), F.col("item_id")], "truth_rank", ranges)
+    rows = rows.join(rows.groupBy(*by).agg(F.count("*").alias("n_items")), by)
+    for value, place, out in (("key", "rank", "score"), ("truth", "truth_rank", "truth")):
+        # rows of equal values share the mean of their places, counted from below
+        equal = rows.groupBy(*by, value).agg(F.min(place).alias(f"_f_{out}"), F.count("*").alias("_c"))
+        equal = equal.select(*by, value, f"_f_{out}", (F.col(f"_f_{out}") + (F.col("_c") - 1) / 2).alias(f"_m_{out}"))
+        rows = rows.join(equal, [*by, value]).withColumn(f"r_{out}", F.col("n_items") + 1 - F.col(f"_m_{out}")).drop(f"_m_{out}")
+    tied = F.when(F.col("rank") > 1, F.col("rank") > F.col("_f_score"))
+    return rows.withColumn("tied", tied).drop("_f_score", "_f_truth")
+
+
 def average_rank(value: str, by: list[str]) -> Column:
     """Rank from 1, equal values share the mean of their places."""
     w = Window.partitionBy(*by)
@@ -77,7 +108,7 @@ def window_metrics(ranked: DataFrame, ks: tuple[int, ...] = KS, by: list[str] =
 
     spearman_rho is null for fewer than two items or a range below 1e-12 on either side.
     """
-    rows = ranked.withColumn("r_score", average_rank("key", by)).withColumn("r_truth", average_rank("truth", by))
+    rows = ranked if "r_score" in ranked.columns else ranked.withColumn("r_score", average_rank("key", by)).withColumn("r_truth", average_rank("truth", by))
     flat = (F.max("key") - F.min("key") < 1e-12) | (F.max("truth") - F.min("truth") < 1e-12) | (F.count("*") < 2)
     return rows.groupBy(*by).agg(
         F.count("*").alias("num_items"),
@@ -101,9 +132,10 @@ def with_rsi(metrics: DataFrame, ks: tuple[int, ...] = KS, method: str = "method
     return metrics.select("*", *[F.when(F.lag(f"top_{k}").over(w).isNotNull(), jaccard(F.col(f"top_{k}"), F.lag(f"top_{k}").over(w))).alias(f"rsi_{k}") for k in ks])
 
 
-def protocol(scores: DataFrame, ks: tuple[int, ...] = KS, least: int = 1) -> DataFrame:
-    """Metric rows of every window and method with at least so many items, without the top-K sets."""
-    out = with_rsi(window_metrics(rank_items(scores), ks).where(F.col("num_items") >= least), ks)
+def protocol(scores: DataFrame, ks: tuple[int, ...] = KS, least: int = 1, ranges: int | None = None) -> DataFrame:
+    """Metric rows of every window and method with at least so many items, without the top-K sets. With ranges, windows are ranked by rank_large."""
+    ranked = rank_items(scores) if ranges is None else rank_large(scores, ranges=ranges)
+    out = with_rsi(window_metrics(ranked, ks).where(F.col("num_items") >= least), ks)
     return out.drop(*[f"top_{k}" for k in ks])
 
 

@@ -606,6 +606,15 @@ def e26_profile(spark, sf_dir):
     return P.rounded(Z.profile(study.dense, rows))
 
 
+# Large windows
+
+
+@query(with_(*_PR) + "SELECT window_id, method, num_items, " + ", ".join(f"{Q.r6(c)} AS {c}" for c in ("ndcg_10", "coverage_10", "rsi_10", "mae", "spearman_rho")) + ", ties_top21, CAST(0 AS BIGINT) AS n_nonfinite FROM pr")
+def r1_large_windows(spark, sf_dir):
+    """Metric rows from ranks made of ranges, as for windows of too many items for one task."""
+    return P.rounded(R.protocol(_scored(spark, sf_dir, *_NAMES), (10,), ranges=16))
+
+
 # Stored results
 
 _METRIC_ROWS = ", ".join(f"{Q.r6(c)} AS {c}" for c in ("ndcg_10", "coverage_10", "rsi_10", "mae"))

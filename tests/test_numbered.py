@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from slotwave.operators import audit, cleaning, relation
+from slotwave.operators import audit, cleaning, ranking, relation
 from slotwave.operators.ranking import numbered
 from slotwave.sources import tables
 
@@ -27,6 +27,20 @@ def test_eta_squared(spark, n):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_ranks_of_large_windows(spark, ranges):
+    """Ranks made of ranges equal those of one sort a window, with ties, non-finite scores and a large window; no window holds a group alone."""
+    rows = spark.range(700).selectExpr("int(case when id % 7 = 0 then id % 3 else 9 end) as window_id", "'m' as method", "cast(id * 7919 % 1009 as string) as item_id", "case when id % 50 = 3 then double('nan') when id % 60 = 5 then null when id % 70 = 6 then double('inf') else double(id * 31 % 23) end as score", "double(id % 11) as truth").cache()
+    columns = ["window_id", "method", "item_id", "rank", "truth_rank", "n_items", "tied"]
+    large = ranking.rank_large(rows, ranges=ranges)
+    got, want = (sorted(map(tuple, df.select(columns).collect()), key=str) for df in (large, ranking.rank_items(rows)))
+    assert got == want
+    metrics = [sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in ranking.protocol(rows.withColumn("score", F.when(~F.isnan("score"), F.col("score"))), (5,), ranges=n).collect()), key=str) for n in (None, ranges)]
+    assert metrics[0] == metrics[1]
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(window_id#" in plan and not any("row_number" in x and "_range" not in x for x in plan.splitlines() if "Window [" in x)
+
+
 def test_no_window_over_all_rows(spark):
     """No exchange of rows to a single partition, but of counts or a few."""
     items = spark.range(1000).select(F.col("id").cast("string").alias("item_id"), F.col("id").alias("count"))
