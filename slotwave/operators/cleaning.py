@@ -74,6 +74,21 @@ def rating_rows(df: DataFrame, slot: str, min_rating: float | None = None, exact
     return df.groupBy(slot_start(F.col("timestamp"), slot).alias("timestamp"), F.col("movieId").cast("string").alias("item_id")).agg(F.count("*").alias("count"), F.avg("rating").alias("mean_rating"), users.alias("user_count"))
 
 
+def distinct_sketches(df: DataFrame, slot: str, user: str = "userId", item: str = "movieId", precision: int = 12) -> DataFrame:
+    """Per slot and item: count, and a mergeable sketch (HLL) of the distinct users, of 2**precision registers at most."""
+    return df.groupBy(slot_start(F.col("timestamp"), slot).alias("timestamp"), F.col(item).cast("string").alias("item_id")).agg(F.count("*").alias("count"), F.hll_sketch_agg(F.col(user).cast("string"), F.lit(precision)).alias("users"))
+
+
+def roll_up(sketches: DataFrame, slot: str) -> DataFrame:
+    """Rows of distinct_sketches merged into longer slots, with user_count, the estimate; the events are not read again.
+
+    The estimate of merged sketches is that of a sketch of all rows: its standard error is some
+    1.04 / sqrt(registers).
+    """
+    merged = sketches.groupBy(slot_start(F.col("timestamp"), slot).alias("timestamp"), "item_id").agg(F.sum("count").alias("count"), F.hll_union_agg("users").alias("users"))
+    return merged.withColumn("user_count", F.hll_sketch_estimate("users"))
+
+
 def merge_rows(demand: DataFrame, features: tuple[str, ...] = (), how: str = "weighted") -> DataFrame:
     """One row per (timestamp, item_id): counts added; features as count-weighted means, or how='first'."""
     one = {"weighted": lambda f: F.sum(F.col(f) * F.col("count")) / F.sum(F.when(F.col(f).isNotNull(), F.col("count"))), "first": lambda f: F.first(f, ignorenulls=True)}[how]

@@ -28,6 +28,15 @@ def c11_rating_weeks(spark, sf_dir):
     return P.rounded(C.rating_rows(_ratings(spark, sf_dir), "1W", 10.0))
 
 
+@query("SELECT date_trunc('week', ts) AS timestamp, event_type AS item_id, count(*) AS count, count(DISTINCT user_id) AS user_count, true AS near FROM events GROUP BY 1, 2")
+def c11_sketch_weeks(spark, sf_dir):
+    """Distinct users a week from sketches of days, held against the exact number: within three standard errors."""
+    ratings = _ratings(spark, sf_dir)
+    weeks = C.roll_up(C.distinct_sketches(ratings, "1D"), "1W").withColumnRenamed("user_count", "estimate").drop("users")
+    exact = C.rating_rows(ratings, "1W").select("timestamp", "item_id", "user_count")
+    return weeks.join(exact, ["timestamp", "item_id"]).select("timestamp", "item_id", "count", "user_count", (F.abs(F.col("estimate") - F.col("user_count")) <= 0.05 * F.col("user_count") + 1).alias("near"))
+
+
 @query(f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 6 HOUR * CAST(floor(extract(hour FROM ts) / 6) AS INTEGER) AS timestamp, CAST(user_id AS VARCHAR) AS item_id, count(*) AS count FROM events GROUP BY 1, 2")
 def c9_six_hour_counts(spark, sf_dir):
     return C.slot_rows(P.table(spark, sf_dir, "events"), "ts", "user_id", "6h")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scorers as S
+from ..functions import sql_functions as SF
 from ..operators import audit as A
 from ..operators import decisions as D
 from ..operators import events as E
@@ -80,6 +83,24 @@ def x9_holt_statistical(spark, sf_dir):
     return P.rounded(G.valid_windows(rows, study.dense, ["window_id"]))
 
 
+@query(with_(Q.DEMAND, Q.frames(7, 3)) + f"SELECT window_id, item_id, method, {Q.r6('score')} AS score FROM ({Q.long(Q.SCORES)})")
+def x14_sql_scores(spark, sf_dir):
+    """The six baselines asked for in SQL: a lateral call of the registered table function over the windows."""
+    SF.register(spark)
+    view = f"windows_{uuid.uuid4().hex}"
+    _frames(spark, sf_dir, 7, 3)[1].select("window_id", "item_id", "x_w").createOrReplaceTempView(view)
+    return P.rounded(spark.sql(f"SELECT w.window_id, w.item_id, s.method, s.score FROM {view} w, LATERAL baseline_scores(w.x_w) s"))
+
+
+@query(with_(Q.DEMAND, Q.frames(7, 3), f"ws AS ({Q.wide(Q.SCORES)})") + f"SELECT window_id, {Q.r6('max(round(' + chr(34) + 'AF' + chr(34) + ', 9))')} AS largest, {Q.r6('avg(' + chr(34) + 'RRD' + chr(34) + ')')} AS mean_rrd FROM ws GROUP BY window_id")
+def x1_sql_calls(spark, sf_dir):
+    """Scalar scorers in the text of a query with grouping."""
+    SF.register(spark)
+    view = f"windows_{uuid.uuid4().hex}"
+    _frames(spark, sf_dir, 7, 3)[1].select("window_id", "item_id", "x_w").createOrReplaceTempView(view)
+    return P.rounded(spark.sql(f"SELECT window_id, max(round(af(x_w), 9)) AS largest, avg(rrd(x_w)) AS mean_rrd FROM {view} GROUP BY window_id"))
+
+
 def _guarded(windows):
     """The range of each window; one of all zeros in the newest two slots raises."""
     if any(w[-2:].sum() == 0 for w in windows):

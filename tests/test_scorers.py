@@ -70,3 +70,28 @@ def test_validated(spark):
     rows = [(0, [1.0]), (1, []), (2, None), (3, [float("nan")]), (4, [None])]
     got = {r.i: r.v for r in spark.createDataFrame(rows, "i int, x array<double>").select("i", S.validated(F.col("x")).alias("v")).collect()}
     assert got == {0: [1.0], 1: None, 2: None, 3: None, 4: None}
+
+
+def test_sql_functions(spark):
+    """The registered SQL functions and the column expressions agree, on zeros and short windows too; registering twice is no error."""
+    from slotwave.functions import sql_functions as SF
+
+    SF.register(spark)
+    SF.register(spark)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([[0.0, 2.0, 3.0, 0.0], [0.0, 0.0], [5.0], [1.0, 0.0, 0.0, 4.0, 2.0, 8.0, 1.0, 0.0, 0.0, 3.0, 1.0]])], "i int, x array<double>")
+    rows.createOrReplaceTempView("sql_function_rows")
+    got = {(r.i, r.method): r.score for r in spark.sql("SELECT i, s.* FROM sql_function_rows, LATERAL baseline_scores(x) s").collect()}
+    want = rows.select("i", *[s.expr(F.col("x")).alias(s.name) for s in S.BASELINES]).collect()
+    assert len(got) == 24 and all(abs(got[r.i, m] - r[m]) < 1e-12 for r in want for m in SF.METHODS)
+
+
+def test_sketches_roll_up(spark):
+    """Weeks from days equal weeks from rows; the error keeps its bound."""
+    from slotwave.operators import cleaning as C
+
+    rows = spark.range(60000).selectExpr("id * 7919 % 9001 as userId", "id % 3 as movieId", "timestamp_seconds(1700000000 + id % 40 * 43200) as timestamp")
+    days, weeks = C.roll_up(C.distinct_sketches(rows, "1D"), "1W"), C.roll_up(C.distinct_sketches(rows, "1W"), "1W")
+    key = ["timestamp", "item_id", "count", "user_count"]
+    assert sorted(map(tuple, days.select(key).collect())) == sorted(map(tuple, weeks.select(key).collect()))
+    exact = {(r.timestamp, r.item_id): r.user_count for r in C.rating_rows(rows.withColumn("rating", F.lit(1.0)), "1W").collect()}
+    assert all(abs(r.user_count / exact[r.timestamp, r.item_id] - 1) < 0.05 for r in days.collect())
