@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,6 +198,68 @@ def skyline(rows: DataFrame, up: list[str], down: list[str], by: list[str]) -> D
     return rows.join(beaten.withColumn("_b", F.lit(True)), rows.columns, "left").withColumn("skyline", F.col("_b").isNull()).drop("_b")
 
 
+def _undominated(v: np.ndarray, chunk: int = 512) -> np.ndarray:
+    """Which points no other point dominates (at least as large in all criteria, larger in one): in falling order of their sums, against the points kept so far."""
+    order = np.argsort(-v.sum(1), kind="stable")
+    kept, keep = np.zeros((0, v.shape[1])), np.zeros(len(v), bool)
+    for lo in range(0, len(order), chunk):
+        at = order[lo : lo + chunk]
+        at = at[~_dominated(v[at], kept)]
+        at = at[~_dominated(v[at], v[at])]
+        keep[at] = True
+        kept = np.concatenate([kept, v[at]])
+    return keep
+
+
+def _dominated(v: np.ndarray, by: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Which points of v some point of `by` dominates."""
+    out = np.zeros(len(v), bool)
+    for lo in range(0, len(by), step):
+        left = np.flatnonzero(~out)
+        b = by[lo : lo + step]
+        as_large, larger = np.ones((len(left), len(b)), bool), np.zeros((len(left), len(b)), bool)
+        for c in range(v.shape[1]):
+            as_large &= b[None, :, c] >= v[left, None, c]
+            larger |= b[None, :, c] > v[left, None, c]
+        out[left] = (as_large & larger).any(1)
+    return out
+
+
+def skyline_large(rows: DataFrame, up: list[str], down: list[str], by: list[str], parts: int = 16) -> DataFrame:
+    """rows with the flag skyline, for any number of rows in a group of `by`.
+
+    Each part of a group keeps its own skyline; what is kept is then held against the kept points
+    of every other part, pair by pair of parts. No task holds more than two parts. A row with a null or
+    undefined criterion neither dominates nor is dominated; equal rows do not dominate each other.
+    """
+    from ..sources.tables import stored
+
+    value = [F.col(f"`{c}`").cast("double") for c in up] + [-F.col(f"`{c}`").cast("double") for c in down]
+    base = stored(rows.withColumn("_id", F.monotonically_increasing_id()), "skyline-rows")
+    width = len(value)
+    whole = reduce(lambda a, b: a & b, [x.isNotNull() & ~F.isnan(x) for x in value])
+    points = base.where(whole).select("_id", F.xxhash64(F.lit(0), *by).alias("g"), F.array(*value).alias("v")).withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int"))
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        return np.array(t["v"].combine_chunks().flatten()).reshape(t.num_rows, width)
+
+    def own(t: pa.Table) -> pa.Table:
+        return t.filter(pa.array(_undominated(matrix(t))))
+
+    def lost(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"_id": pa.array([], pa.int64())})
+        return a.select(["_id"]).filter(pa.array(_dominated(matrix(a), matrix(b))))
+
+    kept = stored(points.groupBy("g", "part").applyInArrow(own, points.schema), "skyline-kept")
+    others = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k")
+    one = kept.select("_id", "g", "v", F.col("part").alias("i"), others).withColumnRenamed("k", "j").where("i <> j")
+    two = kept.select("g", "v", F.col("part").alias("j"), others).withColumnRenamed("k", "i").where("i <> j")
+    gone = one.groupBy("g", "i", "j").cogroup(two.groupBy("g", "i", "j")).applyInArrow(lost, "_id long").distinct()
+    inside = kept.join(gone, "_id", "left_anti").select("_id", F.lit(True).alias("_in"))
+    return base.withColumn("_whole", whole).join(inside, "_id", "left").withColumn("skyline", ~F.col("_whole") | F.col("_in").isNotNull()).drop("_id", "_in", "_whole")
+
+
 def rolling_mean(protocol: DataFrame, metric: str, length: int, least: int = 1) -> DataFrame:
     """Centred rolling mean and sd of a metric over a method's windows; null below `least` values."""
     w = Window.partitionBy("method").orderBy("window_id").rowsBetween(-(length // 2), length - length // 2 - 1)

@@ -499,6 +499,17 @@ def k14_skyline(spark, sf_dir):
     return D.skyline(rows.withColumn("scenario", F.lit("supplier")), ["ndcg"], ["mae"], ["scenario"]).drop("scenario")
 
 
+_ORDERS = "od AS (SELECT l_orderkey AS k, any_value(o_orderpriority) AS p, sum(l_quantity) AS q, max(l_discount) AS d, CAST(round(sum(l_extendedprice)) AS BIGINT) AS c, min(l_tax) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)"
+
+
+@query(with_(_ORDERS) + "SELECT a.k AS order_key, NOT EXISTS (SELECT 1 FROM od b WHERE b.p = a.p AND b.q >= a.q AND b.d >= a.d AND b.c <= a.c AND b.t <= a.t AND (b.q > a.q OR b.d > a.d OR b.c < a.c OR b.t < a.t)) AS skyline FROM od a")
+def k14_large_skyline(spark, sf_dir):
+    """Orders of each priority that no other one beats in quantity, discount, price and tax: parts first, then pairs of parts."""
+    lines = P.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.round(F.sum("l_extendedprice")).cast("long").alias("c"), F.min("l_tax").alias("t"))
+    rows = lines.join(P.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    return D.skyline_large(rows, ["q", "d"], ["c", "t"], ["o_orderpriority"]).select(F.col("o_orderkey").alias("order_key"), "skyline")
+
+
 @query(with_(Q.DEMAND, Q.frames(7, 3), _sc("AF", "RRD"), Q.RANKED) + f", m AS (SELECT window_id, method, {Q.ndcg(10)} AS v FROM ranked GROUP BY 1, 2) SELECT method, window_id, {Q.r6('v')} AS ndcg_10, {Q.r6('CASE WHEN count(v) OVER w >= 5 THEN avg(v) OVER w END')} AS mean FROM m WINDOW w AS (PARTITION BY method ORDER BY window_id ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)")
 def k15_rolling_mean(spark, sf_dir):
     rows = R.window_metrics(R.rank_items(_scored(spark, sf_dir, "AF", "RRD")), (10,))

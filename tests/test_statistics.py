@@ -110,3 +110,19 @@ def test_decisions(spark):
     assert rel == {(1, "B"): "dominates", (8, "B"): "trade-off", (1, "C"): "dominates"}
     points = spark.createDataFrame([("s", "a", 1.0, 1.0), ("s", "b", 2.0, 2.0), ("s", "c", 1.0, 2.0), ("s", "d", 2.0, 2.0)], "scenario string, method string, up double, down double")
     assert {r.method: r.skyline for r in D.skyline(points, ["up"], ["down"], ["scenario"]).collect()} == {"a": True, "b": True, "c": False, "d": True}
+
+
+def test_skyline_of_many_rows(spark):
+    """Parts and pairs of parts against all pairs; ties, repeated rows, nulls, a group of one."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((3000, 4)), 2)
+    rows = [(i, "a" if i % 3 else "b", *map(float, v)) for i, v in enumerate(x)] + [(5000 + i, "a", *map(float, x[1])) for i in range(3)] + [(6000, "c", 0.1, 0.1, 0.1, 0.1), (6001, "a", None, 2.0, 0.0, 0.0), (6002, "a", float("nan"), 2.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id int, g string, p double, q double, r double, s double")
+    got = {r.id: r.skyline for parts in (1, 5) for r in D.skyline_large(df, ["p", "q"], ["r", "s"], ["g"], parts).collect()}
+    for i, g, *v in rows:
+        if i >= 6001:
+            assert got[i]
+            continue
+        other = np.array([w for j, h, *w in rows if h == g and j < 6001]) * [1, 1, -1, -1]
+        own = np.array(v) * [1, 1, -1, -1]
+        assert got[i] == (not ((other >= own).all(1) & (other > own).any(1)).any())
