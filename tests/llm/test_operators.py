@@ -572,3 +572,45 @@ def test_language(spark):
     switched = langid.identify(docs.select("doc_id", "text", "lang").unionByName(mixed)).where("doc_id = 1 and n_switches >= 1").count()
     assert switched >= 1
     assert langid.identify(docs.limit(0)).count() == 0 and {r.lang_pred for r in langid.identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+def plain_posteriors(log_emit, move):
+    """Forward-backward one word after the other, in exact enough sums of exponentials."""
+    n, k = log_emit.shape
+    forward, backward = [None] * n, [None] * n
+    add = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+    before = [0.0] * k  # every label may come first
+    for t in range(n):
+        before = [add([before[i] + move[i][j] for i in range(k)]) + log_emit[t][j] for j in range(k)]
+        forward[t] = before
+    after = [0.0] * k
+    for t in range(n - 1, -1, -1):
+        backward[t] = after
+        after = [add([move[i][j] + log_emit[t][j] + after[j] for j in range(k)]) for i in range(k)]
+    out = []
+    for f, b in zip(forward, backward, strict=True):
+        total = add([x + y for x, y in zip(f, b, strict=True)])
+        out.append([math.exp(x + y - total) for x, y in zip(f, b, strict=True)])
+    return out
+
+
+def test_langid_predictions_against_plain_forward_backward(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    mixed = [r.text for r in docs.where("doc_id in (3, 8, 14)").collect()]
+    odd = [(None, " ".join(x.split()[k] for k in range(20) for x in mixed)), (-7, "12 34 !! a"), (-8, "--- ..."), (-9, mixed[0] + " " + mixed[1])]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, None) for i, t in odd], docs.schema))
+    rows = docs.select("doc_id", "text", "lang")
+    model = langid.fit(*langid.training_sample(rows, 300, 4, 2, 1 << 17))
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r in docs.where("doc_id is null or doc_id < 12").collect():
+        w = Words(pa.array([r.text or ""]), lower=True)
+        log_emit, letter = langid.emissions(model, w)
+        post = [p for p, there in zip(plain_posteriors(log_emit, model.move.tolist()), letter, strict=True) if there]
+        if not post:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        votes = [sum(p[k] for p in post) for k in range(len(model.labels))]
+        best = max(range(len(votes)), key=votes.__getitem__)
+        top = [max(range(len(p)), key=p.__getitem__) for p in post]
+        assert got[r.doc_id].lang_pred == model.labels[best] and math.isclose(got[r.doc_id].score, votes[best] / len(post), rel_tol=1e-6)
+        assert got[r.doc_id].n_switches == sum(a != b for a, b in zip(top, top[1:], strict=False))
