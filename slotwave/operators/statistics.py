@@ -151,7 +151,7 @@ class Report:
 def with_parts(rows: DataFrame, share: float = 0.3) -> DataFrame:
     """rows once as part all, and once as part tune (the first windows) or test."""
     split = time_split(rows, share)
-    return rows.join(F.broadcast(split.withColumnRenamed("part", "own")), "window_id").withColumn("part", F.explode(F.array(F.lit("all"), "own"))).drop("own")
+    return rows.join(split.withColumnRenamed("part", "own"), "window_id").withColumn("part", F.explode(F.array(F.lit("all"), "own"))).drop("own")
 
 
 def report_pairs(long_rows: DataFrame, reports: list[Report]) -> DataFrame:
