@@ -284,9 +284,14 @@ _NINE = ["sc AS (SELECT window_id, item_id, truth, method, round(score, 9) AS sc
 
 @query(with_(Q.DEMAND, Q.frames(7, 3, name="f7"), Q.frames(64, 32), WS.padded(), WS.features(tag="dt"), WS.features(transform="dwt", tag="dw"), *_NINE, WS.protocol()) + WS.summary())
 def e1_main_evaluation(spark, sf_dir):
-    """Nine methods: six baselines over 7 slots, three transform scorers over 64."""
-    sets = V.feature_sets(_bare(spark, sf_dir), {"dt": {}, "dw": {"transform": "dwt"}})
-    return _summary(G.union_all([_scored(spark, sf_dir, *_NAMES), _long(sets, {"WSPI": V.index(of="dt"), "DTCWT+AF": F.col("dt_af"), "DWT+AF": F.col("dw_af")})]))
+    """Nine methods: six baselines over 7 slots, three transform scorers over 64, all from one pass over the slots."""
+    rows = P.weekly(spark, sf_dir).spans((7, 64)).where("truth_1 is not null").withColumnRenamed("truth_1", "truth")
+    short, long = F.col("observed_7") >= 3, F.col("observed_64") >= 32
+    plain = {s.name: F.when(short, s.expr(G.newest("x", 7)).cast("double")) for s in S.BASELINES}
+    sets = V.feature_sets(rows.select(*_KEEP, "observed_64", *P.named(plain), "x"), {"dt": {}, "dw": {"transform": "dwt"}}, x="x")
+    made = {n: F.when(long, x) for n, x in (("WSPI", V.index(of="dt")), ("DTCWT+AF", F.col("dt_af")), ("DWT+AF", F.col("dw_af")))}
+    scores = R.to_long(sets.select(*_KEEP, *plain, *P.named(made)), [*plain, *made], _KEEP).where("score is not null").withColumn("score", F.round("score", 9))
+    return P.rounded(R.summarize(R.protocol(scores, least=2)))
 
 
 _TERM = lambda p: f"(CASE WHEN {p} > 0 THEN -({p}) * log2({p}) ELSE 0 END)"
