@@ -178,6 +178,57 @@ def kendall(scores: DataFrame, by: list[str] = BY) -> DataFrame:
     return scores.select(*by, rank_key().alias("key"), F.col("truth").cast("double")).groupBy(*by).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", kendall_tau double")
 
 
+def inversions(rows: DataFrame, by: list[str], block: int) -> DataFrame:
+    """by and swaps, the pairs with p rising and q falling, for places p and q from 1 that no two rows of a group share.
+
+    Both places are cut into blocks. Pairs within a block of q, and pairs within a block of p but
+    in different ones of q, are counted in tasks of at most `block` rows; pairs apart in both
+    follow from the counts of the cells (block of p, block of q) by running totals.
+    """
+    kinds = dict(rows.dtypes)
+    cut = lambda c: F.floor((F.col(c) - 1) / block)
+    placed = rows.select(*by, F.col("p").cast("long"), F.col("q").cast("long")).withColumn("_a", cut("p")).withColumn("_b", cut("q"))
+
+    def count(t: pa.Table) -> pa.Table:
+        v = t["v"].to_numpy()[np.argsort(t["p"].to_numpy())]
+        return pa.table([*(t[c].slice(0, 1) for c in by), pa.array([_inversions(v)], pa.int64())], names=[*by, "swaps"])
+
+    # a block of q compares q itself, a block of p the blocks of q, so that no pair is seen twice
+    split = placed.select(*by, "p", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_b").alias("at"), F.col("q").alias("v")), F.struct(F.lit(1).alias("side"), F.col("_a").alias("at"), F.col("_b").alias("v")))).alias("s")).select(*by, "p", "s.*")
+    inside = split.groupBy(*by, "side", "at").applyInArrow(count, ", ".join(f"{c} {kinds[c]}" for c in by) + ", swaps long")
+    cells = placed.groupBy(*by, "_a", "_b").agg(F.count("*").alias("_n"))
+    last = placed.groupBy(*by).agg(F.max("_a").alias("_last"))
+    # every cell of the grid: rows of earlier blocks of p by block of q, then of all later blocks of q
+    grid = last.select(*by, "_last", F.explode(F.sequence(F.lit(0), "_last")).alias("_a")).select(*by, "_a", F.explode(F.sequence(F.lit(0), "_last")).alias("_b"))
+    full = grid.join(cells, [*by, "_a", "_b"], "left").fillna(0, ["_n"])
+    earlier = full.withColumn("_e", F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)))
+    later = F.sum("_e").over(Window.partitionBy(*by, "_a").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
+    apart = earlier.withColumn("_over", later).select(*by, F.coalesce(F.col("_n") * F.col("_over"), F.lit(0)).alias("swaps"))
+    return inside.unionByName(apart).groupBy(*by).agg(F.sum("swaps").alias("swaps"))
+
+
+def kendall_large(scores: DataFrame, by: list[str] = BY, ranges: int = 200, block: int = 65536) -> DataFrame:
+    """What kendall gives, for windows of any number of items: no task holds more than `block` rows of a window.
+
+    Swaps are inversions between places by (score, truth) and places by truth, both from places().
+    Items of a window must differ. The cells of blocks are fewer than the rows up to block^2 items.
+    """
+    rows = scores.select(*by, "item_id", rank_key().alias("key"), F.col("truth").cast("double").alias("truth"))
+    rows = places(rows, by, [F.col("key"), F.col("truth"), F.col("item_id")], "p", ranges)
+    rows = places(rows, by, [F.col("truth"), F.col("p")], "q", ranges)
+    pairs = lambda n: n * (n - 1) / 2
+    equal = rows.groupBy(*by, "key", "truth").agg(F.count("*").alias("_n"))
+    out = inversions(rows, by, block)
+    for name, columns in (("txy", ["key", "truth"]), ("tx", ["key"]), ("ty", ["truth"])):
+        tied = equal.groupBy(*by, *columns).agg(F.sum("_n").alias("_n")).groupBy(*by).agg(F.sum(pairs(F.col("_n"))).alias(name))
+        out = out.join(tied, by)
+    finite = F.when(F.col("key") > float("-inf"), F.col("key")).otherwise(F.lit(-1e308))
+    out = out.join(equal.groupBy(*by).agg(F.sum("_n").alias("_all"), (F.max(finite) - F.min(finite)).alias("_x"), (F.max("truth") - F.min("truth")).alias("_y")), by)
+    n, flat = pairs(F.col("_all")), (F.col("_all") < 2) | (F.col("_x") < 1e-12) | (F.col("_y") < 1e-12)
+    tau = (n - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("swaps")) / (F.sqrt(n - F.col("tx")) * F.sqrt(n - F.col("ty")))
+    return out.select(*by, F.when(~flat, tau).alias("kendall_tau"))
+
+
 METRICS = tuple(f"{m}_{k}" for m in ("ndcg", "coverage", "rsi") for k in KS) + ("mae", "spearman_rho")
 
 

@@ -197,6 +197,12 @@ def m3_kendall(spark, sf_dir):
     return P.rounded(R.kendall(_scored(spark, sf_dir, "PFRF")))
 
 
+@query(with_(Q.DEMAND, Q.frames(7, 3), _sc("AF", "RRD"), _TAU) + f"SELECT window_id, method, {Q.r6('s / nullif(sqrt(CAST(n - tx AS DOUBLE)) * sqrt(CAST(n - ty AS DOUBLE)), 0)')} AS kendall_tau FROM p")
+def m3_large_kendall(spark, sf_dir):
+    """Kendall's tau by blocks of places; blocks of 32 items, so that windows have many."""
+    return P.rounded(R.kendall_large(_scored(spark, sf_dir, "AF", "RRD"), ranges=16, block=32))
+
+
 @query(with_(Q.DEMAND, Q.frames(7, 3), _sc(*_NAMES), Q.RANKED) + f", m AS (SELECT window_id, method, {Q.ndcg(10)} AS ndcg_10, {Q.coverage(10)} AS coverage_10 FROM ranked GROUP BY 1, 2) SELECT method, count(*) AS n_windows, min(window_id) AS first_window, max(window_id) AS last_window, {Q.r6('avg(ndcg_10)')} AS ndcg_10_mean, {Q.r6('stddev_samp(ndcg_10)')} AS ndcg_10_sd, {Q.r6('avg(coverage_10)')} AS coverage_10_mean FROM m GROUP BY method")
 def m11_method_summary(spark, sf_dir):
     out = R.summarize(R.window_metrics(R.rank_items(_scored(spark, sf_dir, *_NAMES)), (10,)), ("ndcg_10", "coverage_10"))

@@ -49,3 +49,18 @@ def test_no_window_over_all_rows(spark):
         assert "Window [row_number() windowspecdefinition(_part" in plan and "windowspecdefinition(item_id" not in plan and "windowspecdefinition(page" not in plan
     out = audit.threshold_interval(items, 7)
     assert "GlobalLimit 8" in out._jdf.queryExecution().optimizedPlan().toString() and tuple(out.first()) == (993, 993)
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1000])
+def test_kendall_by_blocks(spark, block):
+    """Blocks of any size give what one sort a window gives: ties, non-finite scores, windows that do not vary, of one row and of many."""
+    window = "int(case when id % 9 = 0 then id % 4 when id = 1 then 5 when id % 31 = 2 then 6 else 9 end) as window_id"
+    rows = spark.range(600).selectExpr(window, "'m' as method", "cast(id * 7919 % 1009 as string) as item_id", "case when id % 50 = 3 then double('nan') when id % 60 = 5 then null when id % 70 = 6 then double('inf') when id % 31 = 2 then 1.0D else double(id * 31 % 23) end as score", "double(id * id % 97 % 11) as truth").cache()
+    got, want = ({(r.window_id, r.method): r.kendall_tau for r in df.collect()} for df in (ranking.kendall_large(rows, ranges=5, block=block), ranking.kendall(rows)))
+    assert got.keys() == want.keys() and None in want.values()
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or got[k] == pytest.approx(want[k])) for k in want)
+
+
+def test_kendall_of_no_rows(spark):
+    rows = spark.createDataFrame([], "window_id int, method string, item_id string, score double, truth double")
+    assert ranking.kendall_large(rows).isEmpty()
