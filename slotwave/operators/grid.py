@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def infer_slot_minutes(demand: DataFrame) -> DataFrame:
     """One row, slot_minutes: the median step of the distinct timestamps, rounded half to even."""
@@ -60,8 +62,7 @@ def select_items(demand: DataFrame, n: int, how: str = "top", seed: int = 42) ->
     by = {"top": [F.desc("total"), F.col("item_id")], "random": [draw, F.col("item_id")]}
     if how in by:
         return totals.orderBy(*by[how]).limit(n).select("item_id")
-    cuts = totals.agg(F.percentile("mean", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9))).alias("q"), F.count("*").alias("all"))
-    labelled = totals.crossJoin(F.broadcast(cuts)).withColumn("stratum", F.when(F.col("mean") < F.col("q")[0], 0).when(F.col("mean") < F.col("q")[1], 1).when(F.col("mean") < F.col("q")[2], 2).otherwise(3))
+    labelled = totals.crossJoin(F.broadcast(selection.cuts(totals, "mean", (0.25, 0.5, 0.9)))).crossJoin(F.broadcast(totals.agg(F.count("*").alias("all")))).withColumn("stratum", F.when(F.col("mean") < F.col("q")[0], 0).when(F.col("mean") < F.col("q")[1], 1).when(F.col("mean") < F.col("q")[2], 2).otherwise(3))
     in_stratum = Window.partitionBy("stratum")
     drawn = labelled.withColumn("nth", F.row_number().over(in_stratum.orderBy(draw, "item_id"))).withColumn("quota", F.floor(F.count("*").over(in_stratum) * n / F.col("all")))
     # quotas first, then fill up by hash order

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
 from .ranking import average_rank, numbered, pearson
 
 
@@ -31,7 +32,7 @@ def within_window(rows: DataFrame, names: list[str], target: str, control: str |
 
 def quantiles(rows: DataFrame, names: list[str], at: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     long = rows.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot([], names, "name", "value")
-    return long.groupBy("name").agg(*[F.percentile("value", F.lit(q)).alias(f"q{round(100 * q):02d}") for q in at])
+    return selection.quantiles(long, ["name"], "value", {f"q{round(100 * q):02d}": q for q in at})
 
 
 def eta_squared(rows: DataFrame, feature: str, target: str, bins: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
 from .ranking import mape, protocol, rank_items
 
 LABELS = ("low", "medium", "high", "very high")
@@ -15,15 +16,14 @@ def strata(frames: DataFrame, x: str = "x_w", observed: str = "observed_w", thre
     total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
     rows = frames.select("item_id", "window_id", (total / F.greatest(F.col(observed), F.lit(1))).alias("mean"))
     first = rows.groupBy("item_id").agg(F.min_by("mean", "window_id").alias("mean"))
-    q = F.array(*map(F.lit, thresholds)) if thresholds else None
-    cuts = first.agg((q if q is not None else F.percentile("mean", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9)))).alias("q")) if not thresholds else first.limit(1).select(q.alias("q"))
+    cuts = first.limit(1).select(F.array(*map(F.lit, thresholds)).alias("q")) if thresholds else selection.cuts(first, "mean", (0.25, 0.5, 0.9))
     m = F.col("mean")
     return first.crossJoin(F.broadcast(cuts)).select("item_id", "mean", F.when(m < F.col("q")[0], 0).when(m < F.col("q")[1], 1).when(m < F.col("q")[2], 2).otherwise(3).alias("stratum"))
 
 
 def stratum_summary(labelled: DataFrame) -> DataFrame:
     """Per stratum: items, share in per cent, and the distribution of means."""
-    return labelled.groupBy("stratum").agg(F.count("*").alias("n_items"), F.min("mean").alias("min"), F.max("mean").alias("max"), F.avg("mean").alias("mean"), F.percentile("mean", F.lit(0.5)).alias("median"), F.stddev_samp("mean").alias("std")).withColumn("percent", 100.0 * F.col("n_items") / F.sum("n_items").over(Window.partitionBy()))
+    return labelled.groupBy("stratum").agg(F.count("*").alias("n_items"), F.min("mean").alias("min"), F.max("mean").alias("max"), F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("std")).join(selection.quantiles(labelled, ["stratum"], "mean", {"median": 0.5}), "stratum").select("stratum", "n_items", "min", "max", "mean", "median", "std", (100.0 * F.col("n_items") / F.sum("n_items").over(Window.partitionBy())).alias("percent"))
 
 
 def detailed_scores(scores: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def by_stratum(detailed: DataFrame) -> DataFrame:
 def top_share(detailed: DataFrame, percent: float) -> DataFrame:
     """Rows of the items whose total actual count is at or above the (100 - percent)th percentile."""
     totals = detailed.groupBy("item_id").agg(F.sum("actual_count").alias("t"))
-    cut = totals.agg(F.percentile("t", F.lit(1 - percent / 100)).alias("cut"))
+    cut = selection.quantiles(totals, [], "t", {"cut": 1 - percent / 100})
     return detailed.join(totals.crossJoin(F.broadcast(cut)).where("t >= cut").select("item_id"), "item_id", "left_semi")
 
 

@@ -15,8 +15,10 @@ from ..operators import grid as G
 from ..operators import learned as L
 from ..operators import ranking as R
 from ..operators import relation as L2
+from ..operators import selection
 from ..operators import statistics as T
 from ..operators import wavelet as V
+from ..sources.tables import stored
 from . import checks_sql as Q
 from . import popularity as P
 from . import stats_sql as TS
@@ -557,9 +559,13 @@ def f13_score_bounds(spark, sf_dir):
 
 @query(with_(*_AHEAD(1)) + f"SELECT window_id, {Q.r6(f'median({WS.structural()})')} AS median_structural, {Q.r6(f'avg({WS.structural()})')} AS mean_structural, {Q.r6(f'median({WS.GATE})')} AS median_backtest, {Q.r6(f'avg(CASE WHEN round({WS.GATE}, 9) > 0 THEN 1.0 ELSE 0.0 END)')} AS share_open FROM fo GROUP BY window_id")
 def f14_gate_profile(spark, sf_dir):
-    fore = V.coefficient_forecasts(V.wavelet_features(_bare(spark, sf_dir))).withColumn("s_gate", V.structural_gate())
-    per = fore.groupBy("window_id").agg(F.percentile("s_gate", F.lit(0.5)).alias("median_structural"), F.avg("s_gate").alias("mean_structural"), F.percentile("gate", F.lit(0.5)).alias("median_backtest"), F.avg((F.round("gate", 9) > 0).cast("double")).alias("share_open"))
-    return P.rounded(per)
+    """Medians and means of both gates per window; the medians by selection, whatever a window's number of items."""
+    fore = stored(V.coefficient_forecasts(V.wavelet_features(_bare(spark, sf_dir))).select("window_id", V.structural_gate().alias("median_structural"), F.col("gate").alias("median_backtest")), "gates")
+    means = fore.groupBy("window_id").agg(F.avg("median_structural").alias("mean_structural"), F.avg((F.round("median_backtest", 9) > 0).cast("double")).alias("share_open"))
+    gates = ["median_structural", "median_backtest"]
+    medians = selection.quantiles(fore.unpivot(["window_id"], gates, "gate", "value"), ["window_id", "gate"], "value", {"median": 0.5})
+    wide = medians.groupBy("window_id").agg(*[F.max(F.when(F.col("gate") == g, F.col("median"))).alias(g) for g in gates])
+    return P.rounded(means.join(wide, "window_id").select("window_id", "median_structural", "mean_structural", "median_backtest", "share_open"))
 
 
 _BINS = f"gb AS (SELECT least(floor(round({WS.structural()}, 9) * 10000), 9999) AS bin, count(*) AS n FROM fe_f GROUP BY 1), gr AS (SELECT *, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM gb)"
