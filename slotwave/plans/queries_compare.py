@@ -806,3 +806,18 @@ def z2_stream_scores(spark, sf_dir):
     counts = online.counted(events, f"{folder}/counts")
     scores = online.drained(online.stream_decay_scores(counts, 21600), f"{folder}/scores", "update")
     return P.rounded(scores.groupBy("item_id").agg(F.max("slot").alias("slot"), F.max_by("af", "slot").alias("af"), F.max_by("ewma", "slot").alias("ewma")))
+
+
+_USER_DECAY = "dc AS (SELECT CAST(user_id AS VARCHAR) AS item_id, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS slot, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), dl AS (SELECT item_id, max(slot) AS last, min(slot) AS first FROM dc GROUP BY 1), dd AS (SELECT *, CASE WHEN last + 4 <= (SELECT max(slot) - 1 FROM dc) THEN 3 ELSE 0 END AS more FROM dl)"
+
+
+@query(with_(_USER_DECAY) + f"SELECT item_id, max(last + more) AS slot, {Q.r6('sum(n * pow(0.5, last + more - slot))')} AS af, {Q.r6('sum(CASE WHEN slot = first THEN n ELSE 0.2 * n END * pow(0.8, last + more - slot))')} AS ewma, max(more) > 0 AS dropped FROM dc JOIN dd USING (item_id) GROUP BY item_id")
+def z2_expiring_scores(spark, sf_dir):
+    """Recursive AF and EWMA of each user in six-hour slots; users silent for three slots behind the watermark have left the state."""
+    folder = _folder(spark)
+    events = _stream(spark, sf_dir).select(C.slot_start(F.col("ts"), "6h").alias("timestamp"), F.col("user_id").cast("string").alias("item_id"))
+    counts = online.counted(events, f"{folder}/counts")
+    with online.rocksdb(spark):
+        scores = online.drained(online.stream_expiring_scores(counts, 21600, 3), f"{folder}/scores", "update")
+    newest = [F.max_by(c, "slot").alias(c) for c in ("af", "ewma", "dropped")]
+    return P.rounded(scores.groupBy("item_id").agg(F.max("slot").alias("slot"), *newest))
