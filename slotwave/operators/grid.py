@@ -79,6 +79,23 @@ def _chunked(dense: DataFrame, before: int, after: int, chunk: int) -> tuple[Dat
     return rows, Window.partitionBy("item_id", "chunk").orderBy("slot")
 
 
+def _series(dense: DataFrame, back: int, ahead: int, chunk: int | None) -> tuple[DataFrame, Window, Column]:
+    """Rows with halo (a neighbour's row, to be dropped), their window specification, and the item's total before a slot."""
+    if chunk is None:
+        w = Window.partitionBy("item_id").orderBy("slot")
+        return dense.withColumn("halo", F.lit(False)), w, F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = dense.groupBy("item_id", F.floor(F.col("slot") / chunk).cast("int").alias("chunk")).agg(F.sum("v").alias("s"))
+    sums = sums.select("item_id", "chunk", F.coalesce(F.sum("s").over(Window.partitionBy("item_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("earlier"))
+    rows, w = _chunked(dense, back, ahead, chunk)
+    own = F.sum(F.when(~F.col("halo"), F.col("v"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(sums, ["item_id", "chunk"]), w, F.col("earlier") + F.coalesce(own, F.lit(0.0))
+
+
+def chunk_for(n_slots: int, longest: int, limit: int) -> int | None:
+    """Slots of a piece of a series of more than `limit` slots: the limit, but no less than four of the longest windows. None for shorter ones."""
+    return max(limit, 4 * longest) if n_slots > limit else None
+
+
 def frames(dense: DataFrame, windows: dict[str, int], horizon: int = 1, chunk: int | None = None) -> DataFrame:
     """Rows (window_id, item_id, present, before, truth, last_slot) with x_<name> and observed_<name> for each window length.
 
@@ -86,21 +103,12 @@ def frames(dense: DataFrame, windows: dict[str, int], horizon: int = 1, chunk: i
     slots, last_slot the last slot of the item's grid. With `chunk`, a long series is cut into
     pieces of so many slots that are worked on in parallel.
     """
-    longest = max(windows.values())
-    if chunk is None:
-        rows, w = dense.withColumn("halo", F.lit(False)), Window.partitionBy("item_id").orderBy("slot")
-        before = F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        sums = dense.groupBy("item_id", F.floor(F.col("slot") / chunk).cast("int").alias("chunk")).agg(F.sum("v").alias("s"))
-        sums = sums.select("item_id", "chunk", F.coalesce(F.sum("s").over(Window.partitionBy("item_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("earlier"))
-        rows, w = _chunked(dense, longest, horizon - 1, chunk)
-        rows = rows.join(sums, ["item_id", "chunk"])
-        before = F.col("earlier") + F.coalesce(F.sum(F.when(~F.col("halo"), F.col("v"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows, w, before = _series(dense, max(windows.values()), horizon - 1, chunk)
     columns: list[Column] = []
     for name, n in windows.items():
         frame = w.rowsBetween(-n, -1)
         columns += [F.collect_list("v").over(frame).alias(f"x_{name}"), F.coalesce(F.sum("present").over(frame), F.lit(0)).alias(f"observed_{name}")]
-    out = rows.select(F.col("slot").alias("window_id"), "item_id", "present", "halo", F.coalesce(before, F.lit(0.0)).alias("before"), F.sum("v").over(w.rowsBetween(0, horizon - 1)).alias("truth"), F.max("slot").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("chunk_end"), *columns)
+    out = rows.select(F.col("slot").alias("window_id"), "item_id", "present", "halo", before.alias("before"), F.sum("v").over(w.rowsBetween(0, horizon - 1)).alias("truth"), F.max("slot").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("chunk_end"), *columns)
     return out.where(~F.col("halo")).drop("halo", "chunk_end")
 
 
@@ -123,20 +131,20 @@ def eligible(name: str, min_obs: int, min_total: int, causal: bool = True) -> Co
     return rule & (F.col("before") >= min_total) if causal else rule
 
 
-def spans(dense: DataFrame, grid: DataFrame, lengths: tuple[int, ...], horizons: tuple[int, ...] = (1,)) -> DataFrame:
+def spans(dense: DataFrame, grid: DataFrame, lengths: tuple[int, ...], horizons: tuple[int, ...] = (1,), chunk: int | None = None) -> DataFrame:
     """Rows (window_id, item_id, before, x, observed_<length>, truth_<horizon>) of every length and horizon from one exchange of the slots.
 
     x holds the newest max(lengths) slots, of which shorter windows are slices; a truth whose
     future leaves the grid is null. The first slot, and slots without any row of the catalogue, are left out.
+    With `chunk`, long series are worked on in pieces, as in frames.
     """
-    w = Window.partitionBy("item_id").orderBy("slot")
-    before = F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before")
+    series, w, before = _series(dense, max(lengths), max(horizons) - 1, chunk)
     seen = [F.coalesce(F.sum("present").over(w.rowsBetween(-n, -1)), F.lit(0)).alias(f"observed_{n}") for n in lengths]
     ahead = [F.sum("v").over(w.rowsBetween(0, h - 1)).alias(f"t_{h}") for h in horizons]
-    rows = dense.select(F.col("slot").alias("window_id"), "item_id", before, F.collect_list("v").over(w.rowsBetween(-max(lengths), -1)).alias("x"), *seen, *ahead)
+    rows = series.select(F.col("slot").alias("window_id"), "item_id", "halo", before.alias("before"), F.collect_list("v").over(w.rowsBetween(-max(lengths), -1)).alias("x"), *seen, *ahead)
     truths = [F.when(F.col("window_id") + h - 1 <= F.col("n_slots"), F.col(f"t_{h}")).alias(f"truth_{h}") for h in horizons]
     live = dense.groupBy(F.col("slot").alias("window_id")).agg(F.max("present").alias("any")).where("any = 1").select("window_id")
-    kept = rows.where("window_id > 0").join(live, "window_id", "left_semi").crossJoin(F.broadcast(grid.select("n_slots")))
+    kept = rows.where("window_id > 0 and not halo").join(live, "window_id", "left_semi").crossJoin(F.broadcast(grid.select("n_slots")))
     return kept.select("window_id", "item_id", "before", "x", *[f"observed_{n}" for n in lengths], *truths)
 
 
@@ -180,7 +188,12 @@ def time_split(ids: DataFrame, share: float = 0.3) -> DataFrame:
 PADS = ("reflect", "symmetric", "edge", "zero", "periodic")
 
 
-def pad_left(x: Column, target: int, how: str = "reflect") -> Column:
+def power_of_two(n: Column, level: int) -> Column:
+    """The least power of two that holds n values and bears a decomposition to `level`."""
+    return F.greatest(F.lit(2 ** (level + 1)), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(2))))).cast("int"))
+
+
+def pad_left(x: Column, target: int | Column, how: str = "reflect") -> Column:
     """x with values in front up to `target` ones, by the named extension."""
     n = F.size(x)
     k = F.lit(target) - n

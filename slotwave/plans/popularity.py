@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,18 +36,28 @@ def user_six_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Study:
     """A demand table on its grid."""
 
-    def __init__(self, demand: DataFrame, slot_seconds: int | None = None, min_total: int = MIN_TOTAL):
-        self.demand, self.min_total = demand, min_total
+    def __init__(self, demand: DataFrame, slot_seconds: int | None = None, min_total: int = MIN_TOTAL, long_series: int = 65536):
+        self.demand, self.min_total, self.long_series = demand, min_total, long_series
         self.grid = G.infer_grid(demand, slot_seconds)
         #: Written once: every length, horizon and method starts from it.
         self.dense = held(G.densify(demand, self.grid), "dense")
 
+    @cached_property
+    def n_slots(self) -> int:
+        return (self.dense.agg(F.max("slot")).first()[0] or 0) + 1
+
+    def chunk(self, longest: int, given: int | None = None) -> int | None:
+        """Slots of a piece of a series: as given, else by the number of slots (see grid.chunk_for)."""
+        return given or G.chunk_for(self.n_slots, longest, self.long_series)
+
     def windows(self, lengths: dict[str, int], horizon: int = 1, chunk: int | None = None) -> DataFrame:
-        return G.in_time(G.frames(self.dense, lengths, horizon, chunk), self.grid, horizon)
+        """Trailing windows of all items; series of more than long_series slots are worked on in pieces."""
+        cut = self.chunk(max(*lengths.values(), horizon), chunk)
+        return G.in_time(G.frames(self.dense, lengths, horizon, cut), self.grid, horizon)
 
     def spans(self, lengths: tuple[int, ...], horizons: tuple[int, ...] = (1,)) -> DataFrame:
         """Windows of all lengths and horizons at once (see grid.spans), of items with enough requests before them."""
-        return G.spans(self.dense, self.grid, lengths, horizons).where(F.col("before") >= self.min_total)
+        return G.spans(self.dense, self.grid, lengths, horizons, self.chunk(max(*lengths, *horizons))).where(F.col("before") >= self.min_total)
 
     def scored(self, scorers: list[S.Scorer], horizon: int = 1, chunk: int | None = None, causal: bool = True) -> DataFrame:
         """Rows (window_id, item_id, truth, method, score) of the eligible items of valid windows.

@@ -129,6 +129,15 @@ def g14_paddings(spark, sf_dir):
     return P.rounded(rows.select("window_id", "item_id", each).select("p.how", "window_id", "item_id", "p.moment"))
 
 
+@query(with_(Q.DEMAND, Q.frames(48, 24), "sz AS (SELECT window_id, item_id, count(*) AS n, arg_max(v, i) AS oldest FROM fr_x GROUP BY 1, 2)", "tg AS (SELECT *, CASE WHEN n <= 8 THEN 8 WHEN n <= 16 THEN 16 WHEN n <= 32 THEN 32 ELSE 64 END AS target FROM sz)") + f"SELECT window_id, item_id, max(target) AS target, {Q.r6('max(oldest * (target - tg.n) * (target - tg.n + 1) / 2) + sum(v * (target - i))')} AS moment FROM fr_x JOIN tg USING (window_id, item_id) GROUP BY window_id, item_id")
+def g14_power_of_two(spark, sf_dir):
+    """Windows filled up with their oldest value to a power of two: the length and the sum of value times place."""
+    target = G.power_of_two(F.size("x_w"), 2)
+    rows = _frames(spark, sf_dir, 48, 24)[1].select("window_id", "item_id", target.alias("target"), G.pad_left(F.col("x_w"), target, "edge").alias("p"))
+    moment = F.aggregate(F.transform("p", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return P.rounded(rows.select("window_id", "item_id", "target", moment.alias("moment")))
+
+
 _PRESENT = """cf_all AS (SELECT slot AS window_id, item_id, coalesce(sum(v) OVER (PARTITION BY item_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(sum(present) OVER (PARTITION BY item_id ORDER BY slot ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) AS observed, v AS truth FROM dense),
 cf_ok AS (SELECT * FROM cf_all WHERE observed >= 3 AND before >= 24), cf AS (SELECT * FROM cf_ok WHERE window_id IN (SELECT slot FROM dense GROUP BY slot HAVING max(present) = 1) AND window_id IN (SELECT window_id FROM cf_ok GROUP BY 1 HAVING count(*) >= 2)),
 cx AS (SELECT c.window_id, c.item_id, c.truth, c.observed AS n, d.v, row_number() OVER (PARTITION BY c.window_id, c.item_id ORDER BY d.slot DESC) - 1 AS i FROM cf c JOIN dense d ON d.item_id = c.item_id AND d.present = 1 AND d.slot BETWEEN c.window_id - 6 AND c.window_id - 1)"""

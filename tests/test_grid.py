@@ -50,6 +50,23 @@ def test_frames(spark, horizon, chunk):
     assert got == brute(d.collect(), 7, 3, 10, horizon)
 
 
+def test_long_series(spark):
+    """Series past the limit are cut without being asked; windows, totals and truths of all lengths stay the same."""
+    whole, cut = (Study(demand(spark), None, 10, long_series=n) for n in (1000, 20))
+    assert whole.chunk(7) is None and cut.chunk(3) == 20 and cut.chunk(7) == 28 and cut.chunk(7, 5) == 5
+    for get in (lambda s: s.windows({"w": 7, "z": 3}, 4), lambda s: s.spans((3, 7), (1, 4)), lambda s: s.scored(S.BASELINES[:2])):
+        a, b = (get(s) for s in (whole, cut))
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    plan = cut.spans((3, 7), (1, 4))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("chunk#" in x for x in plan.splitlines() if "collect_list" in x and "Window [" in x)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 9, 48, 64, 65])
+def test_power_of_two(spark, n):
+    target = spark.range(1).select(G.power_of_two(F.lit(n), 2)).first()[0]
+    assert target == max(8, 2 ** int(np.ceil(np.log2(max(n, 2)))))
+
+
 def test_late_and_tiny_items(spark):
     scored = Study(demand(spark), None, 10).scored([S.BASELINES[0]])
     by = {r.item_id: r.k for r in scored.groupBy("item_id").agg(F.min("window_id").alias("k")).collect()}
