@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 RATINGS = "userId int, movieId int, rating float, timestamp long"
 SNAPSHOT = ("Time", "videoId", "viewCount_diff")
 TRIP = ("tpep_pickup_datetime", "PULocationID")
+OWN_FOLDER = re.compile("[a-z-]+-[0-9a-f]{32}")
 TRIP_FEATURES = ("fare_amount", "trip_distance", "passenger_count", "total_amount")
 
 
@@ -32,6 +35,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession, hours: float = 48.0) -> list[str]:
+    """Deletes the library's own folders in the shared folder whose newest file is older than so many hours; their names.
+
+    Only folders named as stored() names them, a word and 32 hexadecimal digits, are looked at. The
+    age must exceed the longest job that may still read them.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(shared_dir(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    latest, removed = (time.time() - hours * 3600) * 1000, []
+    for folder in files.listStatus(root):
+        name = folder.getPath().getName()
+        if not (folder.isDirectory() and OWN_FOLDER.fullmatch(name)) or folder.getModificationTime() > latest:
+            continue
+        inside, fresh = files.listFiles(folder.getPath(), True), False
+        while not fresh and inside.hasNext():
+            fresh = inside.next().getModificationTime() > latest
+        if not fresh and files.delete(folder.getPath(), True):
+            removed.append(name)
+    return sorted(removed)
+
+
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RATINGS).option("header", True).csv(path)
 

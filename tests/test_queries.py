@@ -69,3 +69,20 @@ def test_decay_stream(spark, tmp_path):
     out = online.drained(online.stream_decay_scores(stream, 3600), f"{tmp_path}/out", "update").collect()[-1]
     ewma = 0.2 * 8 + (0.2 * 2 + 4 * 0.8) * 0.8**3
     assert math.isclose(out.af, 8 + (2 + 4 / 2) / 8) and math.isclose(out.ewma, ewma)
+
+
+def test_remove_stored(spark, tmp_path, monkeypatch):
+    """Only the library's own folders go, and only when nothing in them is new."""
+    monkeypatch.setattr(T, "shared_dir", lambda session: f"file://{tmp_path}")
+    kept = T.stored(spark.range(3).toDF("v"), "kept")
+    old = T.stored(spark.range(3).toDF("v"), "old").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    live = T.stored(spark.range(3).toDF("v"), "live").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    (tmp_path / "others").mkdir()
+    for folder in (old, live, tmp_path / "others"):
+        for path in (*[os.path.join(folder, f) for f in os.listdir(folder)], folder):
+            os.utime(path, (1, 1))
+    with open(f"{live}/new", "w") as f:
+        f.write("x")
+    os.utime(live, (1, 1))
+    assert T.remove_stored(spark, 1) == [os.path.basename(old)]
+    assert os.path.isdir(live) and (tmp_path / "others").is_dir() and kept.count() == 3 and T.remove_stored(spark, 1) == []
