@@ -65,9 +65,14 @@ def fit_rankers(train: DataFrame, feature_sets: dict[str, list[str]], settings:
     return B.fit(train, feature_sets, "label", ["window_id", "item_id"], settings)
 
 
+def scores(models: dict[str, B.Model]) -> dict[str, Column]:
+    """The score of each model over its prediction: expm1, at least zero."""
+    return {m: F.greatest(F.expm1(f"`{m}`"), F.lit(0.0)) for m in models}
+
+
 def score(models: dict[str, B.Model], frames: DataFrame, keep: list[str]) -> DataFrame:
     """(keep..., method, score) of each model: expm1 of the prediction, at least zero."""
     from .ranking import to_long
 
     out = B.predicted(frames, models)
-    return to_long(out.select(*keep, *[F.greatest(F.expm1(f"`{m}`"), F.lit(0.0)).alias(m) for m in models]), list(models), keep)
+    return to_long(out.select(*keep, *[c.alias(m) for m, c in scores(models).items()]), list(models), keep)

@@ -64,3 +64,20 @@ def test_kendall_by_blocks(spark, block):
 def test_kendall_of_no_rows(spark):
     rows = spark.createDataFrame([], "window_id int, method string, item_id string, score double, truth double")
     assert ranking.kendall_large(rows).isEmpty()
+
+
+@pytest.mark.parametrize("rho", [True, False])
+def test_metrics_of_wide_rows(spark, rho):
+    """One row an item gives what one row a method gives: ties, infinite scores, items without a score of a method, windows of one item."""
+    wide = spark.range(900).selectExpr("int(case when id % 9 = 0 then id % 4 when id = 1 then 5 else 9 end) as window_id", "cast(id * 7919 % 1009 as string) as item_id", "double(id * id % 97 % 11) as truth", "double(id * 31 % 23) as a", "case when id % 5 > 0 then sqrt(id * 37 % 101) end as b", "case when id % 70 = 6 then double('inf') else 1.0D end as c").cache()
+    methods = {"a": F.col("a"), "b+": F.col("b") / 3, "c": F.col("c")}
+    named = wide.select("window_id", "item_id", "truth", *[c.alias(n) for n, c in methods.items()])
+    long = ranking.to_long(named, list(methods), ["window_id", "item_id", "truth"]).where("score is not null").withColumn("score", F.round("score", 9))
+    plain = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(columns).collect()), key=str)
+    want = ranking.protocol(long, (3, 10))
+    columns = [c for c in want.columns if rho or c != "spearman_rho"]
+    assert plain(want) == plain(ranking.protocol_wide(wide, methods, (3, 10), rho=rho))
+    live = spark.createDataFrame([(9,), (0,)], "window_id int")
+    assert {r.window_id for r in ranking.protocol_wide(wide, methods, (3,), 2, live, rho=rho).collect()} == {0, 9}
+    large = ranking.protocol_wide(wide, methods, (3, 10), items=900, cells=100, rho=rho)
+    assert plain(large) == plain(want) and "unpivot" not in ranking.protocol_wide(wide, methods, rho=rho)._jdf.queryExecution().optimizedPlan().toString().lower() and "Expand" not in ranking.protocol_wide(wide, methods, rho=rho)._jdf.queryExecution().optimizedPlan().toString()
