@@ -81,3 +81,13 @@ def test_metrics_of_wide_rows(spark, rho):
     assert {r.window_id for r in ranking.protocol_wide(wide, methods, (3,), 2, live, rho=rho).collect()} == {0, 9}
     large = ranking.protocol_wide(wide, methods, (3, 10), items=900, cells=100, rho=rho)
     assert plain(large) == plain(want) and "unpivot" not in ranking.protocol_wide(wide, methods, rho=rho)._jdf.queryExecution().optimizedPlan().toString().lower() and "Expand" not in ranking.protocol_wide(wide, methods, rho=rho)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_of_blocks_stay_below_the_rows(spark):
+    """Small blocks of a large window: cells grow with its rows, not with their square."""
+    rows = spark.range(4000).selectExpr("1 as g", "id + 1 as p", "id * 1601 % 4001 as i").selectExpr("g", "p", "row_number() over (order by i) as q").cache()
+    out = ranking.inversions(rows, ["g"], 2)
+    q = [r.q for r in rows.orderBy("p").collect()]
+    assert out.first().swaps == sum(a > b for i, a in enumerate(q) for b in q[i + 1 :])
+    last = ranking.blocks(rows, ["g"], 2).agg(F.max("_a"), F.max("_b")).first()
+    assert (last[0] + 1) * (last[1] + 1) <= 4100
