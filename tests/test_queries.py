@@ -86,3 +86,16 @@ def test_remove_stored(spark, tmp_path, monkeypatch):
     os.utime(live, (1, 1))
     assert T.remove_stored(spark, 1) == [os.path.basename(old)]
     assert os.path.isdir(live) and (tmp_path / "others").is_dir() and kept.count() == 3 and T.remove_stored(spark, 1) == []
+
+
+def test_snapshot_totals_do_not_fall_by_rounding(spark, tmp_path):
+    """A total of values from zero on never falls, however many values it has; the SQL says the same."""
+    con = duckdb.connect()
+    con.execute("create table events as select i as event_id, timestamp '2024-01-01' + interval (i) second as ts, i % 5 as user_id, 'view' as event_type, case when i // 5 % 3 > 0 then 0.0 else (i * 7919 % 56021) / 100.0 end::double as value, '' as props from range(200000) t(i)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    found = con.execute(ORACLE_SQL["q7_snapshot_profile"])
+    names = [x[0] for x in found.description]
+    want = sorted(tuple(plain(v) for v in r) for r in found.fetchall())
+    assert all(r[names.index("n_falls")] == 0 for r in want)
+    got = QUERIES["q7_snapshot_profile"](spark, str(tmp_path)).select(names).collect()
+    assert sorted(tuple(plain(v) for v in r) for r in got) == want
