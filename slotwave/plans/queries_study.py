@@ -290,11 +290,11 @@ def e2_window_sweep(spark, sf_dir):
     study = P.weekly(spark, sf_dir)
     rows = study.spans(_LENGTHS).where("truth_1 is not null").withColumnRenamed("truth_1", "truth")
     seen = lambda n, least: F.col(f"observed_{n}") >= least
-    plain = {f"{s.name}@{n}": F.when(seen(n, s.min_obs), s.expr(G.newest("x", n)).cast("double")) for n in _LENGTHS for s in P.baselines_at(n)}
-    wide = rows.select(*_KEEP, *[f"observed_{n}" for n in _LENGTHS], *P.named(plain), "x")
-    sets = V.feature_sets(wide, {f"{k}{n}": {"transform": t, "last": n} for n in _LENGTHS[1:] for k, t in (("dt", "dtcwt"), ("dw", "dwt"))}, x="x")
+    settings = {f"{k}{n}": {"transform": t, "last": n} for n in _LENGTHS[1:] for k, t in (("dt", "dtcwt"), ("dw", "dwt"))}
+    sets = V.feature_sets(rows.select(*_KEEP, *[f"observed_{n}" for n in _LENGTHS], "x"), settings, x="x", baselines=_LENGTHS)
+    plain = {f"{s.name}@{n}": F.when(seen(n, s.min_obs), F.col(f"{s.name}_{n}")) for n in _LENGTHS for s in P.baselines_at(n)}
     made = {f"{m}@{n}": F.when(seen(n, min(32, n // 2)), x) for n in _LENGTHS[1:] for m, x in (("WSPI", V.index(of=f"dt{n}")), ("DTCWT+AF", F.col(f"dt{n}_af")), ("DWT+AF", F.col(f"dw{n}_af")))}
-    rows = P.held(study.measured(sets, {c: F.col(f"`{c}`") for c in plain} | made, digits="significant"), "sweep")
+    rows = P.held(study.measured(sets, plain | made, digits="significant"), "sweep")
     return P.rounded(R.summarize(G.common_windows(G.first_window(rows, 32))))
 
 

@@ -95,3 +95,19 @@ def test_sketches_roll_up(spark):
     assert sorted(map(tuple, days.select(key).collect())) == sorted(map(tuple, weeks.select(key).collect()))
     exact = {(r.timestamp, r.item_id): r.user_count for r in C.rating_rows(rows.withColumn("rating", F.lit(1.0)), "1W").collect()}
     assert all(abs(r.user_count / exact[r.timestamp, r.item_id] - 1) < 0.05 for r in days.collect())
+
+
+def test_scores_of_matrices(spark):
+    """A sweep's scores of whole matrices are those of the columns, short and empty windows included."""
+    from slotwave.operators import wavelet as V
+    from slotwave.plans import popularity as P
+
+    xs = [[0.0] * 9, [3.0], [0.0, 2.0], [0.0, 0.0, 5.0, 1.0, 0.0], [float(i * 7 % 5) for i in range(40)], [4.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]]
+    rows = spark.createDataFrame(list(enumerate(xs)), "i int, x array<double>").coalesce(1)
+    lengths = (7, 16)
+    columns = [s.expr(P.G.newest("x", n)).cast("double").alias(f"{s.name}_{n}") for n in lengths for s in P.baselines_at(n)]
+    want = {r.i: r.asDict() for r in rows.select("i", *columns).collect()}
+    got = {r.i: r.asDict() for r in V.feature_sets(rows, {}, x="x", baselines=lengths).collect()}
+    assert got.keys() == want.keys()
+    for i, r in want.items():
+        assert got[i].keys() == r.keys() and all(math.isclose(got[i][c], v, rel_tol=1e-12, abs_tol=1e-15) for c, v in r.items()), i
