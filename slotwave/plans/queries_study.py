@@ -17,6 +17,7 @@ from ..operators import learned as L
 from ..operators import ranking as R
 from ..operators import relation as L2
 from ..operators import selection
+from ..operators import series as N
 from ..operators import statistics as T
 from ..operators import wavelet as V
 from ..sources.tables import stored
@@ -305,12 +306,9 @@ _NINE = ["sc AS (SELECT window_id, item_id, truth, method, round(score, 9) AS sc
 def e1_main_evaluation(spark, sf_dir):
     """Nine methods: six baselines over 7 slots, three transform scorers over 64, all from one pass over the slots."""
     study = P.weekly(spark, sf_dir)
-    rows = study.spans((7, 64)).where("truth_1 is not null").withColumnRenamed("truth_1", "truth")
-    short, long = F.col("observed_7") >= 3, F.col("observed_64") >= 32
-    plain = {s.name: F.when(short, s.expr(G.newest("x", 7)).cast("double")) for s in S.BASELINES}
-    sets = V.feature_sets(rows.select(*_KEEP, "observed_64", *P.named(plain), "x"), {"dt": {}, "dw": {"transform": "dwt"}}, x="x")
-    made = {n: F.when(long, x) for n, x in (("WSPI", V.index(of="dt")), ("DTCWT+AF", F.col("dt_af")), ("DWT+AF", F.col("dw_af")))}
-    return _summary(study, sets, {n: F.col(n) for n in plain} | made)
+    sets = study.wide([P.baselines_part(_NAMES), N.Part(64, 32, *V.sets_of({"dt": {}, "dw": {"transform": "dwt"}}))])
+    made = {"WSPI": V.index(of="dt"), "DTCWT+AF": F.col("dt_af"), "DWT+AF": F.col("dw_af")}
+    return _summary(study, sets, {n: F.col(n) for n in _NAMES} | made)
 
 
 _TERM = lambda p: f"(CASE WHEN {p} > 0 THEN -({p}) * log2({p}) ELSE 0 END)"
