@@ -261,6 +261,11 @@ def _open(spark, sf_dir, horizon: int = 1):
     return study, study.windows({"w": 64}, horizon).where(G.eligible("w", 32, P.MIN_TOTAL)).select("window_id", "item_id", "truth", "x_w")
 
 
+def _made(study, named, horizon: int = 1):
+    """The windows that _open has, with columns that are made of them inside the task (names and function)."""
+    return study.wide([N.Part(64, 32, *named)], horizon)
+
+
 def _summary(study, wide, columns: dict, ks=R.KS, metrics=R.METRICS):
     return P.rounded(R.summarize(study.measured(wide, columns, ks, rho="spearman_rho" in metrics), metrics))
 
@@ -343,8 +348,8 @@ _SLOPED = "mu_l * exp(least(3, greatest(-3, slope + r - w_e)))"
 
 @query(with_(*_WINDOWS, WS.padded(), WS.features(), f"sc AS ({WS.scores(WS.FUSIONS | {'slope_index': _SLOPED}, 'fe_f')})", WS.protocol()) + WS.summary())
 def w10_fusions(spark, sf_dir):
-    study, rows = _open(spark, sf_dir)
-    feats = V.wavelet_features(rows).select(*_KEEP, "mu_l", "r", "w_e", "slope")
+    study = P.weekly(spark, sf_dir)
+    feats = _made(study, V.features_of("mu_l", "r", "w_e", "slope"))
     return _summary(study, feats, V.fusions() | {"slope_index": V.slope_index()})
 
 
@@ -355,8 +360,8 @@ _VARIANTS = {f"{k} {t}": (k, tag) for t, tag in _BOTH.items() for k in ("full",
 @query(with_(*_WINDOWS, WS.padded(), WS.features(tag="dt"), WS.features(transform="dwt", tag="dw"), "sc AS (" + " UNION ALL ".join(WS.scores({n: WS.FUSIONS[k]}, f"fe_{tag}") for n, (k, tag) in _VARIANTS.items()) + ")", WS.protocol((10,))) + WS.summary(("ndcg_10", "coverage_10", "rsi_10", "mae", "spearman_rho")))
 def e7_ablation(spark, sf_dir):
     """Twelve variants: structure terms on and off over both transforms, and other fusions."""
-    study, rows = _open(spark, sf_dir)
-    sets = V.feature_sets(rows, {"dt": {}, "dw": {"transform": "dwt"}})
+    study = P.weekly(spark, sf_dir)
+    sets = _made(study, V.sets_of({"dt": {}, "dw": {"transform": "dwt"}}))
     return _summary(study, sets, {n: V.fusions(tag)[k] for n, (k, tag) in _VARIANTS.items()}, (10,), ("ndcg_10", "coverage_10", "rsi_10", "mae", "spearman_rho"))
 
 
@@ -400,8 +405,8 @@ _LEVELS = (2, 3, 4, 5)
 
 @query(with_(*_WINDOWS, WS.padded(), *[WS.features(j, tag=f"j{j}") for j in _LEVELS], "sc AS (" + " UNION ALL ".join(WS.scores({f"WSPI J={j}": WS.index()}, f"fe_j{j}") for j in _LEVELS) + ")", WS.protocol()) + WS.summary())
 def e3_level_sweep(spark, sf_dir):
-    study, rows = _open(spark, sf_dir)
-    sets = V.feature_sets(rows, {f"j{j}": {"level": j} for j in _LEVELS})
+    study = P.weekly(spark, sf_dir)
+    sets = _made(study, V.sets_of({f"j{j}": {"level": j} for j in _LEVELS}))
     return _summary(study, sets, {f"WSPI J={j}": V.index(of=f"j{j}") for j in _LEVELS})
 
 
@@ -411,8 +416,8 @@ _PADDINGS = {"rs": ("reflect", "symmetric"), "ee": ("edge", "edge"), "zz": ("zer
 @query(with_(*_WINDOWS, *[WS.padded(how=p).replace("xs AS", f"xs_{k} AS").replace("FROM xs)", f"FROM xs_{k})").replace("px AS", f"px_{k} AS") + ",\n" + WS.features(how=h, tag=k, source=f"px_{k}") for k, (p, h) in _PADDINGS.items()], "sc AS (" + " UNION ALL ".join(WS.scores({f"{p}/{h}": WS.index()}, f"fe_{k}") for k, (p, h) in _PADDINGS.items()) + ")", WS.protocol()) + WS.summary())
 def e8_padding(spark, sf_dir):
     """Ways to fill short windows and to continue windows at their ends."""
-    study, rows = _open(spark, sf_dir)
-    sets = V.feature_sets(rows, {k: {"pad": p, "how": h} for k, (p, h) in _PADDINGS.items()})
+    study = P.weekly(spark, sf_dir)
+    sets = _made(study, V.sets_of({k: {"pad": p, "how": h} for k, (p, h) in _PADDINGS.items()}))
     return _summary(study, sets, {f"{p}/{h}": V.index(of=k) for k, (p, h) in _PADDINGS.items()})
 
 
