@@ -440,8 +440,8 @@ _GRID_SUM = "gs AS (SELECT method, part, count(*) AS n_windows, avg(ndcg_10) AS
 
 def _grid(spark, sf_dir):
     """Metric rows of every pair of exponents (named by a hundred times each), with the part of the windows."""
-    study, rows = _open(spark, sf_dir)
-    feats = V.wavelet_features(rows).select(*_KEEP, "mu_l", "r", "w_e")
+    study = P.weekly(spark, sf_dir)
+    feats = _made(study, V.features_of("mu_l", "r", "w_e"))
     rows = P.held(study.measured(feats, {n: V.index(a, b) for n, (a, b) in _PAIRS.items()}, (10,), rho=False).select("window_id", "method", "ndcg_10", "rsi_10"), "grid")
     return rows.join(G.time_split(rows), "window_id")
 
