@@ -41,6 +41,20 @@ def test_ranks_of_large_windows(spark, ranges):
     assert "windowspecdefinition(window_id#" in plan and not any("row_number" in x and "_range" not in x for x in plan.splitlines() if "Window [" in x)
 
 
+@pytest.mark.parametrize("ranges", [1, 4, 60])
+def test_large_protocol_of_wide_rows(spark, ranges, monkeypatch):
+    """Values that lie in several ranges, all equal ones too, keep their places; ranges follow the rows, and nothing is joined by value but by broadcast."""
+    wide = spark.range(900).selectExpr("int(case when id % 9 = 0 then id % 4 else 9 end) as window_id", "cast(id * 7919 % 1009 as string) as item_id", "double(id * id % 97 % 3) as truth", "double(id * 31 % 23) as a", "1.0D as b", "case when id % 70 = 6 then double('inf') else double(id % 2) end as c").cache()
+    want = ranking.protocol(ranking.to_long(wide, list("abc"), ["window_id", "item_id", "truth"]), (3, 10))
+    plain = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(want.columns).collect()), key=str)
+    assert plain(ranking.protocol_large(wide, list("abc"), (3, 10), ranges, 900)) == plain(want)
+    seen = []
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 100)
+    monkeypatch.setattr(ranking, "_ranked_by", lambda rows, by, value, place, mean, n, made=ranking._ranked_by: seen.append(n) or made(rows, by, value, place, mean, n))
+    ranking.protocol_large(wide, list("abc"), (3,), ranges, 900)
+    assert seen == [max(ranges, 9), max(ranges, 27)]
+
+
 def test_no_window_over_all_rows(spark):
     """No exchange of rows to a single partition, but of counts or a few."""
     items = spark.range(1000).select(F.col("id").cast("string").alias("item_id"), F.col("id").alias("count"))
