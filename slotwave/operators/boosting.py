@@ -5,18 +5,28 @@ read from sums of gradients and rows by (feature, bin), up to `leaves` leaves. M
 sets of features are grown at the same time, each in a task of its own on the same sample, whose
 size is a parameter; scoring is a map over all rows. (A barrier stage whose tasks exchange sums
 was tried: an exchange takes about a second, and a tree needs as many as it is deep.)
+
+A row's leaf of every tree is found without walking: a bit for each leaf, from left to right, and
+for each bin of a feature the leaves that its cuts leave over. What all features leave over has
+the row's leaf as its lowest bit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
+#: Rows that are predicted at once.
+ROWS = 512
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -63,11 +73,59 @@ class Model:
     base: float
     trees: list[Tree]
 
+    @cached_property
+    def _masks(self) -> tuple[list[np.ndarray], np.ndarray] | None:
+        """For each feature the leaves left over by (bin, tree), and the leaves' values by tree; None where a tree has more than 64 leaves."""
+        most = max((tree.feature.count(-1) for tree in self.trees), default=0)
+        if not 0 < most <= 64:
+            return None
+        kind = np.dtype(np.uint32 if most <= 32 else np.uint64)
+        masks = [np.full((len(e) + 1, len(self.trees)), np.iinfo(kind).max, kind) for e in self.edges]
+        values = np.zeros((len(self.trees), 8 * kind.itemsize))
+
+        def leaves(t: int, tree: Tree, node: int, first: int) -> int:
+            """The number of leaves under a node; `first` is that of its first one."""
+            if tree.feature[node] < 0:
+                values[t, first] = tree.value[node]
+                return 1
+            n = leaves(t, tree, tree.left[node], first)
+            masks[tree.feature[node]][tree.bin[node] + 1 :, t] &= kind.type(np.iinfo(kind).max ^ (((1 << n) - 1) << first))
+            return n + leaves(t, tree, tree.right[node], first + n)
+
+        for t, tree in enumerate(self.trees):
+            leaves(t, tree, 0, 0)
+        return masks, values
+
     def predict(self, x: np.ndarray) -> np.ndarray:
+        """The base and the trees' values, added in the order of the trees."""
         bins = binned(x, self.edges)
         out = np.full(len(x), self.base)
-        for tree in self.trees:
-            out += tree.predict(bins)
+        if self._masks is None:
+            for tree in self.trees:
+                out += tree.predict(bins)
+            return out
+        (masks, values), columns = self._masks, np.ascontiguousarray(bins.T)
+        flat, at = values.ravel(), np.arange(len(values)) * values.shape[1]
+        size = (min(ROWS, len(x)), len(values))
+        left, one = np.empty((2, *size), masks[0].dtype)
+        leaf, value = np.empty(size, np.intp), np.empty(size)
+        for lo in range(0, len(x), ROWS):
+            n = min(ROWS, len(x) - lo)
+            a, b, c, v = left[:n], one[:n], leaf[:n], value[:n]
+            np.take(masks[0], columns[0, lo : lo + n], 0, a, "clip")
+            for mask, column in zip(masks[1:], columns[1:], strict=True):
+                np.take(mask, column[lo : lo + n], 0, b, "clip")
+                a &= b
+            # the number of bits below the lowest one
+            np.negative(a, b)
+            a &= b
+            a -= a.dtype.type(1)
+            np.bitwise_count(a, out=c, casting="unsafe")
+            c += at
+            np.take(flat, c, None, v, "clip")
+            v[:, 0] += self.base
+            np.cumsum(v, 1, out=v)
+            out[lo : lo + n] = v[:, -1]
         return out
 
 
@@ -86,7 +144,7 @@ class _Grower:
     def __init__(self, bins: np.ndarray, label: np.ndarray, settings: Settings):
         self.s, self.bins, self.label = settings, bins, label
         self.shape = (bins.shape[1], settings.bins + 1)
-        self.keys = bins + np.arange(bins.shape[1], dtype=np.int32) * self.shape[1]
+        self.keys = bins + np.arange(bins.shape[1]) * self.shape[1]
         self.base = float(label.mean()) if len(label) else 0.0
         self.prediction = np.full(len(label), self.base)
 
@@ -134,7 +192,17 @@ class _Grower:
         return out
 
 
-_TREES = "model string, base double, tree int, feature array<int>, bin array<int>, left array<int>, right array<int>, value array<double>"
+def percentiles(values: np.ndarray, n: int) -> np.ndarray:
+    """The distinct ones of the n - 1 percentiles that cut values into n parts, linear between two places."""
+    if not len(values):
+        return np.array([])
+    s, at = np.sort(values), (len(values) - 1) * (np.arange(1, n) / n)
+    low, high = np.floor(at), np.ceil(at)
+    a, b = s[low.astype(int)], s[high.astype(int)]
+    return np.unique(np.where((low == high) | (a == b), a, (high - at) * a + (at - low) * b))
+
+
+_TREES = "model string, base double, tree int, feature array<int>, bin array<int>, left array<int>, right array<int>, value array<double>, edges array<array<double>>"
 
 
 def fit(train: DataFrame, feature_sets: dict[str, list[str]], label: str, keys: list[str], settings: Settings = Settings(), most_rows: int = 200_000) -> dict[str, Model]:
@@ -147,26 +215,38 @@ def fit(train: DataFrame, feature_sets: dict[str, list[str]], label: str, keys:
     """
     names = list(dict.fromkeys(c for cs in feature_sets.values() for c in cs))
     plain = train.where(F.col(label).isNotNull()).select(*keys, F.col(label).cast("double").alias("label"), *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(names)])
-    cuts = F.array(*[F.lit(i / settings.bins) for i in range(1, settings.bins)])
-    found = plain.agg(F.count("*").alias("n"), *[F.percentile(f"f{i}", cuts).alias(c) for i, c in enumerate(names)]).first()
-    if found["n"] > most_rows:
-        raise ValueError(f"a sample of {found['n']} rows; at most {most_rows} are fitted")
-    edges = {c: np.unique(np.array(found[c] or [], float)) for c in names}
-
-    def grow(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(k, "ascending") for k in keys])
-        model = t["model"][0].as_py()
-        columns = feature_sets[model]
-        x = np.stack([t[f"f{names.index(c)}"].to_pandas().to_numpy(float) for c in columns], axis=1)
-        grower = _Grower(binned(x, [edges[c] for c in columns]), t["label"].to_numpy(), settings)
+    # stored, since the rows are counted first
+    sample = stored(plain, "sample")
+    n = sample.count()
+    if n > most_rows:
+        raise ValueError(f"a sample of {n} rows; at most {most_rows} are fitted")
+
+    models = list(feature_sets)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).sort_by([(k, "ascending") for k in keys])
+        model = models[t["model"][0].as_py()]
+        used = [f"f{names.index(c)}" for c in feature_sets[model]]
+        edges = [percentiles(t[c].drop_null().to_numpy(), settings.bins) for c in used]
+        x = np.stack([t[c].to_pandas().to_numpy(float) for c in used], axis=1)
+        grower = _Grower(binned(x, edges), t["label"].to_numpy(), settings)
         trees = [grower.tree() for _ in range(settings.rounds)]
-        out = [(model, grower.base, i, k.feature, k.bin, k.left, k.right, k.value) for i, k in enumerate(trees)]
-        kinds = (pa.string(), pa.float64(), pa.int32(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.float64()))
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _TREES.split(", ")])
-
-    each = plain.withColumn("model", F.explode(F.array(*map(F.lit, feature_sets))))
-    made = sorted(each.groupBy("model").applyInArrow(grow, _TREES).collect(), key=lambda r: r.tree)  # rounds x leaves numbers for each model
-    return {name: Model(cs, [edges[c] for c in cs], next((r.base for r in made if r.model == name), 0.0), [Tree(r.feature, r.bin, r.left, r.right, r.value) for r in made if r.model == name]) for name, cs in feature_sets.items()}
+        out = [(model, grower.base, i, k.feature, k.bin, k.left, k.right, k.value, None if i else edges) for i, k in enumerate(trees)]
+        kinds = (pa.string(), pa.float64(), pa.int32(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _TREES.split(", ")])
+
+    # by number, so that no two models meet in a task
+    each = sample.withColumn("model", F.explode(F.array(*map(F.lit, range(len(models)))))).repartitionById(len(models), "model")
+    made = sorted(each.mapInArrow(grow, _TREES).collect(), key=lambda r: r.tree)  # rounds x leaves numbers for each model
+    out = {}
+    for name, cs in feature_sets.items():
+        mine = [r for r in made if r.model == name]
+        edges = [np.array(e, float) for e in mine[0].edges] if mine else [np.array([])] * len(cs)
+        out[name] = Model(cs, edges, mine[0].base if mine else 0.0, [Tree(r.feature, r.bin, r.left, r.right, r.value) for r in mine])
+    return out
 
 
 def predicted(rows: DataFrame, models: dict[str, Model], out: dict[str, str] | None = None) -> DataFrame:

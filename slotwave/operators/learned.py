@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import wavelets as W
 from . import boosting as B
 
 #: Rows of the training sample.
 SAMPLE = 200_000
+#: Slots that are summed, and the names of the features.
+SUMS = (1, 2, 4, 8, 16, 32, 64)
+FEATURES = (*(f"sum_{k}" for k in SUMS), "slope_16", "zero_share")
 
 
 def window_features(x: Column) -> dict[str, Column]:
@@ -20,7 +28,7 @@ def window_features(x: Column) -> dict[str, Column]:
         return F.slice(x, -m, m)
 
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    out = {f"sum_{k}": F.log1p(total(tail(k))) for k in (1, 2, 4, 8, 16, 32, 64)}
+    out = {f"sum_{k}": F.log1p(total(tail(k))) for k in SUMS}
     last = tail(16)
     m = F.size(last)
     middle = (m - 1) / 2
@@ -30,6 +38,36 @@ def window_features(x: Column) -> dict[str, Column]:
     return out
 
 
+def of_matrix(m: np.ndarray) -> dict[str, np.ndarray]:
+    """window_features of windows of one size as the rows of a matrix."""
+    out = {f"sum_{k}": np.log1p(m[:, -k:].sum(1)) for k in SUMS}
+    last = m[:, -16:]
+    n = last.shape[1]
+    out["slope_16"] = last @ (np.arange(n) - (n - 1) / 2) / (n * (n * n - 1) / 12.0) if n > 1 else np.zeros(len(m))
+    out["zero_share"] = (m == 0).sum(1) / m.shape[1]
+    return out
+
+
+def features_of(*transform: str, target: int = 64) -> tuple[tuple[str, ...], Callable[[np.ndarray], dict[str, np.ndarray]]]:
+    """Names of window_features and of the transform's features named, and the function that makes them of a matrix of windows."""
+
+    def work(m: np.ndarray) -> dict[str, np.ndarray]:
+        made = W.features(W.pad_left(m, target, "reflect"))
+        return of_matrix(m) | {c: made[c] for c in transform}
+
+    return (*FEATURES, *transform), work
+
+
+def predictions_of(models: Broadcast, features: Callable[[np.ndarray], dict[str, np.ndarray]]) -> tuple[tuple[str, ...], Callable[[np.ndarray], dict[str, np.ndarray]]]:
+    """Names of the models, and the function that makes their predictions of a matrix of windows; features leave no task."""
+
+    def work(m: np.ndarray) -> dict[str, np.ndarray]:
+        found = features(m)
+        return {name: model.predict(np.stack([found[c] for c in model.features], axis=1)) for name, model in models.value.items()}
+
+    return tuple(models.value), work
+
+
 def first_test_window(frames: DataFrame, share: float = 0.3) -> int | None:
     """The first window after the first floor(share n) ones."""
     from .grid import time_split

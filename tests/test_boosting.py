@@ -6,6 +6,12 @@ from pyspark.sql import functions as F
 
 from slotwave.operators import boosting as B
 from slotwave.operators import learned as L
+from slotwave.operators import ranking as R
+from slotwave.operators import wavelet as V
+from slotwave.plans import popularity as P
+from slotwave.plans import queries_study as Q
+
+from .conftest import SMALL
 
 
 def plain_tree(bins, g, s):
@@ -85,3 +91,54 @@ def test_no_leak(spark):
     s = B.Settings(rounds=3)
     one, two = (L.fit_rankers(L.training_rows(r, L.first_test_window(r)), {"GBM": ["a"]}, s) for r in (rows, other))
     assert one["GBM"].trees == two["GBM"].trees and one["GBM"].base == two["GBM"].base
+
+
+@pytest.mark.parametrize(("leaves", "walks"), [(1, False), (7, False), (31, False), (60, False), (90, True)])
+def test_leaves_without_walking(monkeypatch, leaves, walks):
+    """Leaves by masks are those of walking the trees, and sums are the same to the last digit; only trees of too many leaves are walked."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(3000, 4)), 1)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    y = np.nan_to_num(x[:, 0] * x[:, 1]) + np.isnan(x[:, 2]) + rng.normal(size=3000) / 10
+    edges = [B.percentiles(x[~np.isnan(x[:, f]), f], 40) for f in range(3)] + [np.array([])]
+    grower = B._Grower(B.binned(x, edges), y, B.Settings(rounds=12, rate=0.3, leaves=leaves, bins=40, least_rows=3))
+    model = B.Model(list("abcd"), edges, grower.base, [grower.tree() for _ in range(12)])
+    assert max(t.feature.count(-1) for t in model.trees) == leaves
+    want = np.full(3000, model.base)
+    for tree in model.trees:
+        want += tree.predict(B.binned(x, edges))
+    monkeypatch.setattr(B, "ROWS", 700)
+    if not walks:
+        monkeypatch.setattr(B.Tree, "predict", None)
+    assert (model.predict(x) == want).all() and model.predict(x[:0]).shape == (0,)
+
+
+def test_edges_are_exact_percentiles(spark):
+    values = [float(v) for v in np.round(np.random.default_rng(2).gamma(1.0, 3.0, 777), 1)]
+    want = spark.createDataFrame([(v,) for v in values], "v double").agg(F.percentile("v", F.array(*[F.lit(i / 16) for i in range(1, 16)]))).first()[0]
+    assert B.percentiles(np.array(values), 16).tolist() == sorted(set(want)) and B.percentiles(np.array([]), 16).tolist() == []
+
+
+def test_features_of_matrix(spark):
+    """Windows of 1 to 80 slots: features by matrix are those by columns."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 15, 16, 17, 64, 80):
+        m = rng.poisson(0.7, (5, n)).astype(float)
+        rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "i int, x array<double>")
+        want = rows.select("i", *[c.alias(k) for k, c in L.window_features(F.col("x")).items()]).orderBy("i").toPandas()
+        got = L.of_matrix(m)
+        assert tuple(got) == L.FEATURES == tuple(want.columns[1:]) and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in got)
+
+
+def test_ranker_without_arrays(spark, monkeypatch):
+    """f19: the same as features of collected windows, one table of all features, and predictions over it; no window is collected, and no feature leaves its task."""
+    study, rows = Q._frames(spark, SMALL)
+    plain = rows.select("window_id", "item_id", "truth", *[c.alias(k) for k, c in L.window_features(F.col("x_w")).items()], "x_w")
+    feats = V.wavelet_features(plain).drop("low", "energies", "x_w").cache()
+    first = L.first_test_window(feats)
+    models = L.fit_rankers(L.training_rows(feats, first), {"GBM": list(L.FEATURES), "GBM+W": [*L.FEATURES, "mu_l", "r", "w_e"]})
+    wide = B.predicted(feats.where(F.col("window_id") >= first), models)
+    want = P.rounded(R.summarize(R.protocol_wide(wide, L.scores(models), items=study.n_items))).orderBy("method").collect()
+    for place, name in ((P.Study, "windows"), (P.Study, "dense"), (V, "wavelet_features"), (B, "predicted"), (B.Tree, "predict")):
+        monkeypatch.setattr(place, name, None)
+    assert len(want) == 2 and Q.f19_learned_ranker(spark, SMALL).orderBy("method").collect() == want

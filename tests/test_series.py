@@ -35,6 +35,19 @@ def test_windows_of_series(spark, horizon, step, together):
     assert "collect_list" not in plan and "Join" not in plan
 
 
+def test_a_range_of_windows(spark):
+    """Windows from one number on and before another, and rows without columns; names may need quotes."""
+    study, long = (P.Study(demand(spark), 3600, 10, n) for n in (65536, 20))
+    part = [N.Part(16, 5, ("a+b",), lambda m: {"a+b": m.sum(1)})]
+    whole = study.wide(part)
+    some = rows_of(whole.where("window_id between 20 and 29"))
+    assert some and rows_of(study.wide(part, since=20, until=30)) == some == rows_of(long.wide(part, since=20, until=30))
+    keys = whole.select("window_id", "item_id", "truth")
+    assert all(s.wide([N.Part(16, 5, ())]).columns == keys.columns and rows_of(s.wide([N.Part(16, 5, ())])) == rows_of(keys) for s in (study, long))
+    valid = G.valid_windows(keys, study.dense, ["window_id"]).select("window_id").distinct()
+    assert rows_of(study.valid(keys)) == rows_of(valid)
+
+
 def test_partitions_follow_the_data(spark, monkeypatch):
     """Neither the exchange of counts nor that by window keeps to a fixed number of tasks, nor does the demand."""
     monkeypatch.setattr(N, "CELLS", 50)
