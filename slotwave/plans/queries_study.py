@@ -641,8 +641,9 @@ _SUMS = {f"sum_{k}": f"ln(1 + sum(CASE WHEN i < {k} THEN v ELSE 0 END))" for k i
 
 @query(with_(*_WINDOWS) + "SELECT window_id, item_id, " + ", ".join(f"{Q.r6(x)} AS {n}" for n, x in _SUMS.items()) + " FROM fr_x GROUP BY 1, 2")
 def f17_ranker_features(spark, sf_dir):
-    rows = _bare(spark, sf_dir)
-    return P.rounded(rows.select("window_id", "item_id", *P.named(L.window_features(F.col("x_w")))))
+    study = P.weekly(spark, sf_dir)
+    rows = P.held(study.wide(_ranker_part(L.FEATURES, L.of_matrix)), "ranker-features")
+    return P.rounded(rows.join(F.broadcast(study.valid(rows)), "window_id", "left_semi").drop("truth"))
 
 
 @query()

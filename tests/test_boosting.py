@@ -142,3 +142,14 @@ def test_ranker_without_arrays(spark, monkeypatch):
     for place, name in ((P.Study, "windows"), (P.Study, "dense"), (V, "wavelet_features"), (B, "predicted"), (B.Tree, "predict")):
         monkeypatch.setattr(place, name, None)
     assert len(want) == 2 and Q.f19_learned_ranker(spark, SMALL).orderBy("method").collect() == want
+
+
+def test_feature_rows_without_arrays(spark, monkeypatch):
+    """f17: features by matrix, no window collected."""
+    rows = Q._bare(spark, SMALL)
+    want = P.rounded(rows.select("window_id", "item_id", *[c.alias(k) for k, c in L.window_features(F.col("x_w")).items()])).cache()
+    n = want.count()
+    for name in ("windows", "dense"):
+        monkeypatch.setattr(P.Study, name, None)
+    got = Q.f17_ranker_features(spark, SMALL)
+    assert n and got.columns == want.columns and got.count() == n and got.exceptAll(want).isEmpty()
