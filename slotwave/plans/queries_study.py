@@ -525,11 +525,16 @@ def f1_coefficient_forecasts(spark, sf_dir):
 _HORIZONS = (1, 8, 24)
 
 
-def _value_methods(h: int) -> dict:
-    """Value forecasters of the prediction runs, by horizon, over the windows of 64 slots."""
-    x = F.col("x")
-    out = {"Persistence": S.persistence(x, h), "Holt": S.holt(x, h), "ARYW": S.ar2(x, h), "MA64": S.moving_average(x, 64, h)}
-    return out | {f"SMA{n}": S.moving_average(x, n, h) for n in (8, 16, 32, 64)} | {f"EWMA{n}": S.ewma_equivalent(x, n, h) for n in (8, 16, 32, 64)}
+def _prediction_scores(h: int) -> dict:
+    """Scores of all methods of the prediction runs at a horizon, over what _prediction_part makes."""
+    levels = {"Persistence": "Persistence", "MA64": "SMA64"} | {f"{w}{n}": f"{w}{n}" for w in ("SMA", "EWMA") for n in S.SPANS}
+    made = (*V.forecast_scores(), *V.skilled_scores(), "Holt", "ARYW")
+    return {n: F.col(f"`{n}_{h}`") for n in made} | {"WSPI": F.col("WSPI")} | {n: F.col(c) * h for n, c in levels.items()}
+
+
+def _prediction_part(horizons: tuple[int, ...]) -> N.Part:
+    (own, values), (names, scores) = S.forecasts_of(horizons), V.scores_at(horizons)
+    return N.Part(64, 32, (*own, *names), lambda m: values(m) | scores(m))
 
 
 def _predicted(h: int) -> str:
@@ -554,17 +559,9 @@ _RUNS = "SELECT CAST(split_part(method, ':', 1) AS INTEGER) AS horizon, split_pa
 def e19_prediction_runs(spark, sf_dir):
     """Every forecaster at horizons of 1, 8 and 24 slots, from one pass over the windows: coefficient forecasts, levels, controls and value forecasters."""
     study = P.weekly(spark, sf_dir)
-    rows = study.spans((64,), _HORIZONS).where("observed_64 >= 32")
-    keep = ["window_id", "item_id", *[f"truth_{h}" for h in _HORIZONS]]
-    values = {f"{n}_{h}": c for h in _HORIZONS for n, c in _value_methods(h).items()}
-    feats = P.held(V.wavelet_features(rows.select(*keep, *P.named(values), "x"), x="x").select(*keep, *values, "low", "mu_l", "r", "w_e"), "prediction")
-    parts = []
-    for h in _HORIZONS:
-        own = feats.where(F.col(f"truth_{h}").isNotNull()).select("window_id", "item_id", F.col(f"truth_{h}").alias("truth"), *[F.col(f"{n}_{h}").alias(n) for n in _value_methods(h)], "low", "mu_l", "r", "w_e")
-        fore = V.coefficient_forecasts(own, horizon=h, kappas=V.KAPPAS)
-        scores = V.forecast_scores() | V.skilled_scores() | {"WSPI": V.index()} | {n: F.col(n) for n in _value_methods(h)}
-        parts.append(study.measured(fore, {f"{h}:{n}": c for n, c in scores.items()}, (10,)))
-    out = R.summarize(G.union_all(parts), _FIVE)
+    scores = {f"{h}:{n}": c for h in _HORIZONS for n, c in _prediction_scores(h).items()}
+    rows = study.measured(study.ahead(_prediction_part(_HORIZONS), _HORIZONS), scores, (10,), truths={m: f"truth_{m.split(':')[0]}" for m in scores})
+    out = R.summarize(rows, _FIVE)
     return P.rounded(out.withColumn("horizon", F.split_part("method", F.lit(":"), F.lit(1)).cast("int")).withColumn("method", F.split_part("method", F.lit(":"), F.lit(2))))
 
 

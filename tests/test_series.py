@@ -2,6 +2,7 @@
 
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from slotwave.operators import ranking as R
 from slotwave.operators import series as N
 from slotwave.operators import wavelet as V
 from slotwave.plans import popularity as P
+from slotwave.plans import queries_study as Q
 
+from .conftest import SMALL
 from .test_grid import START, demand
 
 PARTS = [N.Part(7, 3, ("w",)), N.Part(16, 5, ("dt_af", "dt_mu_l"), V.sets_of({"dt": {"last": 16}})[1])]
@@ -73,3 +76,53 @@ def test_errors_of_series(spark):
         bad = d.unionByName(spark.createDataFrame([(more, "s0", 1), (more, "s0", 1)], d.schema))
         with pytest.raises(Exception, match=what):
             P.Study(bad, 3600, 10).wide(PARTS).collect()
+
+
+def test_value_forecasters_of_matrices(spark):
+    """Windows of 1 to 80 slots, sparse, constant and empty: forecasts by matrix are those by columns."""
+    rng, horizons = np.random.default_rng(4), (1, 8, 24)
+    columns = lambda x, h: {"Persistence": S.persistence(x, h), "Holt": S.holt(x, h), "ARYW": S.ar2(x, h)} | {f"{w}{n}": f(x, n, h) for w, f in (("SMA", S.moving_average), ("EWMA", S.ewma_equivalent)) for n in S.SPANS}
+    names, work = S.forecasts_of(horizons)
+    for n in (1, 2, 3, 4, 9, 40, 64, 80):
+        m = np.concatenate([rng.poisson(0.3, (6, n)), rng.poisson(5.0, (6, n)), np.zeros((1, n)), np.full((1, n), 3.0)]).astype(float)
+        rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "i int, x array<double>")
+        got = work(m)
+        assert set(got) == set(names)
+        for h in horizons:
+            want = rows.select("i", *[c.alias(k) for k, c in columns(F.col("x"), h).items()]).orderBy("i").toPandas()
+            for k in want.columns[1:]:
+                assert np.allclose(got[f"{k}_{h}"] if k in ("Holt", "ARYW") else got[k] * h, want[k], rtol=1e-9, atol=1e-9), (n, h, k)
+
+
+def test_scores_of_several_horizons(spark):
+    """Indices of all horizons from one matrix are those of columns, horizon by horizon; truths beyond the grid are null, in long series too."""
+    horizons = (1, 8, 24)
+    part = N.Part(64, 5, *V.scores_at(horizons))
+    study, long = (P.Study(demand(spark), 3600, 10, n) for n in (65536, 20))
+    got = study.ahead(part, horizons).cache()
+    assert rows_of(got, 7) == rows_of(long.ahead(part, horizons), 7)
+    for h in horizons:
+        fore = study.wide([N.Part(64, 5, *V.forecasts_of(h, kappas=V.KAPPAS))], h)
+        want = fore.select("window_id", "item_id", "truth", *[c.alias(n) for n, c in (V.forecast_scores() | V.skilled_scores() | {"WSPI": V.index()}).items()])
+        own = got.where(f"truth_{h} is not null").select("window_id", "item_id", f"truth_{h}", *[F.col(f"`{n}_{h}`") for n in (*V.forecast_scores(), *V.skilled_scores())], "WSPI")
+        assert want.count() and rows_of(own, 7) == rows_of(want, 7)
+
+
+@pytest.mark.parametrize("cells", [R.CELLS, 1])
+def test_a_truth_for_each_method(spark, cells):
+    """Methods with truths of their own get the metric rows that each gets alone, by window and by ranges."""
+    study = P.Study(demand(spark), 3600, 10)
+    wide = study.ahead(N.Part(7, 3, *V.sets_of({"dt": {"last": 16}})), (1, 8))
+    methods = {"near": F.col("dt_mu_l"), "far": F.col("dt_af"), "far+": F.col("dt_r")}
+    got = study.measured(wide, methods, (3,), cells=cells, truths={"near": "truth_1", "far": "truth_8", "far+": "truth_8"})
+    alone = [study.measured(study.wide([N.Part(7, 3, *V.sets_of({"dt": {"last": 16}}))], h), {n: methods[n] for n in names}, (3,)) for h, names in ((1, ["near"]), (8, ["far", "far+"]))]
+    want = G.union_all(alone)
+    assert want.count() and rows_of(got.select(want.columns), 7) == rows_of(want, 7)
+
+
+def test_prediction_runs_without_arrays(spark, monkeypatch):
+    """e19: no window is collected, and rows are exchanged by window once for all horizons."""
+    for name in ("windows", "spans", "dense"):
+        monkeypatch.setattr(P.Study, name, None)
+    got = Q.e19_prediction_runs(spark, SMALL)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [window_id") == 1 and got.count()
