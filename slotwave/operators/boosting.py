@@ -1,10 +1,12 @@
-"""Leaf-wise gradient boosting on histograms of a bounded sample.
+"""Leaf-wise gradient boosting on histograms.
 
-Features become bins at the sample's percentiles. A tree grows by its leaf of the largest gain,
-read from sums of gradients and rows by (feature, bin), up to `leaves` leaves. Models of several
-sets of features are grown at the same time, each in a task of its own on the same sample, whose
-size is a parameter; scoring is a map over all rows. (A barrier stage whose tasks exchange sums
-was tried: an exchange takes about a second, and a tree needs as many as it is deep.)
+Features become bins at the percentiles of all rows. A tree grows by its leaf of the largest gain,
+read from sums of gradients and rows by (feature, bin), up to `leaves` leaves. Few rows are
+learned from by one task a model. More are dealt over tasks that run at the same time (a barrier
+stage), each with its own rows in memory; what they exchange are sums, through files in the shared
+folder, as the exchange that Spark gives to barrier tasks takes a second. All models grow in the
+same tasks. To exchange seldom, all leaves that may yet be split are, and the order of gains then
+tells which of them the tree has: about as many exchanges as it is deep. Scoring is a map over all rows.
 
 A row's leaf of every tree is found without walking: a bit for each leaf, from left to right, and
 for each bin of a feature the leaves that its cuts leave over. What all features leave over has
@@ -13,19 +15,24 @@ the row's leaf as its lowest bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import math
+import time
+import uuid
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..sources.tables import shared_dir, stored
 
-#: Rows that are predicted at once.
-ROWS = 512
+#: Rows that are predicted at once, rows that one task learns from alone, and rows for each cell from which features are summed together.
+ROWS, ALONE, JOINT = 512, 200_000, 4
 
 
 @dataclass(frozen=True)
@@ -138,20 +145,73 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@dataclass
+class _Node:
+    """A leaf's best split (gain, feature, last bin on the left), its rows here, sums over all rows, and its children once they are known."""
+
+    split: tuple[float, int, int]
+    rows: np.ndarray
+    sums: np.ndarray
+    kids: tuple[_Node, _Node] | None = None
+
+    def here(self) -> np.ndarray:
+        return self.rows if self.kids is None else np.sort(np.concatenate([k.here() for k in self.kids]))
+
+
+def _packed(sizes: list[int], cells: int = 1 << 15) -> list[tuple[list[int], list[int]]]:
+    """Features, and their numbers of bins, in groups that have no more cells together: the largest first, each with the largest that still go with it."""
+    left, out = sorted(range(len(sizes)), key=lambda f: (-sizes[f], f)), []
+    while left:
+        group = [left.pop(0)]
+        for f in list(left):
+            if math.prod(sizes[g] for g in group) * sizes[f] <= cells:
+                group.append(f)
+                left.remove(f)
+        out.append((group, [sizes[f] for f in group]))
+    return out
+
+
 class _Grower:
-    """Grows trees over a sample of bins and labels."""
+    """Grows trees over bins and labels: all rows, or one task's share of them (base is the mean of all labels then)."""
 
-    def __init__(self, bins: np.ndarray, label: np.ndarray, settings: Settings):
-        self.s, self.bins, self.label = settings, bins, label
+    def __init__(self, bins: np.ndarray, label: np.ndarray, settings: Settings, base: float | None = None):
+        self.s, self.label, self.shared = settings, label, base is not None
         self.shape = (bins.shape[1], settings.bins + 1)
-        self.keys = bins + np.arange(bins.shape[1]) * self.shape[1]
-        self.base = float(label.mean()) if len(label) else 0.0
+        self.columns = np.ascontiguousarray(bins.T, np.uint8 if settings.bins < 256 else np.int32)
+        self.joint = [(fs, sizes, self._joined(fs, sizes)) for fs, sizes in _packed([int(c.max(initial=0)) + 1 for c in self.columns])]
+        self.base = base if base is not None else float(label.mean()) if len(label) else 0.0
         self.prediction = np.full(len(label), self.base)
 
+    def _joined(self, fs: list[int], sizes: list[int]) -> np.ndarray:
+        """Bins of several features as one number."""
+        if len(fs) == 1:
+            return self.columns[fs[0]]
+        out = np.zeros(len(self.label), np.uint16)
+        for f, size in zip(fs, sizes, strict=True):
+            out = out * np.uint16(size) + self.columns[f]
+        return out
+
     def _sums(self, rows: np.ndarray) -> np.ndarray:
-        """Gradients and rows by feature and bin."""
-        keys, size = self.keys[rows].ravel(), self.shape[0] * self.shape[1]
-        return np.stack([np.bincount(keys, w, size).reshape(self.shape) for w in (np.repeat(self.gradient[rows], self.shape[0]), None)])
+        """Gradients and rows by feature and bin. Where there are many more rows than cells, those of several features come from one pass over their cells."""
+        out, every = np.zeros((2, *self.shape)), len(rows) == len(self.label)
+        at = rows.astype(np.intp)
+        gradient = self.gradient if every else self.gradient.take(at)
+
+        for fs, sizes, column in self.joint:
+            n = math.prod(sizes)
+            if len(fs) > 1 and len(rows) >= JOINT * n:
+                column = column.astype(np.intp) if every else column.take(at).astype(np.intp)
+                cells = [np.bincount(column, w, n).reshape(sizes) for w in (gradient, None)]
+                for i, (f, size) in enumerate(zip(fs, sizes, strict=True)):
+                    others = tuple(k for k in range(len(fs)) if k != i)
+                    out[0, f, :size], out[1, f, :size] = cells[0].sum(others), cells[1].sum(others)
+                continue
+            for f in fs:
+                column = self.columns[f] if every else self.columns[f].take(at)
+                column = column.astype(np.intp)
+                out[0, f] = np.bincount(column, gradient, self.shape[1])
+                out[1, f] = np.bincount(column, minlength=self.shape[1])
+        return out
 
     def _best(self, sums: np.ndarray) -> tuple[float, int, int]:
         """(gain, feature, last bin on the left) of a leaf's best split; of equal ones the first."""
@@ -163,65 +223,215 @@ class _Grower:
         f, b = divmod(int(np.argmax(gain)), self.shape[1])
         return float(gain[f, b]), f, b
 
+    def _plan(self, root: _Node) -> tuple[Tree, dict[int, _Node], list[_Node]]:
+        """The tree as far as splits are known, the leaf of the largest gain first; its leaves; and the leaves that must be split to go on.
+
+        Alone, that is the next one; with other tasks, all that are next if no child of theirs comes before.
+        """
+        tree = Tree()
+        leaves, wanted = {tree.add(): root}, []
+        order = [(-root.split[0], 0)]
+        while order and len(leaves) + len(wanted) < self.s.leaves and (self.shared or not wanted):
+            gain, at = heapq.heappop(order)
+            if -gain <= 1e-12:
+                break
+            node = leaves[at]
+            if node.kids is None:
+                wanted.append(node)
+                continue
+            del leaves[at]
+            _, tree.feature[at], tree.bin[at] = node.split
+            tree.left[at], tree.right[at] = tree.add(), tree.add()
+            for child, kid in zip((tree.left[at], tree.right[at]), node.kids, strict=True):
+                leaves[child] = kid
+                heapq.heappush(order, (-kid.split[0], child))
+        return tree, leaves, wanted
+
+    def growing(self) -> Generator[np.ndarray, np.ndarray, Tree]:
+        """Grows the next tree: gives sums over the rows here, and is sent the same over all rows. Of two children the smaller one is summed, the other is the difference."""
+        self.gradient = self.prediction - self.label
+        everything = np.arange(len(self.label), dtype=np.int32)
+        sums = yield self._sums(everything)
+        root = _Node(self._best(sums), everything, sums)
+        while True:
+            tree, leaves, wanted = self._plan(root)
+            if not wanted:
+                break
+            halves, found = [], []
+            for node in wanted:
+                _, f, b = node.split
+                below = self.columns[f].take(node.rows) <= b
+                parts = node.rows.compress(below), node.rows.compress(~below)
+                n = node.sums[1, f]
+                small = int(n[b + 1 :].sum() < n[: b + 1].sum())
+                halves.append((parts, small))
+                found.append(self._sums(parts[small]))
+            found = yield np.stack(found)
+            for node, (parts, small), mine in zip(wanted, halves, found, strict=True):
+                both = [node.sums - mine, node.sums - mine]
+                both[small] = mine
+                both[1 - small][1] = np.rint(both[1 - small][1])
+                node.kids = tuple(_Node(self._best(x), rows, x) for rows, x in zip(parts, both, strict=True))
+                node.rows = node.sums = None
+        mine = {at: node.here() for at, node in leaves.items()}
+        totals = yield np.array([(self.gradient[rows].sum(), len(rows)) for rows in mine.values()])
+        for (at, rows), (total, n) in zip(mine.items(), totals, strict=True):
+            if n:
+                tree.value[at] = float(-self.s.rate * (total / n))
+                self.prediction[rows] += tree.value[at]
+        return tree
+
     def tree(self) -> Tree:
-        """The next tree; the leaf of the largest gain is split first. Of two children the smaller one is summed, the other is the difference."""
-        self.gradient, out = self.prediction - self.label, Tree()
-        everything = np.arange(len(self.label))
-        sums = self._sums(everything)
-        leaves = {out.add(): (self._best(sums), everything, sums)}
-        while len(leaves) < self.s.leaves:
-            node = max(leaves, key=lambda v: (leaves[v][0][0], -v))
-            (gain, f, b), rows, sums = leaves[node]
-            if gain <= 1e-12:
+        """The next tree of all rows."""
+        return _together({"": self}, 1, lambda x: x)[""][0]
+
+
+def _together(growers: dict[str, _Grower], rounds: int, total: Callable[[np.ndarray], np.ndarray]) -> dict[str, list[Tree]]:
+    """So many trees of each grower; what all of them wait for goes through one call of total, which sums an array over all tasks."""
+    trees, live = {name: [] for name in growers}, {}
+
+    def go_on(name: str, sent: np.ndarray | None = None) -> None:
+        """To the grower's next wait."""
+        steps = live[name][0] if name in live else growers[name].growing()
+        try:
+            live[name] = steps, steps.send(sent)
+        except StopIteration as end:
+            trees[name].append(end.value)
+            del live[name]
+            if len(trees[name]) < rounds:
+                go_on(name)
+
+    for name in growers if rounds else ():
+        go_on(name)
+    while live:
+        asked = {name: x for name, (_, x) in live.items()}
+        found = total(np.concatenate([x.ravel() for x in asked.values()]))
+        for (name, x), part in zip(asked.items(), np.split(found, np.cumsum([x.size for x in asked.values()])[:-1]), strict=True):
+            go_on(name, part.reshape(x.shape))
+    return trees
+
+
+class _Exchange:
+    """Sums arrays over the n tasks of a barrier stage through a folder that all see.
+
+    Each task leaves a file, the first one adds them up in the order of the tasks and leaves the total. A file is
+    there under its name once it is whole. Nobody asks for the files of a round that all have gone beyond, so they are deleted.
+    """
+
+    def __init__(self, folder: str, me: int, n: int, patience: float = 3600.0):
+        from pyarrow import fs
+
+        self.system, self.folder = fs.FileSystem.from_uri(folder)
+        self.me, self.n, self.round, self.patience = me, n, 0, patience
+        self.system.create_dir(self.folder, recursive=True)
+
+    def _leave(self, name: str, values: np.ndarray) -> None:
+        with self.system.open_output_stream(f"{self.folder}/_{name}") as f:
+            f.write(np.ascontiguousarray(values, np.float64).tobytes())
+        self.system.move(f"{self.folder}/_{name}", f"{self.folder}/{name}")
+
+    def _take(self, name: str, size: int) -> np.ndarray:
+        path, until, pause = f"{self.folder}/{name}", time.monotonic() + self.patience, 0.001
+        while True:
+            try:
+                with self.system.open_input_file(path) as f:
+                    values = np.frombuffer(f.read(), np.float64)
                 break
-            del leaves[node]
-            below = self.bins[rows, f] <= b
-            parts = [rows[below], rows[~below]]
-            small = int(len(parts[1]) < len(parts[0]))
-            found = self._sums(parts[small])
-            both = [sums - found, sums - found]
-            both[small] = found
-            both[1 - small][1] = np.rint(both[1 - small][1])
-            out.feature[node], out.bin[node], out.left[node], out.right[node] = f, b, out.add(), out.add()
-            for child, mine, x in zip((out.left[node], out.right[node]), parts, both, strict=True):
-                leaves[child] = self._best(x), mine, x
-        for node, (_, rows, _) in leaves.items():
-            if len(rows):
-                out.value[node] = float(-self.s.rate * self.gradient[rows].mean())
-                self.prediction[rows] += out.value[node]
-        return out
+            except FileNotFoundError:
+                if time.monotonic() > until:
+                    raise TimeoutError(f"no {path} of another task") from None
+                time.sleep(pause)
+                pause = min(pause * 1.2, 0.02)
+        if len(values) != size:
+            raise ValueError(f"tasks differ in what they sum: {len(values)} and {size} values")
+        return values
+
+    def total(self, values: np.ndarray) -> np.ndarray:
+        """The sum of the tasks' arrays, the same for all of them."""
+        flat, k = np.asarray(values, np.float64).ravel(), self.round
+        self.round += 1
+        if self.n == 1:
+            return flat.reshape(values.shape)
+        if self.me:
+            self._leave(f"{k}-{self.me}", flat)
+            return self._take(f"{k}-all", flat.size).reshape(values.shape)
+        out = flat.copy()
+        for i in range(1, self.n):
+            out += self._take(f"{k}-{i}", flat.size)
+        self._leave(f"{k}-all", out)
+        # all have left their files of this round, so all have taken the total before
+        for name in (*(f"{k}-{i}" for i in range(1, self.n)), *([f"{k - 1}-all"] if k else [])):
+            self.system.delete_file(f"{self.folder}/{name}")
+        return out.reshape(values.shape)
 
 
 def percentiles(values: np.ndarray, n: int) -> np.ndarray:
     """The distinct ones of the n - 1 percentiles that cut values into n parts, linear between two places."""
     if not len(values):
         return np.array([])
-    s, at = np.sort(values), (len(values) - 1) * (np.arange(1, n) / n)
-    low, high = np.floor(at), np.ceil(at)
-    a, b = s[low.astype(int)], s[high.astype(int)]
+    s, (at, low, high) = np.sort(values), _places(len(values), n)
+    return _between(at, low, high, s[low.astype(int)], s[high.astype(int)])
+
+
+def _places(count: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where percentiles lie among so many values in order, and the places below and above."""
+    at = (count - 1) * (np.arange(1, n) / n)
+    return at, np.floor(at), np.ceil(at)
+
+
+def _between(at: np.ndarray, low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.where((low == high) | (a == b), a, (high - at) * a + (at - low) * b))
 
 
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
+
+
+def shared_percentiles(columns: list[np.ndarray], n: int, total: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """percentiles of each column over the rows of all tasks: places in order are found by halving the range of values, which takes 64 sums of counts."""
+    values, seen = zip(*[np.unique(_ordered(c), return_counts=True) for c in columns], strict=True)
+    upto = [np.concatenate([[0], np.cumsum(c)]) for c in seen]
+    counts = total(np.array([float(len(c)) for c in columns])).astype(np.int64)
+    places = [_places(int(c), n) for c in counts]
+    wanted = np.stack([np.concatenate([low, high]) for _, low, high in places])
+    # the least number with more than so many values up to it
+    lo, hi = np.full(wanted.shape, np.iinfo(np.int64).min), np.full(wanted.shape, np.iinfo(np.int64).max)
+    for _ in range(64):
+        middle = (lo >> 1) + (hi >> 1) + (lo & hi & 1)
+        below = total(np.stack([u[np.searchsorted(v, m, "right")] for v, u, m in zip(values, upto, middle, strict=True)]).astype(float))
+        lo, hi = np.where(below > wanted, lo, np.minimum(middle, np.iinfo(np.int64).max - 1) + 1), np.where(below > wanted, middle, hi)
+    found = np.where(hi < 0, hi ^ np.int64(2**63 - 1), hi).view(np.float64)
+    return [_between(*p, *np.split(x, 2)) if c else np.array([]) for p, x, c in zip(places, found, counts, strict=True)]
+
+
 _TREES = "model string, base double, tree int, feature array<int>, bin array<int>, left array<int>, right array<int>, value array<double>, edges array<array<double>>"
 
 
-def fit(train: DataFrame, feature_sets: dict[str, list[str]], label: str, keys: list[str], settings: Settings = Settings(), most_rows: int = 200_000) -> dict[str, Model]:
-    """One model for each set of features, each grown by a task of its own on the whole sample.
+def fit(train: DataFrame, feature_sets: dict[str, list[str]], label: str, keys: list[str], settings: Settings = Settings(), most_rows: int | None = None, alone: int = ALONE) -> dict[str, Model]:
+    """One model for each set of features, learned from all rows of train.
 
-    train is a sample of at most most_rows rows (more is an error), so a task holds so many rows of
-    small numbers; keys are columns that tell them apart and fix their order, and with it the
-    order of sums. Loss is the squared error. Bin edges are exact percentiles of the sample. Null
-    labels are left out; null features stand in the last bin. An empty sample gives models of value 0.
+    Up to `alone` rows, each model is grown by a task of its own; more are dealt by their keys over
+    tasks that run at the same time, as many as the cluster can run, but of a quarter as many rows each at least. keys are columns that tell rows
+    apart and fix their order, and with it the order of sums. Loss is the squared error. Bin edges
+    are exact percentiles of all rows. Null labels are left out; null features stand in the last
+    bin. Without rows models have the value 0. More rows than most_rows, if given, are an error.
     """
     names = list(dict.fromkeys(c for cs in feature_sets.values() for c in cs))
     plain = train.where(F.col(label).isNotNull()).select(*keys, F.col(label).cast("double").alias("label"), *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(names)])
     # stored, since the rows are counted first
-    sample = stored(plain, "sample")
-    n = sample.count()
-    if n > most_rows:
-        raise ValueError(f"a sample of {n} rows; at most {most_rows} are fitted")
-
+    rows = stored(plain, "training")
+    n = rows.count()
+    if most_rows is not None and n > most_rows:
+        raise ValueError(f"{n} rows; a sample of at most {most_rows} is fitted")
     models = list(feature_sets)
+    used = {model: [names.index(c) for c in cs] for model, cs in feature_sets.items()}
+
+    def out_batch(model: str, base: float, trees: list[Tree], edges: list[np.ndarray]) -> pa.RecordBatch:
+        out = [(model, base, i, k.feature, k.bin, k.left, k.right, k.value, None if i else edges) for i, k in enumerate(trees)]
+        kinds = (pa.string(), pa.float64(), pa.int32(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _TREES.split(", ")])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -229,18 +439,42 @@ def fit(train: DataFrame, feature_sets: dict[str, list[str]], label: str, keys:
             return
         t = pa.Table.from_batches(parts).sort_by([(k, "ascending") for k in keys])
         model = models[t["model"][0].as_py()]
-        used = [f"f{names.index(c)}" for c in feature_sets[model]]
-        edges = [percentiles(t[c].drop_null().to_numpy(), settings.bins) for c in used]
-        x = np.stack([t[c].to_pandas().to_numpy(float) for c in used], axis=1)
+        edges = [percentiles(t[f"f{i}"].drop_null().to_numpy(), settings.bins) for i in used[model]]
+        x = np.stack([t[f"f{i}"].to_pandas().to_numpy(float) for i in used[model]], axis=1)
         grower = _Grower(binned(x, edges), t["label"].to_numpy(), settings)
-        trees = [grower.tree() for _ in range(settings.rounds)]
-        out = [(model, grower.base, i, k.feature, k.bin, k.left, k.right, k.value, None if i else edges) for i, k in enumerate(trees)]
-        kinds = (pa.string(), pa.float64(), pa.int32(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _TREES.split(", ")])
-
-    # by number, so that no two models meet in a task
-    each = sample.withColumn("model", F.explode(F.array(*map(F.lit, range(len(models)))))).repartitionById(len(models), "model")
-    made = sorted(each.mapInArrow(grow, _TREES).collect(), key=lambda r: r.tree)  # rounds x leaves numbers for each model
+        yield out_batch(model, grower.base, [grower.tree() for _ in range(settings.rounds)], edges)
+
+    def grow_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = BarrierTaskContext.get()
+        # a folder for each attempt of the stage
+        exchange = _Exchange(f"{folder}/{here.allGather(str(here.taskAttemptId()))[0]}", here.partitionId(), tasks)
+        parts = list(batches)
+        pick = lambda c: np.concatenate([np.empty(0), *[b[c].to_pandas().to_numpy(float) for b in parts]])
+        label, columns = pick("label"), [pick(f"f{i}") for i in range(len(names))]
+        del parts
+        edges = shared_percentiles([c[~np.isnan(c)] for c in columns], settings.bins, exchange.total)
+        bins = np.empty((len(label), len(names)), np.uint8 if settings.bins < 256 else np.int32)
+        for i, e in enumerate(edges):
+            bins[:, i] = binned(columns[i][:, None], [e])[:, 0]
+            columns[i] = None
+        total, count = exchange.total(np.array([label.sum(), len(label)]))
+        growers = {m: _Grower(bins[:, used[m]], label, settings, total / count) for m in models}
+        trees = _together(growers, settings.rounds, exchange.total)
+        if not here.partitionId():
+            for m in models:
+                yield out_batch(m, growers[m].base, trees[m], [edges[i] for i in used[m]])
+
+    tasks = min(-(-n // max(1, alone // 4)), _slots(rows.sparkSession)) if n > alone else 1
+    if n <= alone:
+        # by number, so that no two models meet in a task
+        each = rows.withColumn("model", F.explode(F.array(*map(F.lit, range(len(models)))))).repartitionById(len(models), "model")
+        found = each.mapInArrow(grow, _TREES)
+    else:
+        folder = f"{shared_dir(rows.sparkSession)}/sums-{uuid.uuid4().hex}"
+        dealt = rows.repartitionById(tasks, F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int")).sortWithinPartitions(*keys)
+        # with an exchange after it, as Spark starts only such a barrier stage anew when a task is lost
+        found = dealt.drop(*keys).mapInArrow(grow_shared, _TREES, barrier=True).repartition(1)
+    made = sorted(found.collect(), key=lambda r: r.tree)  # rounds x leaves numbers for each model
     out = {}
     for name, cs in feature_sets.items():
         mine = [r for r in made if r.model == name]
@@ -249,6 +483,12 @@ def fit(train: DataFrame, feature_sets: dict[str, list[str]], label: str, keys:
     return out
 
 
+def _slots(spark: SparkSession) -> int:
+    """Tasks that the cluster runs at the same time: a barrier stage of more would wait for ever."""
+    context = spark.sparkContext._jsc.sc()
+    return max(1, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+
+
 def predicted(rows: DataFrame, models: dict[str, Model], out: dict[str, str] | None = None) -> DataFrame:
     """rows with a column of predictions for each model, named as the model or as `out` says."""
     named = out or {m: m for m in models}

@@ -1,4 +1,4 @@
-"""A learned ranker: features of windows, a leak-free training sample, leaf-wise boosted trees."""
+"""A learned ranker: features of windows, leak-free training rows, leaf-wise boosted trees."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import wavelets as W
 from . import boosting as B
 
-#: Rows of the training sample.
-SAMPLE = 200_000
 #: Slots that are summed, and the names of the features.
 SUMS = (1, 2, 4, 8, 16, 32, 64)
 FEATURES = (*(f"sum_{k}" for k in SUMS), "slope_16", "zero_share")
@@ -81,13 +79,16 @@ def sample_order(seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
-def training_rows(frames: DataFrame, first_test: int, horizon: int = 1, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """Rows of windows whose truth ends before the first test window, at most `sample` of them in hash order; label log1p(truth).
+def training_rows(frames: DataFrame, first_test: int, horizon: int = 1, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """Rows of windows whose truth ends before the first test window, all or, if asked for, `sample` of them in hash order; label log1p(truth).
 
     Numbers are spread evenly, so rows far above the share that is wanted are left out before the
     order is made; the rest is sorted and cut exactly.
     """
-    rows = frames.where(F.col("window_id") + horizon - 1 < first_test).withColumn("label", F.log1p("truth")).withColumn("draw", sample_order(seed))
+    rows = frames.where(F.col("window_id") + horizon - 1 < first_test).withColumn("label", F.log1p("truth"))
+    if sample is None:
+        return rows
+    rows = rows.withColumn("draw", sample_order(seed))
     n = rows.count()
     if n <= sample:
         return rows.drop("draw")

@@ -702,29 +702,27 @@ def _ranker_part(names: tuple[str, ...] = (), work=None) -> list[N.Part]:
     return [N.Part(64, 32, names, work)]
 
 
-def _ranker_sample(study, sample: int = L.SAMPLE):
-    """The first test window (0 if there is none), and the training sample with its labels; no window is made for them."""
+def _ranker_windows(study):
+    """Eligible rows, the windows that count, and the first test window (0 if there is none); no window is made for them."""
     rows = P.held(study.wide(_ranker_part()), "ranker-rows")
     valid = P.held(study.valid(rows), "ranker-windows")
-    first_test = L.first_test_window(valid) or 0
-    return first_test, L.training_rows(rows.join(F.broadcast(valid), "window_id", "left_semi"), first_test, sample=sample)
+    return rows, valid, L.first_test_window(valid) or 0
 
 
 @query(with_(*_WINDOWS, _FIRST_TEST) + f"SELECT window_id, item_id, {Q.r6('ln(1 + truth)')} AS label FROM fr, ft WHERE window_id < first ORDER BY CAST('0x' || substr(md5('42:' || window_id || ':' || item_id), 1, 12) AS BIGINT), window_id, item_id LIMIT 2000")
 def f18_training_rows(spark, sf_dir):
-    """The sample that learned rankers are fitted on, of 2000 rows here: windows whose truth ends before the first test window."""
-    return P.rounded(_ranker_sample(P.weekly(spark, sf_dir), 2000)[1].select("window_id", "item_id", "label"))
+    """2000 of the rows that learned rankers are fitted on, in hash order: windows whose truth ends before the first test window."""
+    rows, valid, first_test = _ranker_windows(P.weekly(spark, sf_dir))
+    return P.rounded(L.training_rows(rows.join(F.broadcast(valid), "window_id", "left_semi"), first_test, sample=2000).select("window_id", "item_id", "label"))
 
 
 @query()
 def f19_learned_ranker(spark, sf_dir):
-    """300 rounds of leaf-wise trees on plain window features (GBM) and on these with the transform's (GBM+W), both fitted before the first test window."""
+    """300 rounds of leaf-wise trees on plain window features (GBM) and on these with the transform's (GBM+W), both fitted on all rows before the first test window."""
     study = P.weekly(spark, sf_dir)
     names, work = L.features_of("mu_l", "r", "w_e")
-    first_test, drawn = _ranker_sample(study)
-    # the sample's rows are bounded, and so are the trees
-    drawn = F.broadcast(P.held(drawn.select("window_id", "item_id", "label"), "ranker-sample"))
-    train = study.wide(_ranker_part(names, work), until=first_test).join(drawn, ["window_id", "item_id"])
+    _, valid, first_test = _ranker_windows(study)
+    train = L.training_rows(study.wide(_ranker_part(names, work), until=first_test).join(F.broadcast(valid), "window_id", "left_semi"), first_test)
     models = L.fit_rankers(train, {"GBM": list(L.FEATURES), "GBM+W": list(names)})
     scored = _ranker_part(*L.predictions_of(spark.sparkContext.broadcast(models), work))
     return P.rounded(R.summarize(study.measured(study.wide(scored, since=first_test), L.scores(models))))

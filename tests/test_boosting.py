@@ -1,5 +1,8 @@
 """Leaf-wise boosting: against plain best-first growth, on Spark, without leaks."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +156,51 @@ def test_feature_rows_without_arrays(spark, monkeypatch):
         monkeypatch.setattr(P.Study, name, None)
     got = Q.f17_ranker_features(spark, SMALL)
     assert n and got.columns == want.columns and got.count() == n and got.exceptAll(want).isEmpty()
+
+
+def test_all_rows_are_trained_on(spark):
+    """No row before the first test window is left out, however many there are."""
+    rows = spark.range(300_000).select((F.col("id") % 100).cast("int").alias("window_id"), F.col("id").cast("string").alias("item_id"), (F.col("id") % 7).cast("double").alias("truth"), F.lit(0.5).alias("a"))
+    train = L.training_rows(rows, 90)
+    assert train.count() == 270_000
+    model = L.fit_rankers(train, {"GBM": ["a"]}, B.Settings(rounds=1))["GBM"]
+    assert abs(model.base - train.agg(F.avg("label")).first()[0]) < 1e-9
+
+
+def test_tasks_together_grow_the_same_trees(spark):
+    """Rows dealt over tasks, some with none: edges, trees and values as from one task that has all rows, and the same twice."""
+    rows = spark.range(3000).select(F.col("id").alias("window_id"), F.lit("i").alias("item_id"), F.round(F.rand(3) * 4, 1).alias("a"), (F.rand(4) - 0.5).alias("c"), F.lit(1.0).alias("flat")).withColumn("label", F.sin("a") + F.col("c") + F.rand(5) / 10)
+    rows = rows.withColumn("c", F.when(F.col("window_id") % 50 == 0, None).otherwise(F.col("c"))).withColumn("none", F.lit(None).cast("double")).cache()
+    sets, s = {"one": ["a", "none"], "two.": ["a", "c", "flat"]}, B.Settings(rounds=12, rate=0.2, leaves=20, bins=40, least_rows=5)
+    for part in (rows, rows.where("window_id < 2")):
+        want, got = (B.fit(part, sets, "label", ["window_id"], s, alone=n) for n in (10**6, 1))
+        for m in sets:
+            assert [e.tolist() for e in want[m].edges] == [e.tolist() for e in got[m].edges] and len(got[m].trees) == 12
+            for a, b in zip(want[m].trees, got[m].trees, strict=True):
+                assert (a.feature, a.bin, a.left, a.right) == (b.feature, b.bin, b.left, b.right) and np.allclose(a.value, b.value, rtol=0, atol=1e-12)
+    one, two = (B.fit(rows, sets, "label", ["window_id"], s, alone=1) for _ in range(2))
+    assert all(one[m].trees == two[m].trees for m in sets)
+
+
+def test_shared_percentiles():
+    """Percentiles over the rows of several tasks are those of all rows."""
+    rng = np.random.default_rng(8)
+    parts = [[np.round(rng.normal(size=n), 2), rng.gamma(1.0, 3.0, n) * 1e5, np.zeros(0), np.full(n, -0.0)] for n in (0, 1, 50, 333)]
+    todo = [B._ordered(np.concatenate([p[f] for p in parts])) for f in range(4)]
+    assert all((np.diff(np.sort(np.concatenate([p[f] for p in parts]))) >= 0).all() and (np.sort(o) == o[np.argsort(np.concatenate([p[f] for p in parts]))]).all() for f, o in enumerate(todo))
+    gate, sums = threading.Barrier(len(parts)), [None] * len(parts)
+
+    def total(i):
+        def run(x):
+            sums[i] = x
+            gate.wait()
+            out = sum(sums)
+            gate.wait()
+            return out
+
+        return run
+
+    with ThreadPoolExecutor(len(parts)) as pool:
+        found = list(pool.map(lambda i: B.shared_percentiles(parts[i], 40, total(i)), range(len(parts))))
+    want = [B.percentiles(np.concatenate([p[f] for p in parts]), 40).tolist() for f in range(4)]
+    assert all([e.tolist() for e in f] == want for f in found)
