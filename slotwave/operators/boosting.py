@@ -19,7 +19,7 @@ import heapq
 import math
 import time
 import uuid
-from collections.abc import Callable, Generator, Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -171,15 +171,31 @@ def _packed(sizes: list[int], cells: int = 1 << 15) -> list[tuple[list[int], lis
     return out
 
 
+def _step(n: int, largest: float) -> float:
+    """The power of two whose multiples gradients are, so that sums of n of them are exact in any order; largest is that of the labels.
+
+    So equal splits have equal gains, and trees do not hang on how rows are dealt. Of 36 million rows with labels up to 8, a step is 5e-7.
+    """
+    bits = lambda x: math.ceil(math.log2(max(x, 2.0**-500)))
+    return 2.0 ** (bits(n) + bits(4 * largest) - 52)
+
+
+def _rounded(x: np.ndarray, step: float) -> np.ndarray:
+    return np.rint(x / step) * step
+
+
 class _Grower:
-    """Grows trees over bins and labels: all rows, or one task's share of them (base is the mean of all labels then)."""
+    """Grows trees over bins and labels: all rows, or one task's share of them (shared is the mean of all labels, and the step, then)."""
 
-    def __init__(self, bins: np.ndarray, label: np.ndarray, settings: Settings, base: float | None = None):
-        self.s, self.label, self.shared = settings, label, base is not None
+    def __init__(self, bins: np.ndarray, label: np.ndarray, settings: Settings, shared: tuple[float, float] | None = None):
+        self.s, self.label, self.shared = settings, label, shared is not None
         self.shape = (bins.shape[1], settings.bins + 1)
         self.columns = np.ascontiguousarray(bins.T, np.uint8 if settings.bins < 256 else np.int32)
         self.joint = [(fs, sizes, self._joined(fs, sizes)) for fs, sizes in _packed([int(c.max(initial=0)) + 1 for c in self.columns])]
-        self.base = base if base is not None else float(label.mean()) if len(label) else 0.0
+        if shared is None:
+            step = _step(len(label), float(np.abs(label).max(initial=0.0)))
+            shared = float(_rounded(label, step).mean()) if len(label) else 0.0, step
+        self.base, self.step = shared
         self.prediction = np.full(len(label), self.base)
 
     def _joined(self, fs: list[int], sizes: list[int]) -> np.ndarray:
@@ -249,7 +265,7 @@ class _Grower:
 
     def growing(self) -> Generator[np.ndarray, np.ndarray, Tree]:
         """Grows the next tree: gives sums over the rows here, and is sent the same over all rows. Of two children the smaller one is summed, the other is the difference."""
-        self.gradient = self.prediction - self.label
+        self.gradient = _rounded(self.prediction - self.label, self.step)
         everything = np.arange(len(self.label), dtype=np.int32)
         sums = yield self._sums(everything)
         root = _Node(self._best(sums), everything, sums)
@@ -389,11 +405,14 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
 
 
-def shared_percentiles(columns: list[np.ndarray], n: int, total: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+def shared_percentiles(columns: Iterable[np.ndarray], n: int, total: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
     """percentiles of each column over the rows of all tasks: places in order are found by halving the range of values, which takes 64 sums of counts."""
-    values, seen = zip(*[np.unique(_ordered(c), return_counts=True) for c in columns], strict=True)
-    upto = [np.concatenate([[0], np.cumsum(c)]) for c in seen]
-    counts = total(np.array([float(len(c)) for c in columns])).astype(np.int64)
+    values, upto = [], []
+    for c in columns:
+        different, seen = np.unique(_ordered(c), return_counts=True)
+        values.append(different)
+        upto.append(np.concatenate([[0], np.cumsum(seen)]).astype(np.int32 if len(c) < 2**31 else np.int64))
+    counts = total(np.array([float(u[-1]) for u in upto])).astype(np.int64)
     places = [_places(int(c), n) for c in counts]
     wanted = np.stack([np.concatenate([low, high]) for _, low, high in places])
     # the least number with more than so many values up to it
@@ -413,8 +432,8 @@ def fit(train: DataFrame, feature_sets: dict[str, list[str]], label: str, keys:
     """One model for each set of features, learned from all rows of train.
 
     Up to `alone` rows, each model is grown by a task of its own; more are dealt by their keys over
-    tasks that run at the same time, as many as the cluster can run, but of a quarter as many rows each at least. keys are columns that tell rows
-    apart and fix their order, and with it the order of sums. Loss is the squared error. Bin edges
+    tasks that run at the same time, as many as the cluster can run, but of a quarter as many rows each at least (with dynamic allocation one task has all). keys are columns that tell rows
+    apart. Trees are the same however rows are dealt (see _step). Loss is the squared error. Bin edges
     are exact percentiles of all rows. Null labels are left out; null features stand in the last
     bin. Without rows models have the value 0. More rows than most_rows, if given, are an error.
     """
@@ -448,24 +467,32 @@ def fit(train: DataFrame, feature_sets: dict[str, list[str]], label: str, keys:
         here = BarrierTaskContext.get()
         # a folder for each attempt of the stage
         exchange = _Exchange(f"{folder}/{here.allGather(str(here.taskAttemptId()))[0]}", here.partitionId(), tasks)
-        parts = list(batches)
-        pick = lambda c: np.concatenate([np.empty(0), *[b[c].to_pandas().to_numpy(float) for b in parts]])
-        label, columns = pick("label"), [pick(f"f{i}") for i in range(len(names))]
-        del parts
-        edges = shared_percentiles([c[~np.isnan(c)] for c in columns], settings.bins, exchange.total)
+        parts = [[np.empty(0)] for _ in range(len(names) + 1)]
+        for batch in batches:
+            for held, c in zip(parts, batch.columns, strict=True):
+                held.append(np.array(c.to_pandas().to_numpy(float)))
+        label, columns = np.concatenate(parts.pop(0)), []
+        while parts:
+            columns.append(np.concatenate(parts.pop(0)))
+        edges = shared_percentiles((c[~np.isnan(c)] for c in columns), settings.bins, exchange.total)
         bins = np.empty((len(label), len(names)), np.uint8 if settings.bins < 256 else np.int32)
         for i, e in enumerate(edges):
             bins[:, i] = binned(columns[i][:, None], [e])[:, 0]
-            columns[i] = None
-        total, count = exchange.total(np.array([label.sum(), len(label)]))
-        growers = {m: _Grower(bins[:, used[m]], label, settings, total / count) for m in models}
+            columns[i] = np.empty(0)
+        mine = np.zeros(tasks)
+        mine[here.partitionId()] = np.abs(label).max(initial=0.0)
+        step = _step(n, float(exchange.total(mine).max()))
+        base = float(exchange.total(_rounded(label, step).sum(keepdims=True))[0] / n)
+        growers = {m: _Grower(bins[:, used[m]], label, settings, (base, step)) for m in models}
         trees = _together(growers, settings.rounds, exchange.total)
         if not here.partitionId():
             for m in models:
                 yield out_batch(m, growers[m].base, trees[m], [edges[i] for i in used[m]])
 
-    tasks = min(-(-n // max(1, alone // 4)), _slots(rows.sparkSession)) if n > alone else 1
-    if n <= alone:
+    # barrier stages need a fixed number of executors
+    dynamic = rows.sparkSession.conf.get("spark.dynamicAllocation.enabled", "false") == "true"
+    tasks = min(-(-n // max(1, alone // 4)), _slots(rows.sparkSession)) if n > alone and not dynamic else 1
+    if tasks == 1:
         # by number, so that no two models meet in a task
         each = rows.withColumn("model", F.explode(F.array(*map(F.lit, range(len(models)))))).repartitionById(len(models), "model")
         found = each.mapInArrow(grow, _TREES)

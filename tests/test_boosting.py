@@ -168,18 +168,15 @@ def test_all_rows_are_trained_on(spark):
 
 
 def test_tasks_together_grow_the_same_trees(spark):
-    """Rows dealt over tasks, some with none: edges, trees and values as from one task that has all rows, and the same twice."""
+    """Rows dealt over tasks, some with none: edges, trees and values are to the last digit those of one task that has all rows, where two features split alike too."""
     rows = spark.range(3000).select(F.col("id").alias("window_id"), F.lit("i").alias("item_id"), F.round(F.rand(3) * 4, 1).alias("a"), (F.rand(4) - 0.5).alias("c"), F.lit(1.0).alias("flat")).withColumn("label", F.sin("a") + F.col("c") + F.rand(5) / 10)
-    rows = rows.withColumn("c", F.when(F.col("window_id") % 50 == 0, None).otherwise(F.col("c"))).withColumn("none", F.lit(None).cast("double")).cache()
-    sets, s = {"one": ["a", "none"], "two.": ["a", "c", "flat"]}, B.Settings(rounds=12, rate=0.2, leaves=20, bins=40, least_rows=5)
+    rows = rows.withColumn("c", F.when(F.col("window_id") % 50 == 0, None).otherwise(F.col("c"))).withColumn("none", F.lit(None).cast("double")).withColumn("twin", -F.col("a")).cache()
+    sets, s = {"one": ["a", "none"], "two.": ["twin", "a", "c", "flat"]}, B.Settings(rounds=12, rate=0.2, leaves=20, bins=40, least_rows=5)
     for part in (rows, rows.where("window_id < 2")):
         want, got = (B.fit(part, sets, "label", ["window_id"], s, alone=n) for n in (10**6, 1))
         for m in sets:
             assert [e.tolist() for e in want[m].edges] == [e.tolist() for e in got[m].edges] and len(got[m].trees) == 12
-            for a, b in zip(want[m].trees, got[m].trees, strict=True):
-                assert (a.feature, a.bin, a.left, a.right) == (b.feature, b.bin, b.left, b.right) and np.allclose(a.value, b.value, rtol=0, atol=1e-12)
-    one, two = (B.fit(rows, sets, "label", ["window_id"], s, alone=1) for _ in range(2))
-    assert all(one[m].trees == two[m].trees for m in sets)
+            assert want[m].base == got[m].base and want[m].trees == got[m].trees
 
 
 def test_shared_percentiles():
